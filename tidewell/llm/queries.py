@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exact_dedup, sharding
+from tidewell.llm import exact_dedup, sharding, simhash
 from tidewell.llm.shared import table
 
 
+def op1_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, max_bits=2)
+
+
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16, seed=2026)
 
@@ -17,6 +21,7 @@ def op9_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_pigeonring": op1_simhash_pigeonring,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op9_streaming_dedup": op9_streaming_dedup,
 }
