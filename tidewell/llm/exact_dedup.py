@@ -33,7 +33,10 @@ KEY_SCHEMA = T.StructType(
         T.StructField("pos", T.LongType()),
     ]
 )
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store reserves megabytes for its log
+}
 
 
 def normalised(text: Column) -> Column:
@@ -75,9 +78,9 @@ def run_state(spark: SparkSession, keys_dir: str, state_dir: str) -> DataFrame:
     state_dir holds the query's checkpoint and the rows that it emitted, by batch. Call it again with the same
     folders after more files were added to keys_dir: the state continues.
     """
-    option = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(option, None)
-    spark.conf.set(option, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(KEY_SCHEMA).parquet(keys_dir)
         best = F.min(F.struct((-F.col("points")).alias("neg_points"), "doc_id", "file", "pos"))
@@ -95,10 +98,8 @@ def run_state(spark: SparkSession, keys_dir: str, state_dir: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(option)
-        else:
-            spark.conf.set(option, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     emitted = spark.read.option("basePath", f"{state_dir}/emitted").schema(state.schema.add("batch", "long")).parquet(f"{state_dir}/emitted")
     latest = emitted.groupBy("digest").agg(F.max_by(F.struct("best", "hits"), "batch").alias("s"))
     return latest.select("digest", "s.best.*", "s.hits")
