@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exact_dedup, sharding, simhash
+from tidewell.llm import exact_dedup, language_id, quality, sharding, simhash
 from tidewell.llm.shared import table
 
 
@@ -16,6 +16,14 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16, seed=2026)
 
 
+def op4_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,6 +31,8 @@ def op9_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op4_byte_gru_language": op4_byte_gru_language,
+    "op6_nbsvm_quality": op6_nbsvm_quality,
     "op9_streaming_dedup": op9_streaming_dedup,
 }
 
