@@ -140,7 +140,7 @@ def _clashes(df: DataFrame, hit: DataFrame, digest: Callable[[Column], Column])
     texts = _texts(df, digest).join(hit, "digest").select("digest", "clean", ((F.col("file") == F.col("keep_file")) & (F.col("pos") == F.col("keep_pos"))).alias("here"))
     texts = written(texts, "dedup-hits")
     kept = texts.filter("here").select("digest", F.col("clean").alias("kept_text"))
-    return texts.filter("not here").join(kept, "digest").filter(F.col("clean") != F.col("kept_text")).select("digest").distinct()
+    return texts.filter("not here").join(kept, "digest").filter(F.col("clean") != F.col("kept_text")).select("digest")
 
 
 def _by_text(df: DataFrame, clashing: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
