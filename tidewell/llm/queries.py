@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exact_dedup, language_id, quality, sharding, simhash
+from tidewell.llm import exact_dedup, language_id, neighbours, quality, sharding, simhash
 from tidewell.llm.shared import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+def op2_rotated_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16, seed=2026)
 
@@ -30,6 +34,7 @@ def op9_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
+    "op2_rotated_bit_neighbours": op2_rotated_bit_neighbours,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_byte_gru_language": op4_byte_gru_language,
     "op6_nbsvm_quality": op6_nbsvm_quality,
