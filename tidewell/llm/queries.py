@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exact_dedup, language_id, neighbours, quality, sharding, simhash
+from tidewell.llm import exact_dedup, language_id, neighbours, packing, quality, sharding, simhash
 from tidewell.llm.shared import table
 
 
@@ -28,6 +29,11 @@ def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), path, end_id=2))
+
+
 def op9_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,7 @@ QUERIES = {
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_byte_gru_language": op4_byte_gru_language,
     "op6_nbsvm_quality": op6_nbsvm_quality,
+    "op8_bm25_packing": op8_bm25_packing,
     "op9_streaming_dedup": op9_streaming_dedup,
 }
 
