@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exact_dedup, language_id, neighbours, packing, quality, sharding, simhash
+from tidewell.llm import exact_dedup, html_main, language_id, neighbours, packing, quality, sharding, simhash
 from tidewell.llm.shared import table
 
 
@@ -38,6 +38,10 @@ def op9_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
     "op2_rotated_bit_neighbours": op2_rotated_bit_neighbours,
@@ -46,6 +50,7 @@ QUERIES = {
     "op6_nbsvm_quality": op6_nbsvm_quality,
     "op8_bm25_packing": op8_bm25_packing,
     "op9_streaming_dedup": op9_streaming_dedup,
+    "op10_consensus_html": op10_consensus_html,
 }
 
 ORACLE = {
