@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exact_dedup, html_main, language_id, neighbours, packing, quality, sharding, simhash
+from tidewell.llm import exact_dedup, html_main, language_id, licenses, neighbours, packing, pieces, quality, sharding, simhash
 from tidewell.llm.shared import table
 
 
@@ -25,10 +25,18 @@ def op4_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_merge_dropout_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=2026)
+
+
 def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), path, end_id=2))
@@ -47,7 +55,9 @@ QUERIES = {
     "op2_rotated_bit_neighbours": op2_rotated_bit_neighbours,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_byte_gru_language": op4_byte_gru_language,
+    "op5_license_windows": op5_license_windows,
     "op6_nbsvm_quality": op6_nbsvm_quality,
+    "op7_merge_dropout_pieces": op7_merge_dropout_pieces,
     "op8_bm25_packing": op8_bm25_packing,
     "op9_streaming_dedup": op9_streaming_dedup,
     "op10_consensus_html": op10_consensus_html,
