@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.shared import text_or_empty
@@ -194,10 +194,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame) -> ByteGRU | None:
     """A model of df's languages (doc_id, text, lang), from at most SAMPLE_DOCS rows; None without usable rows."""
     usable = df.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    order = F.xxhash64("doc_id")
-    ranked = usable.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")).alias("place"))
-    ranked = ranked.filter(F.col("place") <= SAMPLE_DOCS)
-    chosen = ranked.orderBy("place", "lang").limit(SAMPLE_DOCS).select("doc_id").distinct()
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
+    if not counts:
+        return None
+    quota = max(1, SAMPLE_DOCS // len(counts))
+    while True:  # small languages leave room to the others
+        spare = SAMPLE_DOCS - sum(min(n, quota) for n in counts.values())
+        open_ended = sum(n > quota for n in counts.values())
+        if not open_ended or spare < open_ended:
+            break
+        quota += spare // open_ended
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
+    taken = F.lit(False)
+    for lang, n in sorted(counts.items()):
+        taken = taken | ((F.col("lang") == lang) & (draw < int(min(1, quota / n) * (1 << 30))))
+    chosen = usable.select("doc_id", "lang").filter(taken).limit(SAMPLE_DOCS + SAMPLE_DOCS // 4).select("doc_id").distinct()
     sample = usable.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = sample.mapInArrow(_cut, "lang string, window binary").limit(2 * SAMPLE_DOCS * SAMPLE_WINDOWS).collect()
     rows = sorted((r["lang"], bytes(r["window"])) for r in rows)
