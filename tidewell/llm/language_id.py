@@ -14,8 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from tidewell.llm.shared import text_or_empty
+from pyspark.sql import types as T
 
 WINDOW = 128
 HIDDEN = 8
@@ -217,25 +216,27 @@ def fit(df: DataFrame) -> ByteGRU | None:
     return train([w for _, w in rows], [lang for lang, _ in rows])
 
 
-def predict(df: DataFrame, model: ByteGRU | None) -> DataFrame:
-    """doc_id, lang_pred and score of every row of df (doc_id, text)."""
-    narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has"))
+def predict(df: DataFrame, model: ByteGRU | None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in carry, lang_pred and lang_score of every row of df (doc_id, text)."""
+    out = [*dict.fromkeys(["doc_id", *carry])]
+    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if model is None:
+        return df.select(*out, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+    narrow = df.select(*out, F.col("text").alias("_text"), has.alias("_has"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                has = np.array(batch.column(2).to_pylist(), bool)
-                texts = [t if ok else b"" for t, ok in zip(batch.column(1).to_pylist(), has)]
+                has = np.array(batch.column(len(out) + 1).to_pylist(), bool)
+                texts = [t if ok else b"" for t, ok in zip(batch.column(len(out)).cast(pa.binary()).to_pylist(), has)]
                 share = model.documents(texts)
                 best = share.argmax(axis=1)
                 names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, has)]
                 scores = np.where(has, np.clip(share[np.arange(len(best)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*out, "lang_pred", "lang_score"])
 
-    if model is None:
-        return narrow.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[: len(out)], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def identify(df: DataFrame, model: ByteGRU | None = None) -> DataFrame:
@@ -247,4 +248,5 @@ def identify(df: DataFrame, model: ByteGRU | None = None) -> DataFrame:
     columns are ignored.
     """
     model = model or fit(df)
-    return predict(df, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = predict(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.shared import text_or_empty
 
@@ -202,6 +203,20 @@ def fit(df: DataFrame, labels: DataFrame) -> NBSVM:
     return train([np.frombuffer(i, np.int32) for _, _, i in rows], np.array([q for _, q, _ in rows], int))
 
 
+def with_scores(df: DataFrame, model: NBSVM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in carry and quality_score of every row of df (doc_id, text)."""
+    out = [*dict.fromkeys(["doc_id", *carry])]
+    narrow = df.select(*out, text_or_empty().alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            margins = np.array([model.margin(features.of(t.as_py())) for t in batch.column(len(out)).cast(pa.binary())], float)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(model.score(margins), pa.float64())], names=[*out, "quality_score"])
+
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[: len(out)], T.StructField("quality_score", T.DoubleType())]))
+
+
 def score(df: DataFrame, labels: DataFrame | None = None, model: NBSVM | None = None) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 if score >= THRESHOLD) of every row of df (doc_id, text).
 
@@ -210,13 +225,6 @@ def score(df: DataFrame, labels: DataFrame | None = None, model: NBSVM | None =
     never trained on; an empty df gives an empty result; other columns are ignored.
     """
     model = model or fit(df, labels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
-        for batch in batches:
-            margins = np.array([model.margin(features.of(t.as_py())) for t in batch.column(1)], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(margins), pa.float64())], names=["doc_id", "score"])
-
-    narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    scored = narrow.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = with_scores(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    score = F.col("quality_score")
+    return scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
