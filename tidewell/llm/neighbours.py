@@ -172,7 +172,8 @@ def nearest_neighbours(df: DataFrame, k: int = 10, every: int = 100, share: floa
     class_of = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     members = written(rows.distinct().withColumn("place", class_of).filter(F.col("place") <= k + 1), "vectors")
     distinct = members.filter("place = 1").select(F.col("vec_id").alias("rep"), "vector")
-    sample = [r["vector"] for r in distinct.orderBy(F.xxhash64("rep", F.lit(seed))).limit(SAMPLE_ROWS).collect()]
+    drawn = distinct.orderBy(F.xxhash64("rep", F.lit(seed))).limit(SAMPLE_ROWS).select("vector").toArrow().column(0)
+    sample = [v.values.to_numpy() for v in drawn]
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], out_schema)
