@@ -10,7 +10,9 @@ windows alone. Only the last window of a shard is short.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.merging import PairTable, merge_rows
 from tidewell.llm.shared import text_or_empty, written
 
 WINDOW = 4096
@@ -27,17 +30,80 @@ SHARD_TOKENS = 1 << 21
 BUCKETS = 1 << 16
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-MEMO_WORDS = 500_000
-SLICE = 256
+MEMO_WORDS = 400_000
+SLICE = 512
 
 _encoders: dict = {}
 
 
+class PlainWords:
+    """Ids of words of Latin letters, many at once, for byte-level merge tokenizers with a word-end suffix.
+
+    Usable where the tokenizer lower-cases and its pre-tokenizer takes a run of letters as one piece; the library encodes
+    everything else.
+    """
+
+    WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,32})([.,;:!?#$%&*|()-]*)")
+
+    def __init__(self, spec: dict):
+        model = spec["model"]
+        vocabulary = model["vocab"]
+        end = model["end_of_word_suffix"]
+        shown = _byte_letters()
+        self.inner = np.array([vocabulary.get(shown[b], -1) for b in range(256)], np.int32)
+        self.last = np.array([vocabulary.get(shown[b] + end, -1) for b in range(256)], np.int32)
+        pairs, merged = [], []
+        for pair in model["merges"]:
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            pairs.append(vocabulary[a] << 16 | vocabulary[b])
+            merged.append(vocabulary[a + b])
+        self.table = PairTable(np.array(pairs, np.uint32), np.arange(len(pairs), dtype=np.int32), np.array(merged, np.int32))
+
+    @classmethod
+    def of(cls, path: str) -> PlainWords | None:
+        """None where the tokenizer is of another kind."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, text = spec["model"], json.dumps(spec.get("pre_tokenizer"))
+        fits = model.get("type", "BPE") == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout") and not model.get("ignore_merges")
+        fits = fits and len(model["vocab"]) <= 1 << 16 and "[\\\\p{L}]+" in text and "ByteLevel" in text and "Lowercase" in json.dumps(spec.get("normalizer"))
+        return cls(spec) if fits else None
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Packed 16-bit ids of lower-case words of letters."""
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raw])
+        order = np.argsort(sizes, kind="stable")
+        out: list[bytes] = [b""] * len(words)
+        for at in range(0, len(order), 4096):
+            part = order[at : at + 4096]
+            width = int(sizes[part].max())
+            letters = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
+            symbols = np.where(np.arange(width)[None, :] < sizes[part][:, None], self.inner[letters], -1)
+            rows = np.arange(len(part))
+            symbols[rows, sizes[part] - 1] = self.last[letters[rows, sizes[part] - 1]]
+            flat, counts = merge_rows(self.table, symbols)
+            packed, ends = flat.astype("<u2").tobytes(), 2 * np.cumsum(counts)
+            start = 0
+            for i, stop in zip(part.tolist(), ends.tolist()):
+                out[i] = packed[start:stop]
+                start = stop
+        return out
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers show for each byte: itself if printable, else the next from U+0100 on."""
+    shown = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    hidden = (b for b in range(256) if b not in shown)
+    shown.update({b: chr(256 + i) for i, b in enumerate(hidden)})
+    return [shown[b] for b in range(256)]
+
+
 class WordEncoder:
     """Token ids of whole texts, with a bounded memo of words.
 
     Splitting at ASCII white space first is exact for tokenizers whose pre-tokenizer never joins text over white
-    space and drops it; words are encoded by the tokenizer itself.
+    space and drops it. Words that are not in the memo are encoded together.
     """
 
     def __init__(self, path: str):
@@ -47,7 +113,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
+        self.plain = PlainWords.of(path)
         self.memo: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        memo, cores = self.memo, self.cores
+        words = [w.decode("utf-8", "replace") for w in new]
+        if self.plain is None:
+            memo.update(zip(new, self._library(words)))
+            return
+        match = self.plain.WORD.fullmatch
+        other, split, need, marks = [], [], set(), set()
+        for i, w in enumerate(words):
+            if m := match(w):
+                core, mark = m[1].lower(), m[2]
+                split.append((new[i], core, mark))
+                if core not in cores:
+                    need.add(core)
+                if mark and mark not in cores:
+                    marks.add(mark)
+            else:
+                other.append(i)
+        need = list(need)
+        cores.update(zip(need, self.plain.encode(need)))
+        marks = list(marks)
+        cores.update(zip(marks, self._library(marks)))
+        cores.setdefault("", b"")
+        for w, core, mark in split:
+            memo[w] = cores[core] + cores[mark]
+        memo.update(zip([new[i] for i in other], self._library([words[i] for i in other])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as packed integers of self.dtype."""
@@ -55,11 +153,11 @@ class WordEncoder:
         new = set().union(*split)
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
+            self.cores.clear()
         memo = self.memo
         new = [w for w in new if w not in memo]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, encoding in zip(new, found):
-            memo[word] = np.array(encoding.ids, self.dtype).tobytes()
+        if new:
+            self._learn(new)
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
 
