@@ -1,3 +1,316 @@
-"""Registered queries by name."""
+"""Registered queries: every operator of the engine over the driver's tables.
 
-QUERIES = {}
+The hospital's shape is found in them as follows: a subject is a customer, a stay is an order or a user of the event stream,
+a charted event is an event, a laboratory result is a line item, an item's label is a part's name, forecast draws are the
+components of an embedding.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewell.functions import expressions as X
+from tidewell.operators import align, extract, forecast, metrics, normalise, split, triplets, windows
+
+TARGETS = ["click", "view", "error"]
+SEED = 2026
+
+# Fixed values of these queries: feature, remainder of the item key modulo 8 (a key can feed several), bounds, unit scale.
+RULES = [("alpha", 0, 5.0, 90.0), ("beta", 1, 0.0, 40.0), ("beta", 2, 0.0, 40.0), ("gamma", 2, 10.0, 60.0), ("delta", 5, 0.0, 20.0), ("delta", 7, 0.0, 20.0)]
+KEYWORDS = {"first": ["part 1", "part 2"], "nines": ["9", "99"], "upper": ["PART 5".lower()]}
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the engine's columns; the item identifier is the key in props."""
+    raw = load(spark, sf_dir, "events")
+    item = F.get_json_object("props", "$.k").cast("long")
+    return raw.select("event_id", F.col("user_id").alias("stay_id"), F.col("ts").alias("charttime"), F.col("event_type").alias("variable"), "value", item.alias("itemid"))
+
+
+def hourly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of each stay, hour since its first event and variable; the hour stands in for the minute."""
+    at = align.minutes_since_first(events(spark, sf_dir), "stay_id", "charttime")
+    at = at.withColumn("minute", F.floor(F.col("minute") / 60).cast("long"))
+    return align.minute_means(align.distinct_events(at, "stay_id", "minute", "variable", "value"))
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def scan_project(spark, d):
+    return events(spark, d).select("event_id", "stay_id", "charttime", F.col("value").alias("valuenum"), F.upper("variable").alias("name"))
+
+
+def filter_not_both_null(spark, d):
+    e = events(spark, d).select("event_id", F.nullif("variable", F.lit("error")).alias("text"), F.when(F.col("value") > 20, F.col("value")).alias("number"))
+    return extract.not_both_null(e, "text", "number")
+
+
+def adult_filter_age(spark, d):
+    o, c = load(spark, d, "orders"), load(spark, d, "customer").filter("c_nationkey < 20")
+    stays = o.select(F.col("o_orderkey").alias("stay_id"), F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").alias("intime"))
+    patients = c.select(F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 40).cast("int").alias("anchor_age"), F.lit(1994).alias("anchor_year"))
+    return extract.adults(stays, patients).select("stay_id", "subject_id", F.col("age").cast("long").alias("age"))
+
+
+def semi_join_stays(spark, d):
+    keys = load(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("stay_id"))
+    return extract.of_keys(events(spark, d), keys, "stay_id").select("event_id", "stay_id")
+
+
+def rule_join_drop(spark, d):
+    rules = spark.createDataFrame(RULES, "feature string, part long, low double, high double")
+    joined = events(spark, d).withColumn("part", F.col("itemid") % 8).join(F.broadcast(rules), "part")  # six rows
+    return joined.filter(X.in_range(F.col("value"), F.col("low"), F.col("high"))).select("event_id", "feature", "value")
+
+
+def unit_convert(spark, d):
+    e = events(spark, d).withColumn("unit", F.when(F.col("variable") == "click", "mcg").when(F.col("variable") == "view", "L").otherwise("F"))
+    value, unit = X.to_milligrams(F.col("value"), F.col("unit"))
+    celsius = F.when(unit == "F", (value - 32) * 5 / 9).otherwise(value)
+    return rounded(e.select("event_id", celsius.alias("value"), unit.alias("unit"), X.fraction(F.col("value")).alias("fraction")), "value", "fraction")
+
+
+def recode_text(spark, d):
+    e = events(spark, d).select("event_id", F.nullif("variable", F.lit("view")).alias("text"), "value")
+    e = e.filter(~F.col("text").eqNullSafe("error"))
+    return e.select("event_id", X.recode(F.col("text"), F.col("value"), ["click"], ["purchase"]).alias("value"))
+
+
+def label_keyword_match(spark, d):
+    items = load(spark, d, "part").select(F.col("p_partkey").alias("itemid"), F.col("p_name").alias("label"))
+    return extract.label_items(items, KEYWORDS)
+
+
+def binarize(spark, d):
+    e = events(spark, d).withColumn("less", F.col("value") - 30)
+    return e.select("event_id", X.binary(F.col("less")).alias("flag"))
+
+
+def conditional_median_impute(spark, d):
+    filled = extract.impute_median(events(spark, d).select("event_id", "variable", "value"), "variable", "value", X.in_range(F.col("value"), 5, 60))
+    return rounded(filled.select("event_id", "variable", "value"), "value")
+
+
+def intervals(spark, d):
+    raw = events(spark, d).withColumns({"starttime": F.col("charttime"), "amount": F.col("value")})
+    seconds = F.floor(F.col("value") * 60).cast("long")
+    return raw.withColumn("endtime", F.timestamp_add("SECOND", seconds, F.col("charttime"))).select("event_id", "starttime", "endtime", "amount")
+
+
+def hourly_interval_split(spark, d):
+    return rounded(extract.split_hourly(intervals(spark, d)).select("event_id", "charttime", "amount"), "amount")
+
+
+def interval_assign_first(spark, d):
+    o, i = load(spark, d, "orders"), load(spark, d, "lineitem")
+    span = F.expr("INTERVAL '60' DAY")
+    stays = o.select(F.col("o_custkey").alias("hadm_id"), F.col("o_orderkey").alias("stay_id"), F.col("o_orderdate").alias("intime"), (F.col("o_orderdate") + span).alias("outtime"), F.col("o_orderkey").alias("stay_ord"))
+    labs = i.select(F.col("l_partkey").alias("hadm_id"), F.col("l_shipdate").alias("charttime"), "l_orderkey", "l_linenumber").distinct()
+    return align.assign_stay(labs, stays).select("l_orderkey", "l_linenumber", "hadm_id", "charttime", "stay_id")
+
+
+def relative_minute(spark, d):
+    return align.minutes_since_first(events(spark, d), "stay_id", "charttime").select("event_id", "stay_id", "minute")
+
+
+def dedupe_events(spark, d):
+    e = events(spark, d).withColumn("value", F.floor(F.col("value") / 10))
+    return align.distinct_events(e, "stay_id", "variable", "value")
+
+
+def minute_aggregate(spark, d):
+    timed = align.minutes_since_first(events(spark, d), "stay_id", "charttime").filter(X.in_range(F.col("value"), 0, 390))
+    means = align.minute_means(align.distinct_events(timed, "stay_id", "minute", "variable", "value"), firsts=())
+    return rounded(means, "value")
+
+
+def list_intervals(spark, d):
+    o = load(spark, d, "orders")
+    lists = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("s"))
+    return lists.select("o_custkey", F.size("s").cast("long").alias("n"), F.array_join(F.transform("s", lambda x: x["o_orderkey"].cast("string")), ",").alias("stays"))
+
+
+def dense_index(spark, d):
+    e = events(spark, d)
+    index = align.variable_index(e.select(F.col("variable").alias("name")), TARGETS)
+    stays = align.stay_index(e.select("stay_id").distinct(), "stay_id")
+    named = e.join(index.withColumnRenamed("name", "variable"), "variable").join(stays, "stay_id")
+    return named.select("event_id", F.col("vind").cast("long").alias("vind"), F.col("ts_ind").cast("long").alias("ts_ind"), "is_target")
+
+
+def union_sources(spark, d):
+    chart = events(spark, d).filter("variable = 'click'").select("event_id", "value", F.lit("chart").alias("source"))
+    lab = events(spark, d).filter("variable = 'view'").select("event_id", "itemid", F.lit("lab").alias("source"))
+    return chart.unionByName(lab, allowMissingColumns=True).select("event_id", "value", F.coalesce("itemid", F.lit(-1)).alias("itemid"), "source")
+
+
+def static_side_rows(spark, d):
+    c = load(spark, d, "customer")
+    stays = c.select(F.col("c_custkey").alias("stay_id"), (F.col("c_custkey") % 90).alias("age"), F.when(F.col("c_nationkey") % 3 == 0, "M").when(F.col("c_nationkey") % 3 == 1, "F").alias("gender"))
+    return align.statics(stays).filter(~F.col("variable").isin("Height")).select("stay_id", "minute", "variable", "value")
+
+
+def stay_max_minute(spark, d):
+    return windows.last_minute(hourly_table(spark, d))
+
+
+def window_candidates(spark, d):
+    return windows.window_candidates(hourly_table(spark, d), TARGETS)
+
+
+def first_window(spark, d):
+    return windows.first_windows(hourly_table(spark, d), TARGETS)
+
+
+def sample_table(spark, d):
+    minutes = hourly_table(spark, d)
+    return windows.window_rows(minutes, TARGETS, windows.first_windows(minutes, TARGETS))
+
+
+def window_samples(spark, d):
+    return rounded(sample_table(spark, d), "value").select("stay_id", "k", "minute", "variable", "value", F.col("is_target").cast("long").alias("is_target"))
+
+
+def sample_lengths(spark, d):
+    index = align.variable_index(events(spark, d).select(F.col("variable").alias("name")), TARGETS).select("vind", F.col("name").alias("variable"))
+    made = windows.samples(sample_table(spark, d).join(index, "variable"))
+    return made.select("stay_id", F.col("t0").cast("long").alias("t0"), F.col("x_len").cast("long").alias("x_len"), F.col("y_len").cast("long").alias("y_len"), F.size("events").cast("long").alias("n"))
+
+
+def subjects(spark, d):
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"))
+
+
+def patient_split(spark, d):
+    return split.split_subjects(subjects(spark, d), SEED).select("subject_id", F.col("place").cast("long").alias("place"), "split")
+
+
+def fitted(spark, d):
+    parts = split.split_subjects(events(spark, d).select(F.col("stay_id").alias("subject_id")), SEED).filter("split <> 'test'")
+    history = sample_table(spark, d).filter("is_target = 0").join(parts.select(F.col("subject_id").alias("stay_id")), "stay_id", "left_semi")
+    return normalise.fit_stats(history, events(spark, d).select("variable"))
+
+
+def norm_stats(spark, d):
+    return rounded(fitted(spark, d), "mean", "std")
+
+
+def zscore(spark, d):
+    return rounded(normalise.scale(sample_table(spark, d), fitted(spark, d)).select("stay_id", "minute", "variable", "value"), "value")
+
+
+def unscale_roundtrip(spark, d):
+    stats = fitted(spark, d)
+    return rounded(normalise.unscale(normalise.scale(sample_table(spark, d), stats), stats).select("stay_id", "minute", "variable", "value"), "value", places=4)
+
+
+def history_rows(spark, d):
+    index = align.variable_index(events(spark, d).select(F.col("variable").alias("name")), TARGETS).select("vind", F.col("name").alias("variable"))
+    rows = sample_table(spark, d).filter("is_target = 0").join(index, "variable")
+    pos = F.row_number().over(Window.partitionBy("stay_id").orderBy("minute", "vind")) - 1
+    return rows.select("stay_id", pos.alias("pos"), "vind", "minute", "value")
+
+
+def last_n_per_target(spark, d):
+    # variables in byte order: click 0, error 1, purchase 2, signup 3, view 4
+    kept = triplets.recent_rows(history_rows(spark, d), "stay_id", [0, 1, 4], [2], size=8)
+    return rounded(kept.select("stay_id", F.col("pos").cast("long").alias("pos"), F.col("vind").cast("long").alias("vind"), "minute", "value"), "value")
+
+
+def pad_triplets(spark, d):
+    grouped = history_rows(spark, d).filter("pos < 60").groupBy("stay_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value", "minute"))).alias("s"))
+    size = triplets.X_SIZE
+    values = triplets.padded(F.transform("s", lambda x: x["value"]), size, 0.0)
+    minute = triplets.padded(F.transform("s", lambda x: x["minute"].cast("double")), size, float(triplets.PAD_MINUTE))
+    mask = triplets.padded(F.transform("s", lambda x: F.lit(1.0)), size, 0.0)
+    zipped = grouped.select("stay_id", F.posexplode(F.arrays_zip(values.alias("value"), minute.alias("minute"), mask.alias("mask"))))
+    out = zipped.select("stay_id", F.col("pos").cast("long").alias("pos"), F.col("col")["value"].alias("value"), F.col("col")["minute"].alias("minute"), F.col("col")["mask"].alias("mask"))
+    return rounded(out, "value")
+
+
+def balanced_triplets(spark, d):
+    return rounded(triplets.balanced(history_rows(spark, d), "stay_id", [0, 1, 4], [2], size=12, seed=SEED), "value")
+
+
+def draw_rows(spark, d):
+    e = load(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    return metrics.long_draws(e.withColumn("actual", F.col("embedding")[0].cast("double")), ["vec_id", "label", "actual"], "embedding")
+
+
+def forecast_summary(spark, d):
+    out = metrics.forecast_summary(draw_rows(spark, d), ["vec_id", "label", "actual"])
+    return rounded(out, "actual", "predicted_median", "predicted_mean", "predicted_p025", "predicted_p975")
+
+
+def masked_mse(spark, d):
+    means = draw_rows(spark, d).groupBy("vec_id", "label", "actual").agg(F.avg("draw").alias("mean"))
+    means = means.withColumn("mask", F.when(F.col("vec_id") % 5 == 0, 0.0).otherwise(1.0))
+    return rounded(metrics.masked_mse(means, ["label"]), "mse")
+
+
+def signal_mse(spark, d):
+    rows = metrics.forecast_summary(draw_rows(spark, d), ["vec_id", "label", "actual"])
+    rows = rows.select(F.col("label").alias("signal"), "actual", F.col("predicted_median").alias("median"), F.col("predicted_mean").alias("mean"), (F.col("label") * 0.5).cast("double").alias("std"))
+    signals = spark.range(0, 12).select(F.col("id").alias("signal"))
+    names = [f"mse_{c}_{s}" for c in ("median", "mean") for s in ("standardized", "original")]
+    return rounded(metrics.mse_by_signal(rows, signals), *names)
+
+
+def quantile_crps(spark, d):
+    q = metrics.quantiles(draw_rows(spark, d), ["vec_id", "label", "actual"], metrics.TEST_LEVELS).withColumn("mask", F.lit(1.0))
+    return rounded(metrics.quantile_crps(q, ["label"]), "crps")
+
+
+def cumprod_schedule(spark, d):
+    table = forecast.schedule_table(spark).withColumn("step", F.col("step").cast("long"))
+    return rounded(table, "beta", "alpha", places=9)
+
+
+def forward_noise(spark, d):
+    table = forecast.schedule_table(spark).select(F.col("step").cast("long").alias("step"), "alpha")
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("value"), F.col("embedding")[1].cast("double").alias("noise"), (F.col("vec_id") % 50).alias("step"))
+    joined = e.join(F.broadcast(table), "step")  # 50 rows
+    return rounded(joined.select("vec_id", "step", forecast.noised(F.col("value"), F.col("noise"), F.col("alpha"), F.lit(1.0)).alias("noised")), "noised")
+
+
+def topk_examples(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+def seeded_shuffle(spark, d):
+    order = Window.orderBy(F.md5(F.concat(F.lit("2026:1:"), F.col("subject_id").cast("string"))), "subject_id")
+    return subjects(spark, d).select("subject_id", (F.row_number().over(order) - 1).cast("long").alias("place"))
+
+
+def metrics_json_struct(spark, d):
+    by = signal_mse(spark, d).select("signal", "n_observations", "mse_mean_standardized")
+    nested = by.agg(F.sort_array(F.collect_list(F.struct("signal", "n_observations", "mse_mean_standardized"))).alias("per_signal"), F.count(F.lit(1)).alias("signals"))
+    return nested.select("signals", F.inline("per_signal"))
+
+
+def empirical_forecast(spark, d):
+    rows = sample_table(spark, d)
+    index = align.variable_index(events(spark, d).select(F.col("variable").alias("name")), TARGETS).select("vind", F.col("name").alias("variable"))
+    order = Window.partitionBy("stay_id").orderBy("is_target", "minute", "variable")
+    rows = rows.join(index, "variable").withColumn("pos", F.row_number().over(order) - 1)
+    made = forecast.EmpiricalForecaster(SEED).forecast(rows, 20)
+    return made.select("stay_id", "pos", "vind", "minute", "actual", F.array_join(F.transform("draws", lambda x: F.round(x, 6).cast("string")), ",").alias("draws"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        scan_project, filter_not_both_null, adult_filter_age, semi_join_stays, rule_join_drop, unit_convert, recode_text, label_keyword_match,
+        binarize, conditional_median_impute, hourly_interval_split, interval_assign_first, relative_minute, dedupe_events, minute_aggregate,
+        list_intervals, dense_index, union_sources, static_side_rows, stay_max_minute, window_candidates, first_window, window_samples, sample_lengths,
+        patient_split, norm_stats, zscore, unscale_roundtrip, last_n_per_target, pad_triplets, balanced_triplets, forecast_summary, masked_mse,
+        signal_mse, quantile_crps, cumprod_schedule, forward_noise, topk_examples, seeded_shuffle, metrics_json_struct, empirical_forecast,
+    )
+}
