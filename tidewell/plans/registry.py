@@ -18,7 +18,7 @@ SEED = 2026
 
 # Fixed values of these queries: feature, remainder of the item key modulo 8 (a key can feed several), bounds, unit scale.
 RULES = [("alpha", 0, 5.0, 90.0), ("beta", 1, 0.0, 40.0), ("beta", 2, 0.0, 40.0), ("gamma", 2, 10.0, 60.0), ("delta", 5, 0.0, 20.0), ("delta", 7, 0.0, 20.0)]
-KEYWORDS = {"first": ["part 1", "part 2"], "nines": ["9", "99"], "upper": ["PART 5".lower()]}
+KEYWORDS = {"metal": ["bolt", "gear"], "small": ["small", "gizmo"], "warm": ["red", "hot "]}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
