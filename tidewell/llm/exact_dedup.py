@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,22 +49,20 @@ def sha256_digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def located(df: DataFrame) -> DataFrame:
-    """df with the file and row position of each row; rows that stem from no file get a position of their own."""
+def stored(df: DataFrame) -> DataFrame:
+    """doc_id and text with the file and row position of each row; rows that stem from no file are written to one first."""
+    narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    place = {"_file": F.col("_metadata.file_path"), "_pos": F.col("_metadata.row_index")}
     try:
-        return df.withColumns({"_file": F.col("_metadata.file_path"), "_pos": F.col("_metadata.row_index")})
-    except Exception as error:  # the hidden column exists for file sources alone
-        if "UNRESOLVED_COLUMN" not in str(error) and "FIELD_NOT_FOUND" not in str(error):
-            raise
-        return df.withColumns({"_file": F.lit(""), "_pos": F.monotonically_increasing_id()})
-
-
-def key_rows(df: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
-    """One narrow row for each row of df (doc_id, text)."""
-    clean = normalised(F.col("text"))
-    base = located(df.select("doc_id", "text")).withColumn("_clean", clean)
-    return base.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        return narrow.withColumns(place)
+    except AnalysisException:  # the hidden column exists for file sources alone
+        return written(narrow, "dedup-texts").withColumns(place)
+
+
+def key_rows(texts: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
+    """One narrow row for each row that stored() gives."""
+    return texts.withColumn("_clean", normalised(F.col("text"))).select(
+        "doc_id",
         digest(F.col("_clean")).alias("digest"),
         F.sha2(F.col("_clean"), 256).alias("text_sha256"),
         F.char_length(F.coalesce("text", F.lit(""))).alias("points"),
@@ -115,6 +114,7 @@ def exact_dedup(df: DataFrame, digest: Callable[[Column], Column] = sha256_diges
     """
     spark = df.sparkSession
     keys_dir, state_dir = shared_path(spark, "dedup-keys"), shared_path(spark, "dedup-state")
+    df = stored(df)
     key_rows(df, digest).write.parquet(keys_dir)
     keys = spark.read.schema(KEY_SCHEMA).parquet(keys_dir)
     groups = run_state(spark, keys_dir, state_dir).select(
@@ -131,8 +131,7 @@ def exact_dedup(df: DataFrame, digest: Callable[[Column], Column] = sha256_diges
 
 
 def _texts(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    clean = located(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("clean", normalised(F.col("text")))
-    return clean.select("doc_id", F.col("_file").alias("file"), F.col("_pos").alias("pos"), "clean", F.char_length(F.coalesce("text", F.lit(""))).alias("points"), digest(F.col("clean")).alias("digest"))
+    return df.withColumn("clean", normalised(F.col("text"))).select("doc_id", F.col("_file").alias("file"), F.col("_pos").alias("pos"), "clean", F.char_length(F.coalesce("text", F.lit(""))).alias("points"), digest(F.col("clean")).alias("digest"))
 
 
 def _clashes(df: DataFrame, hit: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
