@@ -11,25 +11,31 @@ from __future__ import annotations
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
+PAD = 0xFFFF  #: the symbol of padding
+_FREE = np.uint32(0xFFFFFFFF)
 _BITS = 20
+_COLUMN_BITS = 6
 
 
 class PairTable:
-    """rank and merged symbol by pair of symbols; ids are below 2**16."""
+    """Rank by pair of symbols, and merged symbol by rank; symbols are below 2**16, a rank has one merged symbol."""
 
     def __init__(self, pairs: np.ndarray, ranks: np.ndarray, merged: np.ndarray):
         bits = max(_BITS, int(np.ceil(np.log2(8 * max(1, len(pairs))))))
         self.shift = np.uint32(32 - bits)
         size = (1 << bits) + 64
-        self.keys = np.full(size, 0xFFFFFFFF, np.uint32)
+        self.keys = np.full(size, _FREE, np.uint32)
         self.ranks = np.full(size, NONE, np.int32)
-        self.symbols = np.zeros(size, np.int32)
+        self.merged = np.zeros(int(ranks.max(initial=0)) + 1, np.int32)
+        self.merged[ranks] = merged
+        if (self.merged[ranks] != merged).any() or len(self.merged) > NONE >> _COLUMN_BITS:
+            raise ValueError("a rank has more than one merged symbol, or there are too many")
         left, at = np.arange(len(pairs)), self._slot(pairs)
         while len(left):  # linear probing, one step for all that are left
-            free = self.keys[at] == 0xFFFFFFFF
+            free = self.keys[at] == _FREE
             _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
             first = first[free[first]]
-            self.keys[at[first]], self.ranks[at[first]], self.symbols[at[first]] = pairs[left[first]], ranks[left[first]], merged[left[first]]
+            self.keys[at[first]], self.ranks[at[first]] = pairs[left[first]], ranks[left[first]]
             rest = np.ones(len(left), bool)
             rest[first] = False
             left, at = left[rest], at[rest] + 1
@@ -39,18 +45,22 @@ class PairTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint32(2654435769)) >> self.shift).astype(np.int64)
 
-    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (NONE without a merge) and slots of pairs; negative symbols have none."""
-        keys = (a.astype(np.uint32) << np.uint32(16)) | (b.astype(np.uint32) & np.uint32(0xFFFF))
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, NONE without a merge; the symbol of padding has no pairs."""
+        keys = (a.astype(np.uint32) << np.uint32(16)) | b.astype(np.uint32)
         at = self._slot(keys)
         seen = self.keys[at]
-        open_ = np.flatnonzero((seen != keys) & (seen != 0xFFFFFFFF))
+        ranks = np.where(seen == keys, self.ranks[at], NONE)
+        open_ = np.flatnonzero((seen != keys) & (seen != _FREE))
+        at = at[open_]
         while open_.size:
-            at[open_] += 1
-            seen = self.keys[at[open_]]
-            open_ = open_[(seen != keys[open_]) & (seen != 0xFFFFFFFF)]
-        ranks = np.where((self.keys[at] == keys) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
-        return ranks, at
+            at += 1
+            seen = self.keys[at]
+            hit = seen == keys[open_]
+            ranks[open_[hit]] = self.ranks[at[hit]]
+            more = ~hit & (seen != _FREE)
+            open_, at = open_[more], at[more]
+        return ranks
 
 
 def _skipped(keys: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int) -> np.ndarray:
@@ -62,67 +72,53 @@ def _skipped(keys: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int)
 
 
 def merge_rows(table: PairTable, symbols: np.ndarray, keys: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The merged symbols of rows padded with -1, one after the other, and their number in each row."""
+    """The merged symbols of rows padded with PAD, one row after the other, and their number in each row.
+
+    A row has fewer than 64 symbols. keys (unsigned 64 bits, one for each row) and limit (of 2**32) make the agenda skip.
+    """
     n, width = symbols.shape
-    out = np.full((n, width), -1, np.int32)
+    out = np.full((n, width), PAD, np.int32)
     rows = np.arange(n)
-    sym = symbols.astype(np.int32)
-    starts = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy() if limit else None
-    lengths = (sym >= 0).sum(1)
-    if limit:  # the start after a row's last symbol is its end
-        starts = np.minimum(starts, lengths[:, None].astype(np.int32))
-    own = keys
-
-    def ranks_of(a, b, key, left, right):
-        found, slot = table.find(a, b)
-        if limit:
-            found = np.where(_skipped(key, left, right, limit), NONE, found)
-        return found, table.symbols[slot]
-
+    sym = np.ascontiguousarray(symbols.T).astype(np.int32)  # columns first: each step works along many rows
+    columns = np.arange(width, dtype=np.int32)[:, None]
+    starts = None
+    if limit:  # starts[i] is the place of symbol i in the word, that of the first padding the word's end
+        starts = np.minimum(np.arange(width + 2, dtype=np.int32)[:, None], (sym != PAD).sum(0, dtype=np.int32)[None, :])
+    rank = np.full((width, n), NONE, np.int32)
     if width > 1:
-        flat = (n, width - 1)
-        spans = (np.repeat(own, width - 1), starts[:, :-2].ravel(), starts[:, 2:].ravel()) if limit else (None, None, None)
-        rank, merged = (x.reshape(flat) for x in ranks_of(sym[:, :-1].ravel(), sym[:, 1:].ravel(), *spans))
-        rank, merged = np.pad(rank, ((0, 0), (0, 1)), constant_values=NONE), np.pad(merged, ((0, 0), (0, 1)))
-    else:
-        rank, merged = np.full((n, 1), NONE, np.int32), np.zeros((n, 1), np.int32)
-    cols = np.arange(width)
+        found = table.find(sym[:-1].ravel(), sym[1:].ravel())
+        if limit:
+            found[_skipped(np.tile(keys, width - 1), starts[: width - 1].ravel(), starts[2 : width + 1].ravel(), limit)] = NONE
+        rank[:-1] = found.reshape(width - 1, n)
     while len(rows):
-        p = rank.argmin(1)
-        at = np.arange(len(rows))
-        live = rank[at, p] != NONE
+        best = np.min(np.where(rank == NONE, NONE, (rank << _COLUMN_BITS) | columns), axis=0)
+        live = best != NONE
         if not live.all():
-            done = ~live
-            out[rows[done]] = sym[done]
-            rows, sym, rank, merged, p = rows[live], sym[live], rank[live], merged[live], p[live]
+            out[rows[~live]] = sym[:, ~live].T
+            rows, sym, rank, best = rows[live], sym[:, live], rank[:, live], best[live]
             if limit:
-                starts, own = starts[live], own[live]
-            at = np.arange(len(rows))
+                starts, keys = starts[:, live], keys[live]
             if not len(rows):
                 break
-        sym[at, p] = merged[at, p]
-        after = cols[None, :-1] > p[:, None]
-        sym[:, :-1] = np.where(after, sym[:, 1:], sym[:, :-1])
-        sym[:, -1] = -1
-        rank[:, :-1] = np.where(after, rank[:, 1:], rank[:, :-1])
-        rank[:, -1] = NONE
-        merged[:, :-1] = np.where(after, merged[:, 1:], merged[:, :-1])
+        p, at = best & ((1 << _COLUMN_BITS) - 1), np.arange(len(rows))
+        sym[p, at] = table.merged[best >> _COLUMN_BITS]
+        after = columns[:-1] > p[None, :]
+        np.copyto(sym[:-1], sym[1:].copy(), where=after)
+        sym[-1] = PAD
+        np.copyto(rank[:-1], rank[1:].copy(), where=after)
+        rank[-1] = NONE
         if limit:
-            later = np.arange(width)[None, :] > p[:, None]
-            starts[:, :-1] = np.where(later, starts[:, 1:], starts[:, :-1])
+            np.copyto(starts[:-1], starts[1:].copy(), where=np.arange(len(starts) - 1)[:, None] > p[None, :])
         # the pairs to the left and to the right of the merged symbol are new
-        right = np.minimum(p + 1, sym.shape[1] - 1)
-        no_right = p + 1 >= sym.shape[1]
-        a, b = np.concatenate((sym[at, np.maximum(p - 1, 0)], sym[at, p])), np.concatenate((sym[at, p], np.where(no_right, -1, sym[at, right])))
+        before, behind = np.maximum(p - 1, 0), np.minimum(p + 1, width - 1)
+        own = sym[p, at]
+        right = np.where(p + 1 < width, sym[behind, at], PAD)
+        found = table.find(np.concatenate((sym[before, at], own)), np.concatenate((own, right)))
         if limit:
-            top = starts.shape[1] - 1
-            span = (np.concatenate((own, own)), np.concatenate((starts[at, np.maximum(p - 1, 0)], starts[at, p])), np.concatenate((starts[at, np.minimum(p + 1, top)], starts[at, np.minimum(p + 2, top)])))
-        else:
-            span = (None, None, None)
-        found, slot = ranks_of(a, b, *span)
-        has_left = p > 0
-        rank[at[has_left], p[has_left] - 1] = found[: len(rows)][has_left]
-        merged[at[has_left], p[has_left] - 1] = slot[: len(rows)][has_left]
-        rank[at, p], merged[at, p] = found[len(rows) :], slot[len(rows) :]
-    mask = out >= 0
+            spans = np.concatenate((starts[before, at], starts[p, at])), np.concatenate((starts[p + 1, at], starts[np.minimum(p + 2, width + 1), at]))
+            found[_skipped(np.concatenate((keys, keys)), *spans, limit)] = NONE
+        rank[p, at] = found[len(at) :]
+        inner = p > 0
+        rank[before[inner], at[inner]] = found[: len(at)][inner]
+    mask = out != PAD
     return out[mask], mask.sum(1)

@@ -10,6 +10,7 @@ windows alone. Only the last window of a shard is short.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.merging import PairTable, merge_rows
+from tidewell.llm.merging import PAD, PairTable, merge_rows
 from tidewell.llm.shared import text_or_empty, written
 
 WINDOW = 4096
@@ -30,7 +31,7 @@ SHARD_TOKENS = 1 << 21
 BUCKETS = 1 << 16
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 SLICE = 512
 
 _encoders: dict = {}
@@ -43,7 +44,8 @@ class PlainWords:
     everything else.
     """
 
-    WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,32})([.,;:!?#$%&*|()-]*)")
+    #: in UTF-8, A-Z, a-z and the letters from U+00C0 to U+00FF, then ASCII marks
+    WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,30})([.,;:!?#$%&*|()-]*)")
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -69,17 +71,16 @@ class PlainWords:
         fits = fits and len(model["vocab"]) <= 1 << 16 and "[\\\\p{L}]+" in text and "ByteLevel" in text and "Lowercase" in json.dumps(spec.get("normalizer"))
         return cls(spec) if fits else None
 
-    def encode(self, words: list[str]) -> list[bytes]:
+    def encode(self, raw: list[bytes]) -> list[bytes]:
         """Packed 16-bit ids of lower-case words of letters."""
-        raw = [w.encode() for w in words]
-        sizes = np.array([len(r) for r in raw])
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         order = np.argsort(sizes, kind="stable")
-        out: list[bytes] = [b""] * len(words)
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
+        out: list[bytes] = [b""] * len(raw)
+        for at in range(0, len(order), 2048):
+            part = order[at : at + 2048]
             width = int(sizes[part].max())
             letters = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
-            symbols = np.where(np.arange(width)[None, :] < sizes[part][:, None], self.inner[letters], -1)
+            symbols = np.where(np.arange(width)[None, :] < sizes[part][:, None], self.inner[letters], PAD)
             rows = np.arange(len(part))
             symbols[rows, sizes[part] - 1] = self.last[letters[rows, sizes[part] - 1]]
             flat, counts = merge_rows(self.table, symbols)
@@ -115,50 +116,54 @@ class WordEncoder:
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self.plain = PlainWords.of(path)
         self.memo: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        memo, cores = self.memo, self.cores
-        words = [w.decode("utf-8", "replace") for w in new]
-        if self.plain is None:
-            memo.update(zip(new, self._library(words)))
-            return
-        match = self.plain.WORD.fullmatch
-        other, split, need, marks = [], [], set(), set()
-        for i, w in enumerate(words):
-            if m := match(w):
-                core, mark = m[1].lower(), m[2]
-                split.append((new[i], core, mark))
-                if core not in cores:
-                    need.add(core)
-                if mark and mark not in cores:
-                    marks.add(mark)
-            else:
-                other.append(i)
-        need = list(need)
-        cores.update(zip(need, self.plain.encode(need)))
-        marks = list(marks)
-        cores.update(zip(marks, self._library(marks)))
-        cores.setdefault("", b"")
-        for w, core, mark in split:
-            memo[w] = cores[core] + cores[mark]
-        memo.update(zip([new[i] for i in other], self._library([words[i] for i in other])))
+        memo, other = self.memo, new
+        if self.plain is not None:
+            match = self.plain.WORD.fullmatch
+            other, split, need, marks = [], [], set(), set()
+            for w in new:
+                if m := match(w):
+                    core, mark = m.groups()
+                    core = core.lower() if core.isascii() else core.decode().lower().encode()
+                    if core not in memo:
+                        need.add(core)
+                    if mark:
+                        split.append((w, core, mark))
+                        if mark not in memo:
+                            marks.add(mark)
+                    elif core != w:
+                        split.append((w, core, b""))
+                else:
+                    other.append(w)
+            need, other = list(need), [*marks.union(other)]
+            memo.update(zip(need, self.plain.encode(need)))
+        memo.update(zip(other, self._library([w.decode("utf-8", "replace") for w in other])))
+        if self.plain is not None:
+            memo[b""] = b""
+            for w, core, mark in split:
+                memo[w] = memo[core] + memo[mark]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as packed integers of self.dtype."""
-        split = [t.split() for t in texts]
-        new = set().union(*split)
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            self.cores.clear()
-        memo = self.memo
-        new = [w for w in new if w not in memo]
-        if new:
-            self._learn(new)
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects and no cycles
+        try:
+            split = [t.split() for t in texts]
+            new = set().union(*split)
+            if len(self.memo) + len(new) > MEMO_WORDS:
+                self.memo.clear()
+            memo = self.memo
+            new = [w for w in new if w not in memo]
+            if new:
+                self._learn(new)
+            return [b"".join(map(memo.__getitem__, words)) for words in split]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 def encoder(path: str) -> WordEncoder:
@@ -186,9 +191,8 @@ def tokenise(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 for p in packed:
                     ids = np.frombuffer(p, coder.dtype)
                     seen[ids] = True
-                    distinct = np.flatnonzero(seen)
-                    seen[distinct] = False
-                    df_counts[distinct] += 1
+                    df_counts += seen
+                    seen[ids] = False
                     sizes.append(len(ids))
                     pairs = ids.astype(np.uint32)
                     pairs = ((pairs[:-1] * np.uint32(65599) + pairs[1:]) * np.uint32(2654435761)) if len(ids) > 1 else pairs
@@ -257,6 +261,17 @@ class Bm25:
         return np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.by_term[s] for s in spans]), documents)
 
 
+def ranked(scores: np.ndarray, first: int = 32) -> Iterator[int]:
+    """Documents with a score, highest first, ties in order; sorts beyond the first few only when asked."""
+    found = np.flatnonzero(scores > 0)
+    if len(found) > first:
+        least = np.partition(scores[found], len(found) - first)[len(found) - first]
+        top = found[scores[found] > least]
+        yield from top[np.argsort(-scores[top], kind="stable")].tolist()
+        found = found[scores[found] <= least]
+    yield from found[np.argsort(-scores[found], kind="stable")].tolist()
+
+
 def plan_shard(sizes: np.ndarray, index: Bm25, window: int) -> np.ndarray:
     """Rows (document, start, length, sequence, offset) that cover every token of a shard's documents once."""
     n = len(sizes)
@@ -289,9 +304,7 @@ def plan_shard(sizes: np.ndarray, index: Bm25, window: int) -> np.ndarray:
         if gap:
             scores = index.scores(seed, n)
             scores[~unused] = 0
-            for d in np.argsort(-scores, kind="stable"):
-                if scores[d] <= 0:
-                    break
+            for d in ranked(scores):
                 gap = place(int(d), gap)
                 if not gap:
                     rest = int(d) if left[d] else -1
