@@ -1,16 +1,19 @@
 """Encoding to and decoding from the pieces of a SentencePiece merge model, with seeded merge-dropout.
 
 A text is cut into units that no piece of the model can cross: spaces with the word after them, cut again wherever no
-piece holds the two characters side by side. In a unit, candidate merges
-wait in an agenda ordered by score, then position. With dropout, a candidate that is taken from the agenda is skipped where a
-keyed hash of the seed, the variant, the unit and the candidate's span falls below the rate. A document's variant is a
-keyed hash of its identifier, so one word is cut in up to VARIANTS ways per seed, reproducibly, and units can be memoised.
+piece holds the two characters side by side. In a unit, candidate merges wait in an agenda ordered by score, then
+position. With dropout, a candidate that is taken from the agenda is skipped where a keyed hash of the seed, the variant,
+the unit and the candidate's span falls below the rate. A document's variant is a keyed hash of its identifier, so under
+one seed a word is cut in up to VARIANTS ways, reproducibly, and units can be memoised. Units that are not in the memo
+are merged many at a time.
+
 Without dropout the ids are those of the model's own encoder. Characters outside the vocabulary become byte pieces, as
 does a literal U+2581, so that decoding restores every text.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -21,10 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.merging import PAD, PairTable, merge_rows
+
 SPACE = "▁"
 UNIT = re.compile(f" +[^ \\n{SPACE}]*|[^ \\n{SPACE}]+|\\n|{SPACE}")
-VARIANTS = 1
+VARIANTS = 4
 MEMO_UNITS = 500_000
+SLICE = 512
+LONGEST = 48  #: longer units are merged one at a time
 _M64 = (1 << 64) - 1
 
 _coders: dict = {}
@@ -64,7 +71,28 @@ class PieceCoder:
             self.ranks[text] = rank
         inner = {t[i : i + 2] for t in self.ranks for i in range(len(t) - 1)}
         self.inner = inner
+        # symbols of the merging engine: pieces by id, other characters of merges after them
+        self.symbols = dict(self.ids)
+        for c in sorted({c for t in self.ranks for c in t} - self.symbols.keys()):
+            self.symbols[c] = size + len(self.symbols.keys() - self.ids.keys())
+        self.symbol_of = np.full(1 << 16, -1, np.int32)
+        for c, i in self.symbols.items():
+            if len(c) == 1 and ord(c) < len(self.symbol_of):
+                self.symbol_of[ord(c)] = i
+        pairs, ranks, merged = [], [], []
+        for text, r in self.ranks.items():
+            if text.startswith("  "):  # runs of spaces have equal scores; units with one are merged alone
+                continue
+            for i in range(1, len(text)):
+                x, y = self.symbols.get(text[:i]), self.symbols.get(text[i:])
+                if x is not None and y is not None:
+                    pairs.append(x << 16 | y)
+                    ranks.append(r)
+                    merged.append(self.ids[text])
+        self.table = PairTable(np.array(pairs, np.uint32), np.array(ranks, np.int32), np.array(merged, np.int32))
+        self.packed = [np.int32(i).tobytes() for i in range(size)]
         self.memo: dict = {}
+        self.memo_of = None
 
     def parts(self, unit: str) -> list[str]:
         """The unit, cut wherever no piece holds the two characters side by side: no merge can cross such a place."""
@@ -110,28 +138,90 @@ class PieceCoder:
             at = ends[at]
         return out
 
-    def unit_ids(self, unit: str, seed: int, variant: int, limit: int) -> list[int]:
-        if unit == SPACE:
-            pieces = [unit]
-        else:
-            pieces = self.cut(unit, xxhash.xxh64_intdigest(unit, seed * 1_000_003 + variant & _M64) if limit else 0, limit)
+    def _key(self, unit: str, seed: int, variant: int) -> int:
+        return xxhash.xxh64_intdigest(unit, seed * 1_000_003 + variant & _M64)
+
+    def _packed(self, pieces: list[str]) -> bytes:
         out = []
         for p in pieces:
             i = self.ids.get(p) if p != SPACE else None
-            out.extend([i] if i is not None else [self.bytes[b] for b in p.encode()])
+            out.extend([self.packed[i]] if i is not None else [self.packed[self.bytes[b]] for b in p.encode()])
+        return b"".join(out)
+
+    def one(self, unit: str, seed: int = 0, variant: int = 0, limit: int = 0) -> bytes:
+        """Packed ids of a unit, merged by itself."""
+        if unit == SPACE:
+            return self._packed([unit])
+        return self._packed(self.cut(unit, self._key(unit, seed, variant) if limit else 0, limit))
+
+    def many(self, units: list[str], seed: int = 0, variant: int = 0, limit: int = 0) -> list[bytes]:
+        """Packed ids of units, as one() gives them, merged side by side."""
+        out: list[bytes] = [b""] * len(units)
+        if not units:
+            return out
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        starts = np.cumsum(sizes) - sizes
+        letters = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        symbols = np.where(letters < len(self.symbol_of), self.symbol_of[np.minimum(letters, len(self.symbol_of) - 1)], -1)
+        spaces = (letters[starts] == 32) & (letters[np.minimum(starts + 1, len(letters) - 1)] == 32) & (sizes > 1)
+        fits = (np.minimum.reduceat(symbols, starts) >= 0) & (sizes <= LONGEST) & ~spaces
+        for i in np.flatnonzero(~fits).tolist():
+            out[i] = self.one(units[i], seed, variant, limit)
+        order = np.flatnonzero(fits)
+        order = order[np.argsort(sizes[order], kind="stable")]
+        for at in range(0, len(order), 2048):
+            part = order[at : at + 2048]
+            places = np.arange(int(sizes[part[-1]]))[None, :]
+            square = np.where(places < sizes[part][:, None], symbols[np.minimum(starts[part][:, None] + places, len(symbols) - 1)], PAD)
+            part = part.tolist()
+            keys = np.fromiter((self._key(units[i], seed, variant) for i in part), np.uint64, len(part)) if limit else None
+            flat, counts = merge_rows(self.table, square, keys, limit)
+            packed, ends, start = flat.astype("<i4").tobytes(), np.cumsum(counts), 0
+            known = np.logical_and.reduceat(flat < len(self.packed), ends - counts).tolist()
+            for i, stop, fine in zip(part, (4 * ends).tolist(), known):
+                out[i] = packed[start:stop] if fine else self.one(units[i], seed, variant, limit)
+                start = stop
         return out
 
+    def encode_many(self, texts: list[str], rate: float = 0.0, seed: int = 0, variants: list[int] | None = None) -> list[np.ndarray]:
+        """Ids of whole texts; variants holds that of each text."""
+        limit = int(rate * (1 << 32))
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects and no cycles
+        try:
+            split = [UNIT.findall(" " + t) if t else [] for t in texts]
+            groups: dict[int, list[int]] = {}
+            for i, v in enumerate(variants or [0] * len(texts)):
+                groups.setdefault(v if limit else 0, []).append(i)
+            new = {v: set().union(*(split[i] for i in rows)) for v, rows in groups.items()}
+            if self.memo_of != (limit, seed) or sum(map(len, self.memo.values())) + sum(map(len, new.values())) > MEMO_UNITS:
+                self.memo, self.memo_of = {}, (limit, seed)
+            out: list[np.ndarray] = [None] * len(texts)
+            for v, rows in groups.items():
+                memo = self.memo.setdefault(v, {})
+                self._learn(memo, [u for u in new[v] if u not in memo], seed, v, limit)
+                for i in rows:
+                    out[i] = np.frombuffer(b"".join(map(memo.__getitem__, split[i])), np.int32)
+            return out
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learn(self, memo: dict[str, bytes], new: list[str], seed: int, variant: int, limit: int) -> None:
+        need, joined = set(), []
+        for unit in new:
+            parts = self.parts(unit)
+            if len(parts) > 1:
+                joined.append((unit, parts))
+            need.update(p for p in parts if p not in memo)
+        need = list(need)
+        memo.update(zip(need, self.many(need, seed, variant, limit)))
+        for unit, parts in joined:
+            memo[unit] = b"".join(map(memo.__getitem__, parts))
+
     def encode(self, text: str, rate: float = 0.0, seed: int = 0, variant: int = 0) -> np.ndarray:
         """Ids of a whole text."""
-        if not text:
-            return np.empty(0, np.int32)
-        limit = int(rate * (1 << 32))
-        if self.memo.get("of") != (limit, seed) or len(self.memo) > MEMO_UNITS:
-            self.memo = {"of": (limit, seed)}
-        memo = self.memo.setdefault(("variant", variant), Units(self, seed, variant, limit))
-        if len(memo) > MEMO_UNITS:
-            memo.clear()
-        return np.frombuffer(b"".join(map(memo.__getitem__, UNIT.findall(" " + text))), np.int32)
+        return self.encode_many([text], rate, seed, [variant])[0]
 
     def decode(self, ids) -> str:
         """The text of ids."""
@@ -140,24 +230,6 @@ class PieceCoder:
         return text[1:] if text[:1] == " " else text
 
 
-class Units(dict):
-    """Packed ids by unit."""
-
-    def __init__(self, coder: PieceCoder, seed: int, variant: int, limit: int):
-        super().__init__()
-        self.of = (coder, seed, variant, limit)
-
-    def __missing__(self, unit: str) -> bytes:
-        coder, seed, variant, limit = self.of
-        parts = coder.parts(unit)
-        if len(parts) > 1:
-            out = b"".join(map(self.__getitem__, parts))
-        else:
-            out = np.array(coder.unit_ids(unit, seed, variant, limit), np.int32).tobytes()
-        self[unit] = out
-        return out
-
-
 def coder(path: str) -> PieceCoder:
     if path not in _coders:
         _coders[path] = PieceCoder(path)
@@ -174,13 +246,13 @@ def encode_texts(df: DataFrame, model_path: str, rate: float = 0.1, seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                rows, lossless = [], []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    variant = xxhash.xxh32_intdigest(str(doc_id), seed & 0xFFFFFFFF) % variants if variants > 1 and doc_id is not None else 0
-                    rows.append(None if text is None else own.encode(text, rate, seed, variant))
-                    lossless.append(None if text is None else own.decode(rows[-1].tolist()) == text)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                chosen = [0 if i is None else xxhash.xxh32_intdigest(str(i), seed & 0xFFFFFFFF) % variants for i in ids]
+                found = own.encode_many([t or "" for t in texts], rate, seed, chosen)
+                rows = [None if t is None else r for t, r in zip(texts, found)]
+                lossless = [None if t is None else own.decode(r.tolist()) == t for t, r in zip(texts, found)]
                 sizes = np.array([0 if r is None else len(r) for r in rows], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 values = np.concatenate([r for r in rows if r is not None] or [np.empty(0, np.int32)])
