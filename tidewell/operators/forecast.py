@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.shipping import ship
+
 
 class Forecaster(Protocol):
     def forecast(self, rows: DataFrame, draws: int) -> DataFrame:
@@ -86,6 +88,7 @@ class DiffusionForecaster:
             x = reverse_draws(rng.standard_normal((draws, len(wanted))), lambda v, t: denoise(v, t, group), rng, beta)
             return pd.DataFrame({s: wanted[s], "pos": wanted["pos"], "vind": wanted["vind"], "minute": wanted["minute"], "actual": wanted["value"], "draws": list(x.T)})
 
+        ship(rows.sparkSession)
         return rows.groupBy(s).applyInPandas(run, f"{s} long, pos int, vind int, minute long, actual double, draws array<double>")
 
 
@@ -96,4 +99,5 @@ def in_batches(df: DataFrame, score: Callable[[pd.DataFrame], pd.DataFrame], sch
         for part in parts:
             yield score(part)
 
+    ship(df.sparkSession)
     return df.mapInPandas(run, schema)

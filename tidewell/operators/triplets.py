@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.shipping import ship
+
 X_SIZE, Y_PER_TARGET, PAD_MINUTE = 60, 10, -1
 
 
@@ -83,6 +85,7 @@ def balanced(rows: DataFrame, sample: str, targets: list[int], interventions: li
         out = group.iloc[places].drop(columns="_draw")
         return out.assign(slot=np.arange(len(out), dtype=np.int32))
 
+    ship(rows.sparkSession)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return keyed.groupBy(sample).applyInPandas(pick, f"{fields}, slot int")
 
