@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import text_or_empty, written
+from tidewell.llm.shared import in_arrow, text_or_empty, written
 
 # HTML element names by their role, and words of class, id and role names.
 CONTAINERS = frozenset("html body main article section div td center blockquote figure fieldset details".split())
@@ -174,7 +174,7 @@ def votes(df: DataFrame) -> DataFrame:
             paths = [p.paths[p.best()] if p.blocks else None for p in pages]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
 
-    return df.select(host_of(F.col("url")).alias("host"), text_or_empty("html").alias("html")).mapInArrow(run, "host string, path string").filter("path is not null")
+    return in_arrow(df.select(host_of(F.col("url")).alias("host"), text_or_empty("html").alias("html")), run, "host string, path string").filter("path is not null")
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
@@ -201,5 +201,5 @@ def main_text(df: DataFrame) -> DataFrame:
             texts = [Page(h).extract(w or []) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    found = pages.join(winners, "host", "left").select("page_id", "url", "html", "winners").mapInArrow(run, "page_id long, url string, text string")
+    found = in_arrow(pages.join(winners, "host", "left").select("page_id", "url", "html", "winners"), run, "page_id long, url string, text string")
     return found.withColumn("n_chars", F.char_length("text").cast("long"))

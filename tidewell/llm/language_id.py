@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.shared import in_arrow
+
 WINDOW = 128
 HIDDEN = 8
 LANES = 1024  #: windows that run side by side
@@ -209,7 +211,7 @@ def fit(df: DataFrame) -> ByteGRU | None:
         taken = taken | ((F.col("lang") == lang) & (draw < int(min(1, quota / n) * (1 << 30))))
     chosen = usable.select("doc_id", "lang").filter(taken).limit(SAMPLE_DOCS + SAMPLE_DOCS // 4).select("doc_id").distinct()
     sample = usable.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = sample.mapInArrow(_cut, "lang string, window binary").limit(2 * SAMPLE_DOCS * SAMPLE_WINDOWS).collect()
+    rows = in_arrow(sample, _cut, "lang string, window binary").limit(2 * SAMPLE_DOCS * SAMPLE_WINDOWS).collect()
     rows = sorted((r["lang"], bytes(r["window"])) for r in rows)
     if not rows:
         return None
@@ -236,7 +238,7 @@ def predict(df: DataFrame, model: ByteGRU | None, carry: tuple[str, ...] = ()) -
                 scores = np.where(has, np.clip(share[np.arange(len(best)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*out, "lang_pred", "lang_score"])
 
-    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[: len(out)], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    return in_arrow(narrow, run, T.StructType([*narrow.schema.fields[: len(out)], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def identify(df: DataFrame, model: ByteGRU | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.license_templates import TEMPLATES
-from tidewell.llm.shared import text_or_empty
+from tidewell.llm.shared import in_arrow, text_or_empty
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -184,4 +184,4 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, contai
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "license", "containment", "start_byte", "end_byte"])
 
     narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, license string, containment double, start_byte long, end_byte long")
+    return in_arrow(narrow, run, "doc_id long, license string, containment double, start_byte long, end_byte long")

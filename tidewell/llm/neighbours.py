@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.shipping import ship
 from tidewell.llm.shared import written
 
 SAMPLE_ROWS = 20_000  #: bound of the sample that the centroids are fitted on
@@ -168,6 +169,7 @@ def nearest_neighbours(df: DataFrame, k: int = 10, every: int = 100, share: floa
     once per distinct vector. An empty df gives an empty result. Other columns are ignored.
     """
     spark = df.sparkSession
+    ship(spark)
     rows = usable_vectors(df)
     class_of = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     members = written(rows.distinct().withColumn("place", class_of).filter(F.col("place") <= k + 1), "vectors")

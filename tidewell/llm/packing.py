@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.merging import PAD, PairTable, merge_rows
-from tidewell.llm.shared import text_or_empty, written
+from tidewell.llm.shared import in_arrow, text_or_empty, written
 
 WINDOW = 4096
 SHARD_TOKENS = 1 << 21
@@ -207,7 +207,7 @@ def tokenise(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         )
 
     narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "kind int, doc_id long, ids binary, tokens long, sig long")
+    return in_arrow(narrow, run, "kind int, doc_id long, ids binary, tokens long, sig long")
 
 
 def document_frequencies(tokenised: DataFrame) -> np.ndarray:
@@ -220,7 +220,7 @@ def document_frequencies(tokenised: DataFrame) -> np.ndarray:
                 ids = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["token", "n"])
 
-    rows = tokenised.filter("kind = 1").select("ids").mapInArrow(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = in_arrow(tokenised.filter("kind = 1").select("ids"), spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r["token"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         out[r["token"]] = r["n"]

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.merging import PAD, PairTable, merge_rows
+from tidewell.llm.shared import in_arrow
 
 SPACE = "▁"
 UNIT = re.compile(f" +[^ \\n{SPACE}]*|[^ \\n{SPACE}]+|\\n|{SPACE}")
@@ -259,7 +260,7 @@ def encode_texts(df: DataFrame, model_path: str, rate: float = 0.1, seed: int =
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([r is None for r in rows]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(lossless, pa.bool_())], names=["doc_id", "ids", "lossless"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, lossless boolean")
+    return in_arrow(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>, lossless boolean")
 
 
 def decode_ids(df: DataFrame, model_path: str) -> DataFrame:
@@ -273,4 +274,4 @@ def decode_ids(df: DataFrame, model_path: str) -> DataFrame:
                 texts = [None if ids.as_py() is None else own.decode(ids.values.to_numpy(zero_copy_only=False).tolist()) for ids in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return in_arrow(df.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")

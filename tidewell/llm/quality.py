@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.shared import text_or_empty
+from tidewell.llm.shared import in_arrow, text_or_empty
 
 SAMPLE_DOCS = 6000  #: bound of the training sample, in labelled documents
 BYTE_SLOTS, CLASS_SLOTS, RUN_SLOTS = 1 << 16, 1 << 14, 32
@@ -198,7 +198,7 @@ def fit(df: DataFrame, labels: DataFrame) -> NBSVM:
             ids = [features.of(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary())], names=["doc_id", "quality", "ids"])
 
-    rows = sample.mapInArrow(run, "doc_id long, quality int, ids binary").limit(2 * SAMPLE_DOCS).collect()
+    rows = in_arrow(sample, run, "doc_id long, quality int, ids binary").limit(2 * SAMPLE_DOCS).collect()
     rows = sorted((r["doc_id"], r["quality"], bytes(r["ids"])) for r in rows)
     return train([np.frombuffer(i, np.int32) for _, _, i in rows], np.array([q for _, q, _ in rows], int))
 
@@ -214,7 +214,7 @@ def with_scores(df: DataFrame, model: NBSVM, carry: tuple[str, ...] = ()) -> Dat
             margins = np.array([model.margin(features.of(t.as_py())) for t in batch.column(len(out)).cast(pa.binary())], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(model.score(margins), pa.float64())], names=[*out, "quality_score"])
 
-    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[: len(out)], T.StructField("quality_score", T.DoubleType())]))
+    return in_arrow(narrow, run, T.StructType([*narrow.schema.fields[: len(out)], T.StructField("quality_score", T.DoubleType())]))
 
 
 def score(df: DataFrame, labels: DataFrame | None = None, model: NBSVM | None = None) -> DataFrame:

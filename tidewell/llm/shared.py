@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.shipping import ship
+
 #: The white space that every operator's contract means.
 BLANKS = "[\\x20\\x09-\\x0D]"
 
@@ -48,3 +50,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow on workers that can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
-from tidewell.llm.shared import text_or_empty, written
+from tidewell.llm.shared import in_arrow, text_or_empty, written
 
 BITS = 64
 SEED = 42
@@ -70,7 +70,7 @@ def with_fingerprints(df: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(narrow, run, "doc_id long, fp long")
 
 
 def _signed(value: int) -> int:
