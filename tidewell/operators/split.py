@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.numbering import hash_rank
+
 TRAIN, VALID = "0.64D", "0.80D"
 
 
@@ -15,15 +17,14 @@ def order_key(subject: str, seed: int):
 def split_subjects(subjects: DataFrame, seed: int, subject: str = "subject_id") -> DataFrame:
     """subject, place and split (train, valid, test: 64, 16 and 20 of 100) in the order of a seeded hash.
 
-    Subjects are a dimension of one narrow row each; one task ranks them.
+    Null subjects go.
     """
     if seed < 0:
         raise ValueError("the seed is 0 or more")
     distinct = subjects.select(subject).filter(F.col(subject).isNotNull()).distinct()
-    ranked = distinct.withColumn("place", F.row_number().over(Window.orderBy(order_key(subject, seed), subject)) - 1)
-    counted = ranked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    ranked = hash_rank(distinct, order_key(subject, seed), subject)
     part = F.when(F.col("place") < F.expr(f"floor({TRAIN} * n)"), "train").when(F.col("place") < F.expr(f"floor({VALID} * n)"), "valid").otherwise("test")
-    return counted.select(subject, "place", part.alias("split"))
+    return ranked.select(subject, "place", part.alias("split"))
 
 
 def check_seed(stored: dict | None, seed: int) -> bool:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import expressions as X
 from tidewell.operators import align, extract, forecast, metrics, normalise, split, triplets, windows
+from tidewell.operators.numbering import hash_rank
 
 TARGETS = ["click", "view", "error"]
 SEED = 2026
@@ -285,8 +286,8 @@ def topk_examples(spark, d):
 
 
 def seeded_shuffle(spark, d):
-    order = Window.orderBy(F.md5(F.concat(F.lit("2026:1:"), F.col("subject_id").cast("string"))), "subject_id")
-    return subjects(spark, d).select("subject_id", (F.row_number().over(order) - 1).cast("long").alias("place"))
+    digest = F.md5(F.concat(F.lit("2026:1:"), F.col("subject_id").cast("string")))
+    return hash_rank(subjects(spark, d), digest, "subject_id").select("subject_id", "place")
 
 
 def metrics_json_struct(spark, d):
