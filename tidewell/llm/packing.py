@@ -153,14 +153,15 @@ class WordEncoder:
         gc.disable()  # many small objects and no cycles
         try:
             split = [t.split() for t in texts]
-            new = set().union(*split)
-            if len(self.memo) + len(new) > MEMO_WORDS:
+            words = set().union(*split)
+            if len(self.memo) + len(words) > MEMO_WORDS:
                 self.memo.clear()
             memo = self.memo
-            new = [w for w in new if w not in memo]
-            if new:
+            near = dict(zip(words, map(memo.get, words)))  # small enough for the processor's caches
+            if new := [w for w, ids in near.items() if ids is None]:
                 self._learn(new)
-            return [b"".join(map(memo.__getitem__, words)) for words in split]
+                near.update(zip(new, map(memo.__getitem__, new)))
+            return [b"".join(map(near.__getitem__, words)) for words in split]
         finally:
             if collecting:
                 gc.enable()
@@ -191,8 +192,9 @@ def tokenise(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 for p in packed:
                     ids = np.frombuffer(p, coder.dtype)
                     seen[ids] = True
-                    df_counts += seen
-                    seen[ids] = False
+                    distinct = np.flatnonzero(seen)
+                    seen[distinct] = False
+                    df_counts[distinct] += 1
                     sizes.append(len(ids))
                     pairs = ids.astype(np.uint32)
                     pairs = ((pairs[:-1] * np.uint32(65599) + pairs[1:]) * np.uint32(2654435761)) if len(ids) > 1 else pairs
