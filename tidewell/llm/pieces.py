@@ -29,7 +29,7 @@ from tidewell.llm.shared import in_arrow
 
 SPACE = "▁"
 UNIT = re.compile(f" +[^ \\n{SPACE}]*|[^ \\n{SPACE}]+|\\n|{SPACE}")
-VARIANTS = 4
+VARIANTS = 2
 MEMO_UNITS = 500_000
 SLICE = 512
 LONGEST = 48  #: longer units are merged one at a time
@@ -194,15 +194,18 @@ class PieceCoder:
             groups: dict[int, list[int]] = {}
             for i, v in enumerate(variants or [0] * len(texts)):
                 groups.setdefault(v if limit else 0, []).append(i)
-            new = {v: set().union(*(split[i] for i in rows)) for v, rows in groups.items()}
-            if self.memo_of != (limit, seed) or sum(map(len, self.memo.values())) + sum(map(len, new.values())) > MEMO_UNITS:
+            words = {v: set().union(*(split[i] for i in rows)) for v, rows in groups.items()}
+            if self.memo_of != (limit, seed) or sum(map(len, self.memo.values())) + sum(map(len, words.values())) > MEMO_UNITS:
                 self.memo, self.memo_of = {}, (limit, seed)
             out: list[np.ndarray] = [None] * len(texts)
             for v, rows in groups.items():
                 memo = self.memo.setdefault(v, {})
-                self._learn(memo, [u for u in new[v] if u not in memo], seed, v, limit)
+                near = dict(zip(words[v], map(memo.get, words[v])))  # small enough for the processor's caches
+                if new := [u for u, ids in near.items() if ids is None]:
+                    self._learn(memo, new, seed, v, limit)
+                    near.update(zip(new, map(memo.__getitem__, new)))
                 for i in rows:
-                    out[i] = np.frombuffer(b"".join(map(memo.__getitem__, split[i])), np.int32)
+                    out[i] = np.frombuffer(b"".join(map(near.__getitem__, split[i])), np.int32)
             return out
         finally:
             if collecting:
