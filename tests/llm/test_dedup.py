@@ -113,13 +113,37 @@ def test_links_of_crowded_fingerprints(spark, bits, limit):
     rng = random.Random(bits)
     centres = [rng.getrandbits(64) for _ in range(4)]
     fps = {c ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & (1 << 64) - 1 for c in centres for _ in range(60)}
-    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    df = spark.createDataFrame([(0, simhash._signed(f)) for f in fps], "view int, fp long")
     found = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components(simhash.links(df, bits, limit)).collect()}
     want = brute_components(fps, bits)
     mine = {f: found.get(f, f) for f in fps}
     assert {frozenset(f for f in fps if mine[f] == r) for r in mine.values()} == {frozenset(f for f in fps if want[f] == r) for r in want.values()}
 
 
+@pytest.mark.parametrize("limit", [64, 0])
+def test_views_link_what_any_of_them_links(spark, limit):
+    rng = random.Random(9)
+    base = [[rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(60)] for _ in range(5)]
+    rows = [(i, " ".join("new" if rng.random() < 0.02 else w for w in rng.choice(base))) for i in range(70)]
+    hashes = {i: simhash.shingle_hashes(t.encode(), 3) for i, t in rows}
+    fps = {i: [simhash.fingerprint(simhash.view_hashes(h, v)) for v in range(3)] for i, h in hashes.items()}
+    root = {i: i for i in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in fps:
+        for j in fps:
+            if i < j and any((a ^ b).bit_count() <= 2 for a, b in zip(fps[i], fps[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(frame(spark, rows), views=3, bucket_limit=limit).collect()}
+    assert got == {i: find(i) for i in fps}
+    assert len({find(i) for i in fps}) < len({(f[0]) for f in fps.values()})
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.simhash_groups(frame(spark, [])).collect() == []
     assert [r["component_id"] for r in simhash.simhash_groups(frame(spark, [(None, "a"), (4, "a")])).collect()] == [4, 4]

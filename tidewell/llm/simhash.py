@@ -60,17 +60,32 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(df: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row of df (doc_id, text)."""
+def view_hashes(hashes: np.ndarray, view: int) -> np.ndarray:
+    """The hashes as an independent view sees them; view 0 sees them as they are."""
+    if view == 0:
+        return hashes
+    mixed = (hashes + np.uint64(view)) * np.uint64((0x9E3779B97F4A7C15 * (2 * view + 1)) & ((1 << 64) - 1))
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    return mixed * np.uint64(0xA24BAED4963EE407)
+
+
+def with_fingerprints(df: DataFrame, words: int = 3, views: int = 1) -> DataFrame:
+    """doc_id and fps (for each view the fingerprint's 64 bits as a signed long) of every row of df (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            found = np.fromiter((fingerprint(shingle_hashes(t.as_py(), words)) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.empty((batch.num_rows, views), np.uint64)
+            for i, t in enumerate(batch.column(1)):
+                hashes = shingle_hashes(t.as_py(), words)
+                found[i] = [fingerprint(view_hashes(hashes, v)) for v in range(views)]
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * views)
+            fps = pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fps"])
 
     narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return in_arrow(narrow, run, "doc_id long, fp long")
+    return in_arrow(narrow, run, "doc_id long, fps array<long>")
 
 
 def _signed(value: int) -> int:
@@ -98,25 +113,32 @@ def _chains(max_bits: int, segments: int) -> list[list[tuple[int, int]]]:
 
 
 def links(fps: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fps (fp) at max_bits differing bits or fewer."""
+    """Edges (view, a, b) whose components are those of all pairs of distinct fps (view, fp) within max_bits bits."""
     if max_bits not in (1, 2):
         raise ValueError("max_bits is 1 or 2: the exact path of full buckets covers these")
     segments = 3 * max_bits
     chains = _chains(max_bits, segments)
-    keyed = written(
-        fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(F.lit(c[0][0])).alias("part")) for i, c in enumerate(chains)))).alias("k")).select("fp", "k.*"),
-        "simhash-keys",
-    )
-    full = written(keyed.groupBy("start", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_limit).select("start", "part"), "simhash-full")
-    paired = keyed.join(full, ["start", "part"], "left_anti")
-    differ = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    within = (F.col("l.start") == F.col("r.start")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.fp") < F.col("r.fp"))
-    for at in range(len(chains[0])):
-        mask = F.element_at(F.array(*(F.lit(c[at][0]) for c in chains)), F.col("l.start") + 1)
-        within = within & (F.bit_count(differ.bitwiseAND(mask)) <= chains[0][at][1])
-    near = paired.alias("l").join(paired.alias("r"), within).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    crowded = keyed.join(full, ["start", "part"], "left_semi").select("fp").distinct()
-    return near.distinct().unionByName(_stars(crowded, max_bits))
+    heads = [F.struct((F.col("view") * segments + i).alias("slot"), F.col("fp").bitwiseAND(F.lit(c[0][0])).alias("part")) for i, c in enumerate(chains)]
+    keyed = fps.select("fp", F.explode(F.array(*heads)).alias("k")).select("fp", "k.*")
+    buckets = keyed.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    buckets = written(buckets.filter("n > 1"), "simhash-buckets")
+
+    def within(slot, a, b):
+        differ, out = a.bitwiseXOR(b), F.lit(True)
+        for at in range(len(chains[0])):
+            mask = F.element_at(F.array(*(F.lit(c[at][0]) for c in chains)), (slot % segments + 1).cast("int"))
+            out = out & (F.bit_count(differ.bitwiseAND(mask)) <= chains[0][at][1])
+        return out
+
+    view = F.floor(F.col("slot") / segments).cast("int").alias("view")
+    twos = buckets.filter((F.col("n") == 2) & (bucket_limit >= 2)).filter(within(F.col("slot"), F.col("low"), F.col("high")))
+    twos = twos.select(view, F.col("low").alias("a"), F.col("high").alias("b"))
+    paired = keyed.join(buckets.filter((F.col("n") > 2) & (F.col("n") <= bucket_limit)).select("slot", "part"), ["slot", "part"], "left_semi")
+    same = (F.col("l.slot") == F.col("r.slot")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.fp") < F.col("r.fp"))
+    near = paired.alias("l").join(paired.alias("r"), same & within(F.col("l.slot"), F.col("l.fp"), F.col("r.fp")))
+    near = near.select(F.floor(F.col("l.slot") / segments).cast("int").alias("view"), F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    crowded = keyed.join(buckets.filter(F.col("n") > bucket_limit).select("slot", "part"), ["slot", "part"], "left_semi")
+    return twos.unionByName(near).distinct().unionByName(_stars(crowded.select(view, "fp").distinct(), max_bits))
 
 
 def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -125,23 +147,32 @@ def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
         points = [F.struct(F.lit(-1).alias("bit"), (F.col("fp").bitwiseXOR(F.lit(_signed(1 << j))) if j < BITS else F.col("fp")).alias("point")) for j in range(BITS + 1)]
     else:
         points = [F.struct(F.lit(j).alias("bit"), F.col("fp").bitwiseAND(F.lit(_signed(((1 << BITS) - 1) ^ (1 << j)))).alias("point")) for j in range(BITS)]
-    spread = fps.select("fp", F.explode(F.array(*points)).alias("p")).select("fp", "p.*")
-    least = F.min("fp").over(Window.partitionBy("bit", "point"))
-    return spread.select(F.col("fp").alias("a"), least.alias("b")).filter("a <> b").distinct()
+    spread = fps.select("view", "fp", F.explode(F.array(*points)).alias("p")).select("view", "fp", "p.*")
+    least = F.min("fp").over(Window.partitionBy("view", "bit", "point"))
+    return spread.select("view", F.col("fp").alias("a"), least.alias("b")).filter("a <> b").distinct()
 
 
-def simhash_groups(df: DataFrame, words: int = 3, max_bits: int = 2, bucket_limit: int = 64) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row of df (doc_id, text).
+def simhash_groups(df: DataFrame, words: int = 3, max_bits: int = 2, bucket_limit: int = 64, views: int = 1) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, of the first view) and component_id of every row of df (doc_id, text).
 
     component_id is the smallest doc_id that can be reached over links, the row's own included. Texts without words,
     null texts among them, have fingerprint zero and link like any other; rows with equal fingerprints share a
-    component. Repeated rows stay repeated; null doc_ids are kept and never the smallest unless alone. An empty df
-    gives an empty result. Other columns are ignored.
+    component. Further views fingerprint the same shingles with other hashes, and two texts link when they do in any view,
+    which finds more of the copies whose one fingerprint differs by a bit too many. Repeated rows stay repeated; null
+    doc_ids are kept and never the smallest unless alone. An empty df gives an empty result. Other columns are ignored.
     """
-    docs = written(with_fingerprints(df, words), "simhash-docs")
-    distinct = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
-    roots = components(links(distinct.select("fp"), max_bits, bucket_limit))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    docs = written(with_fingerprints(df, words, views), "simhash-docs")
+    nodes = docs.groupBy("fps").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    nodes = written(nodes, "simhash-nodes")
+    seen = nodes.select("node", F.posexplode("fps").alias("view", "fp"))
+    firsts = written(seen.groupBy("view", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-firsts")
+    shared = seen.join(firsts.filter("n > 1"), ["view", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = links(firsts.select("view", "fp"), max_bits, bucket_limit)
+    for end in ("a", "b"):
+        found = found.join(firsts.select("view", F.col("fp").alias(end), F.col("first").alias(f"node_{end}")), ["view", end])
+    edges = shared.unionByName(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    roots = components(edges)
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-labels")
-    return docs.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = written(rooted.join(least, "root").select("fps", "component_id"), "simhash-labels")
+    return docs.join(labels, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
