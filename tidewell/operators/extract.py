@@ -87,8 +87,8 @@ def apply_rules(events: DataFrame, items: DataFrame, rules: DataFrame) -> DataFr
     """Events (itemid, source, value, valuenum, valueuom, ...) as clean features with the column name.
 
     One join gives every event the features that its item feeds; each feature's rule then converts, tests and drops,
-    imputes or keeps. items has feature, itemid, factor and offset; rules is catalog.rule_table's. Both are small and are
-    broadcast where Spark finds them so.
+    imputes or keeps. items has feature, itemid, factor and offset; rules is catalog.rule_table's. Both are dimensions; mark
+    them with joins.small() to keep events from being shuffled.
     """
     joined = events.join(items, "itemid").join(rules, ["feature", "source"])
     for name, text in catalog.DROPPED_TEXT.items():

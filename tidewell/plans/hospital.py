@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import catalog, expressions as X
 from tidewell.operators import align, extract, normalise, split, triplets, windows
 from tidewell.operators.forecast import Forecaster
+from tidewell.operators.joins import small
 from tidewell.operators import metrics as M
 from tidewell.sources.tables import read_hospital, write_table
 
@@ -55,7 +56,7 @@ def clean_events(h: Hospital, stays: DataFrame, item_map: DataFrame) -> DataFram
         events = events.unionByName(part, allowMissingColumns=True)
     labels = extract.label_items(h.items.join(out.select("itemid").distinct(), "itemid", "left_semi"), catalog.KEYWORDS)
     items = catalog.item_table(item_map.select("feature", "itemid").unionByName(labels))
-    clean = extract.apply_rules(events, items, rules)
+    clean = extract.apply_rules(events, small(items), small(rules))
     weight = given.filter(X.in_range(F.col("patientweight"), 0, 300)).select("stay_id", F.col("starttime").alias("charttime"), F.col("patientweight").alias("valuenum")).distinct()
     weight = weight.withColumns({"name": F.lit("Weight"), "valueuom": F.lit("kg")})
     return clean.unionByName(weight, allowMissingColumns=True)
