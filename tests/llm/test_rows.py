@@ -111,8 +111,11 @@ def test_words_are_encoded_as_the_library_does():
     rng = random.Random(0)
     texts = [t or "" for _, t in ODD] + ["É È ñandú STRASSE", "a_b <|endoftext|>x", "ΑΣ Σ", "v2.0 (c) --- ...", "é ́x", "\x1c\x1dab\x85 c\xa0d", "'s 't it's", "x" * 200]
     texts += [" ".join("".join(rng.choice("abcdeABéüÿß.,!|'0$") for _ in range(rng.randrange(1, 14))) for _ in range(60)) for _ in range(40)]
-    for t, packed in zip(texts, mine.encode([t.encode() for t in texts])):
-        assert np.frombuffer(packed, mine.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    flat, sizes = mine.encode([t.encode() for t in texts])
+    for t, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1])):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert mine.encode([b"", b" \n"])[1].tolist() == [0, 0] and mine.encode([])[1].tolist() == []
+    assert mine.table is not None
 
 
 @pytest.mark.parametrize("shard_tokens", [1 << 21, 600])

@@ -10,16 +10,15 @@ windows alone. Only the last window of a shard is short.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,29 +30,39 @@ SHARD_TOKENS = 1 << 21
 BUCKETS = 1 << 16
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-MEMO_WORDS = 500_000
-SLICE = 512
+STREAM_BYTES = 1 << 22  #: texts are tokenised together up to this size
 
 _encoders: dict = {}
 
 
-class PlainWords:
-    """Ids of words of Latin letters, many at once, for byte-level merge tokenizers with a word-end suffix.
+# Kinds of bytes to the splitter; the letters from U+00C0 to U+00FF join their two bytes later.
+_SPACE, _LETTER, _MARK, _DIGIT, _ODD = range(5)
 
-    Usable where the tokenizer lower-cases and its pre-tokenizer takes a run of letters as one piece; the library encodes
-    everything else.
-    """
 
-    #: in UTF-8, A-Z, a-z and the letters from U+00C0 to U+00FF, then ASCII marks
-    WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,30})([.,;:!?#$%&*|()-]*)")
+def _kinds() -> np.ndarray:
+    out = np.full(256, _ODD, np.uint8)
+    out[33:127] = _MARK
+    out[[*range(65, 91), *range(97, 123)]] = _LETTER
+    out[48:58] = _DIGIT
+    out[[9, 10, 11, 12, 13, 32]] = _SPACE
+    out[[ord("'"), ord("<")]] = _ODD  # contractions and special tokens
+    return out
+
+
+_KIND, _LOWER = _kinds(), np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+LONGEST = 60  #: bytes of a run that is merged here
+_POWERS = np.array([[pow(base, i, 1 << 64) for i in range(LONGEST)] for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)], np.uint64)
+
+
+class MergeTable:
+    """A byte-level merge tokenizer with a word-end suffix, applied to many runs of bytes at once."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
-        vocabulary = model["vocab"]
-        end = model["end_of_word_suffix"]
-        shown = _byte_letters()
-        self.inner = np.array([vocabulary.get(shown[b], -1) for b in range(256)], np.int32)
-        self.last = np.array([vocabulary.get(shown[b] + end, -1) for b in range(256)], np.int32)
+        vocabulary, end, shown = model["vocab"], model["end_of_word_suffix"], _byte_letters()
+        self.inner = np.array([vocabulary[shown[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocabulary[shown[b] + end] for b in range(256)], np.int32)
         pairs, merged = [], []
         for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -62,34 +71,31 @@ class PlainWords:
         self.table = PairTable(np.array(pairs, np.uint32), np.arange(len(pairs), dtype=np.int32), np.array(merged, np.int32))
 
     @classmethod
-    def of(cls, path: str) -> PlainWords | None:
-        """None where the tokenizer is of another kind."""
+    def of(cls, path: str) -> MergeTable | None:
+        """None where the tokenizer is of another kind than this class applies."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, text = spec["model"], json.dumps(spec.get("pre_tokenizer"))
+        model, split = spec["model"], json.dumps(spec.get("pre_tokenizer"))
         fits = model.get("type", "BPE") == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout") and not model.get("ignore_merges")
-        fits = fits and len(model["vocab"]) <= 1 << 16 and "[\\\\p{L}]+" in text and "ByteLevel" in text and "Lowercase" in json.dumps(spec.get("normalizer"))
-        return cls(spec) if fits else None
-
-    def encode(self, raw: list[bytes]) -> list[bytes]:
-        """Packed 16-bit ids of lower-case words of letters."""
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        order = np.argsort(sizes, kind="stable")
-        out: list[bytes] = [b""] * len(raw)
+        fits = fits and len(model["vocab"]) <= 1 << 16 and "|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in split and "ByteLevel" in split
+        return cls(spec) if fits and "Lowercase" in json.dumps(spec.get("normalizer")) else None
+
+    def merge(self, low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of runs of bytes, one run after the other, with each run's first place and number of ids."""
+        order, found, first, counts, at_id = np.argsort(sizes, kind="stable"), [], np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
         for at in range(0, len(order), 2048):
             part = order[at : at + 2048]
-            width = int(sizes[part].max())
-            letters = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
-            symbols = np.where(np.arange(width)[None, :] < sizes[part][:, None], self.inner[letters], PAD)
+            places = np.arange(int(sizes[part[-1]]))[None, :]
+            letters = low[np.minimum(starts[part][:, None] + places, len(low) - 1)]
+            symbols = np.where(places < sizes[part][:, None], self.inner[letters], PAD)
             rows = np.arange(len(part))
             symbols[rows, sizes[part] - 1] = self.last[letters[rows, sizes[part] - 1]]
-            flat, counts = merge_rows(self.table, symbols)
-            packed, ends = flat.astype("<u2").tobytes(), 2 * np.cumsum(counts)
-            start = 0
-            for i, stop in zip(part.tolist(), ends.tolist()):
-                out[i] = packed[start:stop]
-                start = stop
-        return out
+            ids, number = merge_rows(self.table, symbols)
+            found.append(ids)
+            counts[part] = number
+            first[part] = at_id + np.cumsum(number) - number
+            at_id += len(ids)
+        return np.concatenate(found) if found else np.empty(0, np.int32), first, counts
 
 
 def _byte_letters() -> list[str]:
@@ -101,10 +107,12 @@ def _byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """Token ids of whole texts, with a bounded memo of words.
+    """Token ids of whole texts.
 
-    Splitting at ASCII white space first is exact for tokenizers whose pre-tokenizer never joins text over white
-    space and drops it. Words that are not in the memo are encoded together.
+    Where the tokenizer fits MergeTable, texts are read as one stream of bytes and cut as its pre-tokenizer cuts: at white
+    space, then into runs of letters, single digits and runs of marks. Distinct runs are merged once for the whole stream.
+    Words with any other byte (apostrophes, most letters beyond Latin, special tokens) and very long runs go to the library
+    as they are, which is exact since no token spans white space. Other tokenizers go to the library altogether.
     """
 
     def __init__(self, path: str):
@@ -114,57 +122,70 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
-        self.plain = PlainWords.of(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        memo, other = self.memo, new
-        if self.plain is not None:
-            match = self.plain.WORD.fullmatch
-            other, split, need, marks = [], [], set(), set()
-            for w in new:
-                if m := match(w):
-                    core, mark = m.groups()
-                    core = core.lower() if core.isascii() else core.decode().lower().encode()
-                    if core not in memo:
-                        need.add(core)
-                    if mark:
-                        split.append((w, core, mark))
-                        if mark not in memo:
-                            marks.add(mark)
-                    elif core != w:
-                        split.append((w, core, b""))
-                else:
-                    other.append(w)
-            need, other = list(need), [*marks.union(other)]
-            memo.update(zip(need, self.plain.encode(need)))
-        memo.update(zip(other, self._library([w.decode("utf-8", "replace") for w in other])))
-        if self.plain is not None:
-            memo[b""] = b""
-            for w, core, mark in split:
-                memo[w] = memo[core] + memo[mark]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as packed integers of self.dtype."""
-        collecting = gc.isenabled()
-        gc.disable()  # many small objects and no cycles
-        try:
-            split = [t.split() for t in texts]
-            words = set().union(*split)
-            if len(self.memo) + len(words) > MEMO_WORDS:
-                self.memo.clear()
-            memo = self.memo
-            near = dict(zip(words, map(memo.get, words)))  # small enough for the processor's caches
-            if new := [w for w, ids in near.items() if ids is None]:
-                self._learn(new)
-                near.update(zip(new, map(memo.__getitem__, new)))
-            return [b"".join(map(near.__getitem__, words)) for words in split]
-        finally:
-            if collecting:
-                gc.enable()
+        self.table = MergeTable.of(path)
+
+    def _library(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and their number in each text."""
+        if self.table is None:
+            found = self._library(texts)
+            return np.array([i for ids in found for i in ids], self.dtype), np.fromiter(map(len, found), np.int64, len(found))
+        stream = b"\n".join([*texts, b""])
+        raw = np.frombuffer(stream, np.uint8)
+        kind, low = _KIND[raw], _LOWER[raw]
+        lead = np.flatnonzero(raw == 0xC3)
+        follow = raw[lead + 1]
+        fine = (follow >= 0x80) & (follow != 0x97) & (follow != 0xB7)
+        lead, follow = lead[fine], follow[fine]
+        kind[lead] = kind[lead + 1] = _LETTER
+        low[lead[follow <= 0x9E] + 1] += 0x20
+        solid = kind != _SPACE
+        before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+        begins = solid & ((kind != before) | (kind == _DIGIT))
+        word_begins = np.flatnonzero(solid & (before == _SPACE))
+        # words that hold an odd byte, or a run that is too long, are one run for the library
+        runs = np.flatnonzero(begins)
+        ends = np.flatnonzero(solid & np.concatenate((begins[1:] | ~solid[1:], [True]))) + 1
+        odd = np.concatenate((np.flatnonzero(kind == _ODD), runs[ends - runs > LONGEST]))
+        odd_words = np.unique(np.searchsorted(word_begins, odd, side="right") - 1)
+        odd_at = word_begins[odd_words]
+        if len(odd_at):
+            next_begin = np.append(word_begins, len(raw))[odd_words + 1]
+            for a, b in zip(odd_at.tolist(), next_begin.tolist()):
+                begins[a + 1 : b] = False
+            runs = np.flatnonzero(begins)
+            ends = np.flatnonzero(solid & np.concatenate((begins[1:] | ~solid[1:], [True]))) + 1
+        if not len(runs):
+            return np.empty(0, self.dtype), np.zeros(len(texts), np.int64)
+        sizes = ends - runs
+        library = np.zeros(len(runs), bool)
+        library[np.searchsorted(runs, odd_at)] = True
+        offsets = np.cumsum(sizes) - sizes
+        place = np.minimum(np.arange(int(sizes.sum())) - np.repeat(offsets, sizes), LONGEST - 1)
+        bytes_ = low[solid].astype(np.uint64) + np.uint64(1)
+        hashes, check = (np.add.reduceat(bytes_ * powers[place], offsets) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) for powers in _POWERS)
+        hashes[library] = np.arange(int(library.sum()), dtype=np.uint64)  # never merged; each gets a code of its own below
+        codes, distinct = pd.factorize(hashes)
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        library |= check != check[first[codes]]  # a run whose first hash is another's by chance
+        plain = np.flatnonzero(~library[first])
+        ids, at, counts = np.empty(0, np.int32), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        ids, at[plain], counts[plain] = self.table.merge(low, runs[first[plain]], sizes[first[plain]])
+        at, counts = at[codes], counts[codes]
+        if library.any():
+            rows = np.flatnonzero(library)
+            found = self._library([stream[a:b] for a, b in zip(runs[rows].tolist(), ends[rows].tolist())])
+            counts[rows] = [len(f) for f in found]
+            at[rows] = len(ids) + np.cumsum(counts[rows]) - counts[rows]
+            ids = np.concatenate((ids, np.array([i for f in found for i in f], np.int32)))
+        done = np.cumsum(counts)
+        flat = ids.astype(self.dtype)[np.repeat(at - (done - counts), counts) + np.arange(int(done[-1]))]
+        text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        upto = np.concatenate(([0], done))[np.searchsorted(runs, text_ends)]
+        return flat, np.diff(np.concatenate(([0], upto)))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -173,6 +194,18 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of about STREAM_BYTES together; a longer text has a range of its own."""
+    a = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > a and total + n > STREAM_BYTES:
+            yield a, i
+            a, total = i, 0
+        total += n
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def tokenise(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, ids (packed), tokens and sig of every row, and one row per task with its document frequencies.
 
@@ -182,25 +215,32 @@ def tokenise(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
         df_counts = np.zeros(max(coder.vocabulary, end_id + 1), np.int64)
-        end = np.array([end_id], coder.dtype).tobytes()
         seen = np.zeros(len(df_counts), bool)
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                packed = [p + end for p in coder.encode(batch.column(1).to_pylist())]
-                sizes, sigs = [], []
-                for p in packed:
-                    ids = np.frombuffer(p, coder.dtype)
-                    seen[ids] = True
+            ids_of, texts_of = whole.column(0), whole.column(1)
+            for a, b in _spans(np.array(pc.binary_length(texts_of).to_numpy(zero_copy_only=False))):
+                flat, sizes = coder.encode(texts_of.slice(a, b - a).to_pylist())
+                sizes = sizes + 1
+                ends = np.cumsum(sizes)
+                ids = np.full(int(ends[-1]), end_id, coder.dtype)
+                inner = np.ones(len(ids), bool)
+                inner[ends - 1] = False
+                ids[inner] = flat
+                pairs = ids.astype(np.uint32)
+                pairs[:-1] = (pairs[:-1] * np.uint32(65599) + pairs[1:]) * np.uint32(2654435761)
+                pairs ^= pairs >> np.uint32(15)
+                pairs[ends[:-1] - 1] = 0xFFFFFFFF  # the pair of a text's last id and the next text's first
+                sigs = np.minimum.reduceat(pairs, ends - sizes).astype(np.int64)
+                for start, stop in zip((ends - sizes).tolist(), ends.tolist()):
+                    own = ids[start:stop]
+                    seen[own] = True
                     distinct = np.flatnonzero(seen)
                     seen[distinct] = False
                     df_counts[distinct] += 1
-                    sizes.append(len(ids))
-                    pairs = ids.astype(np.uint32)
-                    pairs = ((pairs[:-1] * np.uint32(65599) + pairs[1:]) * np.uint32(2654435761)) if len(ids) > 1 else pairs
-                    sigs.append(int((pairs ^ (pairs >> np.uint32(15))).min()))
+                width = coder.dtype.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], ends * width)).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(packed), np.int32)), batch.column(0), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64())],
+                    [pa.array(np.zeros(len(sizes), np.int32)), ids_of.slice(a, b - a), packed, pa.array(sizes), pa.array(sigs)],
                     names=["kind", "doc_id", "ids", "tokens", "sig"],
                 )
         yield pa.RecordBatch.from_arrays(
