@@ -176,6 +176,22 @@ def test_pieces_without_dropout_are_the_models_own():
     assert [mine.encode(t).tolist() for t in texts] == [model.encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.6])
+def test_merging_side_by_side_is_the_agenda_of_each_unit(rate):
+    coder, rng, limit = pieces.PieceCoder(MODEL), random.Random(4), int(rate * (1 << 32))
+    inner = {t[i : i + 2] for t in coder.ranks for i in range(len(t) - 1)}
+    for variant in (0, 3):
+        text = "".join(rng.choice("thea inor  éü,.\n1▁Ж字") for _ in range(1500)) + "ab" * 40
+        want, unit = [], ""
+        for c in " " + text:
+            if unit and unit[-1] + c not in inner:
+                want += coder.one(unit, 7, variant, limit)
+                unit = ""
+            unit += c
+        want += coder.one(unit, 7, variant, limit)
+        assert coder.encode(text, rate, 7, variant).tolist() == want and coder.decode(want) == text
+
+
 def test_pieces_decode_losslessly_and_vary(spark):
     rows = [*ODD, (8, "the quick brown fox " * 50), (9, "▁▁ a ▁b")]
     seen = {}

@@ -1,11 +1,10 @@
 """Encoding to and decoding from the pieces of a SentencePiece merge model, with seeded merge-dropout.
 
-A text is cut into units that no piece of the model can cross: spaces with the word after them, cut again wherever no
-piece holds the two characters side by side. In a unit, candidate merges wait in an agenda ordered by score, then
-position. With dropout, a candidate that is taken from the agenda is skipped where a keyed hash of the seed, the variant,
-the unit and the candidate's span falls below the rate. A document's variant is a keyed hash of its identifier, so under
-one seed a word is cut in up to VARIANTS ways, reproducibly, and units can be memoised. Units that are not in the memo
-are merged many at a time.
+A text is cut into units wherever no piece of the model holds the two characters side by side, so no merge can cross
+such a place. In a unit, candidate merges wait in an agenda ordered by score, then position. With dropout, a candidate
+that is taken from the agenda is skipped where a keyed hash of the seed, the variant, the unit and the candidate's span
+falls below the rate. A document's variant is a keyed hash of its identifier, so under one seed a word is cut in up to
+VARIANTS ways, reproducibly. Many texts are cut as one stream of characters, and their distinct units are merged once.
 
 Without dropout the ids are those of the model's own encoder. Characters outside the vocabulary become byte pieces, as
 does a literal U+2581, so that decoding restores every text.
@@ -13,28 +12,28 @@ does a literal U+2581, so that decoding restores every text.
 
 from __future__ import annotations
 
-import gc
-import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.merging import PAD, PairTable, merge_rows
+from tidewell.llm.merging import NONE, PAD, PairTable, merge_rows
 from tidewell.llm.shared import in_arrow
 
 SPACE = "▁"
-UNIT = re.compile(f" +[^ \\n{SPACE}]*|[^ \\n{SPACE}]+|\\n|{SPACE}")
-VARIANTS = 2
-MEMO_UNITS = 500_000
-SLICE = 512
+VARIANTS = 4
+STREAM_CHARS = 1 << 21  #: texts are encoded together up to this size
 LONGEST = 48  #: longer units are merged one at a time
+NEAR = 512  #: pairs of characters below this code point have a table of their own
 _M64 = (1 << 64) - 1
 
+_POWERS = np.array([[pow(base, i, 1 << 64) for i in range(LONGEST)] for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)], np.uint64)
+
 _coders: dict = {}
 
 
@@ -71,14 +70,13 @@ class PieceCoder:
             before = scores[text]
             self.ranks[text] = rank
         inner = {t[i : i + 2] for t in self.ranks for i in range(len(t) - 1)}
-        self.inner = inner
         # symbols of the merging engine: pieces by id, other characters of merges after them
         self.symbols = dict(self.ids)
         for c in sorted({c for t in self.ranks for c in t} - self.symbols.keys()):
             self.symbols[c] = size + len(self.symbols.keys() - self.ids.keys())
-        self.symbol_of = np.full(1 << 16, -1, np.int32)
+        self.symbol_of = np.full((1 << 16) + 1, PAD, np.int32)  # the last place is that of all further characters
         for c, i in self.symbols.items():
-            if len(c) == 1 and ord(c) < len(self.symbol_of):
+            if len(c) == 1 and ord(c) < len(self.symbol_of) - 1:
                 self.symbol_of[ord(c)] = i
         pairs, ranks, merged = [], [], []
         for text, r in self.ranks.items():
@@ -91,19 +89,14 @@ class PieceCoder:
                     ranks.append(r)
                     merged.append(self.ids[text])
         self.table = PairTable(np.array(pairs, np.uint32), np.array(ranks, np.int32), np.array(merged, np.int32))
-        self.packed = [np.int32(i).tobytes() for i in range(size)]
-        self.memo: dict = {}
-        self.memo_of = None
-
-    def parts(self, unit: str) -> list[str]:
-        """The unit, cut wherever no piece holds the two characters side by side: no merge can cross such a place."""
-        inner, out, at = self.inner, [], 0
-        for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in inner:
-                out.append(unit[at:i])
-                at = i
-        out.append(unit[at:])
-        return out
+        cells = [(self.symbols.get(t[0]), self.symbols.get(t[1]), t) for t in inner]
+        pairs = np.array([x << 16 | y for x, y, _ in cells if x is not None and y is not None], np.uint32)
+        self.inner = PairTable(pairs, np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int32))
+        self.near = np.zeros((NEAR, NEAR), bool)
+        for _, _, t in cells:
+            if ord(t[0]) < NEAR and ord(t[1]) < NEAR:
+                self.near[ord(t[0]), ord(t[1])] = True
+        self.size = size
 
     def cut(self, unit: str, key: int = 0, limit: int = 0) -> list[str]:
         """The pieces of a unit; a span is skipped where its keyed 32-bit hash is below limit."""
@@ -139,89 +132,86 @@ class PieceCoder:
             at = ends[at]
         return out
 
-    def _key(self, unit: str, seed: int, variant: int) -> int:
-        return xxhash.xxh64_intdigest(unit, seed * 1_000_003 + variant & _M64)
-
-    def _packed(self, pieces: list[str]) -> bytes:
+    def one(self, unit: str, seed: int = 0, variant: int = 0, limit: int = 0) -> list[int]:
+        """Ids of a unit, merged by itself."""
+        key = 0
+        if limit:
+            letters = np.array([ord(c) for c in unit], np.uint64)
+            key = int(_keys(_sums(letters, np.arange(len(letters)), np.zeros(1, np.int64), np.array([len(letters)]), 0), seed, np.array([variant]))[0])
         out = []
-        for p in pieces:
+        for p in [unit] if unit == SPACE else self.cut(unit, key, limit):
             i = self.ids.get(p) if p != SPACE else None
-            out.extend([self.packed[i]] if i is not None else [self.packed[self.bytes[b]] for b in p.encode()])
-        return b"".join(out)
-
-    def one(self, unit: str, seed: int = 0, variant: int = 0, limit: int = 0) -> bytes:
-        """Packed ids of a unit, merged by itself."""
-        if unit == SPACE:
-            return self._packed([unit])
-        return self._packed(self.cut(unit, self._key(unit, seed, variant) if limit else 0, limit))
-
-    def many(self, units: list[str], seed: int = 0, variant: int = 0, limit: int = 0) -> list[bytes]:
-        """Packed ids of units, as one() gives them, merged side by side."""
-        out: list[bytes] = [b""] * len(units)
-        if not units:
-            return out
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        starts = np.cumsum(sizes) - sizes
-        letters = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        symbols = np.where(letters < len(self.symbol_of), self.symbol_of[np.minimum(letters, len(self.symbol_of) - 1)], -1)
-        spaces = (letters[starts] == 32) & (letters[np.minimum(starts + 1, len(letters) - 1)] == 32) & (sizes > 1)
-        fits = (np.minimum.reduceat(symbols, starts) >= 0) & (sizes <= LONGEST) & ~spaces
-        for i in np.flatnonzero(~fits).tolist():
-            out[i] = self.one(units[i], seed, variant, limit)
-        order = np.flatnonzero(fits)
-        order = order[np.argsort(sizes[order], kind="stable")]
-        for at in range(0, len(order), 2048):
-            part = order[at : at + 2048]
-            places = np.arange(int(sizes[part[-1]]))[None, :]
-            square = np.where(places < sizes[part][:, None], symbols[np.minimum(starts[part][:, None] + places, len(symbols) - 1)], PAD)
-            part = part.tolist()
-            keys = np.fromiter((self._key(units[i], seed, variant) for i in part), np.uint64, len(part)) if limit else None
-            flat, counts = merge_rows(self.table, square, keys, limit)
-            packed, ends, start = flat.astype("<i4").tobytes(), np.cumsum(counts), 0
-            known = np.logical_and.reduceat(flat < len(self.packed), ends - counts).tolist()
-            for i, stop, fine in zip(part, (4 * ends).tolist(), known):
-                out[i] = packed[start:stop] if fine else self.one(units[i], seed, variant, limit)
-                start = stop
+            out.extend([i] if i is not None else [self.bytes[b] for b in p.encode()])
         return out
 
     def encode_many(self, texts: list[str], rate: float = 0.0, seed: int = 0, variants: list[int] | None = None) -> list[np.ndarray]:
         """Ids of whole texts; variants holds that of each text."""
         limit = int(rate * (1 << 32))
-        collecting = gc.isenabled()
-        gc.disable()  # many small objects and no cycles
-        try:
-            split = [UNIT.findall(" " + t) if t else [] for t in texts]
-            groups: dict[int, list[int]] = {}
-            for i, v in enumerate(variants or [0] * len(texts)):
-                groups.setdefault(v if limit else 0, []).append(i)
-            words = {v: set().union(*(split[i] for i in rows)) for v, rows in groups.items()}
-            if self.memo_of != (limit, seed) or sum(map(len, self.memo.values())) + sum(map(len, words.values())) > MEMO_UNITS:
-                self.memo, self.memo_of = {}, (limit, seed)
-            out: list[np.ndarray] = [None] * len(texts)
-            for v, rows in groups.items():
-                memo = self.memo.setdefault(v, {})
-                near = dict(zip(words[v], map(memo.get, words[v])))  # small enough for the processor's caches
-                if new := [u for u, ids in near.items() if ids is None]:
-                    self._learn(memo, new, seed, v, limit)
-                    near.update(zip(new, map(memo.__getitem__, new)))
-                for i in rows:
-                    out[i] = np.frombuffer(b"".join(map(near.__getitem__, split[i])), np.int32)
-            return out
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _learn(self, memo: dict[str, bytes], new: list[str], seed: int, variant: int, limit: int) -> None:
-        need, joined = set(), []
-        for unit in new:
-            parts = self.parts(unit)
-            if len(parts) > 1:
-                joined.append((unit, parts))
-            need.update(p for p in parts if p not in memo)
-        need = list(need)
-        memo.update(zip(need, self.many(need, seed, variant, limit)))
-        for unit, parts in joined:
-            memo[unit] = b"".join(map(memo.__getitem__, parts))
+        stream = "".join([" " + t if t else "" for t in texts])
+        if not stream:
+            return [np.empty(0, np.int32) for _ in texts]
+        lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        letters = np.frombuffer(stream.encode("utf-32-le"), np.uint32)
+        symbols = self.symbol_of[np.minimum(letters, len(self.symbol_of) - 1)]
+        begins = np.ones(len(letters), bool)
+        small = np.minimum(letters, NEAR - 1).astype(np.int64)
+        begins[1:] = ~self.near[small[:-1], small[1:]]
+        far = np.flatnonzero((letters[1:] >= NEAR - 1) | (letters[:-1] >= NEAR - 1))
+        begins[far + 1] = self.inner.find(symbols[far], symbols[far + 1]) == NONE
+        text_begins = (np.cumsum(lengths) - lengths)[lengths > 0]
+        begins[text_begins] = True
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, len(letters)))
+        place = np.minimum(np.arange(len(letters)) - np.repeat(starts, sizes), LONGEST - 1)
+        wide = letters.astype(np.uint64)
+        hashes, check = (_sums(wide, place, starts, sizes, which) for which in (0, 1))
+        variant = np.zeros(len(starts), np.int64)
+        if limit and variants is not None:
+            variant = np.repeat(np.array(variants, np.int64)[lengths > 0], np.diff(np.append(np.searchsorted(starts, text_begins), len(starts))))
+        codes, distinct = pd.factorize(hashes + variant.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        # what is merged alone: characters of no merge, long units, runs of spaces, and hashes that are equal by chance
+        alone = (symbols[starts] == PAD) | (sizes > LONGEST) | ((sizes > 1) & (letters[starts] == 32) & (letters[np.minimum(starts + 1, len(letters) - 1)] == 32))
+        alone |= (check != check[first[codes]]) | (variant != variant[first[codes]])
+        ids, at, counts = np.empty(0, np.int32), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        plain = np.flatnonzero(~alone[first])
+        ids, at[plain], counts[plain], fine = self._merge(symbols, starts[first[plain]], sizes[first[plain]], _keys(hashes[first[plain]], seed, variant[first[plain]]) if limit else None, limit)
+        broken = np.zeros(len(distinct), bool)
+        broken[plain] = ~fine  # a character outside the vocabulary is left
+        alone |= broken[codes]
+        at, counts = at[codes], counts[codes]
+        if alone.any():
+            rows, memo, more, known = np.flatnonzero(alone), {}, [], len(ids)
+            for i in rows.tolist():
+                key = stream[starts[i] : starts[i] + sizes[i]], int(variant[i])
+                if key not in memo:
+                    own = self.one(key[0], seed, key[1], limit)
+                    memo[key] = known, len(own)
+                    more.extend(own)
+                    known += len(own)
+                at[i], counts[i] = memo[key]
+            ids = np.concatenate((ids, np.array(more, np.int32)))
+        done = np.cumsum(counts)
+        flat = ids[np.repeat(at - (done - counts), counts) + np.arange(int(done[-1]))]
+        upto = np.concatenate(([0], done))[np.searchsorted(starts, np.cumsum(lengths))]
+        return np.split(flat, upto[:-1])
+
+    def _merge(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None, limit: int) -> tuple:
+        """Ids of units, one unit after the other, with each unit's first place, number of ids and whether all are pieces."""
+        order, found, at_id = np.argsort(sizes, kind="stable"), [], 0
+        first, counts, fine = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), np.ones(len(sizes), bool)
+        for at in range(0, len(order), 2048):
+            part = order[at : at + 2048]
+            places = np.arange(int(sizes[part[-1]]))[None, :]
+            square = np.where(places < sizes[part][:, None], symbols[np.minimum(starts[part][:, None] + places, len(symbols) - 1)], PAD)
+            ids, number = merge_rows(self.table, square, keys[part] if limit else None, limit)
+            found.append(ids)
+            counts[part] = number
+            first[part] = at_id + np.cumsum(number) - number
+            fine[part] = np.logical_and.reduceat(ids < self.size, np.cumsum(number) - number)
+            at_id += len(ids)
+        return np.concatenate(found) if found else np.empty(0, np.int32), first, counts, fine
 
     def encode(self, text: str, rate: float = 0.0, seed: int = 0, variant: int = 0) -> np.ndarray:
         """Ids of a whole text."""
@@ -234,6 +224,31 @@ class PieceCoder:
         return text[1:] if text[:1] == " " else text
 
 
+def _sums(letters: np.ndarray, place: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: int) -> np.ndarray:
+    """A hash of each unit's characters, from their places in it."""
+    terms = (letters + np.uint64(1)) * _POWERS[which][np.minimum(place, LONGEST - 1)]
+    return np.add.reduceat(terms, starts) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _keys(hashes: np.ndarray, seed: int, variant: np.ndarray) -> np.ndarray:
+    """Keys of the agenda's skips."""
+    keys = hashes ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _M64) ^ (variant.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return keys ^ (keys >> np.uint64(32))
+
+
+def _spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of about STREAM_CHARS together; a longer text has a range of its own."""
+    a = total = 0
+    for i, t in enumerate(texts):
+        if i > a and total + len(t or "") > STREAM_CHARS:
+            yield a, i
+            a, total = i, 0
+        total += len(t or "")
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def coder(path: str) -> PieceCoder:
     if path not in _coders:
         _coders[path] = PieceCoder(path)
@@ -250,9 +265,10 @@ def encode_texts(df: DataFrame, model_path: str, rate: float = 0.1, seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            every = whole.column(1).to_pylist()
+            for a, b in _spans(every):
+                batch, texts = whole.slice(a, b - a), every[a:b]
+                ids = batch.column(0).to_pylist()
                 chosen = [0 if i is None else xxhash.xxh32_intdigest(str(i), seed & 0xFFFFFFFF) % variants for i in ids]
                 found = own.encode_many([t or "" for t in texts], rate, seed, chosen)
                 rows = [None if t is None else r for t, r in zip(texts, found)]
