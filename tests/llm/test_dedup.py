@@ -153,3 +153,26 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 500), (7, 3)]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {(r["node"], r["root"]) for r in found} == {(i, 0) for i in range(201)}
+
+
+@pytest.mark.parametrize("whole", [64, 2])
+def test_near_copies_are_those_of_exact_similarity(spark, whole):
+    rng = random.Random(3)
+    rows, want, at = [], set(), 0
+    for n in (60, 150, 400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for changed in (0, 1, 2, 4, 8, 16):
+            rows.append((at, " ".join(w if k % (n // max(1, changed)) != 7 or not changed else f"c{at}x{k}" for k, w in enumerate(base))))
+            at += 1
+    rows += [(90, None), (91, ""), (92, "one two"), (93, "three"), (None, "all alone")]
+    sets = {i: {" ".join((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows}
+    for i in sorted(sets, key=lambda i: (i is None, i or 0)):
+        if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets if j is not None and (i is None or j < i)):
+            want.add(i)
+    got = [r["doc_id"] for r in simhash.without_near_copies(frame(spark, rows), views=16, whole=whole).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and not {13, 14, 15, 91} & set(got)
+    # texts that a common passage makes alike to the fingerprints only
+    common = "again and again the same " * 300
+    rows = [(i, common + " ".join(f"u{i}v{k}" for k in range(40))) for i in range(5)]
+    assert len({r["component_id"] for r in simhash.simhash_groups(frame(spark, rows), views=16).collect()}) == 1
+    assert sorted(r["doc_id"] for r in simhash.without_near_copies(frame(spark, rows), views=16, whole=whole).collect()) == [0, 1, 2, 3, 4]

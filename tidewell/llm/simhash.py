@@ -28,6 +28,8 @@ from tidewell.llm.shared import in_arrow, text_or_empty, written
 
 BITS = 64
 SEED = 42
+PART_BITS = 44  #: at least the width of two segments
+NEAR_WORDS = 5
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -71,8 +73,13 @@ def view_hashes(hashes: np.ndarray, view: int) -> np.ndarray:
     return mixed * np.uint64(0xA24BAED4963EE407)
 
 
+def _node():
+    """The node of a row: a 64-bit hash of its text, so that equal texts are one node."""
+    return F.xxhash64(text_or_empty()).alias("node")
+
+
 def with_fingerprints(df: DataFrame, words: int = 3, views: int = 1) -> DataFrame:
-    """doc_id and fps (for each view the fingerprint's 64 bits as a signed long) of every row of df (doc_id, text)."""
+    """doc_id, node, fp (the first of fps) and fps (for each view the fingerprint's 64 bits as a signed long) of every row of df (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,10 +89,11 @@ def with_fingerprints(df: DataFrame, words: int = 3, views: int = 1) -> DataFram
                 found[i] = [fingerprint(view_hashes(hashes, v)) for v in range(views)]
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * views)
             fps = pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fps"])
+            first = pa.array(np.ascontiguousarray(found.view(np.int64)[:, 0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), first, fps], names=["doc_id", "node", "fp", "fps"])
 
-    narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return in_arrow(narrow, run, "doc_id long, fps array<long>")
+    narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), _node())
+    return in_arrow(narrow, run, "doc_id long, node long, fp long, fps array<long>")
 
 
 def _signed(value: int) -> int:
@@ -112,17 +120,28 @@ def _chains(max_bits: int, segments: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _bucket(segments: int, start: int):
+    """One number for a view, a start and the value of its two segments: the slot above PART_BITS bits of the part."""
+    low, width = BITS * start // segments, BITS * (start + 2) // segments - BITS * start // segments
+    part = F.shiftrightunsigned("fp", low)
+    if low + width > BITS:
+        part = part.bitwiseOR(F.shiftleft("fp", BITS - low))
+    return F.shiftleft((F.col("view") * segments + start).cast("long"), PART_BITS).bitwiseOR(part.bitwiseAND(F.lit((1 << width) - 1)))
+
+
 def links(fps: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> DataFrame:
     """Edges (view, a, b) whose components are those of all pairs of distinct fps (view, fp) within max_bits bits."""
     if max_bits not in (1, 2):
         raise ValueError("max_bits is 1 or 2: the exact path of full buckets covers these")
     segments = 3 * max_bits
     chains = _chains(max_bits, segments)
-    heads = [F.struct((F.col("view") * segments + i).alias("slot"), F.col("fp").bitwiseAND(F.lit(c[0][0])).alias("part")) for i, c in enumerate(chains)]
-    keyed = fps.select("fp", F.explode(F.array(*heads)).alias("k")).select("fp", "k.*")
-    buckets = keyed.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    keyed = fps.select("fp", F.explode(F.array(*(_bucket(segments, i) for i in range(segments)))).alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
     buckets = written(buckets.filter("n > 1"), "simhash-buckets")
 
+    def slot(column: str):
+        return F.shiftright(column, PART_BITS)
+
     def within(slot, a, b):
         differ, out = a.bitwiseXOR(b), F.lit(True)
         for at in range(len(chains[0])):
@@ -130,14 +149,14 @@ def links(fps: DataFrame, max_bits: int = 2, bucket_limit: int = 64) -> DataFram
             out = out & (F.bit_count(differ.bitwiseAND(mask)) <= chains[0][at][1])
         return out
 
-    view = F.floor(F.col("slot") / segments).cast("int").alias("view")
-    twos = buckets.filter((F.col("n") == 2) & (bucket_limit >= 2)).filter(within(F.col("slot"), F.col("low"), F.col("high")))
+    view = F.floor(slot("key") / segments).cast("int").alias("view")
+    twos = buckets.filter((F.col("n") == 2) & (bucket_limit >= 2)).filter(within(slot("key"), F.col("low"), F.col("high")))
     twos = twos.select(view, F.col("low").alias("a"), F.col("high").alias("b"))
-    paired = keyed.join(buckets.filter((F.col("n") > 2) & (F.col("n") <= bucket_limit)).select("slot", "part"), ["slot", "part"], "left_semi")
-    same = (F.col("l.slot") == F.col("r.slot")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.fp") < F.col("r.fp"))
-    near = paired.alias("l").join(paired.alias("r"), same & within(F.col("l.slot"), F.col("l.fp"), F.col("r.fp")))
-    near = near.select(F.floor(F.col("l.slot") / segments).cast("int").alias("view"), F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    crowded = keyed.join(buckets.filter(F.col("n") > bucket_limit).select("slot", "part"), ["slot", "part"], "left_semi")
+    paired = keyed.join(buckets.filter((F.col("n") > 2) & (F.col("n") <= bucket_limit)).select("key"), "key", "left_semi")
+    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
+    near = paired.alias("l").join(paired.alias("r"), same & within(slot("l.key"), F.col("l.fp"), F.col("r.fp")))
+    near = near.select(F.floor(slot("l.key") / segments).cast("int").alias("view"), F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    crowded = keyed.join(buckets.filter(F.col("n") > bucket_limit).select("key"), "key", "left_semi")
     return twos.unionByName(near).distinct().unionByName(_stars(crowded.select(view, "fp").distinct(), max_bits))
 
 
@@ -152,6 +171,26 @@ def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
     return spread.select("view", F.col("fp").alias("a"), least.alias("b")).filter("a <> b").distinct()
 
 
+def _linked(df: DataFrame, words: int, max_bits: int, bucket_limit: int, views: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, node, fp, fps), the nodes (node, fps, least doc_id) and the components (node, root) of linked nodes."""
+    docs = written(with_fingerprints(df, words, views), "simhash-docs")
+    nodes = written(docs.groupBy("node", "fps").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    seen = nodes.select("node", F.posexplode("fps").alias("view", "fp"))
+    firsts = written(seen.groupBy("view", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-firsts")
+    shared = seen.join(firsts.filter("n > 1"), ["view", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = links(firsts.select("view", "fp"), max_bits, bucket_limit)
+    for end in ("a", "b"):
+        found = found.join(firsts.select("view", F.col("fp").alias(end), F.col("first").alias(f"node_{end}")), ["view", end])
+    edges = shared.unionByName(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    return docs, nodes, components(edges)
+
+
+def _least(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes with their roots, and the least doc_id of each root."""
+    rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+
+
 def simhash_groups(df: DataFrame, words: int = 3, max_bits: int = 2, bucket_limit: int = 64, views: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits, of the first view) and component_id of every row of df (doc_id, text).
 
@@ -161,18 +200,65 @@ def simhash_groups(df: DataFrame, words: int = 3, max_bits: int = 2, bucket_limi
     which finds more of the copies whose one fingerprint differs by a bit too many. Repeated rows stay repeated; null
     doc_ids are kept and never the smallest unless alone. An empty df gives an empty result. Other columns are ignored.
     """
-    docs = written(with_fingerprints(df, words, views), "simhash-docs")
-    nodes = docs.groupBy("fps").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
-    nodes = written(nodes, "simhash-nodes")
-    seen = nodes.select("node", F.posexplode("fps").alias("view", "fp"))
-    firsts = written(seen.groupBy("view", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-firsts")
-    shared = seen.join(firsts.filter("n > 1"), ["view", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    found = links(firsts.select("view", "fp"), max_bits, bucket_limit)
-    for end in ("a", "b"):
-        found = found.join(firsts.select("view", F.col("fp").alias(end), F.col("first").alias(f"node_{end}")), ["view", end])
-    edges = shared.unionByName(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    roots = components(edges)
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = written(rooted.join(least, "root").select("fps", "component_id"), "simhash-labels")
-    return docs.join(labels, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    docs, nodes, roots = _linked(df, words, max_bits, bucket_limit, views)
+    rooted, least = _least(nodes, roots)
+    labels = written(rooted.join(least, "root").select("node", "component_id"), "simhash-labels")
+    return docs.join(labels, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_shingles(df: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """root, node and hashes (of the text's distinct word shingles) of every row of df (root, node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(2)]
+            offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+            hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes], names=["root", "node", "hashes"])
+
+    return in_arrow(df.select("root", "node", text_or_empty().cast("binary").alias("text")), run, "root long, node long, hashes array<long>")
+
+
+def _alike(left: DataFrame, right: DataFrame, which, similarity: float) -> DataFrame:
+    """Edges (a, b) of the rows of left and right of one root whose shingles have the Jaccard similarity; two empty sets are alike."""
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.root") == F.col("r.root")) & which)
+    x, y = F.size("l.hashes"), F.size("r.hashes")
+    pairs = pairs.filter(F.least(x, y) >= similarity * F.greatest(x, y))
+    both = F.size(F.array_intersect("l.hashes", "r.hashes"))
+    return pairs.filter(both >= similarity * (x + y - both)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+
+
+def verified_links(members: DataFrame, similarity: float = 0.8, whole: int = 64) -> DataFrame:
+    """Edges (a, b) within each root of members (root, node, hashes) whose exact Jaccard similarity is the given one or more.
+
+    Roots of up to whole members have all their pairs compared. In larger ones leaders are compared with every member:
+    at first the least node, then twice as many in each round, taken from those that have no link yet, until all are
+    linked or were leaders. So no node stays alone without having been compared with all of its root; what isn't sought in large
+    roots is a further link between two nodes that have links already.
+    """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    small = members.join(sizes.filter(F.col("n") <= whole).select("root"), "root", "left_semi")
+    edges = written(_alike(small, small, F.col("l.node") < F.col("r.node"), similarity), "near-edges")
+    large = written(members.join(sizes.filter(F.col("n") > whole).select("root"), "root", "left_semi"), "near-large")
+    alone, leaders = large.select("root", "node"), 1
+    while not alone.isEmpty():
+        order = Window.partitionBy("root").orderBy("node")
+        lead = written(alone.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders).select("node"), "near-leaders")
+        found = written(_alike(large.join(lead, "node", "left_semi"), large, F.col("l.node") != F.col("r.node"), similarity), "near-edges")
+        edges = edges.unionByName(found)
+        done = lead.unionByName(found.select(F.col("b").alias("node"))).distinct()
+        alone, leaders = written(alone.join(done, "node", "left_anti"), "near-alone"), 2 * leaders
+    return edges
+
+
+def without_near_copies(df: DataFrame, similarity: float = 0.8, views: int = 16, whole: int = 64) -> DataFrame:
+    """The least doc_id of each group of near copies in df (doc_id, text), one row for each group.
+
+    Components of fingerprints that are within two bits in any view are the candidates; within them, texts link when their
+    distinct five-word shingles have the similarity exactly, and groups are the components of these links.
+    """
+    _, nodes, roots = _linked(df, 3, 2, 64, views)
+    texts = df.select(_node(), "text").join(roots, "node")
+    members = written(with_shingles(texts).dropDuplicates(["root", "node"]), "near-members")
+    _, least = _least(nodes, components(verified_links(members, similarity, whole)))
+    return least.select(F.col("component_id").alias("doc_id"))
