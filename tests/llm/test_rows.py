@@ -207,3 +207,21 @@ def test_pieces_decode_losslessly_and_vary(spark):
     repeat = {r["doc_id"]: r["ids"] for r in pieces.encode_texts(frame(spark, rows).repartition(4), MODEL, rate=0.3, seed=1).collect()}
     assert repeat == seen[1]
     assert pieces.encode_texts(frame(spark, []), MODEL).collect() == []
+
+
+def test_forms_of_a_word_grow_with_its_occurrences(spark):
+    rows = [(i, "international " * 40) for i in range(40)]
+    found = [r["ids"] for r in pieces.encode_texts(frame(spark, rows), MODEL, rate=0.3, seed=1).collect()]
+    assert len({tuple(ids) for ids in found}) == 40
+    coder = pieces.PieceCoder(MODEL)
+    forms = set()
+    for ids in found:
+        at, unit = [], []
+        for i in ids:
+            if coder.raw[i].startswith(b" ") and unit:
+                at.append(tuple(unit))
+                unit = []
+            unit.append(i)
+        assert len(set(at)) > 1
+        forms |= set(at)
+    assert len(forms) > 8

@@ -3,8 +3,9 @@
 A text is cut into units wherever no piece of the model holds the two characters side by side, so no merge can cross
 such a place. In a unit, candidate merges wait in an agenda ordered by score, then position. With dropout, a candidate
 that is taken from the agenda is skipped where a keyed hash of the seed, the variant, the unit and the candidate's span
-falls below the rate. A document's variant is a keyed hash of its identifier, so under one seed a word is cut in up to
-VARIANTS ways, reproducibly. Many texts are cut as one stream of characters, and their distinct units are merged once.
+falls below the rate. In encode_texts every occurrence of a unit has a variant of its own, a hash of the document's identifier and
+the unit's place in it, so that the forms of a word grow with its occurrences, reproducibly. Many texts are cut as one stream
+of characters, and units of equal variant are merged once.
 
 Without dropout the ids are those of the model's own encoder. Characters outside the vocabulary become byte pieces, as
 does a literal U+2581, so that decoding restores every text.
@@ -26,7 +27,6 @@ from tidewell.llm.merging import NONE, PAD, PairTable, merge_rows
 from tidewell.llm.shared import in_arrow
 
 SPACE = "▁"
-VARIANTS = 4
 STREAM_CHARS = 1 << 21  #: texts are encoded together up to this size
 LONGEST = 48  #: longer units are merged one at a time
 NEAR = 512  #: pairs of characters below this code point have a table of their own
@@ -144,8 +144,8 @@ class PieceCoder:
             out.extend([i] if i is not None else [self.bytes[b] for b in p.encode()])
         return out
 
-    def encode_many(self, texts: list[str], rate: float = 0.0, seed: int = 0, variants: list[int] | None = None) -> list[np.ndarray]:
-        """Ids of whole texts; variants holds that of each text."""
+    def encode_many(self, texts: list[str], rate: float = 0.0, seed: int = 0, variants: list[int] | None = None, each: bool = False) -> list[np.ndarray]:
+        """Ids of whole texts; variants holds that of each text, from which with each every unit derives its own."""
         limit = int(rate * (1 << 32))
         stream = "".join([" " + t if t else "" for t in texts])
         if not stream:
@@ -167,7 +167,12 @@ class PieceCoder:
         hashes, check = (_sums(wide, place, starts, sizes, which) for which in (0, 1))
         variant = np.zeros(len(starts), np.int64)
         if limit and variants is not None:
-            variant = np.repeat(np.array(variants, np.int64)[lengths > 0], np.diff(np.append(np.searchsorted(starts, text_begins), len(starts))))
+            firsts = np.searchsorted(starts, text_begins)
+            units = np.diff(np.append(firsts, len(starts)))
+            variant = np.repeat(np.array(variants, np.int64)[lengths > 0], units)
+            if each:
+                variant = _occurrences(variant, np.arange(len(starts)) - np.repeat(firsts, units))
+                variant[sizes == 1] = 0  # nothing to skip
         codes, distinct = pd.factorize(hashes + variant.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
@@ -230,6 +235,13 @@ def _sums(letters: np.ndarray, place: np.ndarray, starts: np.ndarray, sizes: np.
     return np.add.reduceat(terms, starts) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _occurrences(variant: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The variant of a text's unit by its place among the text's units."""
+    mixed = (variant.astype(np.uint64) ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
 def _keys(hashes: np.ndarray, seed: int, variant: np.ndarray) -> np.ndarray:
     """Keys of the agenda's skips."""
     keys = hashes ^ np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _M64) ^ (variant.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -255,11 +267,11 @@ def coder(path: str) -> PieceCoder:
     return _coders[path]
 
 
-def encode_texts(df: DataFrame, model_path: str, rate: float = 0.1, seed: int = 0, variants: int = VARIANTS) -> DataFrame:
+def encode_texts(df: DataFrame, model_path: str, rate: float = 0.1, seed: int = 0) -> DataFrame:
     """doc_id, ids (array of int) and lossless (the ids decode to the text) of every row of df (doc_id, text).
 
-    An empty text has no ids; a null text has null ids and a null lossless. Repeated rows are encoded alike; a null doc_id has variant 0. An
-    empty df gives an empty result; other columns are ignored.
+    An empty text has no ids; a null text has null ids and a null lossless. Repeated rows are encoded alike; rows with a null doc_id share
+    a key. An empty df gives an empty result; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +281,8 @@ def encode_texts(df: DataFrame, model_path: str, rate: float = 0.1, seed: int =
             for a, b in _spans(every):
                 batch, texts = whole.slice(a, b - a), every[a:b]
                 ids = batch.column(0).to_pylist()
-                chosen = [0 if i is None else xxhash.xxh32_intdigest(str(i), seed & 0xFFFFFFFF) % variants for i in ids]
-                found = own.encode_many([t or "" for t in texts], rate, seed, chosen)
+                chosen = [0 if i is None else xxhash.xxh64_intdigest(str(i), seed & _M64) >> 1 for i in ids]
+                found = own.encode_many([t or "" for t in texts], rate, seed, chosen, each=True)
                 rows = [None if t is None else r for t, r in zip(texts, found)]
                 lossless = [None if t is None else own.decode(r.tolist()) == t for t, r in zip(texts, found)]
                 sizes = np.array([0 if r is None else len(r) for r in rows], np.int64)
