@@ -225,3 +225,10 @@ def test_forms_of_a_word_grow_with_its_occurrences(spark):
         assert len(set(at)) > 1
         forms |= set(at)
     assert len(forms) > 8
+
+
+def test_bm25_scores_with_all_terms_of_a_long_seed():
+    docs = [list(range(60)), *([t] for t in range(60))]
+    ids, sizes = np.array([t for d in docs for t in d]), [len(d) for d in docs]
+    index = packing.Bm25.build(ids, np.repeat(np.arange(len(docs)), sizes), len(docs), np.ones(60), 2.0)
+    assert (index.scores(0, len(docs)) > 0).all()

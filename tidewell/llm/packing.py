@@ -2,7 +2,7 @@
 
 Documents are tokenised and dealt to shards of about SHARD_TOKENS tokens; documents that share the least hash of their
 token pairs meet in one shard. Each shard holds an inverted index over its documents' tokens with BM25 weights,
-whose document frequencies and mean length are those of the whole corpus. A seed document opens a window; its heaviest
+whose document frequencies and mean length are those of the whole corpus. A seed document opens a window; all its
 terms query the index, and the unused neighbours fill the window in order of their scores. A neighbour that no longer
 fits is cut at the window's end, and its rest opens the next window. A document longer than a window first fills whole
 windows alone. Only the last window of a shard is short.
@@ -28,7 +28,6 @@ from tidewell.llm.shared import in_arrow, text_or_empty, written
 WINDOW = 4096
 SHARD_TOKENS = 1 << 21
 BUCKETS = 1 << 16
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 STREAM_BYTES = 1 << 22  #: texts are tokenised together up to this size
 
@@ -292,11 +291,9 @@ class Bm25:
         return cls(weights, terms, np.searchsorted(docs, np.arange(documents + 1)), docs[order], weights[order], np.searchsorted(terms[order], np.arange(len(idf) + 1)))
 
     def scores(self, document: int, documents: int) -> np.ndarray:
-        """BM25 scores of all documents for the heaviest terms of one."""
+        """BM25 scores of all documents for all terms of one."""
         a, b = self.bounds[document], self.bounds[document + 1]
         terms = self.terms[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weights[a:b], QUERY_TERMS - 1)[:QUERY_TERMS]]
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
         if not spans:
             return np.zeros(documents)
