@@ -176,3 +176,45 @@ def test_near_copies_are_those_of_exact_similarity(spark, whole):
     rows = [(i, common + " ".join(f"u{i}v{k}" for k in range(40))) for i in range(5)]
     assert len({r["component_id"] for r in simhash.simhash_groups(frame(spark, rows), views=16).collect()}) == 1
     assert sorted(r["doc_id"] for r in simhash.without_near_copies(frame(spark, rows), views=16, whole=whole).collect()) == [0, 1, 2, 3, 4]
+
+
+def jaccard(a, b, words=5):
+    a, b = ({" ".join(t.split()[k : k + words]) for k in range(len(t.split()) - words + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_from_the_threshold_on_are_found(spark):
+    rng, rows, near = random.Random(8), [], []
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(3000)]
+    for i in range(240):
+        base = [rng.choice(vocabulary[: 200 if i % 3 else 3000]) for _ in range(rng.randrange(60, 300))]
+        copy = [rng.choice(vocabulary) if rng.random() < 0.017 else w for w in base]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        if 0.8 <= (found := jaccard(rows[-2][1], rows[-1][1])):
+            near.append((2 * i + 1, found))
+    kept = {r["doc_id"] for r in simhash.without_near_copies(frame(spark, rows)).collect()}
+    hard = [i for i, j in near if j < 0.88]
+    assert len(hard) > 60 and sum(i not in kept for i in hard) >= 0.9 * len(hard)
+    assert sum(i not in kept for i, _ in near) >= 0.95 * len(near)
+    assert {i for i, _ in rows} - kept <= {i for i, _ in near}  # nothing below the threshold goes
+
+
+def test_view_links_against_brute_force(spark):
+    rng = random.Random(4)
+    centres = [rng.getrandbits(48) for _ in range(5)]
+    fps = sorted({c ^ sum(1 << b for b in {rng.randrange(48) for _ in range(rng.randrange(4))}) for c in centres for _ in range(120)})
+    rows = [(v, f, 1000 * v + i) for v in range(2) for i, f in enumerate(fps)]
+    got = {frozenset((r["a"], r["b"])) for r in simhash.view_links(spark.createDataFrame(rows, "view int, fp long, first long")).collect()}
+    want = {frozenset((1000 * v + i, 1000 * v + j)) for v in range(2) for i, f in enumerate(fps) for j in range(i) if (f ^ fps[j]).bit_count() == 1}
+    assert got == want
+
+
+@pytest.mark.parametrize("words", [1, 2, 5])
+def test_ngram_hashes_tell_runs_of_words_apart(words):
+    text = "A b\tc é  a B c\x0bé " + "x" * 9000 + " y " * 3
+    found = [w for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w]
+    runs = [" ".join(found[i : i + words]) for i in range(len(found) - words + 1)]
+    hashes = simhash.ngram_hashes(text.encode(), words).tolist()
+    assert len(hashes) == len(runs) and len(set(zip(runs, hashes))) == len(set(runs)) == len(set(hashes))
+    assert len(simhash.ngram_hashes(b" \n", words)) == 0 and len(simhash.ngram_hashes(b"one", words)) == 1
+    assert simhash.view_fingerprints(simhash.ngram_hashes(b"", 2), 3).tolist() == [0, 0, 0]

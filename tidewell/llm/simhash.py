@@ -30,6 +30,13 @@ BITS = 64
 SEED = 42
 PART_BITS = 44  #: at least the width of two segments
 NEAR_WORDS = 5
+VIEWS, VIEW_WORDS, VIEW_BITS = 48, 2, 48
+SEGMENT = VIEW_BITS // 3
+VIEW_LIMIT = 16  #: fingerprints of a view's bucket that are paired; more meet by shared points
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers = np.multiply.accumulate(np.full(256, _BASE, np.uint64))
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+PART_ROWS = 1024  #: members of a large candidate group that meet its leaders in one part
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -47,6 +54,29 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((hashed(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])), np.uint64, n - words + 1)
 
 
+def ngram_hashes(text: bytes, words: int) -> np.ndarray:
+    """64-bit hashes of every run of so many words, cut as shingle_hashes cuts them, by array operations on the whole text."""
+    global _powers
+    low = np.frombuffer(text.lower(), np.uint8)
+    inside = ~_BLANK[low]
+    edge = np.diff(np.concatenate((np.zeros(1, np.int8), inside.view(np.int8), np.zeros(1, np.int8))))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    sizes = ends - starts
+    if (longest := int(sizes.max())) > len(_powers):
+        _powers = np.multiply.accumulate(np.full(2 * longest, _BASE, np.uint64))
+    offsets = np.cumsum(sizes) - sizes
+    place = np.arange(int(offsets[-1] + sizes[-1])) - np.repeat(offsets, sizes)
+    own = np.add.reduceat((low[inside].astype(np.uint64) + np.uint64(1)) * _powers[place], offsets)
+    own = _mixed(own + sizes.astype(np.uint64), np.uint64(0))
+    words = min(words, len(own))
+    out = np.zeros(len(own) - words + 1, np.uint64)
+    for i in range(words):
+        out = _mixed(out + own[i : len(own) - words + 1 + i], np.uint64(i + 1))
+    return out
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """The majority bits of the hashes as an unsigned integer; zero without hashes."""
     n = len(hashes)
@@ -64,13 +94,29 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def view_hashes(hashes: np.ndarray, view: int) -> np.ndarray:
     """The hashes as an independent view sees them; view 0 sees them as they are."""
-    if view == 0:
-        return hashes
-    mixed = (hashes + np.uint64(view)) * np.uint64((0x9E3779B97F4A7C15 * (2 * view + 1)) & ((1 << 64) - 1))
+    return hashes if view == 0 else _mixed(hashes, np.uint64(view))
+
+
+def _mixed(hashes: np.ndarray, view) -> np.ndarray:
+    mixed = (hashes + view) * np.multiply(_BASE, np.asarray(2 * view + np.uint64(1)).reshape(np.shape(view) or 1))
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(29)
-    return mixed * np.uint64(0xA24BAED4963EE407)
+    mixed *= np.uint64(0xA24BAED4963EE407)
+    return mixed
+
+
+def view_fingerprints(hashes: np.ndarray, views: int) -> np.ndarray:
+    """The VIEW_BITS majority bits of the hashes in each view, as signed longs; zeros without hashes."""
+    n, width = len(hashes), VIEW_BITS // 8
+    counts = np.zeros(views * VIEW_BITS, np.int64)
+    for at in range(0, n, 255):
+        mixed = _mixed(hashes[at : at + 255, None], np.arange(1, views + 1, dtype=np.uint64)[None, :])
+        raw = np.ascontiguousarray(mixed).view(np.uint8).reshape(-1, views, 8)[:, :, :width]
+        bits = np.unpackbits(raw.reshape(len(raw), views * width), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    packed = np.packbits(2 * counts > n, bitorder="little").reshape(views, width)
+    return np.pad(packed, ((0, 0), (0, 8 - width))).view(np.int64)[:, 0]
 
 
 def _node():
@@ -186,9 +232,13 @@ def _linked(df: DataFrame, words: int, max_bits: int, bucket_limit: int, views:
 
 
 def _least(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes with their roots, and the least doc_id of each root."""
+    """The nodes with their roots, and the least doc_id of each root.
+
+    Both come from tables, so that the join of the two by root deals a root that holds many nodes over several tasks.
+    """
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = written(rooted, "simhash-rooted")
+    return rooted, written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
 
 
 def simhash_groups(df: DataFrame, words: int = 3, max_bits: int = 2, bucket_limit: int = 64, views: int = 1) -> DataFrame:
@@ -211,7 +261,7 @@ def with_shingles(df: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(2)]
+            found = [np.unique(ngram_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(2)]
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes], names=["root", "node", "hashes"])
@@ -219,6 +269,64 @@ def with_shingles(df: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
     return in_arrow(df.select("root", "node", text_or_empty().cast("binary").alias("text")), run, "root long, node long, hashes array<long>")
 
 
+def with_views(df: DataFrame, views: int = VIEWS) -> DataFrame:
+    """doc_id, node and fps (VIEW_BITS bits for each view) of every row of df (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [view_fingerprints(ngram_hashes(t.as_py(), VIEW_WORDS), views) for t in batch.column(1)]
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * views)
+            fps = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], names=["doc_id", "node", "fps"])
+
+    narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), _node())
+    return in_arrow(narrow, run, "doc_id long, node long, fps array<long>")
+
+
+def view_links(firsts: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of distinct firsts (view, fp, first) whose fingerprints differ in one bit of a view.
+
+    A bucket is a view, the start of two neighbouring segments and their value; its fingerprints differ in the third segment alone.
+    """
+    keys = []
+    for start in range(3):
+        low = SEGMENT * start
+        part = F.shiftrightunsigned("fp", low)
+        if start == 2:
+            part = part.bitwiseOR(F.shiftleft("fp", SEGMENT))
+        slot = F.shiftleft((F.col("view") * 3 + start).cast("long"), 2 * SEGMENT)
+        keys.append(slot.bitwiseOR(part.bitwiseAND(F.lit((1 << 2 * SEGMENT) - 1))))
+    keyed = firsts.select("fp", "first", F.explode(F.array(*keys)).alias("key"))
+    counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    shared = written(counted.filter("n > 1"), "view-buckets")
+    few = shared.filter(F.col("n") <= VIEW_LIMIT)
+    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) == 1)
+    paired = few.alias("l").join(few.alias("r"), near).select(F.greatest("l.first", "r.first").alias("a"), F.least("l.first", "r.first").alias("b"))
+    free = (F.shiftright("key", 2 * SEGMENT) + 2) % 3 * SEGMENT  # where the third segment begins
+    bit = F.col("bit").cast("int")
+    point = F.col("fp").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+    crowded = shared.filter(F.col("n") > VIEW_LIMIT).select("key", "fp", "first", F.explode(F.sequence(free, free + (SEGMENT - 1))).alias("bit"))
+    met = crowded.groupBy("key", "bit", point.alias("point")).agg(F.max("first").alias("a"), F.min("first").alias("b"))
+    return paired.unionByName(met.filter("a <> b").select("a", "b"))
+
+
+def candidate_links(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes of rows (node, fps) which link in any view, about one for each node.
+
+    Every node is linked to its least neighbour, and its other smaller neighbours too; it has 49 a view at most.
+    """
+    seen = rows.select("node", F.posexplode("fps").alias("view", "fp"))
+    firsts = seen.groupBy("view", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts, "view-firsts")
+    equal = firsts.filter("first <> last")
+    ends = equal.select(F.col("last").alias("a"), F.col("first").alias("b"))
+    more = seen.join(equal.filter("n > 2").select("view", "fp", "first"), ["view", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    edges = ends.unionByName(more.filter("a <> b")).unionByName(view_links(firsts.select("view", "fp", "first")))
+    smaller = edges.groupBy("a").agg(F.collect_set("b").alias("bs")).select("a", "bs", F.array_min("bs").alias("b"))
+    others = smaller.select(F.explode("bs").alias("a"), "b").filter("a <> b")
+    return smaller.select("a", "b").unionByName(others).distinct()
+
+
 def _alike(left: DataFrame, right: DataFrame, which, similarity: float) -> DataFrame:
     """Edges (a, b) of the rows of left and right of one root whose shingles have the Jaccard similarity; two empty sets are alike."""
     pairs = left.alias("l").join(right.alias("r"), (F.col("l.root") == F.col("r.root")) & which)
@@ -232,33 +340,42 @@ def verified_links(members: DataFrame, similarity: float = 0.8, whole: int = 64)
     """Edges (a, b) within each root of members (root, node, hashes) whose exact Jaccard similarity is the given one or more.
 
     Roots of up to whole members have all their pairs compared. In larger ones leaders are compared with every member:
-    at first the least node, then twice as many in each round, taken from those that have no link yet, until all are
+    at first the least node, then four times as many in each round, taken from those that have no link yet, until all are
     linked or were leaders. So no node stays alone without having been compared with all of its root; what isn't sought in large
-    roots is a further link between two nodes that have links already.
+    roots is a further link between two nodes that have links already. A large root's members are dealt to parts of about
+    PART_ROWS, and its leaders to all of them, so no task holds a whole root.
     """
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
     small = members.join(sizes.filter(F.col("n") <= whole).select("root"), "root", "left_semi")
     edges = written(_alike(small, small, F.col("l.node") < F.col("r.node"), similarity), "near-edges")
-    large = written(members.join(sizes.filter(F.col("n") > whole).select("root"), "root", "left_semi"), "near-large")
+    parts = sizes.filter(F.col("n") > whole).select("root", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    large = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    large = written(large, "near-large")
     alone, leaders = large.select("root", "node"), 1
     while not alone.isEmpty():
         order = Window.partitionBy("root").orderBy("node")
         lead = written(alone.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders).select("node"), "near-leaders")
-        found = written(_alike(large.join(lead, "node", "left_semi"), large, F.col("l.node") != F.col("r.node"), similarity), "near-edges")
+        chosen = large.join(lead, "node", "left_semi")
+        chosen = chosen.select("root", "node", "hashes", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        found = written(_alike(chosen, large, (F.col("l.part") == F.col("r.part")) & (F.col("l.node") != F.col("r.node")), similarity), "near-edges")
         edges = edges.unionByName(found)
         done = lead.unionByName(found.select(F.col("b").alias("node"))).distinct()
-        alone, leaders = written(alone.join(done, "node", "left_anti"), "near-alone"), 2 * leaders
+        alone, leaders = written(alone.join(done, "node", "left_anti"), "near-alone"), 4 * leaders
     return edges
 
 
-def without_near_copies(df: DataFrame, similarity: float = 0.8, views: int = 16, whole: int = 64) -> DataFrame:
+def without_near_copies(df: DataFrame, similarity: float = 0.8, views: int = VIEWS, whole: int = 64) -> DataFrame:
     """The least doc_id of each group of near copies in df (doc_id, text), one row for each group.
 
-    Components of fingerprints that are within two bits in any view are the candidates; within them, texts link when their
-    distinct five-word shingles have the similarity exactly, and groups are the components of these links.
+    Texts that link in any view are candidates; in the components of these, texts link when their distinct five-word shingles
+    have the similarity exactly, and groups are the components of these links. A text of fewer than five words is one shingle;
+    null and empty texts have none and are copies of each other. A null doc_id stands for a group only where it has no other. Equal
+    texts are one group, repeated rows among them. Long texts are read whole. An empty df gives an empty result; other columns are ignored.
     """
-    _, nodes, roots = _linked(df, 3, 2, 64, views)
-    texts = df.select(_node(), "text").join(roots, "node")
-    members = written(with_shingles(texts).dropDuplicates(["root", "node"]), "near-members")
+    docs = written(with_views(df, views), "view-docs")
+    roots = components(candidate_links(docs))
+    texts = df.select(_node(), "text").join(roots, "node").dropDuplicates(["node"])
+    members = written(with_shingles(texts), "near-members")
+    nodes = docs.groupBy("node").agg(F.min("doc_id").alias("least"))
     _, least = _least(nodes, components(verified_links(members, similarity, whole)))
     return least.select(F.col("component_id").alias("doc_id"))
