@@ -40,6 +40,44 @@ def test_pages_follow_their_host(spark):
     assert found[9] == "main" and found[0] == " ".join(["main"] * 40)
 
 
+PARA = "<p>A sentence of the article, long enough to count.</p>"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<body><form id=page action=x><nav>menu</nav><div class=content><p>Body one.</p><p>Body two.</p></div><input></form></body>", ["Body one.", "Body two."]),
+        ("<body><div class=text>" + PARA * 2 + "<form><p>Your name</p></form></div></body>", [PARA[3:-4]] * 2),
+        ("<body><div class=wrap><p>Opening words.</p><div class=inner>" + PARA * 9 + "</div></div></body>", ["Opening words.", *[PARA[3:-4]] * 9]),
+        ("<body><div class=wrap><h1>Head</h1><div class=opening>" + PARA + "</div><div class=details><p>Rest.</p></div></div></body>", ["Head", PARA[3:-4], "Rest."]),
+        ("<body><div class=page><div class=left><a href=x>one</a> <a href=y>two</a></div><div class=inner>" + PARA + "</div></div></body>", [PARA[3:-4]]),
+        ("<body>" + "\u0130" * 40 + "<script>x</script><article>" + PARA + "</article></body>", [PARA[3:-4]]),
+        ("\u0130" * 11 + "<article><script>var x</SCRIPT ><p>a</p></article><div class=share>gone</div>" + "<style>p{}</style><p>b</p>", ["\u0130" * 11, "a", "b"]),
+        ("<article><script>a</scripty></script><p>x <math><mi>y</mi></math></p></article>", ["x y"]),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, ["deep"]),
+    ],
+)
+def test_nothing_of_the_article_is_lost(html, want):
+    assert html_main.Page(html).extract([]) == "\n\n".join(want)
+
+
+def test_votes_against_a_recount(spark):
+    rng, rows = random.Random(2), []
+    for i in range(90):
+        kind, words = rng.choice(["a", "a", "b", "c"]), "word " * rng.randrange(20, 40)
+        rows.append((i, f"http://h{i % 3}.org/{i}", f"<body><div class='{kind}-{i}'><p>{words}</p></div></body>"))
+    cast = {}
+    for i, url, html in rows:
+        kind = re.search("class='(.)", html)[1]
+        cast.setdefault(f"h{i % 3}.org", []).append("body>div" if kind in "abc" else "")
+    counted = {h: sorted({p: v.count(p) for p in v}.items(), key=lambda x: (-x[1], x[0])) for h, v in cast.items()}
+    got = {r["host"]: r["winners"] for r in html_main.winning_paths(html_main.votes(pages(spark, rows))).collect()}
+    assert got == {h: [f">{p}" for p, n in v if n >= html_main.MIN_SHARE * len(cast[h])] for h, v in counted.items()}
+    shares = [("h", "p" * (k + 1)) for k, n in enumerate((50, 25, 25, 9, 1)) for _ in range(n)] + [("g", "x")]
+    got = {r["host"]: r["winners"] for r in html_main.winning_paths(spark.createDataFrame(shares, "host string, path string")).collect()}
+    assert got == {"h": ["p", "pp", "ppp"], "g": ["x"]}
+
+
 @pytest.mark.parametrize("odd", ["<", "<a", "</", "<!--", "<!", "<a href='x", '<p class="', "&", "&#x;", "<script>", "</script>", "<p/>", "<><>", "\x00<b>", "<div " * 300])
 def test_broken_markup(odd):
     for html in (odd, f"<article><p>some text here</p>{odd}", f"{odd}<p>x</p>"):

@@ -13,19 +13,22 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.shared import in_arrow, text_or_empty, written
+from tidewell.operators.joins import small
 
 # HTML element names by their role, and words of class, id and role names.
-CONTAINERS = frozenset("html body main article section div td center blockquote figure fieldset details".split())
+CONTAINERS = frozenset("html body main article section div td center blockquote figure fieldset details form".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-LEFT_OUT = frozenset("nav header footer aside form button select datalist dialog menu head noscript object audio video canvas map".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg math".split())
+LEFT_OUT = frozenset("nav header footer aside button select datalist dialog menu head noscript object audio video canvas map".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg".split())
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
+WHOLE = ("article", "main")  #: what a best container doesn't grow beyond
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|adsense|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|notice\w*|gdpr|popup\w*|modal\w*|overlay|"
@@ -50,13 +53,16 @@ class Page:
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         self.bonus: list[float] = [1.0]
+        self.tags: list[str] = [""]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, link characters
         self._read(html)
+        self._leave_out_forms()
 
     def _open(self, parent: int, tag: str, names: str) -> int:
         words = sorted({w for w in re.split(r"[^a-z]+", names) if len(w) > 1})
         self.paths.append(f"{self.paths[parent]}>{tag}" + (f".{'.'.join(words)}" if words else ""))
         self.parents.append(parent)
+        self.tags.append(tag)
         self.bonus.append(1.5 if tag in ("article", "main") or GOOD.search(names) else 1.0)
         return len(self.paths) - 1
 
@@ -66,7 +72,7 @@ class Page:
         parts: list[str] = []
         skip = ""  # an element inside a block whose text is left out
         depth = linked = links = 0
-        at, lower = 0, None
+        at = 0
 
         def flush() -> None:
             nonlocal linked
@@ -93,9 +99,8 @@ class Page:
             tag, closing, rest = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
             if tag in RAW and not closing:
                 if not rest.endswith("/"):
-                    lower = lower or html.lower()
-                    end = lower.find(f"</{tag}", at)
-                    at = len(html) if end < 0 else end
+                    end = ENDS[tag].search(html, at)
+                    at = end.start() if end else len(html)
                 continue
             if tag in BLOCKS:
                 flush()
@@ -135,8 +140,50 @@ class Page:
         text(html[at:])
         flush()
 
+    def _sums(self) -> list[tuple[int, int]]:
+        """Characters and link characters in and below each container."""
+        size, linked = [0] * len(self.paths), [0] * len(self.paths)
+        for container, text, links in self.blocks:
+            size[container] += len(text)
+            linked[container] += links
+        for i in range(len(size) - 1, 0, -1):  # a container comes after its parent
+            size[self.parents[i]] += size[i]
+            linked[self.parents[i]] += linked[i]
+        return list(zip(size, linked))
+
+    def _leave_out_forms(self) -> None:
+        if "form" in self.tags:
+            sums, out = self._sums(), [False] * len(self.paths)
+            for i in range(1, len(out)):
+                out[i] = out[self.parents[i]] or self.tags[i] == "form" and 2 * sums[i][0] <= sums[0][0]
+            self.blocks = [b for b in self.blocks if not out[b[0]]]
+
+    def _grown(self, best: int) -> int:
+        """The smallest container around `best` with the text-bearing parts beside it; link lists don't count as such.
+
+        Of the page itself only text directly in its body counts, since unmarked containers there can be anything.
+        """
+        sums, beside = self._sums(), [[] for _ in self.paths]
+        for i in range(1, len(self.paths)):
+            if sums[i][0]:
+                beside[self.parents[i]].append(i)
+        own: dict[int, list[tuple[int, int]]] = {}
+        for container, text, linked in self.blocks:
+            own.setdefault(container, []).append((len(text), linked))
+        found = here = best
+        while self.tags[here] not in WHOLE and self.parents[here] >= 0:
+            before, here = here, self.parents[here]
+            parts = own.get(here, [])
+            if self.tags[here] not in ("", "html", "body"):
+                parts = parts + [sums[i] for i in beside[here] if i != before]
+            if any(2 * linked < size for size, linked in parts):
+                found = here
+            elif parts:
+                break
+        return found
+
     def best(self) -> int:
-        """The container with the highest score; 0 (the page) without text."""
+        """The container with the highest score, grown; 0 (the page) without text. The first in page order wins ties."""
         scores = [0.0] * len(self.paths)
         for container, text, linked in self.blocks:
             scores[container] += max(0, len(text) - 2 * linked)
@@ -144,7 +191,7 @@ class Page:
             if self.parents[i] >= 0:
                 scores[self.parents[i]] += PASSED_ON * scores[i]
         ranked = [s * b for s, b in zip(scores, self.bonus)]
-        return max(range(len(ranked)), key=lambda i: (ranked[i], -i)) if any(ranked) else 0
+        return self._grown(max(range(len(ranked)), key=lambda i: (ranked[i], -i))) if any(ranked) else 0
 
     def text_of(self, chosen: set[int]) -> str:
         """The blocks in or below the chosen containers."""
@@ -178,10 +225,10 @@ def votes(df: DataFrame) -> DataFrame:
 
 
 def winning_paths(voted: DataFrame) -> DataFrame:
-    """host and its winning paths, most votes first; MIN_SHARE bounds their number."""
-    counted = voted.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
-    share = F.col("votes") / F.sum("votes").over(Window.partitionBy("host"))
-    kept = counted.withColumn("share", share).filter(F.col("share") >= MIN_SHARE)
+    """host and its winning paths, most votes first, ties in the order of the paths; MIN_SHARE bounds their number."""
+    counted = written(voted.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes")), "path-votes")
+    cast = written(counted.groupBy("host").agg(F.sum("votes").alias("cast")), "host-votes")
+    kept = counted.join(cast, "host").filter(F.col("votes") >= MIN_SHARE * F.col("cast"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("minus"), "path")))
     return kept.groupBy("host").agg(ordered.alias("s")).select("host", F.transform("s", lambda x: x["path"]).alias("winners"))
 
@@ -190,10 +237,11 @@ def main_text(df: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of df (page_id, url, html).
 
     Null html counts as empty; its text is empty, like that of a page without main text. Pages with a null or
-    unreadable url vote as one host. Repeated rows stay repeated; an empty df gives an empty result; other columns are
-    ignored.
+    unreadable url vote as one host. Of containers with equal scores the first wins, of paths with equal votes the first in
+    the order of their characters. Pages are read whole, however long. Repeated rows stay repeated and vote each; an empty df gives
+    an empty result; other columns are ignored. The winning paths are broadcast up to a checked number of hosts, else joined.
     """
-    winners = written(winning_paths(votes(df)), "winning-paths")
+    winners = small(written(winning_paths(votes(df)), "winning-paths"))
     pages = df.select(F.col("page_id").cast("long").alias("page_id"), "url", text_or_empty("html").alias("html"), host_of(F.col("url")).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
