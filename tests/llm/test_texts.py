@@ -133,5 +133,62 @@ def test_short_templates_are_refused():
 def test_bands_meet_the_collision_bound():
     for top, members, bands in licenses.TemplateIndex(TEMPLATES).classes:
         least = min(len(licenses.TemplateIndex(TEMPLATES).sets[i]) for i in members)
-        worst = 0.8 * least / (2 * top + 0.2 * least)
+        worst = 0.8 * least / (licenses.WINDOWS * top + 0.2 * least)
         assert 1 - (1 - worst) ** bands >= licenses.COLLIDE
+
+
+def brute_places(text, share=0.8):
+    """Places by a walk over every word of a text, for each template."""
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[a-z0-9\x80-\xff]+", text.lower())]
+    words = [text.lower()[a:b] for a, b in spans]
+    index = licenses.TemplateIndex(TEMPLATES)
+    out = []
+    for i, name in enumerate(index.names):
+        wanted, top = index.sets[i], 1
+        while top < len(wanted):
+            top *= 4
+        hits = [(k, own) for k in range(len(words) - 4) if (own := tuple(words[k : k + 5])) in wanted]
+        start = 0
+        while True:
+            found = []
+            for right in range(start, len(hits)):
+                part = hits[start : right + 1]
+                while hits[right][0] - part[0][0] > 2 * top or part[0][1] in {w for _, w in part[1:]}:
+                    part = part[1:]
+                if len({w for _, w in part}) >= share * len(wanted) and (not found or right + 1 - len(part) <= found[0][-1]):
+                    found.append((-len({w for _, w in part}), part[-1][0] - part[0][0], right + 1 - len(part), right))
+            if not found:
+                break
+            size, _, left, right = min(found)
+            out.append((name, -size / len(wanted), spans[hits[left][0]][0], spans[hits[right][0] + 4][1]))
+            start = right + 1
+    return sorted(out)
+
+
+def test_places_are_those_of_a_walk_whatever_the_batches(spark):
+    rng, rows = random.Random(12), []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            parts.append(" ".join(rng.choice(["of", "the", "license", "word", "é"]) for _ in range(rng.randrange(0, 60))))
+            notice = TEMPLATES[rng.choice(sorted(TEMPLATES))].split()
+            for _ in range(rng.choice([0, 0, 1, 12]) * (len(notice) > 40)):
+                notice.insert(rng.randrange(2, 5) if rng.random() < 0.9 else len(notice) // 2, "inserted")
+            parts += [" ".join(notice)] * rng.choice([0, 1, 1, 2])
+        rows.append((i, " ".join(parts)))
+    want = sorted((i, *hit) for i, t in rows for hit in brute_places(t.encode()))
+    assert len(want) > 150
+    df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in rows], LICENSES)
+    names = ["doc_id", "license", "containment", "start_byte", "end_byte"]
+    for tasks in (1, 3, 50):
+        assert sorted(tuple(r) for r in licenses.scan_licenses(df.repartition(tasks)).select(*names).collect()) == want
+    assert sorted((i, *hit) for i, t in rows for hit in licenses.TemplateIndex(TEMPLATES).scan([t.encode()])[0]) == want
+
+
+def test_the_best_of_a_place():
+    gpl2, agpl = TEMPLATES["GPL-2.0/header"], TEMPLATES["AGPL-3.0/header"]
+    text = f"{gpl2} And then. {agpl}".encode()
+    index = licenses.TemplateIndex(TEMPLATES)
+    hits = index.scan([text])[0]
+    best = [h[0] for h, b in zip(hits, index.best_of_place(hits)) if b]
+    assert sorted(best) == ["AGPL-3.0/header", "GPL-2.0/header"] and len(hits) > 2
