@@ -40,16 +40,27 @@ def test_gradients():
 
 
 def test_every_position_is_labelled_and_pooled():
-    model = language_id.ByteGRU.start(["a", "b"], 4)
-    body = bytes(range(40, 240)) * 2  # several windows, the last one short
-    whole = model.documents([body, b"", b"xy"])
-    assert np.allclose(whole[0].sum(), 1) and np.allclose(whole[1], 0)
-    parts = []
-    for at in range(0, len(body), language_id.WINDOW):
-        window = body[at : at + language_id.WINDOW]
-        padded = np.frombuffer(window.ljust(language_id.WINDOW, b" "), np.uint8)[None]
-        parts.append(model.positions(padded)[:, : len(window), 0])
-    assert np.allclose(whole[0], np.concatenate(parts, axis=1).mean(axis=1), atol=1e-5)
+    rng = random.Random(7)
+    words = {"aa": "the cat sat on a mat of this house".split(), "bb": "le chat noir est dans la maison été".split()}
+    sample = [(" ".join(rng.choice(words[lang]) for _ in range(60)).encode(), lang) for lang in ("aa", "bb") * 40]
+    model = language_id.train([t for t, _ in sample], [lang for _, lang in sample], steps=60)
+    mixed = [rng.choice(words["aa" if rng.random() < 0.6 else "bb"]) for _ in range(1500)]
+    texts = [" ".join(mixed).encode(), b"", b"xy", " ".join(mixed[:90]).encode(), " ".join(rng.choice(words["bb"]) for _ in range(300)).encode()]
+    whole = model.documents(texts)
+    assert np.allclose(whole[1], 0) and len(texts[3]) <= language_id.WINDOW < len(texts[4])
+    for text, share, near in zip(texts, whole, (2e-3, 1, 1e-6, 1e-6, 2e-3)):
+        if text:  # as in one uncut run
+            uncut = model.positions(np.frombuffer(text, np.uint8)[None])[:, :, 0].mean(axis=1)
+            assert np.allclose(share.sum(), 1) and np.abs(share - uncut).max() < near
+    assert np.allclose(model.documents(texts[::-1]), whole[::-1], atol=1e-6)
+
+
+def test_training_draws_from_whole_texts():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("ab") for _ in range(300)) + " " + " ".join(rng.choice(end) for _ in range(300)) for end in ("xy", "vw") * 30]
+    model = language_id.train([t.encode() for t in texts], ["x", "v"] * 30, steps=80)
+    tails = model.documents([t[-300:].encode() for t in texts])  # the languages differ in the second half alone
+    assert np.mean(tails.argmax(axis=1) == np.array([1, 0] * 30)) > 0.95
 
 
 def test_language_held_out_accuracy(spark):

@@ -1,8 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on byte windows of a bounded sample of labelled
-documents. It labels every byte position; a document's probabilities are the mean over all its positions. Texts are
-read whole, in windows of WINDOW bytes in which the state starts from zero, so memory doesn't grow with a text.
+The network is trained in numpy by backpropagation through time on windows of TRAINED bytes, drawn from anywhere in the whole
+texts of a bounded sample of labelled documents. It labels every byte position; a document's probabilities are the mean over
+all its positions. Texts are read whole. Those of up to WINDOW bytes run uncut; longer ones are cut, and each window runs on for MARGIN
+bytes of its neighbours on both sides, so that both directions' states have settled where its own positions begin and a cut
+within a character has its bytes on both sides. Memory doesn't grow with a text.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from pyspark.sql import types as T
 
 from tidewell.llm.shared import in_arrow
 
-WINDOW = 128
+WINDOW, MARGIN = 512, 64
+TRAINED = 128
 HIDDEN = 8
-LANES = 1024  #: windows that run side by side
+LANES = 512  #: windows that run side by side
 UNKNOWN = "und"
 SAMPLE_DOCS = 6000  #: bound of the training sample, in documents; every language gets its share
-SAMPLE_WINDOWS = 3  #: windows of a sampled document
+SAMPLE_BYTES = 1 << 25  #: bound of their texts together
+LONGEST = 1 << 20  #: bytes of the longest text that is sampled
 STEPS, BATCH, RATE = 500, 192, 0.02
 PAD = 32
 
@@ -47,8 +51,11 @@ class ByteGRU:
     def weights(self) -> list[np.ndarray]:
         return [self.inputs, self.recurrent, self.output, self.bias]
 
-    def _states(self, windows: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states (length, 2, hidden, lanes) by byte position; keep gets what a backward pass needs."""
+    def _states(self, windows: np.ndarray, keep: list | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Hidden states (length, 2, hidden, lanes) by byte position; keep gets what a backward pass needs.
+
+        With sizes, positions from a lane's size on are padding, which the direction from the end doesn't see.
+        """
         lanes, length = windows.shape
         hidden = self.recurrent.shape[2]
         steps = np.stack([windows.T, windows.T[::-1]], axis=1).astype(np.intp)
@@ -56,6 +63,7 @@ class ByteGRU:
         h = np.zeros((2, hidden, lanes), self.inputs.dtype)
         x = np.empty((2, 3 * hidden, lanes), self.inputs.dtype)
         u = np.empty_like(x)
+        shortest = length if sizes is None else int(sizes.min(initial=length))
         for t in range(length):
             np.take(self.inputs[0], steps[t, 0], axis=1, out=x[0], mode="clip")
             np.take(self.inputs[1], steps[t, 1], axis=1, out=x[1], mode="clip")
@@ -73,13 +81,15 @@ class ByteGRU:
             after += candidate
             if keep is not None:
                 keep.append((h, gates, candidate, u[:, 2 * hidden :].copy(), steps[t]))
+            if sizes is not None and length - 1 - t >= shortest:
+                after[1][:, sizes <= length - 1 - t] = 0
             h = after
             states[t, 0], states[length - 1 - t, 1] = h[0], h[1]
         return states
 
-    def positions(self, windows: np.ndarray) -> np.ndarray:
-        """Probabilities (languages, length, lanes) of every byte position of windows (lanes, length)."""
-        return self._softmax(self._states(windows))
+    def positions(self, windows: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities (languages, length, lanes) of every byte position of windows (lanes, length), padded from sizes on."""
+        return self._softmax(self._states(windows, sizes=sizes))
 
     def _softmax(self, states: np.ndarray) -> np.ndarray:
         length, _, hidden, lanes = states.shape
@@ -135,38 +145,53 @@ class ByteGRU:
         sizes = np.array([len(t) for t in texts], np.int64)
         counts = -(-sizes // WINDOW)
         owner = np.repeat(np.arange(len(texts)), counts)
-        padded = np.frombuffer(b"".join(t + bytes([PAD]) * (-len(t) % WINDOW) for t in texts), np.uint8).reshape(-1, WINDOW)
-        first = np.cumsum(counts) - counts
-        filled = np.minimum(WINDOW, sizes[owner] - (np.arange(len(owner)) - first[owner]) * WINDOW)
-        place = np.arange(WINDOW)
-        for at in range(0, len(padded), LANES):
-            part = self.positions(padded[at : at + LANES])
-            n = filled[at : at + LANES]
-            if (n < WINDOW).any():
-                part = part * (place[:, None] < n[None, :])
-            sums = part.sum(axis=1, dtype=np.float64)
+        own = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * WINDOW  # a window's own positions
+        until = np.minimum(own + WINDOW, sizes[owner])
+        first, last = np.maximum(own - MARGIN, 0), np.minimum(until + MARGIN, sizes[owner])
+        bytes_ = np.frombuffer(b"".join(texts) or b"\0", np.uint8)
+        base = (np.cumsum(sizes) - sizes)[owner]
+        order = np.argsort(first - last, kind="stable")  # windows of like size run side by side
+        for at in range(0, len(order), LANES):
+            part = order[at : at + LANES]
+            n = (last - first)[part]
+            place = np.arange(int(n[0]))
+            taken = np.minimum((base + first)[part][:, None] + place[None, :], len(bytes_) - 1)
+            lanes = np.where(place[None, :] < n[:, None], bytes_[taken], np.uint8(PAD))
+            share = self.positions(lanes, n)
+            counted = (place[:, None] >= (own - first)[part][None, :]) & (place[:, None] < (until - first)[part][None, :])
+            sums = (share * counted).sum(axis=1, dtype=np.float64)
             for k in range(len(self.languages)):
-                out[:, k] += np.bincount(owner[at : at + LANES], sums[k], len(texts))
+                out[:, k] += np.bincount(owner[part], sums[k], len(texts))
         return out / np.maximum(sizes, 1)[:, None]
 
 
-def train(windows: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 0) -> ByteGRU:
-    """Adam on random batches of byte windows, each at most WINDOW bytes long, with classes drawn evenly."""
+def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 0) -> ByteGRU:
+    """Adam on random batches of byte windows, each at most TRAINED bytes long, with classes drawn evenly.
+
+    All windows of the texts, cut one after the other from a random place on, can be drawn.
+    """
     languages = sorted(set(labels))
     model = ByteGRU.start(languages, hidden, seed)
-    data = np.full((len(windows), WINDOW), PAD, np.uint8)
-    valid = np.zeros((len(windows), WINDOW), bool)
-    for i, w in enumerate(windows):
-        data[i, : len(w)] = np.frombuffer(w, np.uint8)
-        valid[i, : len(w)] = True
-    codes = np.array([languages.index(x) for x in labels])
-    weight = 1 / np.bincount(codes)[codes]
-    weight /= weight.sum()
     rng = np.random.default_rng(seed)
+    pieces: list[bytes] = []
+    of_text: list[int] = []
+    for i, text in enumerate(texts):
+        cut = 0 if len(text) <= TRAINED else int(rng.integers(1, TRAINED))
+        found = [p for p in (text[:cut], *(text[at : at + TRAINED] for at in range(cut, len(text), TRAINED))) if p]
+        pieces += found
+        of_text += [i] * len(found)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    stream, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
+    codes = np.array([languages.index(labels[i]) for i in of_text])
+    weight = 1 / np.bincount(codes)[codes]
+    weight = np.cumsum(weight / weight.sum())
     first, second = [np.zeros_like(w) for w in model.weights()], [np.zeros_like(w) for w in model.weights()]
+    place = np.arange(TRAINED)[None, :]
     for step in range(1, steps + 1):
-        rows = rng.choice(len(data), BATCH, p=weight)
-        _, gradients = model.loss_and_gradients(data[rows], valid[rows], codes[rows])
+        rows = np.minimum(np.searchsorted(weight, rng.random(BATCH)), len(weight) - 1)
+        valid = place < sizes[rows][:, None]
+        windows = np.where(valid, stream[np.minimum(starts[rows][:, None] + place, len(stream) - 1)], np.uint8(PAD))
+        _, gradients = model.loss_and_gradients(windows, valid, codes[rows])
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
         for w, g, a, b in zip(model.weights(), gradients, first, second):
             a += 0.1 * (g - a)
@@ -180,21 +205,14 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        windows, langs = [], []
-        for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            rng = np.random.default_rng(abs(doc_id or 0))
-            starts = {0} if len(text) <= WINDOW else {int(x) for x in rng.integers(0, len(text) - 16, SAMPLE_WINDOWS)}
-            for at in sorted(starts):
-                windows.append(text[at : at + WINDOW])
-                langs.append(lang)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["lang", "window"])
-
-
 def fit(df: DataFrame) -> ByteGRU | None:
-    """A model of df's languages (doc_id, text, lang), from at most SAMPLE_DOCS rows; None without usable rows."""
-    usable = df.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
+    """A model of df's languages (doc_id, text, lang), from whole texts of at most SAMPLE_DOCS documents; None without usable rows.
+
+    Documents of up to LONGEST bytes are taken in the order of a hash of their doc_id, each language up to its share, as long as
+    their texts have SAMPLE_BYTES together. Of rows that repeat a doc_id the least (lang, text) is used.
+    """
+    size = F.octet_length("text")
+    usable = df.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out() & (size <= LONGEST))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
     if not counts:
         return None
@@ -209,17 +227,26 @@ def fit(df: DataFrame) -> ByteGRU | None:
     taken = F.lit(False)
     for lang, n in sorted(counts.items()):
         taken = taken | ((F.col("lang") == lang) & (draw < int(min(1, quota / n) * (1 << 30))))
-    chosen = usable.select("doc_id", "lang").filter(taken).limit(SAMPLE_DOCS + SAMPLE_DOCS // 4).select("doc_id").distinct()
-    sample = usable.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = in_arrow(sample, _cut, "lang string, window binary").limit(2 * SAMPLE_DOCS * SAMPLE_WINDOWS).collect()
-    rows = sorted((r["lang"], bytes(r["window"])) for r in rows)
+    drawn = usable.filter(taken).select(F.col("doc_id").cast("long").alias("doc_id"), draw.alias("draw"), size.alias("size"))
+    chosen, room = [], SAMPLE_BYTES
+    for r in drawn.dropDuplicates(["doc_id"]).orderBy("draw", "doc_id").limit(SAMPLE_DOCS).collect():
+        if r["size"] <= room and r["doc_id"] is not None:
+            chosen.append((r["doc_id"],))
+            room -= r["size"]
+    ids = df.sparkSession.createDataFrame(chosen, "doc_id long")
+    rows = usable.join(F.broadcast(ids), "doc_id", "left_semi")  # SAMPLE_DOCS rows at most
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("s")).select("s.*").collect()
+    rows = sorted((r["lang"], r["text"].encode()) for r in rows)
     if not rows:
         return None
-    return train([w for _, w in rows], [lang for lang, _ in rows])
+    return train([text for _, text in rows], [lang for lang, _ in rows])
 
 
 def predict(df: DataFrame, model: ByteGRU | None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in carry, lang_pred and lang_score of every row of df (doc_id, text)."""
+    """doc_id, the columns in carry, lang_pred and lang_score of every row of df (doc_id, text).
+
+    Of languages with equal probabilities the first by name is predicted.
+    """
     out = [*dict.fromkeys(["doc_id", *carry])]
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
@@ -246,8 +273,9 @@ def identify(df: DataFrame, model: ByteGRU | None = None) -> DataFrame:
 
     Without a model one is fitted on the rows of df that are not held out. lang_pred is a learned language, or
     `und` with score 0 where the text is null or has no letter, and for all rows where nothing could be learned. Rows
-    with a null doc_id are predicted too; repeated rows stay repeated; an empty df gives an empty result; other
-    columns are ignored.
+    with a null doc_id are predicted too, but never learned from; repeated rows stay repeated; of languages with equal
+    probabilities the first by name is predicted; very long texts are read whole, window by window; an empty df gives an empty
+    result; other columns are ignored.
     """
     model = model or fit(df)
     found = predict(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
