@@ -48,8 +48,8 @@ def test_every_position_is_labelled_and_pooled():
     texts = [" ".join(mixed).encode(), b"", b"xy", " ".join(mixed[:90]).encode(), " ".join(rng.choice(words["bb"]) for _ in range(300)).encode()]
     whole = model.documents(texts)
     assert np.allclose(whole[1], 0) and len(texts[3]) <= language_id.WINDOW < len(texts[4])
-    for text, share, near in zip(texts, whole, (2e-3, 1, 1e-6, 1e-6, 2e-3)):
-        if text:  # as in one uncut run
+    for text, share, near in zip(texts, whole, (2e-2, 1, 1e-6, 1e-6, 2e-2)):
+        if text:  # as in one uncut run, nearly so where it is cut
             uncut = model.positions(np.frombuffer(text, np.uint8)[None])[:, :, 0].mean(axis=1)
             assert np.allclose(share.sum(), 1) and np.abs(share - uncut).max() < near
     assert np.allclose(model.documents(texts[::-1]), whole[::-1], atol=1e-6)
@@ -141,3 +141,17 @@ def test_repeats():
     base = quality.BYTE_SLOTS + quality.CLASS_SLOTS
     assert [i - base for i in f.of(b"a a a b") if i >= base and i < base + 16] == [1, 2]
     assert not [i for i in f.of(b"a b c d e f") if base <= i < base + 16]
+
+
+def test_plain_hinge_reaches_its_optimum():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 4))
+    y = np.where(x @ np.array([1.0, -2.0, 0.5, 0.0]) + 0.5 * rng.standard_normal(60) > 0, 1.0, -1.0)
+    rows, values, cost = [np.arange(4)] * 60, list(x), np.full(60, 0.7)
+    loss = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    w = quality.dual_coordinate_descent(rows, values, y, cost, 4, epochs=3000, squared=False)
+    assert all(loss(w) <= loss(w + d) + 1e-3 for d in 0.05 * rng.standard_normal((200, 4)))
+    best, v = loss(w), np.zeros(4)
+    for step in range(1, 20_000):  # subgradient descent ends near the same loss
+        v -= (v - x.T @ (cost * y * (y * (x @ v) < 1))) / (step + 10)
+    assert abs(best - loss(v)) < 0.02 * best

@@ -232,3 +232,51 @@ def test_bm25_scores_with_all_terms_of_a_long_seed():
     ids, sizes = np.array([t for d in docs for t in d]), [len(d) for d in docs]
     index = packing.Bm25.build(ids, np.repeat(np.arange(len(docs)), sizes), len(docs), np.ones(60), 2.0)
     assert (index.scores(0, len(docs)) > 0).all()
+
+
+def brute_fill(docs, window, idf, mean):
+    """The packing of one shard, by scores over lists of tokens."""
+    left, start, out, sequence = [len(d) for d in docs], [0] * len(docs), [], 0
+    for i, d in enumerate(docs):
+        while left[i] >= window:
+            out.append((i, start[i], window, sequence, 0))
+            start[i], left[i], sequence = start[i] + window, left[i] - window, sequence + 1
+
+    def score(seed, i):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(docs[i]) / mean)
+        return sum(idf[t] * docs[i].count(t) * (packing.K1 + 1) / (docs[i].count(t) + norm) for t in set(docs[seed]))
+
+    rest = None
+    while any(left):
+        seed = rest if rest is not None else next(i for i, n in enumerate(left) if n)
+        order = sorted((i for i in range(len(docs)) if left[i] and i != seed), key=lambda i: (-round(score(seed, i), 9), i))
+        gap, rest = window, None
+        for i in [seed, *order]:
+            n = min(left[i], gap)
+            if n:
+                out.append((i, start[i], n, sequence, window - gap))
+                start[i], left[i], gap = start[i] + n, left[i] - n, gap - n
+                rest = i if left[i] else None
+        sequence += 1
+    return out
+
+
+def test_placement_against_a_brute_force_fill():
+    rng = random.Random(5)
+    docs = [[rng.randrange(40) for _ in range(rng.choice([1, 5, 9, 20, 70]))] for _ in range(60)] + [[7, 8, 9]] * 5
+    sizes = np.array([len(d) for d in docs])
+    idf = np.array([rng.random() + 0.1 for _ in range(40)])
+    ids = np.array([t for d in docs for t in d])
+    index = packing.Bm25.build(ids, np.repeat(np.arange(len(docs)), sizes), len(docs), idf, sizes.mean())
+    got = [tuple(r) for r in packing.plan_shard(sizes, index, 32).tolist()]
+    assert got == brute_fill(docs, 32, idf, sizes.mean())
+
+
+def test_rows_that_repeat_spread_over_shards(spark):
+    rows = [(1, "the same text again and again")] * 3000 + [(2, "other words")] * 10
+    found = packing.pack(frame(spark, rows), PATH, 2, 64, 1000).collect()
+    held = {}
+    for r in found:
+        held[r["sequence_id"] >> 32] = held.get(r["sequence_id"] >> 32, 0) + r["length"]
+    assert len(held) > 5 and max(held.values()) < 0.4 * sum(held.values()) and len(found) >= 3010
+

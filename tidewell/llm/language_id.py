@@ -3,7 +3,7 @@
 The network is trained in numpy by backpropagation through time on windows of TRAINED bytes, drawn from anywhere in the whole
 texts of a bounded sample of labelled documents. It labels every byte position; a document's probabilities are the mean over
 all its positions. Texts are read whole. Those of up to WINDOW bytes run uncut; longer ones are cut, and each window runs on for MARGIN
-bytes of its neighbours on both sides, so that both directions' states have settled where its own positions begin and a cut
+bytes of its neighbours on both sides, so that both directions' states have nearly settled where its own positions begin and a cut
 within a character has its bytes on both sides. Memory doesn't grow with a text.
 """
 

@@ -1,7 +1,8 @@
 """Packing documents into windows by lexical retrieval.
 
-Documents are tokenised and dealt to shards of about SHARD_TOKENS tokens; documents that share the least hash of their
-token pairs meet in one shard. Each shard holds an inverted index over its documents' tokens with BM25 weights,
+Documents are tokenised and sorted over tasks by the least hash of their token pairs, then by their row, so that documents
+that share it come together and any number of equal documents still spreads. A task cuts its range into shards of about SHARD_TOKENS
+tokens, one in memory at a time. Each shard holds an inverted index over its documents' tokens with BM25 weights,
 whose document frequencies and mean length are those of the whole corpus. A seed document opens a window; all its
 terms query the index, and the unused neighbours fill the window in order of their scores. A neighbour that no longer
 fits is cut at the window's end, and its rest opens the next window. A document longer than a window first fills whole
@@ -19,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from tidewell.llm.shared import in_arrow, text_or_empty, written
 
 WINDOW = 4096
 SHARD_TOKENS = 1 << 21
-BUCKETS = 1 << 16
+MOST_TASKS = 1 << 14
 K1, B = 1.2, 0.75
 STREAM_BYTES = 1 << 22  #: texts are tokenised together up to this size
 
@@ -366,56 +368,55 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIND
     A document's ids are those of its text and end_id; ids holds a piece's as little-endian unsigned 32-bit
     integers. A null text counts as empty, so its document is end_id alone. Every id lies in exactly one piece, offsets
     in a sequence are gapless from 0, and no sequence is longer than the window. Repeated rows and rows with a null
-    doc_id are packed like any other. An empty df gives an empty result. Other columns are ignored.
+    doc_id are packed like any other. Neighbours with equal scores come in the order of their place in the shard. Texts are read whole,
+    and one longer than a shard is a shard of its own. An empty df gives an empty result. Other columns are ignored.
     """
-    spark = df.sparkSession
     tokenised = written(tokenise(df, tokenizer_path, end_id), "tokens")
     dtype = encoder(tokenizer_path).dtype.str
     frequency = document_frequencies(tokenised)
-    docs = tokenised.filter("kind = 0").withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(BUCKETS)).cast("int"))
-    fill = sorted((r["bucket"], r["t"], r["n"]) for r in docs.groupBy("bucket").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect())
-    total, count = sum(t for _, t, _ in fill), sum(n for _, _, n in fill)
+    docs = tokenised.filter("kind = 0")
+    total, count = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
     idf = np.log(1 + (count - frequency + 0.5) / (frequency + 0.5))
     mean_tokens = total / max(1, count)
-    shards, room, table = -1, 0, []
-    for bucket, tokens, _ in fill:
-        if tokens > shard_tokens:  # a full bucket has shards of its own
-            parts = -(-tokens // shard_tokens)
-            table.append((bucket, shards + 1, parts))
-            shards, room = shards + parts, 0
-        else:
-            if tokens > room:
-                shards, room = shards + 1, shard_tokens
-            room -= tokens
-            table.append((bucket, shards, 1))
-    dealt = F.broadcast(spark.createDataFrame(pd.DataFrame(table or [(0, 0, 1)], columns=["bucket", "base", "parts"]).astype("int32")))
-    placed = docs.join(dealt, "bucket").withColumn("shard", F.col("base") + F.pmod(F.xxhash64("doc_id", "tokens"), F.col("parts")).cast("int"))
-
-    def fill_windows(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("tokens", "ascending")])
-        packed = group.column("ids").to_pylist()
-        sizes = group.column("tokens").to_numpy()
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")
+    tasks = min(max(1, -(-total // shard_tokens)), MOST_TASKS)
+    ordered = docs.select("sig", row, "doc_id", "ids", "tokens").repartitionByRange(tasks, "sig", "row").sortWithinPartitions("sig", "row")
+
+    def fill_windows(doc_ids: pa.Array, packed: list[bytes], sizes: np.ndarray, base: int) -> tuple[pa.RecordBatch, int]:
         ids = np.frombuffer(b"".join(packed), dtype)
         starts = np.cumsum(sizes) - sizes
         index = Bm25.build(ids, np.repeat(np.arange(len(sizes)), sizes), len(sizes), idf, mean_tokens)
         d, start, length, sequence, offset = plan_shard(sizes, index, window).T
         first = starts[d] + start
         pieces = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip(first, length)]
-        base = group.column("shard")[0].as_py() << 32
-        return pa.table(
-            {
-                "doc_id": group.column("doc_id").take(pa.array(d)),
-                "start": pa.array(start),
-                "length": pa.array(length),
-                "ids": pa.array(pieces, pa.binary()),
-                "doc_tokens": pa.array(sizes[d]),
-                "sequence_id": pa.array(base + sequence),
-                "offset": pa.array(offset),
-            }
-        )
+        columns = {
+            "doc_id": doc_ids.take(pa.array(d)),
+            "start": pa.array(start),
+            "length": pa.array(length),
+            "ids": pa.array(pieces, pa.binary()),
+            "doc_tokens": pa.array(sizes[d]),
+            "sequence_id": pa.array(base + sequence),
+            "offset": pa.array(offset),
+        }
+        return pa.RecordBatch.from_pydict(columns), base + int(sequence.max(initial=-1)) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, held, doc_ids, packed, sizes = TaskContext.get().partitionId() << 32, 0, [], [], []
+        for batch in batches:
+            for doc_id, value, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                doc_ids.append(doc_id)
+                packed.append(value)
+                sizes.append(tokens)
+                held += tokens
+                if held >= shard_tokens:
+                    out, base = fill_windows(pa.array(doc_ids, pa.int64()), packed, np.array(sizes, np.int64), base)
+                    yield out
+                    held, doc_ids, packed, sizes = 0, [], [], []
+        if sizes:
+            yield fill_windows(pa.array(doc_ids, pa.int64()), packed, np.array(sizes, np.int64), base)[0]
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return placed.select("shard", "doc_id", "ids", "tokens").groupBy("shard").applyInArrow(fill_windows, schema)
+    return in_arrow(ordered.select("doc_id", "ids", "tokens"), run, schema)
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:

@@ -271,7 +271,8 @@ def encode_texts(df: DataFrame, model_path: str, rate: float = 0.1, seed: int =
     """doc_id, ids (array of int) and lossless (the ids decode to the text) of every row of df (doc_id, text).
 
     An empty text has no ids; a null text has null ids and a null lossless. Repeated rows are encoded alike; rows with a null doc_id share
-    a key. An empty df gives an empty result; other columns are ignored.
+    a key. Candidates of equal score merge from the left. A very long text is encoded whole, by itself. An empty df gives an empty
+    result; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +296,11 @@ def encode_texts(df: DataFrame, model_path: str, rate: float = 0.1, seed: int =
 
 
 def decode_ids(df: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and text of every row of df (doc_id, ids); null ids give a null text."""
+    """doc_id and text of every row of df (doc_id, ids).
+
+    Null ids give a null text, no ids an empty one; ids are decoded whole, however many. Repeated rows stay repeated, a null doc_id is
+    kept, an empty df gives an empty result, other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model_path)

@@ -114,20 +114,21 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.log(shares[0] / shares[1])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, cost: np.ndarray, size: int, epochs: int = EPOCHS, seed: int = 0) -> np.ndarray:
-    """Weights of the linear model with squared hinge loss; labels are -1 or 1, cost is by row."""
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, cost: np.ndarray, size: int, epochs: int = EPOCHS, seed: int = 0, squared: bool = True) -> np.ndarray:
+    """Weights of the linear model with squared or plain hinge loss; labels are -1 or 1, cost is by row."""
     w, alpha = np.zeros(size), np.zeros(len(rows))
-    shrink = 1 / (2 * cost)
-    square = np.array([v @ v for v in values]) + shrink
+    shrink = 1 / (2 * cost) if squared else np.zeros(len(rows))
+    most_alpha = np.full(len(rows), np.inf) if squared else cost  # a plain hinge bounds the dual variables
+    square = np.maximum(np.array([v @ v for v in values]) + shrink, 1e-12)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
             gradient = labels[i] * (w[rows[i]] @ values[i]) - 1 + shrink[i] * alpha[i]
-            projected = min(gradient, 0) if alpha[i] == 0 else gradient
+            projected = min(gradient, 0) if alpha[i] == 0 else max(gradient, 0) if alpha[i] == most_alpha[i] else gradient
             most = max(most, abs(projected))
             if projected:
-                after = max(alpha[i] - gradient / square[i], 0)
+                after = min(max(alpha[i] - gradient / square[i], 0), most_alpha[i])
                 w[rows[i]] += (after - alpha[i]) * labels[i] * values[i]
                 alpha[i] = after
         if most < 1e-3:
@@ -221,8 +222,8 @@ def score(df: DataFrame, labels: DataFrame | None = None, model: NBSVM | None =
     """doc_id, held_out, score (0 to 1) and predicted (1 if score >= THRESHOLD) of every row of df (doc_id, text).
 
     Without a model one is fitted on labels (doc_id, quality). Null and empty texts get the score of a text without
-    n-grams; without usable labels every score is 0.5. Repeated rows stay repeated; a null doc_id is scored and
-    never trained on; an empty df gives an empty result; other columns are ignored.
+    n-grams; without usable labels every score is 0.5. Texts are read whole, however long. Repeated rows stay repeated; a null
+    doc_id is scored and never trained on; an empty df gives an empty result; other columns are ignored.
     """
     model = model or fit(df, labels)
     scored = with_scores(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)

@@ -98,7 +98,8 @@ def shard_rows(df: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
 
     The law is `rows`: shard sizes differ by one row at most, so grown_shard is null. size counts the UTF-8 bytes
     of the text and one more; a null text has no bytes and the checksum of the empty text. Repeated rows each get
-    a slot; a null doc_id sorts first. An empty df gives an empty result. Other columns are ignored.
+    a slot; a null doc_id sorts first. Texts of any length are read whole for their size and checksum. An empty df gives an empty
+    result. Other columns are ignored.
     """
     text = text_or_empty()
     narrow = df.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
