@@ -10,6 +10,12 @@ A bucket of that join which holds more than bucket_limit distinct fingerprints i
 exact linear path: each emits itself and its neighbours within half of max_bits, and fingerprints that share such
 a point are linked to the least of them. With two bits this is complete (a pair at distance 2 shares a point at
 distance 1 from both) and sound (two members at distance 1 from a point differ in 2 bits at most).
+
+Two bits of one fingerprint find few of the texts with a similarity of 0.8, so without_near_copies takes many short views: VIEW_BITS
+bits each over two-word shingles, on a ring of three segments with a budget of one bit. By the pigeonring two neighbouring
+segments are then equal, and a bucket of these holds 2 ** 16 fingerprints at most, whatever the texts; with the chain's next half
+segment 2 ** 8, which are paired and checked in full. What the views link are candidates only: texts become copies by the exact
+similarity of their five-word shingles.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ PART_BITS = 44  #: at least the width of two segments
 NEAR_WORDS = 5
 VIEWS, VIEW_WORDS, VIEW_BITS = 48, 2, 48
 SEGMENT = VIEW_BITS // 3
-VIEW_LIMIT = 16  #: fingerprints of a view's bucket that are paired; more meet by shared points
+HALF = SEGMENT // 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.multiply.accumulate(np.full(256, _BASE, np.uint64))
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -286,7 +292,8 @@ def with_views(df: DataFrame, views: int = VIEWS) -> DataFrame:
 def view_links(firsts: DataFrame) -> DataFrame:
     """Edges (a, b) between the nodes of distinct firsts (view, fp, first) whose fingerprints differ in one bit of a view.
 
-    A bucket is a view, the start of two neighbouring segments and their value; its fingerprints differ in the third segment alone.
+    A bucket is a view, the start of two neighbouring segments and their value; its fingerprints differ in the third segment alone. The
+    chain goes on by half segments: one half of the third is equal too, so 2 ** HALF fingerprints at most are paired and checked in full.
     """
     keys = []
     for start in range(3):
@@ -298,16 +305,14 @@ def view_links(firsts: DataFrame) -> DataFrame:
         keys.append(slot.bitwiseOR(part.bitwiseAND(F.lit((1 << 2 * SEGMENT) - 1))))
     keyed = firsts.select("fp", "first", F.explode(F.array(*keys)).alias("key"))
     counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    shared = written(counted.filter("n > 1"), "view-buckets")
-    few = shared.filter(F.col("n") <= VIEW_LIMIT)
-    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) == 1)
-    paired = few.alias("l").join(few.alias("r"), near).select(F.greatest("l.first", "r.first").alias("a"), F.least("l.first", "r.first").alias("b"))
-    free = (F.shiftright("key", 2 * SEGMENT) + 2) % 3 * SEGMENT  # where the third segment begins
-    bit = F.col("bit").cast("int")
-    point = F.col("fp").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
-    crowded = shared.filter(F.col("n") > VIEW_LIMIT).select("key", "fp", "first", F.explode(F.sequence(free, free + (SEGMENT - 1))).alias("bit"))
-    met = crowded.groupBy("key", "bit", point.alias("point")).agg(F.max("first").alias("a"), F.min("first").alias("b"))
-    return paired.unionByName(met.filter("a <> b").select("a", "b"))
+    shared = written(counted.filter("n > 1").drop("n"), "view-buckets")
+    third = (F.shiftright("key", 2 * SEGMENT) + 2) % 3 * SEGMENT  # where the third segment begins
+    part = F.call_function("shiftrightunsigned", F.col("fp"), third.cast("int"))
+    halves = [F.struct(F.lit(i).alias("half"), F.shiftrightunsigned(part, HALF * i).bitwiseAND(F.lit((1 << HALF) - 1)).alias("same")) for i in (0, 1)]
+    halved = shared.select("key", "fp", "first", F.inline(F.array(*halves)))
+    alike = (F.col("l.key") == F.col("r.key")) & (F.col("l.half") == F.col("r.half")) & (F.col("l.same") == F.col("r.same"))
+    near = alike & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) == 1)
+    return halved.alias("l").join(halved.alias("r"), near).select(F.greatest("l.first", "r.first").alias("a"), F.least("l.first", "r.first").alias("b"))
 
 
 def candidate_links(rows: DataFrame) -> DataFrame:
