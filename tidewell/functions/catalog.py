@@ -169,6 +169,9 @@ INTERVENTIONS = [
     "Intubated", "FiO2", "Norepinephrine", "Vasopressin", "Dopamine", "Epinephrine", "Neosynephrine", "Milrinone", "Propofol", "Midazolam",
     "Fentanyl", "Normal Saline", "Lactated Ringers", "Packed RBC", "Fresh Frozen Plasma", "Albumin 5%", "Albumin 25%", "OR/PACU Crystalloid",
 ]
+# How reports show the targets.
+SHOWN_NAMES = {"O2 Saturation": "SpO₂"}
+SHOWN_UNITS = {"HR": "bpm", "SBP": "mmHg", "DBP": "mmHg", "Temperature": "°C", "O2 Saturation": "%"}
 # Items measured in other units, with factor and offset to the feature's unit.
 CONVERTED_ITEMS = {
     223761: (5 / 9, -160 / 9), 678: (5 / 9, -160 / 9), 679: (5 / 9, -160 / 9), 3654: (5 / 9, -160 / 9),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import expressions as X
+from tidewell.operators.numbering import ordered_rank
 
 
 def assign_stay(events: DataFrame, stays: DataFrame, key: str = "hadm_id", at: str = "charttime", order: str = "stay_ord") -> DataFrame:
@@ -60,8 +61,8 @@ def variable_index(names: DataFrame, targets: list[str], interventions: list[str
 
 
 def stay_index(stays: DataFrame, order: str = "stay_ord") -> DataFrame:
-    """ts_ind: the stays' positions from 0 in their order. The stays are a small dimension; one task numbers them."""
-    return stays.withColumn("ts_ind", F.row_number().over(Window.orderBy(order)) - 1)
+    """ts_ind: the stays' positions from 0 in their order, a whole number; no task sees all stays."""
+    return ordered_rank(stays, order).withColumnRenamed("place", "ts_ind")
 
 
 def statics(stays: DataFrame) -> DataFrame:

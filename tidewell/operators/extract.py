@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import catalog, expressions as X
+from tidewell.operators.joins import small
 
 
 def rename_all(df: DataFrame, rename: Callable[[str], str]) -> DataFrame:
@@ -70,17 +71,14 @@ def medians(df: DataFrame, group: str, value: str, ok: Column) -> DataFrame:
 def impute_median(df: DataFrame, group: str, value: str, ok: Column) -> DataFrame:
     """Values that are not valid become their group's median, null where a group has no valid value."""
     marked = df.withColumn("_ok", F.coalesce(ok, F.lit(False)) & ~X.missing(F.col(value)))
-    filled = marked.join(medians(marked, group, value, F.col("_ok")), group, "left")
+    filled = marked.join(small(medians(marked, group, value, F.col("_ok"))), group, "left")
     return filled.withColumn(value, F.when(F.col("_ok"), F.col(value)).otherwise(F.col("median"))).drop("_ok", "median")
 
 
 def label_items(items: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
     """feature and itemid of the items whose label holds a keyword; an item can have several features."""
-    parts = [items.filter(X.contains_any(F.col("label"), words)).select(F.lit(name).alias("feature"), "itemid") for name, words in keywords.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    found = F.array(*(F.when(X.contains_any(F.col("label"), words), F.lit(name)) for name, words in keywords.items()))
+    return items.select(F.explode(F.array_compact(found)).alias("feature"), "itemid").distinct()
 
 
 def apply_rules(events: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
@@ -103,7 +101,7 @@ def apply_rules(events: DataFrame, items: DataFrame, rules: DataFrame) -> DataFr
     unit_ok = (F.size("units") == 0) | F.coalesce(F.array_contains("units", F.col("valueuom")), F.lit(False))
     ok = (unit_ok & X.in_range(F.col("valuenum"), F.col("low"), F.col("high"))) | (F.col("zero_ok") & F.coalesce(F.col("valuenum") == 0, F.lit(False)))
     marked = marked.withColumn("ok", ok).filter((F.col("policy") != catalog.DROP) | F.col("ok"))
-    middle = medians(marked.filter(F.col("policy") == catalog.MEDIAN), "feature", "valuenum", F.col("ok"))
+    middle = small(medians(marked.filter(F.col("policy") == catalog.MEDIAN), "feature", "valuenum", F.col("ok")))
     filled = marked.join(middle, "feature", "left")
     value = F.when((F.col("policy") == catalog.MEDIAN) & ~F.col("ok"), F.col("median")).otherwise(F.col("valuenum"))
     text = F.when(F.col("feature").isin(*catalog.CODES), F.col("value"))
@@ -113,3 +111,24 @@ def apply_rules(events: DataFrame, items: DataFrame, rules: DataFrame) -> DataFr
 def normalise_input_units(df: DataFrame, value: str = "valuenum", unit: str = "valueuom") -> DataFrame:
     new_value, new_unit = X.to_milligrams(F.col(value), F.col(unit))
     return df.withColumns({value: new_value, unit: new_unit})
+
+
+def item_labels(events: DataFrame, items: DataFrame) -> DataFrame:
+    """itemid and label of the items that events have; an item without a row or a label has an empty one."""
+    used = events.select("itemid").filter("itemid is not null").distinct()
+    return used.join(small(items.select("itemid", "label")), "itemid", "left").withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def number_for_text(df: DataFrame, text: str = "value", number: str = "valuenum") -> DataFrame:
+    """The number that a text column holds in a column of its own, and no text."""
+    return df.withColumns({number: F.col(text).try_cast("double"), text: F.lit(None).cast("string")})
+
+
+def null_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: the missing values of each column, and the rows."""
+    return df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns), F.count(F.lit(1)).alias("rows"))
+
+
+def required(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """df as it is; reading a row that doesn't meet the condition raises with the message."""
+    return df.filter(F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))

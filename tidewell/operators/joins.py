@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROWS = 200_000
+MOST_ROWS = 50_000
 
 
 def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has no more than `most` rows; else as it is, for Spark to shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df marked for broadcast if it has no more than `most` rows; else as it is, for Spark to shuffle.
+
+    Its plan runs once: the rows that were counted are the table that is broadcast. A table beyond the bound runs again.
+    """
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df

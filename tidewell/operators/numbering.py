@@ -20,3 +20,36 @@ def hash_rank(df: DataFrame, digest: Column, tie: str) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", tie))
     ranked = keyed.withColumn("_own", own).join(F.broadcast(offsets), "_bucket")  # 4096 rows at most
     return ranked.withColumn("place", F.col("_before") + F.col("_own") - 1).drop("_digest", "_bucket", "_own", "_before")
+
+
+def ordered_rank(df: DataFrame, key: str, *ties: str, buckets: int = 4096) -> DataFrame:
+    """df with place, its rank from 0 by a whole-number key, then by ties; a null key comes first.
+
+    The key's range is cut into equal buckets that tasks rank separately; only the buckets' sizes are summed in one place.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = (high - low) // buckets + 1 if low is not None else 1
+    keyed = df.withColumn("_bucket", F.coalesce(F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1)))
+    counts = sorted((r["_bucket"], r["n"]) for r in keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for bucket, n in counts:
+        offsets.append((bucket, total))
+        total += n
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets, "_bucket long, _before long"))  # buckets + 1 rows at most
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties))
+    return keyed.withColumn("_own", own).join(before, "_bucket").withColumn("place", F.col("_before") + F.col("_own") - 1).drop("_bucket", "_own", "_before")
+
+
+def row_chunks(df: DataFrame, key: str, *ties: str, chunks: int = 20) -> DataFrame:
+    """df with chunk, from 0: near-equal blocks of rows in the order of a whole-number key; the first ones have one row more."""
+    ranked = ordered_rank(df, key, *ties)
+    size, more = divmod(df.count(), chunks)
+    place, long = F.col("place"), more * (size + 1)
+    later = F.lit(more) + F.floor((place - long) / max(1, size))
+    return ranked.withColumn("chunk", F.when(place < long, F.floor(place / (size + 1))).otherwise(later).cast("long")).drop("place")
+
+
+def shuffled_batches(df: DataFrame, key: str, seed: int, epoch: int, size: int = 32) -> DataFrame:
+    """df with batch and slot: batches of `size` rows in an order that seed and epoch decide."""
+    ranked = hash_rank(df, F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string"))), key)
+    return ranked.withColumns({"batch": F.floor(F.col("place") / size).cast("long"), "slot": (F.col("place") % size).cast("long")}).drop("place", "n")

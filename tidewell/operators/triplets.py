@@ -77,7 +77,11 @@ def choose(vind: np.ndarray, minute: np.ndarray, targets: list[int], interventio
 
 def balanced(rows: DataFrame, sample: str, targets: list[int], interventions: list[int], size: int = X_SIZE, seed: int = 0) -> DataFrame:
     """The rows (sample, pos, vind, minute, value) that choose() picks, with slot from 0. A sample is a bounded window."""
-    keyed = rows.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(sample), F.col("pos")))
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(sample)))
+    whole = counted.filter(F.col("_n") <= size).drop("_n")  # nothing to choose: their events in order
+    slot = F.row_number().over(Window.partitionBy(sample).orderBy("pos")) - 1
+    whole = whole.withColumn("slot", slot.cast("int"))
+    keyed = counted.filter(F.col("_n") > size).drop("_n").withColumn("_draw", F.xxhash64(F.lit(seed), F.col(sample), F.col("pos")))
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos", kind="stable").reset_index(drop=True)
@@ -87,7 +91,7 @@ def balanced(rows: DataFrame, sample: str, targets: list[int], interventions: li
 
     ship(rows.sparkSession)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return keyed.groupBy(sample).applyInPandas(pick, f"{fields}, slot int")
+    return whole.unionByName(keyed.groupBy(sample).applyInPandas(pick, f"{fields}, slot int"))
 
 
 def batches(df: DataFrame, size: int = 32) -> Iterator[list]:
@@ -102,6 +106,24 @@ def batches(df: DataFrame, size: int = 32) -> Iterator[list]:
         yield held
 
 
-def shuffled(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
-    """Rows in an order that seed and epoch decide."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), key)
+def fixed_arrays(rows: DataFrame, sample: str, size: int, prefix: str, last_variable: int, order: tuple[str, ...] = ("minute", "vind")) -> DataFrame:
+    """One row for each sample: prefix_vind, _minute, _value and _mask, each `size` long, of its rows (vind, minute, value).
+
+    Events come in the given order; padded places have the mask 0, the value 0 and the tokens of padding.
+    """
+    event = F.struct(*order, *[F.col(c).alias(f"_{c}") for c in ("vind", "minute", "value")])
+    grouped = rows.groupBy(sample).agg(F.sort_array(F.collect_list(event)).alias("_s"))
+    mask = padded(F.transform("_s", lambda x: F.lit(1.0)), size, 0.0)
+    held = lambda c: F.transform("_s", lambda x: x[f"_{c}"].cast("double"))
+    filled = {c: padded(held(c), size, 0.0) for c in ("vind", "minute", "value")}
+    wide = grouped.select(sample, mask.alias("mask"), *[v.alias(c) for c, v in filled.items()])
+    token = lambda i: lambda x, k: pad_tokens(x, x, F.get("mask", k), last_variable)[i]
+    return wide.select(
+        sample, F.transform("vind", token(0)).alias(f"{prefix}_vind"), F.transform("minute", token(1)).alias(f"{prefix}_minute"),
+        F.col("value").alias(f"{prefix}_value"), F.col("mask").alias(f"{prefix}_mask"),
+    )
+
+
+def target_arrays(rows: DataFrame, sample: str, targets: int, last_variable: int) -> DataFrame:
+    """The target part of each sample, padded to Y_PER_TARGET places for each of the targets."""
+    return fixed_arrays(rows, sample, Y_PER_TARGET * targets, "y", last_variable)

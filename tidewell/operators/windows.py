@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HISTORY, TARGET, STEP = 30, 10, 10
@@ -12,38 +12,50 @@ def last_minute(minutes: DataFrame, stay: str = "stay_id") -> DataFrame:
     return minutes.groupBy(stay).agg(F.max("minute").alias("max_minute"))
 
 
+def _buckets(minutes: DataFrame, targets: list[str], stay: str, variable: str, repeats: int) -> DataFrame:
+    """One row for each stay and bucket of STEP minutes that has a value: k, often, history and max_minute.
+
+    k is the window whose target part the bucket is, often tells that one target variable has `repeats` values in it, history
+    that the buckets k to k + 2 hold a value, max_minute is the stay's last minute. One pass over the minutes.
+    """
+    bucket = F.floor(F.col("minute") / STEP).cast("long").alias("bucket")
+    counts = [F.count_if(F.col(variable) == t) for t in targets]
+    often = F.greatest(*counts, F.lit(0)) >= repeats if counts else F.lit(False)
+    held = minutes.groupBy(stay, bucket).agg(often.alias("often"), F.max("minute").alias("last"))
+    reach = HISTORY // STEP
+    before = Window.partitionBy(stay).orderBy("bucket").rangeBetween(-reach, -1)
+    history = F.count_if(F.col("bucket") >= 0).over(before) > 0
+    return held.select(stay, (F.col("bucket") - reach).alias("k"), "often", history.alias("history"), F.max("last").over(Window.partitionBy(stay)).alias("max_minute"))
+
+
 def window_candidates(minutes: DataFrame, targets: list[str], stay: str = "stay_id", variable: str = "variable", repeats: int = 2) -> DataFrame:
     """stay and k of the windows whose target part holds `repeats` values of one target variable.
 
     Window k starts at minute STEP * k. Minutes fall into buckets of STEP; the history of window k is the buckets k to k + 2,
     its target bucket k + 3. A window must end before the stay's last minute.
     """
-    bucket = F.floor(F.col("minute") / STEP).cast("long")
-    often = minutes.filter(F.col(variable).isin(list(targets))).groupBy(stay, bucket.alias("bucket"), variable).agg(F.count(F.lit(1)).alias("n"))
-    k = (F.col("bucket") - HISTORY // STEP).alias("k")
-    found = often.filter(F.col("n") >= repeats).select(stay, k).distinct().filter("k >= 0")
+    return _candidates(minutes, targets, stay, variable, repeats).select(stay, "k")
+
+
+def _candidates(minutes: DataFrame, targets: list[str], stay: str, variable: str, repeats: int) -> DataFrame:
     inside = F.col("k") * STEP + (HISTORY + TARGET) < F.col("max_minute")
-    return found.join(last_minute(minutes, stay), stay).filter(inside).select(stay, "k")
+    return _buckets(minutes, targets, stay, variable, repeats).filter(F.col("often") & (F.col("k") >= 0) & inside)
 
 
 def first_windows(minutes: DataFrame, targets: list[str], stay: str = "stay_id", variable: str = "variable") -> DataFrame:
     """stay and k of each stay's first candidate window with a value in its history; one row for a stay at most."""
-    bucket = F.floor(F.col("minute") / STEP).cast("long")
-    filled = minutes.filter("minute >= 0").select(stay, bucket.alias("bucket")).distinct()
-    reach = HISTORY // STEP
-    history = filled.select(stay, F.explode(F.sequence(F.col("bucket") - (reach - 1), F.col("bucket"))).alias("k")).distinct()
-    return window_candidates(minutes, targets, stay, variable).join(history, [stay, "k"], "left_semi").groupBy(stay).agg(F.min("k").alias("k"))
+    return _candidates(minutes, targets, stay, variable, 2).filter("history").groupBy(stay).agg(F.min("k").alias("k"))
 
 
-def window_rows(minutes: DataFrame, targets: list[str], windows: DataFrame, stay: str = "stay_id", variable: str = "variable", value: str = "value") -> DataFrame:
-    """stay, k, minute from the window's start, variable, value and is_target of the rows of each stay's window.
+def window_rows(minutes: DataFrame, targets: list[str], windows: DataFrame, stay: str = "stay_id", variable: str = "variable", value: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+    """stay, the columns in carry, k, minute from the window's start, variable, value and is_target of the rows of each stay's window.
 
     The history has all variables, the target part the target variables.
     """
     joined = minutes.join(windows, stay).withColumn("minute", F.col("minute") - F.col("k") * STEP)
     is_target = F.col("minute") >= HISTORY
     kept = joined.filter((F.col("minute") >= 0) & (F.col("minute") < HISTORY + TARGET) & (~is_target | F.col(variable).isin(list(targets))))
-    return kept.select(stay, "k", "minute", variable, value, is_target.cast("int").alias("is_target"))
+    return kept.select(stay, *carry, "k", "minute", variable, value, is_target.cast("int").alias("is_target"))
 
 
 def samples(rows: DataFrame, stay: str = "stay_id") -> DataFrame:

@@ -11,6 +11,7 @@ from tidewell.functions import catalog, expressions as X
 from tidewell.operators import align, extract, normalise, split, triplets, windows
 from tidewell.operators.forecast import Forecaster
 from tidewell.operators.joins import small
+from tidewell.operators.numbering import ordered_rank
 from tidewell.operators import metrics as M
 from tidewell.sources.tables import read_hospital, write_table
 
@@ -36,7 +37,7 @@ class Hospital:
 def adult_stays(h: Hospital) -> DataFrame:
     stays = extract.with_values(h.stays, "intime", "outtime", "stay_id")
     stays = extract.adults(stays, h.patients)
-    return stays.withColumn("stay_ord", F.row_number().over(Window.orderBy("hadm_id", "intime", "stay_id")) - 1)
+    return ordered_rank(stays, "hadm_id", "intime", "stay_id").withColumnRenamed("place", "stay_ord")
 
 
 def clean_events(h: Hospital, stays: DataFrame, item_map: DataFrame) -> DataFrame:
@@ -69,15 +70,13 @@ def minute_table(events: DataFrame, stays: DataFrame) -> DataFrame:
     timed = align.with_minutes(placed, stays)
     named = timed.select("stay_id", "minute", F.col("name").alias("variable"), F.col("valuenum").alias("value"), "source")
     distinct = align.distinct_events(named, "stay_id", "minute", "variable", "value", "source")
-    means = align.minute_means(distinct)
-    return means.join(stays.select("stay_id", "hadm_id", "subject_id"), "stay_id")
+    return align.minute_means(distinct).join(stays.select("stay_id", "hadm_id", "subject_id"), "stay_id")
 
 
 def sample_rows(minutes: DataFrame, targets: list[str]) -> DataFrame:
     """The rows of each stay's first window, with pos, their place by part, minute and variable."""
     found = windows.first_windows(minutes, targets)
-    rows = windows.window_rows(minutes, targets, found)
-    rows = rows.join(minutes.select("stay_id", "subject_id").distinct(), "stay_id")
+    rows = windows.window_rows(minutes, targets, found, carry=("subject_id",))
     order = Window.partitionBy("stay_id").orderBy("is_target", "minute", "variable")
     return rows.withColumn("pos", F.row_number().over(order) - 1)
 
@@ -111,8 +110,7 @@ def evaluate(tables: dict[str, DataFrame], forecaster: Forecaster, draws: int =
         raise ValueError("no test samples")
     made = forecaster.forecast(rows, draws)
     keys = ["stay_id", "pos"]
-    long = M.long_draws(made, [*keys, "actual"])
-    q = M.quantiles(long, [*keys, "actual"], levels or M.TEST_LEVELS).withColumn("mask", F.lit(1.0))
+    q = M.array_quantiles(made, [*keys, "actual"], levels or M.TEST_LEVELS).withColumn("mask", F.lit(1.0))
     crps = M.quantile_crps(q.withColumn("run", F.lit(0)), ["run"])
-    mean = long.groupBy(*keys, "actual").agg(F.avg("draw").alias("mean")).withColumns({"mask": F.lit(1.0), "run": F.lit(0)})
+    mean = M.array_means(made, [*keys, "actual"]).withColumns({"mask": F.lit(1.0), "run": F.lit(0)})
     return crps.join(M.masked_mse(mean, ["run"]), "run").drop("run")

@@ -144,4 +144,44 @@ FROM embeddings JOIN l ON vec_id % 50 = step""",
     "topk_examples": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "seeded_shuffle": "SELECT c_custkey AS subject_id, row_number() OVER (ORDER BY md5('2026:1:' || c_custkey), c_custkey) - 1 AS place FROM customer",
     "metrics_json_struct": f"WITH {_SIGNALS} SELECT (SELECT count(*) FROM y) AS signals, signal, n_observations, mse_mean_standardized FROM y",
+    "rename_columns": "SELECT o_orderkey AS stay_id, o_custkey AS hadm_id, o_totalprice AS amount FROM orders",
+    "cast_columns": f"""WITH {_E} SELECT event_id, itemid, itemid / 2.0::DOUBLE AS half, TRY_CAST(variable AS DOUBLE) AS none, charttime AS at FROM e""",
+    "drug_rules": f"""WITH {_E}, u AS (
+  SELECT event_id, itemid % 5 AS part, CASE WHEN value < 3 THEN 0.0::DOUBLE ELSE value END AS v, CASE variable WHEN 'click' THEN 'mg' WHEN 'error' THEN 'gm' ELSE 'ml' END AS uom FROM e
+), c AS (
+  SELECT event_id, part, uom, CASE WHEN part IN (1, 2) AND uom = 'mg' THEN v * 0.001::DOUBLE ELSE v END AS v FROM u
+), o AS (
+  SELECT *, CASE part WHEN 0 THEN v = 0 OR (uom = 'mg' AND v BETWEEN 0 AND 40) WHEN 1 THEN v BETWEEN 0 AND 0.03::DOUBLE
+    WHEN 2 THEN v = 0 OR (uom IN ('mg', 'gm') AND v BETWEEN 0 AND 20) WHEN 3 THEN uom = 'gm' AND v BETWEEN 0 AND 30 ELSE v BETWEEN 10 AND 50 END AS ok FROM c
+), m AS (SELECT part, median(v) FILTER (ok) AS middle FROM o GROUP BY part)
+SELECT event_id, ['Furosemide', 'Vancomycin', 'Calcium Gluconate', 'Heparin', 'Sodium'][part + 1] AS name, round(CASE WHEN ok THEN v ELSE middle END, 6) AS valuenum,
+  ['mg', 'g', 'g', 'units', 'mEq/L'][part + 1] AS valueuom FROM o JOIN m USING (part) WHERE ok OR part <> 4""",
+    "item_labels": """SELECT itemid, coalesce(nullif(p_name, ''), '') AS label
+FROM (SELECT DISTINCT l_partkey AS itemid FROM lineitem WHERE l_quantity IS NOT NULL AND l_partkey IS NOT NULL) LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = itemid""",
+    "number_for_text": f"WITH {_E} SELECT event_id, CASE WHEN variable <> 'view' THEN CAST(itemid AS DOUBLE) END AS valuenum, CAST(NULL AS VARCHAR) AS value FROM e",
+    "stay_minutes": f"""WITH {_E}, t AS (SELECT *, {_MINUTE} AS minute FROM e)
+SELECT event_id, minute, CAST(c_nationkey AS BIGINT) AS hadm_id, stay_id * 10 AS subject_id FROM t JOIN customer ON c_custkey = stay_id""",
+    "null_counts": f"""WITH {_E} SELECT count(*) FILTER (variable = 'error') AS variable, count(*) FILTER (NOT value > 20) AS value,
+  count(*) FILTER (itemid IS NULL) AS itemid, count(*) AS rows FROM e""",
+    "required_rows": f"WITH {_E} SELECT event_id, value FROM e WHERE value BETWEEN 0 AND 390",
+    "running_mean": f"WITH {_E} SELECT stay_id, event_id, round(avg(value) OVER (PARTITION BY stay_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS running_mean FROM e",
+    "noise_loss": """SELECT CAST(label AS BIGINT) AS label, round(sum((CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)) ** 2) / sum(vec_id % 7), 6) AS loss
+FROM embeddings GROUP BY label""",
+    "display_labels": f"""WITH {_E} SELECT event_id,
+  ['HR (bpm)', 'SBP (mmHg)', 'DBP (mmHg)', 'Temperature (°C)', 'SpO₂ (%)', 'Sodium'][event_id % 6 + 1] AS label FROM e""",
+    "prediction_rows": f"""WITH {_SUMMARY}, u AS (SELECT *, CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE label * 0.5::DOUBLE END AS f, label * 3.0::DOUBLE AS mu FROM g)
+SELECT vec_id AS sample_id, 's' || label AS signal, CAST(vec_id % 10 AS DOUBLE) AS minute, round(actual * f + mu, 6) AS actual, round(median * f + mu, 6) AS predicted_median,
+  round(mean * f + mu, 6) AS predicted_mean, round(p025 * f + mu, 6) AS predicted_p025, round(p975 * f + mu, 6) AS predicted_p975 FROM u""",
+    "plot_quartiles": f"""WITH {_DRAWS}, g AS (
+  SELECT vec_id, label, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS level, unnest(quantile_cont(draw, [0.25, 0.5, 0.75])) AS forecast FROM r GROUP BY vec_id, label
+) SELECT label, level, round(avg(forecast), 6) AS forecast FROM g GROUP BY label, level""",
+    "row_chunks": "SELECT o_orderkey, ntile(20) OVER (ORDER BY o_orderkey) - 1 AS chunk FROM orders",
+    "shuffled_batches": """SELECT subject_id, place // 32 AS batch, place % 32 AS slot
+FROM (SELECT c_custkey AS subject_id, row_number() OVER (ORDER BY md5('2026:3:' || c_custkey), c_custkey) - 1 AS place FROM customer)""",
+    "target_arrays": f"""WITH {_ROWS}, y AS (
+  SELECT stay_id, row_number() OVER (PARTITION BY stay_id ORDER BY minute, variable) - 1 AS pos, i.vind, minute, value
+  FROM s JOIN (SELECT variable, row_number() OVER (ORDER BY variable) - 1 AS vind FROM (SELECT DISTINCT variable FROM e)) i USING (variable) WHERE is_target = 1
+) SELECT i.stay_id, i.pos, coalesce(CAST(vind AS DOUBLE), 5) AS vind, coalesce(CAST(minute AS DOUBLE), -1) AS minute, round(coalesce(value, 0), 6) AS value,
+  CASE WHEN y.pos IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS mask
+FROM (SELECT stay_id, unnest(range(30)) AS pos FROM (SELECT DISTINCT stay_id FROM y)) i LEFT JOIN y USING (stay_id, pos)""",
 }

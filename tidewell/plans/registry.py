@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import expressions as X
+from tidewell.functions import catalog, expressions as X
 from tidewell.operators import align, extract, forecast, metrics, normalise, split, triplets, windows
-from tidewell.operators.numbering import hash_rank
+from tidewell.operators.joins import small
+from tidewell.operators.numbering import hash_rank, row_chunks as row_blocks, shuffled_batches as batches_of
 
 TARGETS = ["click", "view", "error"]
 SEED = 2026
@@ -241,23 +242,23 @@ def balanced_triplets(spark, d):
 
 
 def draw_rows(spark, d):
-    e = load(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
-    return metrics.long_draws(e.withColumn("actual", F.col("embedding")[0].cast("double")), ["vec_id", "label", "actual"], "embedding")
+    e = load(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").alias("draws"))
+    return e.withColumn("actual", F.col("draws")[0].cast("double"))
 
 
 def forecast_summary(spark, d):
-    out = metrics.forecast_summary(draw_rows(spark, d), ["vec_id", "label", "actual"])
+    out = metrics.array_summary(draw_rows(spark, d), ["vec_id", "label", "actual"])
     return rounded(out, "actual", "predicted_median", "predicted_mean", "predicted_p025", "predicted_p975")
 
 
 def masked_mse(spark, d):
-    means = draw_rows(spark, d).groupBy("vec_id", "label", "actual").agg(F.avg("draw").alias("mean"))
+    means = metrics.array_means(draw_rows(spark, d), ["vec_id", "label", "actual"])
     means = means.withColumn("mask", F.when(F.col("vec_id") % 5 == 0, 0.0).otherwise(1.0))
     return rounded(metrics.masked_mse(means, ["label"]), "mse")
 
 
 def signal_mse(spark, d):
-    rows = metrics.forecast_summary(draw_rows(spark, d), ["vec_id", "label", "actual"])
+    rows = metrics.array_summary(draw_rows(spark, d), ["vec_id", "label", "actual"])
     rows = rows.select(F.col("label").alias("signal"), "actual", F.col("predicted_median").alias("median"), F.col("predicted_mean").alias("mean"), (F.col("label") * 0.5).cast("double").alias("std"))
     signals = spark.range(0, 12).select(F.col("id").alias("signal"))
     names = [f"mse_{c}_{s}" for c in ("median", "mean") for s in ("standardized", "original")]
@@ -265,7 +266,7 @@ def signal_mse(spark, d):
 
 
 def quantile_crps(spark, d):
-    q = metrics.quantiles(draw_rows(spark, d), ["vec_id", "label", "actual"], metrics.TEST_LEVELS).withColumn("mask", F.lit(1.0))
+    q = metrics.array_quantiles(draw_rows(spark, d), ["vec_id", "label", "actual"], metrics.TEST_LEVELS).withColumn("mask", F.lit(1.0))
     return rounded(metrics.quantile_crps(q, ["label"]), "crps")
 
 
@@ -305,6 +306,111 @@ def empirical_forecast(spark, d):
     return made.select("stay_id", "pos", "vind", "minute", "actual", F.array_join(F.transform("draws", lambda x: F.round(x, 6).cast("string")), ",").alias("draws"))
 
 
+def rename_columns(spark, d):
+    raw = load(spark, d, "orders").select(F.col("o_orderkey").alias("ICUSTAY_ID"), F.col("o_custkey").alias("HADM_ID"), F.col("o_totalprice").alias("Amount"))
+    return extract.rename_all(raw, extract.engine_name)
+
+
+def cast_columns(spark, d):
+    raw = load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("text"), F.col("ts").cast("string").alias("at"))
+    number = F.col("k").try_cast("double")
+    return raw.select("event_id", F.col("k").try_cast("long").alias("itemid"), (number / 2).alias("half"), F.col("text").try_cast("double").alias("none"), F.col("at").try_cast("timestamp_ntz").alias("at"))
+
+
+#: Rules of the query drug_rules; item keys modulo 5 stand for the items.
+DRUGS = [
+    catalog.Rule("Furosemide", ("input",), 0.0, 40.0, "mg", catalog.MEDIAN, ("mg",), True),
+    catalog.Rule("Vancomycin", ("input",), 0.0, 0.03, "g", catalog.MEDIAN, (), False, True),
+    catalog.Rule("Calcium Gluconate", ("input",), 0.0, 20.0, "g", catalog.MEDIAN, ("mg", "gm"), True, True),
+    catalog.Rule("Heparin", ("input",), 0.0, 30.0, "units", catalog.MEDIAN, ("gm",)),
+    catalog.Rule("Sodium", ("input",), 10.0, 50.0, "mEq/L", catalog.DROP),
+]
+
+
+def drug_rules(spark, d):
+    unit = F.when(F.col("variable") == "click", "mg").when(F.col("variable") == "error", "gm").otherwise("ml")
+    amount = F.when(F.col("value") < 3, 0.0).otherwise(F.col("value"))
+    raw = events(spark, d).select("event_id", (F.col("itemid") % 5).alias("itemid"), F.lit("input").alias("source"), F.lit(None).cast("string").alias("value"), amount.alias("valuenum"), unit.alias("valueuom"))
+    items = spark.createDataFrame([(r.feature, i) for i, r in enumerate(DRUGS)], "feature string, itemid long")
+    clean = extract.apply_rules(raw, small(catalog.item_table(items)), small(catalog.rule_table(spark, DRUGS)))
+    return rounded(clean.select("event_id", "name", "valuenum", "valueuom"), "valuenum")
+
+
+def item_labels(spark, d):
+    raw = extract.with_values(load(spark, d, "lineitem").select(F.col("l_partkey").alias("itemid"), "l_quantity"), "l_quantity")
+    items = load(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("itemid"), F.nullif("p_name", F.lit("")).alias("label"))
+    return extract.item_labels(raw, items)
+
+
+def number_for_text(spark, d):
+    raw = events(spark, d).select("event_id", F.when(F.col("variable") == "view", F.col("variable")).otherwise(F.col("itemid").cast("string")).alias("value"))
+    return extract.number_for_text(raw)
+
+
+def stay_minutes(spark, d):
+    e = events(spark, d)
+    starts = e.groupBy("stay_id").agg(F.min("charttime").alias("intime"))
+    people = load(spark, d, "customer").select(F.col("c_custkey").alias("stay_id"), F.col("c_nationkey").cast("long").alias("hadm_id"))
+    stays = starts.join(people, "stay_id").select("stay_id", "hadm_id", (F.col("stay_id") * 10).alias("subject_id"), "intime")
+    timed = align.with_minutes(e, stays)
+    return timed.join(stays.select("stay_id", "hadm_id", "subject_id"), "stay_id").select("event_id", "minute", "hadm_id", "subject_id")
+
+
+def null_counts(spark, d):
+    e = events(spark, d).select(F.nullif("variable", F.lit("error")).alias("variable"), F.when(F.col("value") > 20, F.col("value")).alias("value"), "itemid")
+    return extract.null_counts(e, "variable", "value", "itemid")
+
+
+def required_rows(spark, d):
+    kept = events(spark, d).filter(X.in_range(F.col("value"), 0, 390))
+    return extract.required(kept, F.col("value").isNotNull(), "a value is missing").select("event_id", "value")
+
+
+def running_mean(spark, d):
+    return rounded(metrics.running_mean(events(spark, d).select("stay_id", "event_id", "value"), ["stay_id"], ["event_id"], "value").drop("value"), "running_mean", places=9)
+
+
+def noise_loss(spark, d):
+    e = draw_rows(spark, d).select("label", (F.col("draws")[1].cast("double") - F.col("actual")).alias("residual"), (F.col("vec_id") % 7).alias("length"))
+    return rounded(metrics.noise_loss(e, ["label"], "residual", "length"), "loss")
+
+
+def display_labels(spark, d):
+    names = [*catalog.TARGETS, "Sodium"]
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    e = events(spark, d).select("event_id", name.alias("name"))
+    return e.select("event_id", metrics.display_label(F.col("name"), catalog.SHOWN_NAMES, catalog.SHOWN_UNITS).alias("label"))
+
+
+def prediction_rows(spark, d):
+    made = draw_rows(spark, d).select("vec_id", F.concat(F.lit("s"), F.col("label")).alias("signal"), (F.col("vec_id") % 10).alias("minute"), "actual", "draws")
+    stats = spark.range(10).select(F.concat(F.lit("s"), F.col("id")).alias("signal"), (F.col("id") * 3.0).alias("mean"), (F.col("id") * 0.5).alias("std"))
+    out = metrics.prediction_rows(made, stats, "vec_id")
+    return rounded(out, "actual", "predicted_median", "predicted_mean", "predicted_p025", "predicted_p975")
+
+
+def plot_quartiles(spark, d):
+    q = metrics.array_quantiles(draw_rows(spark, d), ["vec_id", "label"], [0.25, 0.5, 0.75])
+    return rounded(q.groupBy("label", "level").agg(F.avg("forecast").alias("forecast")), "forecast")
+
+
+def row_chunks(spark, d):
+    return row_blocks(load(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+def shuffled_batches(spark, d):
+    return batches_of(subjects(spark, d), "subject_id", SEED, 3)
+
+
+def target_arrays(spark, d):
+    index = align.variable_index(events(spark, d).select(F.col("variable").alias("name")), TARGETS).select("vind", F.col("name").alias("variable"))
+    rows = sample_table(spark, d).filter("is_target = 1").join(F.broadcast(index), "variable")  # five variables
+    arrays = triplets.target_arrays(rows, "stay_id", len(TARGETS), 5)
+    names = ["vind", "minute", "value", "mask"]
+    zipped = arrays.select("stay_id", F.posexplode(F.arrays_zip(*(F.col(f"y_{n}").alias(n) for n in names))))
+    return rounded(zipped.select("stay_id", F.col("pos").cast("long").alias("pos"), *(F.col("col")[n].alias(n) for n in names)), "value")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -313,5 +419,7 @@ QUERIES = {
         list_intervals, dense_index, union_sources, static_side_rows, stay_max_minute, window_candidates, first_window, window_samples, sample_lengths,
         patient_split, norm_stats, zscore, unscale_roundtrip, last_n_per_target, pad_triplets, balanced_triplets, forecast_summary, masked_mse,
         signal_mse, quantile_crps, cumprod_schedule, forward_noise, topk_examples, seeded_shuffle, metrics_json_struct, empirical_forecast,
+        rename_columns, cast_columns, drug_rules, item_labels, number_for_text, stay_minutes, null_counts, required_rows, running_mean, noise_loss,
+        display_labels, prediction_rows, plot_quartiles, row_chunks, shuffled_batches, target_arrays,
     )
 }
