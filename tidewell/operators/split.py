@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.numbering import hash_rank
+from tidewell.sources.tables import read_metadata
 
 TRAIN, VALID = "0.64D", "0.80D"
 
@@ -27,6 +30,14 @@ def split_subjects(subjects: DataFrame, seed: int, subject: str = "subject_id")
     return ranked.select(subject, "place", part.alias("split"))
 
 
+def check_seed_file(path: str, seed: int) -> bool:
+    """check_seed() on a metadata file; a missing file or seed is warned about."""
+    fine = check_seed(read_metadata(path), seed)
+    if not fine:
+        warnings.warn(f"{path} names no split seed; the split can't be checked", stacklevel=2)
+    return fine
+
+
 def check_seed(stored: dict | None, seed: int) -> bool:
     """True if stored run metadata has the seed; False, for the caller to warn, if it has none; raises if it differs."""
     if not stored or stored.get("split_seed") is None:

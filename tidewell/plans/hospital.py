@@ -13,7 +13,7 @@ from tidewell.operators.forecast import Forecaster
 from tidewell.operators.joins import small
 from tidewell.operators.numbering import ordered_rank
 from tidewell.operators import metrics as M
-from tidewell.sources.tables import read_hospital, write_table
+from tidewell.sources.tables import metrics_json, plot_data, read_hospital, write_json, write_predictions, write_table
 
 
 @dataclass
@@ -100,17 +100,68 @@ def build(spark: SparkSession, folder: str, item_map: DataFrame, out: str, seed:
     history = t["scaled"].filter("is_target = 0").select("stay_id", "pos", "vind", "minute", "value")
     wanted, given = [index[n] for n in targets], [index[n] for n in catalog.INTERVENTIONS if n in index]
     t["triplets"] = write_table(triplets.balanced(history, "stay_id", wanted, given, seed=seed), f"{out}/triplets")
+    last = t["variables"].count()
+    future = t["scaled"].filter("is_target = 1").select("stay_id", "vind", "minute", "value")
+    t["inputs"] = write_table(triplets.fixed_arrays(t["triplets"], "stay_id", triplets.X_SIZE, "x", last), f"{out}/inputs")
+    t["targets"] = write_table(triplets.target_arrays(future, "stay_id", len(targets), last), f"{out}/targets")
     return t
 
 
-def evaluate(tables: dict[str, DataFrame], forecaster: Forecaster, draws: int = 100, levels: list[float] | None = None) -> DataFrame:
-    """One row with crps and mse of the test samples in standardized units."""
-    rows = tables["scaled"].filter("split = 'test'")
-    if rows.isEmpty():
-        raise ValueError("no test samples")
-    made = forecaster.forecast(rows, draws)
+TABLES = ("stays", "events", "minutes", "variables", "rows", "split", "stats", "scaled", "triplets", "inputs", "targets")
+
+
+def stored(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The tables that build() wrote."""
+    return {name: spark.read.parquet(f"{out}/{name}") for name in TABLES}
+
+
+def model_rows(tables: dict[str, DataFrame], split: str) -> DataFrame:
+    """What a forecaster sees of a split's samples: the chosen history events and the target events, in standardized units."""
+    own = tables["scaled"].filter(F.col("split") == split)
+    columns = ["stay_id", "pos", "vind", "minute", "value"]
+    history = tables["triplets"].join(own.select("stay_id").distinct(), "stay_id", "left_semi").select(*columns, F.lit(0).alias("is_target"))
+    return history.unionByName(own.filter("is_target = 1").select(*columns, F.lit(1).alias("is_target")))
+
+
+def draws_of(tables: dict[str, DataFrame], forecaster: Forecaster, draws: int, split: str = "test") -> DataFrame:
+    """The forecaster's draws for a split: stay_id, pos, vind, minute, actual and draws."""
+    if draws < 1:
+        raise ValueError("at least one draw is needed")
+    rows = model_rows(tables, split)
+    if rows.filter("is_target = 1").isEmpty():
+        raise ValueError(f"no {split} samples")
+    return forecaster.forecast(rows, draws)
+
+
+def scores(made: DataFrame, levels: list[float] | None = None) -> DataFrame:
+    """One row with crps and mse of draws in standardized units."""
     keys = ["stay_id", "pos"]
     q = M.array_quantiles(made, [*keys, "actual"], levels or M.TEST_LEVELS).withColumn("mask", F.lit(1.0))
     crps = M.quantile_crps(q.withColumn("run", F.lit(0)), ["run"])
     mean = M.array_means(made, [*keys, "actual"]).withColumns({"mask": F.lit(1.0), "run": F.lit(0)})
-    return crps.join(M.masked_mse(mean, ["run"]), "run").drop("run")
+    return crps.join(M.masked_mse(mean, ["run"]), "run").drop("run")  # one row each
+
+
+def evaluate(tables: dict[str, DataFrame], forecaster: Forecaster, draws: int = 100, levels: list[float] | None = None, split: str = "test") -> DataFrame:
+    """One row with crps and mse of a split's samples in standardized units."""
+    return scores(draws_of(tables, forecaster, draws, split), levels)
+
+
+def report(tables: dict[str, DataFrame], forecaster: Forecaster, out: str, draws: int = 100, examples: int = 3) -> dict[str, DataFrame]:
+    """Draws, predictions, metrics by signal and plot data of the test samples, written below `out`; the tables by name."""
+    names = small(tables["variables"].select("vind", F.col("name").alias("signal")))
+    stats = tables["stats"].select(F.col("variable").alias("signal"), "mean", "std")
+    made = write_table(draws_of(tables, forecaster, draws).join(names, "vind"), f"{out}/draws")
+    t = {"draws": made, "predictions": M.prediction_rows(made, stats, "stay_id")}
+    write_predictions(t["predictions"], f"{out}/predictions")
+    summed = M.array_summary(made, ["stay_id", "pos", "signal", "actual"]).join(small(stats), "signal")
+    by = summed.select("signal", "actual", F.col("predicted_median").alias("median"), F.col("predicted_mean").alias("mean"), "std")
+    by_signal = M.mse_by_signal(by, tables["variables"].filter("is_target").select(F.col("name").alias("signal")))
+    shown = M.display_label(F.col("signal"), catalog.SHOWN_NAMES, catalog.SHOWN_UNITS)
+    t["by_signal"] = by_signal.withColumn("label", shown)
+    t["metrics"] = write_table(scores(made), f"{out}/result")
+    write_json(metrics_json(t["metrics"], t["by_signal"]), f"{out}/metrics")
+    first = made.select("stay_id").distinct().orderBy("stay_id").limit(examples)
+    plotted = made.join(F.broadcast(first), "stay_id", "left_semi")  # `examples` rows
+    t["plots"] = write_table(plot_data(M.long_draws(plotted, ["stay_id", "signal", "pos", "minute", "actual"]), ["stay_id", "signal", "pos", "minute", "actual"]), f"{out}/plots")
+    return t

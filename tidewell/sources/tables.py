@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.functions.schemas import INPUTS, PREDICTIONS
+from tidewell.functions.schemas import INPUTS, PREDICTIONS, struct
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -107,17 +108,65 @@ class Config:
     @classmethod
     def from_dict(cls, given: dict) -> Config:
         kinds = {"train": TrainConfig, "diffusion": DiffusionConfig}
-        return cls(**{k: kinds[k](**v) if k in kinds else v for k, v in given.items()})
+        known = {k: v for k, v in given.items() if k in cls.__dataclass_fields__}
+        return cls(**{k: kinds[k](**v) if k in kinds else v for k, v in known.items()})
 
     @classmethod
     def read(cls, path: str) -> Config:
+        """Settings of a JSON file, or of a YAML file with scalars in one level of blocks."""
         with open(path) as f:
-            return cls.from_dict(json.load(f))
+            text = f.read()
+        return cls.from_dict(json.loads(text) if text.lstrip().startswith("{") else read_blocks(text))
 
     def metadata(self, **more) -> dict:
         return {"seed": self.seed, "config": asdict(self), **more}
 
 
+def read_blocks(text: str) -> dict:
+    """The scalars of a YAML text: `key: value` lines, and blocks of indented ones below `key:`."""
+    out: dict = {}
+    block = out
+    for line in text.splitlines():
+        bare = line.split(" #")[0].rstrip()
+        if not bare or bare.lstrip().startswith("#") or bare == "---":
+            continue
+        key, colon, value = (part.strip() for part in bare.partition(":"))
+        if not colon:
+            raise ValueError(f"not a setting: {line!r}")
+        block = block if line[0] in " \t" else out
+        if not value:
+            block = out[key] = {}
+            continue
+        try:
+            block[key] = json.loads(value)
+        except json.JSONDecodeError:
+            try:
+                block[key] = float(value)
+            except ValueError:
+                block[key] = value.strip("'\"")
+    return out
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """feature and itemid, from a CSV file with these columns or from the tables of a Markdown file.
+
+    In Markdown, tables with the columns `feature` and `item ids` count; their identifiers are the whole numbers of the cell.
+    """
+    if not path.endswith(".md"):
+        return read_csv(spark, path, struct("feature string, itemid long"))
+    rows, at = [], None
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            cells = [c.strip() for c in line.strip().strip("|").split("|")]
+            if not line.startswith("|"):
+                at = None
+            elif "feature" in cells and "item ids" in cells:
+                at = cells.index("feature"), cells.index("item ids")
+            elif at and len(cells) > max(at):
+                rows += [(cells[at[0]], int(i)) for i in re.findall(r"\b\d+\b", cells[at[1]])]
+    return spark.createDataFrame(rows, "feature string, itemid long").distinct()
+
+
 def write_metadata(path: str, metadata: dict) -> None:
     with open(path, "w") as f:
         json.dump(metadata, f, indent=2, sort_keys=True)
