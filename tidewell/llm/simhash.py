@@ -276,11 +276,14 @@ def with_shingles(df: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
 
 
 def with_views(df: DataFrame, views: int = VIEWS) -> DataFrame:
-    """doc_id, node and fps (VIEW_BITS bits for each view) of every row of df (doc_id, text)."""
+    """doc_id, node and fps (VIEW_BITS bits for each view) of every row of df (doc_id, text).
+
+    Each distinct shingle counts once, as in the similarity that verifies: long texts of one vocabulary would else be alike in their common shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [view_fingerprints(ngram_hashes(t.as_py(), VIEW_WORDS), views) for t in batch.column(1)]
+            found = [view_fingerprints(np.unique(ngram_hashes(t.as_py(), VIEW_WORDS)), views) for t in batch.column(1)]
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * views)
             fps = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], names=["doc_id", "node", "fps"])
