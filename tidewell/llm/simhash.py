@@ -42,7 +42,6 @@ HALF = SEGMENT // 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.multiply.accumulate(np.full(256, _BASE, np.uint64))
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
-PART_ROWS = 1024  #: members of a large candidate group that meet its leaders in one part
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -318,10 +317,11 @@ def view_links(firsts: DataFrame) -> DataFrame:
     return halved.alias("l").join(halved.alias("r"), near).select(F.greatest("l.first", "r.first").alias("a"), F.least("l.first", "r.first").alias("b"))
 
 
-def candidate_links(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the nodes of rows (node, fps) which link in any view, about one for each node.
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a the larger, of the nodes of rows (node, fps) which link in any view.
 
-    Every node is linked to its least neighbour, and its other smaller neighbours too; it has 49 a view at most.
+    Nodes with equal fingerprints of a view pair with the least of them, which has the neighbours of that fingerprint: a node has 49 pairs a view
+    at most, but for those least ones.
     """
     seen = rows.select("node", F.posexplode("fps").alias("view", "fp"))
     firsts = seen.groupBy("view", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -329,61 +329,60 @@ def candidate_links(rows: DataFrame) -> DataFrame:
     equal = firsts.filter("first <> last")
     ends = equal.select(F.col("last").alias("a"), F.col("first").alias("b"))
     more = seen.join(equal.filter("n > 2").select("view", "fp", "first"), ["view", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    edges = ends.unionByName(more.filter("a <> b")).unionByName(view_links(firsts.select("view", "fp", "first")))
-    smaller = edges.groupBy("a").agg(F.collect_set("b").alias("bs")).select("a", "bs", F.array_min("bs").alias("b"))
-    others = smaller.select(F.explode("bs").alias("a"), "b").filter("a <> b")
-    return smaller.select("a", "b").unionByName(others).distinct()
+    pairs = ends.unionByName(more.filter("a <> b")).unionByName(view_links(firsts.select("view", "fp", "first")))
+    return written(pairs.distinct(), "view-pairs")
 
 
-def _alike(left: DataFrame, right: DataFrame, which, similarity: float) -> DataFrame:
-    """Edges (a, b) of the rows of left and right of one root whose shingles have the Jaccard similarity; two empty sets are alike."""
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.root") == F.col("r.root")) & which)
-    x, y = F.size("l.hashes"), F.size("r.hashes")
-    pairs = pairs.filter(F.least(x, y) >= similarity * F.greatest(x, y))
-    both = F.size(F.array_intersect("l.hashes", "r.hashes"))
-    return pairs.filter(both >= similarity * (x + y - both)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+def _similar(left, right, similarity: float):
+    """Whether two columns of distinct hashes have the Jaccard similarity; two empty sets have it."""
+    x, y = F.size(left), F.size(right)
+    both = F.size(F.array_intersect(left, right))
+    return (F.least(x, y) >= similarity * F.greatest(x, y)) & (both >= similarity * (x + y - both))
 
 
-def verified_links(members: DataFrame, similarity: float = 0.8, whole: int = 64) -> DataFrame:
-    """Edges (a, b) within each root of members (root, node, hashes) whose exact Jaccard similarity is the given one or more.
+def _verified(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of members (node, hashes) that have the similarity."""
+    left, right = (members.select(F.col("node").alias(end), F.col("hashes").alias(f"hashes_{end}")) for end in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").filter(_similar(F.col("hashes_a"), F.col("hashes_b"), similarity)).select("a", "b")
 
-    Roots of up to whole members have all their pairs compared. In larger ones leaders are compared with every member:
-    at first the least node, then four times as many in each round, taken from those that have no link yet, until all are
-    linked or were leaders. So no node stays alone without having been compared with all of its root; what isn't sought in large
-    roots is a further link between two nodes that have links already. A large root's members are dealt to parts of about
-    PART_ROWS, and its leaders to all of them, so no task holds a whole root.
+
+def verified_links(members: DataFrame, pairs: DataFrame, similarity: float = 0.8, whole: int = 64) -> DataFrame:
+    """Edges (a, b) of members (root, node, hashes) whose exact Jaccard similarity is the given one or more; root is a component of pairs.
+
+    Roots of up to whole members have all their pairs compared. In larger ones the candidate pairs themselves are: at first each node with its
+    least candidate, then every pair whose ends these links don't connect yet. So the components are those of all similar candidate pairs, and the
+    work on a root grows with its pairs, not with the square of its members.
     """
     sizes = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
     small = members.join(sizes.filter(F.col("n") <= whole).select("root"), "root", "left_semi")
-    edges = written(_alike(small, small, F.col("l.node") < F.col("r.node"), similarity), "near-edges")
-    parts = sizes.filter(F.col("n") > whole).select("root", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
-    large = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    which = (F.col("l.root") == F.col("r.root")) & (F.col("l.node") < F.col("r.node")) & _similar(F.col("l.hashes"), F.col("r.hashes"), similarity)
+    edges = small.alias("l").join(small.alias("r"), which).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    large = members.join(sizes.filter(F.col("n") > whole).select("root"), "root", "left_semi").select("node", "hashes")
     large = written(large, "near-large")
-    alone, leaders = large.select("root", "node"), 1
-    while not alone.isEmpty():
-        order = Window.partitionBy("root").orderBy("node")
-        lead = written(alone.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders).select("node"), "near-leaders")
-        chosen = large.join(lead, "node", "left_semi")
-        chosen = chosen.select("root", "node", "hashes", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        found = written(_alike(chosen, large, (F.col("l.part") == F.col("r.part")) & (F.col("l.node") != F.col("r.node")), similarity), "near-edges")
-        edges = edges.unionByName(found)
-        done = lead.unionByName(found.select(F.col("b").alias("node"))).distinct()
-        alone, leaders = written(alone.join(done, "node", "left_anti"), "near-alone"), 4 * leaders
-    return edges
+    open_pairs = written(pairs.join(large.select(F.col("node").alias("a")), "a", "left_semi"), "near-pairs")
+    least = open_pairs.groupBy("a").agg(F.min("b").alias("b"))
+    first = written(_verified(least, large, similarity), "near-edges")
+    roots = written(components(first), "near-roots")
+    for end in ("a", "b"):
+        reached = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        open_pairs = open_pairs.join(reached, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    apart = open_pairs.filter("root_a <> root_b").select("a", "b")
+    return edges.unionByName(first).unionByName(_verified(apart, large, similarity))
 
 
 def without_near_copies(df: DataFrame, similarity: float = 0.8, views: int = VIEWS, whole: int = 64) -> DataFrame:
     """The least doc_id of each group of near copies in df (doc_id, text), one row for each group.
 
-    Texts that link in any view are candidates; in the components of these, texts link when their distinct five-word shingles
-    have the similarity exactly, and groups are the components of these links. A text of fewer than five words is one shingle;
+    Texts that link in any view are candidates; texts of one component of these (in one of more than whole texts: the candidate pairs) link
+    when their distinct five-word shingles have the similarity exactly, and groups are the components of these links. A text of fewer than five words is one shingle;
     null and empty texts have none and are copies of each other. A null doc_id stands for a group only where it has no other. Equal
     texts are one group, repeated rows among them. Long texts are read whole. An empty df gives an empty result; other columns are ignored.
     """
     docs = written(with_views(df, views), "view-docs")
-    roots = components(candidate_links(docs))
+    pairs = candidate_pairs(docs)
+    roots = components(pairs)
     texts = df.select(_node(), "text").join(roots, "node").dropDuplicates(["node"])
     members = written(with_shingles(texts), "near-members")
     nodes = docs.groupBy("node").agg(F.min("doc_id").alias("least"))
-    _, least = _least(nodes, components(verified_links(members, similarity, whole)))
+    _, least = _least(nodes, components(verified_links(members, pairs, similarity, whole)))
     return least.select(F.col("component_id").alias("doc_id"))
