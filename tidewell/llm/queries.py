@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exact_dedup, html_main, language_id, licenses, neighbours, packing, pieces, quality, sharding, simhash
+from tidewell.llm import exact_dedup, html_main, language_id, licenses, neighbours, packing, pieces, quality, sharding, simhash, toxicity
 from tidewell.llm.shared import table
 
 
@@ -50,6 +50,11 @@ def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, from class-conditional Kneser-Ney models of labels.toxic."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
     "op2_rotated_bit_neighbours": op2_rotated_bit_neighbours,
@@ -61,6 +66,7 @@ QUERIES = {
     "op8_bm25_packing": op8_bm25_packing,
     "op9_streaming_dedup": op9_streaming_dedup,
     "op10_consensus_html": op10_consensus_html,
+    "op12_kneser_ney_toxicity": op12_kneser_ney_toxicity,
 }
 
 ORACLE = {
