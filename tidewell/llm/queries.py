@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exact_dedup, html_main, language_id, licenses, neighbours, packing, pieces, quality, sharding, simhash, toxicity
+from tidewell.llm import collocations, exact_dedup, html_main, language_id, licenses, neighbours, packing, pieces, quality, sharding, simhash, toxicity
 from tidewell.llm.shared import table
 
 
@@ -50,6 +50,11 @@ def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best 2000 phrases of all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, from class-conditional Kneser-Ney models of labels.toxic."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -66,6 +71,7 @@ QUERIES = {
     "op8_bm25_packing": op8_bm25_packing,
     "op9_streaming_dedup": op9_streaming_dedup,
     "op10_consensus_html": op10_consensus_html,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_kneser_ney_toxicity": op12_kneser_ney_toxicity,
 }
 
@@ -80,5 +86,35 @@ WITH d AS (
 )
 SELECT r.doc_id, g.keep_id, g.group_size, r.place = 1 AS kept, sha256(r.clean) AS text_sha256
 FROM r JOIN g ON r.clean = g.clean
+""",
+    "op11_phrase_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), s AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words, count(*) AS copies FROM s GROUP BY ALL
+), q AS (
+  SELECT *, len(words) AS m FROM p WHERE len(words) > 0
+), u AS (
+  SELECT lang, sum(copies * m) AS n FROM q GROUP BY lang
+), g AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS gram, sum(copies) AS f
+  FROM (SELECT lang, copies, words, k, unnest(range(1, m - k + 2)) AS i FROM q, range(1, 6) AS t(k) WHERE m >= k) GROUP BY ALL HAVING sum(copies) >= 100
+), c AS (
+  SELECT lang, gram AS phrase, k AS size, f AS a, string_split(gram, ' ') AS words FROM g WHERE k > 1
+), x AS (
+  SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS first, array_to_string(words[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
+), y AS (
+  SELECT x.lang, phrase, a, x.k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM x JOIN u USING (lang) JOIN g l ON l.lang = x.lang AND l.gram = first JOIN g r ON r.lang = x.lang AND r.gram = rest
+), z AS (
+  SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), o AS (
+  SELECT lang, array_to_string(words[i : i + k - 1], ' ') AS phrase, max(a) AS inside
+  FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM c WHERE size > 2)) GROUP BY ALL
+)
+SELECT z.lang, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, z.phrase) AS rank, z.phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM z LEFT JOIN o ON o.lang = z.lang AND o.phrase = z.phrase WHERE inside IS NULL OR 100 * inside < 100 * a QUALIFY rank <= 2000
 """,
 }
