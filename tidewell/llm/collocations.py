@@ -125,7 +125,7 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     try:
         with duckdb.connect(config={"memory_limit": BUCKET_MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False}) as duck:
             duck.register("rows", pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches)))
-            found = duck.execute("SELECT lang, gram, sum(f)::BIGINT AS f FROM rows GROUP BY lang, gram HAVING sum(f) >= ?", [least])
+            found = duck.sql("SELECT lang, gram, sum(f)::BIGINT AS f FROM rows GROUP BY lang, gram HAVING sum(f) >= $least", params={"least": least})
             yield from (b.cast(schema) for b in found.to_arrow_reader(1 << 16))
     finally:
         shutil.rmtree(folder, ignore_errors=True)
