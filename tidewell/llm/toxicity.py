@@ -18,9 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +32,7 @@ LONGEST_WORD = 10  #: letters of a word that are read
 FOLDS = 3
 SMALL, LARGE = 1.0, 3.0
 KNOWN_WORDS = 300_000  #: differences that a task keeps at hand
-WORD = regex.compile(r"\p{L}+")
+NO_LETTERS = r"\P{L}+"
 COUNTS = [f"{c}{k}" for c in ("t", "o") for k in range(FOLDS)]
 
 
@@ -44,11 +43,16 @@ def held_out(column: str = "doc_id") -> Column:
 
 def document_words(df: DataFrame, *keys: str) -> DataFrame:
     """keys and word of every distinct word (its first LONGEST_WORD letters and an end mark) of each row of df (keys, text)."""
-    words = F.transform(F.split(F.lower("text"), r"\P{L}+"), lambda w: F.substring(w, 1, LONGEST_WORD))
+    words = F.transform(F.split(F.lower("text"), NO_LETTERS), lambda w: F.substring(w, 1, LONGEST_WORD))
     word = F.explode(F.array_remove(F.array_distinct(words), "")).alias("word")
     return df.select(*keys, word).select(*keys, F.concat("word", F.lit("$")).alias("word"))
 
 
+def spaced_words(text: Column) -> Column:
+    """The text's lower-cased words with a space between."""
+    return F.regexp_replace(F.lower(text), NO_LETTERS, " ")
+
+
 def beginnings(words: DataFrame, *counts: str) -> DataFrame:
     """id, parent and the summed counts of every beginning, the empty one too, of the words in words (word, counts).
 
@@ -127,20 +131,20 @@ def differences(ids: np.ndarray, parents: np.ndarray, toxic: np.ndarray, ordinar
 
 
 class Reader:
-    """Features of lower-cased texts under one model; keeps the differences of words that it has seen."""
+    """Features of texts, given as their words, under one model; keeps the differences of words that it has seen."""
 
     def __init__(self, model: Differences):
         self.model, self.known = model, {}
 
     def of(self, text: str) -> tuple[float, float, float]:
-        words = [w[:LONGEST_WORD] + "$" for w in WORD.findall(text)]
+        words = text.split()
         if not words:
             return 0.0, 0.0, 0.0
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        fresh = list({w for w in words if w not in self.known})
-        self.known.update(zip(fresh, self.model.of(fresh).tolist()))
-        d = np.fromiter((self.known[w] for w in words), float, len(words))
+        fresh = list(set(words).difference(self.known))
+        self.known.update(zip(fresh, self.model.of([w[:LONGEST_WORD] + "$" for w in fresh]).tolist()))
+        d = np.fromiter(map(self.known.get, words), float, len(words))
         n = len(words)
         return float(d.mean()), float(np.log1p(20 * np.maximum(d - SMALL, 0).sum() / n)), float(np.log1p(np.maximum(d - LARGE, 0).sum() / np.sqrt(n)))
 
@@ -180,13 +184,13 @@ def sample_ids(df: DataFrame, labels: DataFrame) -> list[tuple[int, int, int]]:
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = df.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).join(marked, "doc_id")
     sizes = sizes.withColumn("draw", F.xxhash64("doc_id", F.lit("toxicity")))
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "doc_id"))  # Spark keeps SAMPLE_DOCS of each class in every partition
-    first = sizes.withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS).select("toxic", "place", "doc_id", "size").collect()
-    out, room = [], dict(SAMPLE_BYTES)
-    for toxic, place, doc_id, size in sorted(tuple(r) for r in first):
-        if size <= room[toxic]:
-            room[toxic] -= size
-            out.append((doc_id, toxic, place % FOLDS))
+    out = []
+    for toxic, room in SAMPLE_BYTES.items():
+        first = sizes.filter(F.col("toxic") == toxic).orderBy("draw", "doc_id").limit(SAMPLE_DOCS).select("doc_id", "size").collect()
+        for place, (doc_id, size) in enumerate(first):
+            if size <= room:
+                room -= size
+                out.append((doc_id, toxic, place % FOLDS))
     return out
 
 
@@ -232,7 +236,7 @@ def fit(df: DataFrame, labels: DataFrame) -> Toxicity:
             a, b, c = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.float64()) for v in (a, b, c))], names=["toxic", "a", "b", "c"])
 
-    seen = in_arrow(rows.select("toxic", "fold", F.lower("text").alias("text")), run, "toxic int, a double, b double, c double").toArrow()  # a row for each of the sample's
+    seen = in_arrow(rows.select("toxic", "fold", spaced_words(F.col("text")).alias("text")), run, "toxic int, a double, b double, c double").toArrow()  # a row for each of the sample's
     features = np.stack([seen.column(c).to_numpy() for c in "abc"], axis=1)
     marks = seen.column("toxic").to_numpy()
     order = np.lexsort((*features.T, marks))  # the curve doesn't depend on the order of rows
@@ -243,7 +247,7 @@ def fit(df: DataFrame, labels: DataFrame) -> Toxicity:
 def with_scores(df: DataFrame, model: Toxicity, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in carry and toxicity_score of every row of df (doc_id, text)."""
     out = [*dict.fromkeys(["doc_id", *carry])]
-    narrow = df.select(*out, F.lower(text_or_empty()).alias("_text"))
+    narrow = df.select(*out, spaced_words(text_or_empty()).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.model)
