@@ -1,8 +1,8 @@
 import datetime as dt
+import hashlib
 import math
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,29 +125,50 @@ def test_stats_and_scores(spark):
     assert rows(back, "variable", "value") == rows(df.filter("variable < 'c'"), "variable", "value")
 
 
-def test_choose_takes_exactly_size():
-    rng = np.random.default_rng(0)
-    for _ in range(60):
-        n, size = int(rng.integers(1, 80)), int(rng.integers(5, 30))
-        vind, minute = rng.integers(0, 7, n), np.sort(rng.integers(0, 30, n))
-        got = triplets.choose(vind, minute, [0, 1, 2], [5], size, rng.permutation(n))
-        assert len(got) == min(n, size) == len(set(got.tolist()))
-        if n > size:
-            for v in (0, 1, 2):
-                assert set(np.flatnonzero(vind == v)[-1:]) <= set(got.tolist()) or size < 10
-
-
-def test_choose_fills_targets_evenly():
-    vind = np.array([0] * 10 + [1] * 10 + [2] * 4)
-    got = triplets.choose(vind, np.arange(24), [0, 1], [], 10, np.arange(24))
-    assert sorted(vind[got].tolist()).count(0) == 5 and 2 not in vind[got]
-
-
-def test_balanced_in_spark(spark):
-    data = [(s, p, p % 3, p, float(p)) for s in (1, 2) for p in range(20 if s == 1 else 4)]
+def greedy(events, targets, interventions, size, seed, sample):
+    """Places of the chosen events (vind of each), by a plain loop."""
+    if len(events) <= size:
+        return set(range(len(events)))
+    last = lambda v, n: [i for i, x in enumerate(events) if x == v][-n:]
+    chosen = set(sorted({i for v in targets for i in last(v, 3)} | {i for v in interventions for i in last(v, 1)})[-size:])
+    still = list(targets)
+    while len(chosen) < size and still:
+        counts = [sum(events[i] == v for i in chosen) for v in still]
+        k = next((j for j in range(len(still) - 1) if counts[j] <= counts[j + 1]), len(still) - 1)
+        unused = [i for i, x in enumerate(events) if x == still[k] and i not in chosen]
+        if unused:
+            chosen.add(unused[0])
+        else:
+            still.pop(k)
+    rest = sorted((i for i in range(len(events)) if i not in chosen), key=lambda i: hashlib.md5(f"{seed}:{sample}:{i}".encode()).hexdigest())
+    return chosen | set(rest[: size - len(chosen)])
+
+
+@pytest.mark.parametrize("targets, interventions, size", [([0, 1, 2], [5], 12), ([2, 0], [0, 4], 7), ([1], [], 3), ([], [3], 5), ([0, 1, 2, 3], [4, 5], 30)])
+def test_balanced_equals_a_plain_loop(spark, targets, interventions, size):
+    rng = random.Random(size)
+    samples = {s: [rng.choice([0, 0, 1, 2, 2, 2, 3, 4, 5, 6]) for _ in range(rng.randrange(1, 60))] for s in range(25)}
+    minutes = {s: sorted(rng.randrange(30) for _ in events) for s, events in samples.items()}
+    data = [(s, p, v, minutes[s][p], float(p)) for s, events in samples.items() for p, v in enumerate(events)]
     df = spark.createDataFrame(data, "stay_id long, pos int, vind int, minute long, value double")
-    got = triplets.balanced(df, "stay_id", [0], [2], size=8)
-    assert {r["stay_id"]: r["count"] for r in got.groupBy("stay_id").count().collect()} == {1: 8, 2: 4}
+    made = triplets.balanced(df, "stay_id", targets, interventions, size, seed=5)
+    got = {}
+    for r in made.orderBy("stay_id", "slot").collect():
+        got.setdefault(r["stay_id"], []).append(r["pos"])
+        assert r["slot"] == len(got[r["stay_id"]]) - 1 and r["vind"] == samples[r["stay_id"]][r["pos"]]
+    for s, events in samples.items():
+        want = greedy(events, targets, interventions, size, 5, s)
+        order = sorted(want) if len(events) <= size else sorted(want, key=lambda i: (minutes[s][i], events[i], i))
+        assert got[s] == order
+
+
+def test_balanced_plan_has_one_shuffle_and_no_python(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0, 1.0)], "stay_id long, pos int, vind int, minute long, value double")
+    made = triplets.balanced(df, "stay_id", [0], [2], size=8)
+    assert made.count() == 1
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Python" not in plan and "Pandas" not in plan
+    assert triplets.balanced(df.filter("pos > 0"), "stay_id", [0], [2]).count() == 0
 
 
 def test_crps_is_zero_for_certain_draws(spark):

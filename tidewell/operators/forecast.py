@@ -5,7 +5,7 @@ A forecaster turns samples into draws. Neural networks stay outside; the sampler
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -35,7 +35,9 @@ class EmpiricalForecaster:
         history = rows.filter("is_target = 0").groupBy(s, "vind").agg(F.sort_array(F.collect_list("value")).alias("_seen"))
         wanted = rows.filter("is_target = 1").select(s, "pos", "vind", "minute", F.col("value").alias("actual"))
         joined = wanted.join(history, [s, "vind"], "left")
-        pick = lambda i: F.get("_seen", F.pmod(F.xxhash64(F.lit(self.seed), F.col(s), F.col("pos"), i), F.size("_seen")).cast("int"))
+        digest = lambda i: F.md5(F.concat_ws(":", F.lit(self.seed), F.col(s).cast("string"), F.col("pos").cast("string"), i.cast("string")))
+        number = lambda i: F.conv(F.substring(digest(i), 1, 8), 16, 10).cast("long")
+        pick = lambda i: F.get("_seen", (number(i) % F.size("_seen")).cast("int"))
         drawn = F.when(F.size("_seen") > 0, F.transform(F.sequence(F.lit(1), F.lit(draws)), pick)).otherwise(F.array_repeat(F.lit(0.0), draws))
         return joined.select(s, "pos", "vind", "minute", "actual", drawn.alias("draws"))
 
@@ -90,14 +92,3 @@ class DiffusionForecaster:
 
         ship(rows.sparkSession)
         return rows.groupBy(s).applyInPandas(run, f"{s} long, pos int, vind int, minute long, actual double, draws array<double>")
-
-
-def in_batches(df: DataFrame, score: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A scorer over Arrow batches, for models that are loaded once in each worker."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield score(part)
-
-    ship(df.sparkSession)
-    return df.mapInPandas(run, schema)

@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.shipping import ship
-
 X_SIZE, Y_PER_TARGET, PAD_MINUTE = 60, 10, -1
 
 
@@ -38,60 +34,70 @@ def pad_tokens(variable, minute, mask, last_variable: int):
     return F.when(mask == 1, variable).otherwise(F.lit(last_variable)), F.when(mask == 1, minute).otherwise(F.lit(PAD_MINUTE))
 
 
-def choose(vind: np.ndarray, minute: np.ndarray, targets: list[int], interventions: list[int], size: int, order: np.ndarray) -> np.ndarray:
-    """Positions of exactly `size` history events, in time order; all of them if there are no more.
+def _take_turns(counts, left, room, steps: int):
+    """How many events each target gets while targets are filled evenly.
 
-    The last three of each target and the last of each intervention come first. Then targets are filled evenly, always
-    the first target that has no more chosen events than the next, with its earliest unused event; when targets run out,
-    the rest follows in the given order.
+    counts and left are arrays with the chosen and the unused events of each target, in the targets' order. The first target that has no
+    more chosen events than the next open one gets the next event; a target without unused events closes. Ends when `room` events are taken or all
+    targets are closed.
     """
-    n = len(vind)
-    if n <= size:
-        return np.arange(n)
-    chosen: set[int] = set()
-    for v in targets:
-        chosen.update(np.flatnonzero(vind == v)[-3:].tolist())
-    for v in interventions:
-        chosen.update(np.flatnonzero(vind == v)[-1:].tolist())
-    chosen = set(sorted(chosen)[-size:])
-    open_targets = list(targets)
-    counts = {v: sum(vind[i] == v for i in chosen) for v in open_targets}
-    waiting = {v: [i for i in np.flatnonzero(vind == v).tolist() if i not in chosen][::-1] for v in open_targets}
-    while len(chosen) < size and open_targets:
-        j = 0
-        while j < len(open_targets) - 1 and counts[open_targets[j]] > counts[open_targets[j + 1]]:
-            j += 1
-        v = open_targets[j]
-        if waiting[v]:
-            chosen.add(waiting[v].pop())
-            counts[v] += 1
-        else:
-            open_targets.pop(j)
-    for i in order:
-        if len(chosen) >= size:
-            break
-        chosen.add(int(i))
-    places = np.array(sorted(chosen))
-    return places[np.lexsort((vind[places], minute[places]))]
+    add = lambda values, at, by: F.transform(values, lambda x, i: F.when(i == at, x + by).otherwise(x))
+    start = F.struct(
+        counts.alias("counts"), left.alias("left"), F.transform(counts, lambda x, i: i).alias("open"), F.transform(counts, lambda x: F.lit(0).cast("long")).alias("taken"), room.cast("long").alias("room")
+    )
+
+    def turn(s, _):
+        count = lambda p: F.get(s["counts"], F.get(s["open"], p))
+        fitting = lambda p: (p == F.size(s["open"]) - 1) | (count(p) <= count(p + 1))
+        place = F.get(F.filter(F.sequence(F.lit(0), F.size(s["open"]) - 1), fitting), F.lit(0))
+        at = F.get(s["open"], place)
+        has = F.get(s["left"], at) > 0
+        one = F.when(has, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        after = F.struct(
+            add(s["counts"], at, one).alias("counts"), add(s["left"], at, -one).alias("left"),
+            F.when(has, s["open"]).otherwise(F.filter(s["open"], lambda x: x != at)).alias("open"), add(s["taken"], at, one).alias("taken"), (s["room"] - one).alias("room"),
+        )
+        return F.when((s["room"] <= 0) | (F.size(s["open"]) == 0), s).otherwise(after)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, turn, lambda s: s["taken"])
 
 
 def balanced(rows: DataFrame, sample: str, targets: list[int], interventions: list[int], size: int = X_SIZE, seed: int = 0) -> DataFrame:
-    """The rows (sample, pos, vind, minute, value) that choose() picks, with slot from 0. A sample is a bounded window."""
-    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(sample)))
-    whole = counted.filter(F.col("_n") <= size).drop("_n")  # nothing to choose: their events in order
-    slot = F.row_number().over(Window.partitionBy(sample).orderBy("pos")) - 1
-    whole = whole.withColumn("slot", slot.cast("int"))
-    keyed = counted.filter(F.col("_n") > size).drop("_n").withColumn("_draw", F.xxhash64(F.lit(seed), F.col(sample), F.col("pos")))
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos", kind="stable").reset_index(drop=True)
-        places = choose(group["vind"].to_numpy(), group["minute"].to_numpy(), targets, interventions, size, group["_draw"].argsort(kind="stable").to_numpy())
-        out = group.iloc[places].drop(columns="_draw")
-        return out.assign(slot=np.arange(len(out), dtype=np.int32))
-
-    ship(rows.sparkSession)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return whole.unionByName(keyed.groupBy(sample).applyInPandas(pick, f"{fields}, slot int"))
+    """`size` rows (sample, pos, vind, minute, value) of every sample, with slot from 0; all rows of a sample that has no more.
+
+    The last three of each target and the last of each intervention come first, of these the last `size`. Then targets are filled evenly,
+    each with its earliest unused events, see _take_turns; the rest follows in the order of a seeded hash. Chosen rows are numbered by
+    minute and variable, those of a sample without a choice by pos. pos is unique in a sample and a sample is a bounded window; its
+    rows are shuffled once, and stay in the JVM.
+    """
+    whole = Window.partitionBy(sample)
+    target, given = F.col("vind").isin(targets), F.col("vind").isin(interventions) & ~F.col("vind").isin(targets)
+    marked = rows.withColumn("_n", F.count(F.lit(1)).over(whole))
+    back = F.row_number().over(Window.partitionBy(sample, "vind").orderBy(F.desc("pos")))
+    marked = marked.withColumn("_back", back)
+    marked = marked.withColumn("_recent", (target & (F.col("_back") <= 3)) | (given & (F.col("_back") <= 1)))
+    marked = marked.withColumn("_late", F.row_number().over(Window.partitionBy(sample, "_recent").orderBy(F.desc("pos"))))
+    marked = marked.withColumn("_kept", F.col("_recent") & (F.col("_late") <= size))
+    marked = marked.withColumn("_place", F.row_number().over(Window.partitionBy(sample, "vind", "_kept").orderBy("pos")))
+    if targets:
+        tally = lambda kept: F.array(*(F.count_if((F.col("vind") == v) & (F.col("_kept") == kept)).over(whole) for v in targets))
+        room = F.lit(size) - F.count_if("_kept").over(whole)
+        first = F.row_number().over(whole.orderBy("pos")) == 1
+        marked = marked.withColumns({"_counts": tally(True), "_left": tally(False), "_room": room, "_first": first})
+        turns = F.when(F.col("_first"), _take_turns(F.col("_counts"), F.col("_left"), F.col("_room"), size + len(targets)))  # once for a sample
+        marked = marked.withColumn("_turns", F.max(turns).over(whole))
+        own = F.get("_turns", F.array_position(F.array(*map(F.lit, targets)), F.col("vind")).cast("int") - 1)
+        fill = F.coalesce(~F.col("_kept") & (F.col("_place") <= own), F.lit(False))
+    else:
+        fill = F.lit(False)
+    marked = marked.withColumn("_chosen", F.col("_kept") | fill)
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col(sample).cast("string"), F.col("pos").cast("string")))
+    drawn = F.row_number().over(Window.partitionBy(sample, "_chosen").orderBy(draw, "pos"))
+    marked = marked.withColumns({"_drawn": drawn, "_free": F.lit(size) - F.count_if("_chosen").over(whole)})
+    chosen = marked.filter(F.col("_chosen") | (F.col("_drawn") <= F.col("_free")))
+    many = F.col("_n") > size
+    slot = F.row_number().over(whole.orderBy(F.when(many, F.col("minute")), F.when(many, F.col("vind")), "pos")) - 1
+    return chosen.withColumn("slot", slot.cast("int")).select(*rows.columns, "slot")
 
 
 def batches(df: DataFrame, size: int = 32) -> Iterator[list]:

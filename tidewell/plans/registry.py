@@ -238,7 +238,8 @@ def pad_triplets(spark, d):
 
 
 def balanced_triplets(spark, d):
-    return rounded(triplets.balanced(history_rows(spark, d), "stay_id", [0, 1, 4], [2], size=12, seed=SEED), "value")
+    made = triplets.balanced(history_rows(spark, d), "stay_id", [0, 1, 4], [2], size=12, seed=SEED)
+    return rounded(made.withColumns({c: F.col(c).cast("long") for c in ("pos", "vind", "slot")}), "value")
 
 
 def draw_rows(spark, d):
@@ -303,7 +304,8 @@ def empirical_forecast(spark, d):
     order = Window.partitionBy("stay_id").orderBy("is_target", "minute", "variable")
     rows = rows.join(index, "variable").withColumn("pos", F.row_number().over(order) - 1)
     made = forecast.EmpiricalForecaster(SEED).forecast(rows, 20)
-    return made.select("stay_id", "pos", "vind", "minute", "actual", F.array_join(F.transform("draws", lambda x: F.round(x, 6).cast("string")), ",").alias("draws"))
+    text = F.array_join(F.transform("draws", lambda x: F.round(x, 6).cast("decimal(18,6)").cast("string")), ",")
+    return rounded(made.select("stay_id", F.col("pos").cast("long").alias("pos"), F.col("vind").cast("long").alias("vind"), "minute", "actual", text.alias("draws")), "actual")
 
 
 def rename_columns(spark, d):
