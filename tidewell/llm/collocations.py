@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from tidewell.operators.joins import small
 
 LEAST, LONGEST, TOP, ABSORBED = 100, 5, 2000, 100
 FILTER_BITS = 26  #: a filter has 2 ** FILTER_BITS bits, 8 MiB, whatever the input
-HELD = 300_000  #: sums, and looked-up n-grams, that a task holds
+HELD, WAITING = 400_000, 100_000  #: sums that a task holds, and n-grams that wait to be added to them
+REMEMBERED, MANY_LANGUAGES = 200_000, 50  #: looked-up n-grams of a language, and languages, that a task remembers
 BUCKET_MEMORY = "400MB"
 WORD_SALTS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,60 +59,62 @@ def filter_of(grams: DataFrame) -> np.ndarray:
     return out
 
 
-class Known:
-    """Membership in a filter, remembered for the n-grams seen last."""
+class Known(dict):
+    """Which n-grams of a language a filter lets through, by lookup; remembers those seen last."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.seen = bits, {}
+    def __init__(self, bits: np.ndarray, lang: str):
+        super().__init__()
+        self.bits, self.prefix = bits, f"{lang}\x00"
 
-    def has(self, lang: str, gram: str) -> bool:
-        key = (lang, gram)
-        found = self.seen.get(key)
-        if found is None:
-            h, mask = xxhash.xxh64_intdigest(f"{lang}\x00{gram}".encode(), 42), (1 << FILTER_BITS) - 1
-            found = all(self.bits[p >> 3] >> (p & 7) & 1 for p in (h & mask, h >> 32 & mask))
-            if len(self.seen) >= HELD:
-                self.seen.clear()
-            self.seen[key] = found
+    def __missing__(self, gram: str) -> bool:
+        h, mask = xxhash.xxh64_intdigest((self.prefix + gram).encode(), 42), (1 << FILTER_BITS) - 1
+        found = all(self.bits[p >> 3] >> (p & 7) & 1 for p in (h & mask, h >> 32 & mask))
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[gram] = found
         return found
 
 
-def _words(filters: list[Known], lang: str, words: list[str]) -> Iterator[str]:
-    yield from words
+def _runs(flags: list[bool], least: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the longest runs of true flags that have `least` or more."""
+    marks = bytes(flags)
+    at = marks.find(b"\x01" * least)
+    while at >= 0:
+        end = marks.find(b"\x00", at)
+        end = len(marks) if end < 0 else end
+        yield at, end
+        at = marks.find(b"\x01" * least, end)
 
 
-def _chains(filters: list[Known], lang: str, words: list[str]) -> Iterator[list[str]]:
-    """The longest runs of words of which each word, and each pair if there is a second filter, is in the filters; two words or more."""
-    word, pair = filters[0], filters[1] if len(filters) > 1 else None
-    run: list[str] = []
-    for w in words:
-        if not word.has(lang, w):
-            if len(run) > 1:
-                yield run
-            run = []
-        elif run and pair is not None and not pair.has(lang, f"{run[-1]} {w}"):
-            if len(run) > 1:
-                yield run
-            run = [w]
-        else:
-            run.append(w)
-    if len(run) > 1:
-        yield run
+def _words(known: list[Known], words: list[str]) -> list[str]:
+    return words
 
 
-def _pairs(filters: list[Known], lang: str, words: list[str]) -> Iterator[str]:
-    for run in _chains(filters, lang, words):
-        yield from map(" ".join, zip(run, run[1:]))
+def _pairs(known: list[Known], words: list[str]) -> list[str]:
+    """Pairs of neighbours that are both in the first filter."""
+    found = known[0]
+    out: list[str] = []
+    for at, end in _runs([found[w] for w in words], 2):
+        out += map(" ".join, zip(words[at : end - 1], words[at + 1 : end]))
+    return out
 
 
-def _longer(filters: list[Known], lang: str, words: list[str]) -> Iterator[str]:
-    for run in _chains(filters, lang, words):
-        for size in range(3, LONGEST + 1):
-            for i in range(len(run) - size + 1):
-                yield " ".join(run[i : i + size])
+def _longer(known: list[Known], words: list[str]) -> list[str]:
+    """N-grams of three words and more whose words are in the first filter and whose pairs are in the second."""
+    single, double = known
+    out: list[str] = []
+    for at, end in _runs([single[w] for w in words], 3):
+        run = words[at:end]
+        pairs = list(map(" ".join, zip(run, run[1:])))
+        for i, j in _runs([double[p] for p in pairs], 2):
+            grams = pairs[i:j]
+            for size in range(3, LONGEST + 1):
+                grams = [f"{g} {w}" for g, w in zip(grams, run[i + size - 1 : j + 1])]
+                out += grams
+    return out
 
 
-def _batch(sums: dict[str, dict[str, int]]) -> pa.RecordBatch:
+def _batch(sums: dict[str, Counter]) -> pa.RecordBatch:
     langs = [lang for lang, own in sums.items() for _ in own]
     grams, counts = [g for own in sums.values() for g in own], [n for own in sums.values() for n in own.values()]
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "f"])
@@ -135,19 +139,33 @@ def counted(of: DataFrame, grams: Callable, filters: list[np.ndarray], least: in
     """lang, gram and f of the n-grams of pieces (lang, piece, copies) that occur `least` times or more."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Known(bits) for bits in filters]
-        sums: dict[str, dict[str, int]] = {}
-        held = 0
+        known: dict[str, list[Known]] = {}
+        sums: dict[str, Counter] = {}
+        single: dict[str, list[str]] = {}
+        waiting = 0
         for batch in batches:
             for lang, piece, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                own = sums.setdefault(lang, {})
-                before = len(own)
-                for gram in grams(known, lang, piece.split(" ")):
-                    own[gram] = own.get(gram, 0) + copies
-                held += len(own) - before
-                if held >= HELD:
-                    yield _batch(sums)
-                    sums, held = {}, 0
+                if lang not in known:
+                    known[lang] = [Known(bits, lang) for bits in filters]
+                    if len(known) > MANY_LANGUAGES:  # memory stays bounded whatever the column holds
+                        known = {lang: known[lang]}
+                found = grams(known[lang], piece.split(" "))
+                waiting += len(found)
+                if copies == 1:
+                    single.setdefault(lang, []).extend(found)
+                elif found:
+                    own = sums.setdefault(lang, Counter())
+                    for gram in found:
+                        own[gram] += copies
+                if waiting >= WAITING:
+                    for name, held in single.items():
+                        sums.setdefault(name, Counter()).update(held)
+                    single, waiting = {}, 0
+                    if sum(map(len, sums.values())) >= HELD:
+                        yield _batch(sums)
+                        sums = {}
+        for name, held in single.items():
+            sums.setdefault(name, Counter()).update(held)
         yield _batch(sums)
 
     parts = in_arrow(of.select("lang", "piece", "copies"), seen, KIND).repartition("lang", "gram")
