@@ -76,13 +76,17 @@ def reverse_draws(start: np.ndarray, denoise: Callable[[np.ndarray, int], np.nda
 
 
 class DiffusionForecaster:
-    """Draws by reverse diffusion with a given denoiser (x, step, rows of the sample) over Arrow batches."""
+    """Draws by reverse diffusion with a given denoiser (x, step, rows of the sample) over Arrow batches.
 
-    def __init__(self, denoise: Callable, seed: int = 0, steps: int = 50, sample: str = "stay_id"):
-        self.denoise, self.seed, self.steps, self.sample = denoise, seed, steps, sample
+    beta is the schedule that the denoiser was trained with, that of schedule(steps) if none is given.
+    """
+
+    def __init__(self, denoise: Callable, seed: int = 0, steps: int = 50, sample: str = "stay_id", beta: np.ndarray | None = None):
+        self.denoise, self.seed, self.sample = denoise, seed, sample
+        self.beta = schedule(steps) if beta is None else np.asarray(beta, float)
 
     def forecast(self, rows: DataFrame, draws: int) -> DataFrame:
-        denoise, seed, beta, s = self.denoise, self.seed, schedule(self.steps), self.sample
+        denoise, seed, beta, s = self.denoise, self.seed, self.beta, self.sample
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
             wanted = group[group["is_target"] == 1].sort_values("pos")

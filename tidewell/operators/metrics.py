@@ -102,13 +102,19 @@ def noise_loss(df: DataFrame, by: list[str], residual: str, length: str) -> Data
     return df.groupBy(*by).agg(F.try_divide(F.sum(F.pow(F.col(residual), 2)), F.sum(length)).alias("loss"))
 
 
+def display_unit(name, units: dict[str, str]):
+    """A signal's unit as shown; null where it has none."""
+    unit = F.lit(None).cast("string")
+    for key, text in units.items():
+        unit = F.when(name == key, F.lit(text)).otherwise(unit)
+    return unit
+
+
 def display_label(name, names: dict[str, str], units: dict[str, str]):
     """A signal's name as shown, with its unit in brackets where it has one."""
-    shown, unit = name, F.lit(None).cast("string")
+    shown, unit = name, display_unit(name, units)
     for key, text in names.items():
         shown = F.when(name == key, F.lit(text)).otherwise(shown)
-    for key, text in units.items():
-        unit = F.when(name == key, F.lit(text)).otherwise(unit)
     return F.when(unit.isNull(), shown).otherwise(F.concat(shown, F.lit(" ("), unit, F.lit(")")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.numbering import hash_rank
@@ -30,9 +30,9 @@ def split_subjects(subjects: DataFrame, seed: int, subject: str = "subject_id")
     return ranked.select(subject, "place", part.alias("split"))
 
 
-def check_seed_file(path: str, seed: int) -> bool:
-    """check_seed() on a metadata file; a missing file or seed is warned about."""
-    fine = check_seed(read_metadata(path), seed)
+def check_seed_file(spark: SparkSession, path: str, seed: int) -> bool:
+    """check_seed() on stored metadata; missing metadata or a missing seed is warned about."""
+    fine = check_seed(read_metadata(spark, path), seed)
     if not fine:
         warnings.warn(f"{path} names no split seed; the split can't be checked", stacklevel=2)
     return fine

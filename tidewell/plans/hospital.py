@@ -13,6 +13,7 @@ from tidewell.operators.forecast import Forecaster
 from tidewell.operators.joins import small
 from tidewell.operators.numbering import ordered_rank
 from tidewell.operators import metrics as M
+from tidewell.sources.stages import Run
 from tidewell.sources.tables import metrics_json, plot_data, read_hospital, write_json, write_predictions, write_table
 
 
@@ -81,29 +82,44 @@ def sample_rows(minutes: DataFrame, targets: list[str]) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(order) - 1)
 
 
-def build(spark: SparkSession, folder: str, item_map: DataFrame, out: str, seed: int = 2026, targets: list[str] | None = None) -> dict[str, DataFrame]:
-    """All stages, each written as a table below `out`; the tables by name."""
+def build(spark: SparkSession, folder: str, item_map: DataFrame, out: str, seed: int = 2026, targets: list[str] | None = None, x_size: int = triplets.X_SIZE) -> dict[str, DataFrame]:
+    """All stages, each written as a table of a run below `out`; the tables by name.
+
+    A run that broke off goes on behind its last finished stage; else a new one begins, and the tables of earlier runs stay as they
+    are. Every stage's rows and nulls are counted as they are written and kept in the run's manifest. A stage fails that has a row without a key,
+    or a value without a number in a feature whose bad values were dropped.
+    """
     targets = targets or catalog.TARGETS
     h = Hospital.read(spark, folder)
+    run = Run.open(spark, out, {"folder": folder, "seed": seed, "targets": targets, "x_size": x_size})
+    null = lambda *names: {f"no_{n}": F.col(n).isNull() for n in names}
+    number = X.missing(F.col("valuenum"))
+    dropped = F.col("name").isin([r.feature for r in catalog.rules() if r.policy == catalog.DROP])
+    sources = {f"from_{s}": F.col("source").eqNullSafe(s) for s in ("chart", "lab", "output", "input")}
     t: dict[str, DataFrame] = {}
-    t["stays"] = write_table(adult_stays(h), f"{out}/stays")
-    t["events"] = write_table(clean_events(h, t["stays"], item_map), f"{out}/events")
-    t["minutes"] = write_table(minute_table(t["events"], t["stays"]), f"{out}/minutes")
-    t["variables"] = write_table(align.variable_index(t["minutes"].select(F.col("variable").alias("name")), targets, catalog.INTERVENTIONS), f"{out}/variables")
-    t["rows"] = write_table(sample_rows(t["minutes"], targets), f"{out}/rows")
-    t["split"] = write_table(split.split_subjects(t["rows"].select("subject_id"), seed), f"{out}/split")
+    t["stays"] = run.stage("stays", lambda: adult_stays(h), null("stay_id", "hadm_id"), ("no_stay_id",))
+    counts = {**sources, **null("name"), "no_number": number, "dropped_but_no_number": number & dropped}
+    t["events"] = run.stage("events", lambda: clean_events(h, t["stays"], item_map), counts, ("no_name", "dropped_but_no_number"))
+    keys = null("stay_id", "minute", "variable")
+    t["minutes"] = run.stage("minutes", lambda: minute_table(t["events"], t["stays"]), {**keys, "no_value": X.missing(F.col("value"))}, tuple(keys))
+    names = t["minutes"].select(F.col("variable").alias("name"))
+    t["variables"] = run.stage("variables", lambda: align.variable_index(names, targets, catalog.INTERVENTIONS), {"targets": F.col("is_target")})
+    t["rows"] = run.stage("rows", lambda: sample_rows(t["minutes"], targets), {"history": F.col("is_target") == 0, "target": F.col("is_target") == 1})
+    t["split"] = run.stage("split", lambda: split.split_subjects(t["rows"].select("subject_id"), seed), {p: F.col("split") == p for p in ("train", "valid", "test")})
     known = t["rows"].join(t["split"].filter("split <> 'test'").select("subject_id"), "subject_id", "left_semi").filter("is_target = 0")
-    t["stats"] = write_table(normalise.fit_stats(known, t["variables"].select(F.col("name").alias("variable"))), f"{out}/stats")
-    scaled = normalise.scale(t["rows"], t["stats"]).join(t["variables"].select(F.col("name").alias("variable"), "vind"), "variable")
-    t["scaled"] = write_table(scaled.join(t["split"].select("subject_id", "split"), "subject_id"), f"{out}/scaled")
+    variables = t["variables"].select(F.col("name").alias("variable"), "vind")
+    t["stats"] = run.stage("stats", lambda: normalise.fit_stats(known, variables), {"unseen": F.isnan("mean")})
+    scaled = lambda: normalise.scale(t["rows"], t["stats"]).join(variables, "variable").join(t["split"].select("subject_id", "split"), "subject_id")
+    t["scaled"] = run.stage("scaled", scaled, {"no_score": X.missing(F.col("value"))})
     index = {r["name"]: r["vind"] for r in t["variables"].filter("is_target or is_intervention").collect()}
     history = t["scaled"].filter("is_target = 0").select("stay_id", "pos", "vind", "minute", "value")
     wanted, given = [index[n] for n in targets], [index[n] for n in catalog.INTERVENTIONS if n in index]
-    t["triplets"] = write_table(triplets.balanced(history, "stay_id", wanted, given, seed=seed), f"{out}/triplets")
+    t["triplets"] = run.stage("triplets", lambda: triplets.balanced(history, "stay_id", wanted, given, x_size, seed), null("slot"), ("no_slot",))
     last = t["variables"].count()
     future = t["scaled"].filter("is_target = 1").select("stay_id", "vind", "minute", "value")
-    t["inputs"] = write_table(triplets.fixed_arrays(t["triplets"], "stay_id", triplets.X_SIZE, "x", last), f"{out}/inputs")
-    t["targets"] = write_table(triplets.target_arrays(future, "stay_id", len(targets), last), f"{out}/targets")
+    t["inputs"] = run.stage("inputs", lambda: triplets.fixed_arrays(t["triplets"], "stay_id", x_size, "x", last))
+    t["targets"] = run.stage("targets", lambda: triplets.target_arrays(future, "stay_id", len(targets), last))
+    run.finish()
     return t
 
 
@@ -111,8 +127,14 @@ TABLES = ("stays", "events", "minutes", "variables", "rows", "split", "stats", "
 
 
 def stored(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The tables that build() wrote."""
-    return {name: spark.read.parquet(f"{out}/{name}") for name in TABLES}
+    """The tables of the last finished run below `out`."""
+    run = Run.latest(spark, out)
+    return {name: run.read(name) for name in TABLES}
+
+
+def stage_counts(spark: SparkSession, out: str) -> dict[str, dict[str, int]]:
+    """The counts of each stage of the last finished run."""
+    return Run.latest(spark, out).done
 
 
 def model_rows(tables: dict[str, DataFrame], split: str) -> DataFrame:
@@ -158,7 +180,7 @@ def report(tables: dict[str, DataFrame], forecaster: Forecaster, out: str, draws
     by = summed.select("signal", "actual", F.col("predicted_median").alias("median"), F.col("predicted_mean").alias("mean"), "std")
     by_signal = M.mse_by_signal(by, tables["variables"].filter("is_target").select(F.col("name").alias("signal")))
     shown = M.display_label(F.col("signal"), catalog.SHOWN_NAMES, catalog.SHOWN_UNITS)
-    t["by_signal"] = by_signal.withColumn("label", shown)
+    t["by_signal"] = by_signal.withColumns({"label": shown, "unit": M.display_unit(F.col("signal"), catalog.SHOWN_UNITS)})
     t["metrics"] = write_table(scores(made), f"{out}/result")
     write_json(metrics_json(t["metrics"], t["by_signal"]), f"{out}/metrics")
     first = made.select("stay_id").distinct().orderBy("stay_id").limit(examples)

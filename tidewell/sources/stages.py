@@ -1,12 +1,17 @@
-"""Writing a stage's table with counts and assertions taken in the same pass."""
+"""Writing a stage's table with counts and assertions taken in the same pass, and runs of stages that go on where they broke off."""
 
 from __future__ import annotations
 
+import json
 import logging
 import os
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger("tidewell.stages")
@@ -49,3 +54,80 @@ def write_stage(df: DataFrame, path: str, counts: dict[str, Column] | None = Non
     if broken := [name for name in none_of if found[name]]:
         raise StageError("; ".join(f"{path}: {found[name]} rows with {name}" for name in broken))
     return found
+
+
+MANIFEST = "run string, number long, settings string, stage string, counts string"
+COMPLETE = "complete"
+
+
+def existing(spark: SparkSession, path: str, fmt: str, schema: str | None = None) -> DataFrame | None:
+    """The table at a path; None if nothing is there."""
+    try:
+        reader = spark.read.format(fmt)
+        return (reader.schema(schema) if schema else reader).load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+@dataclass
+class Run:
+    """One run of stages below a folder. Every run has a folder of its own, so readers of an earlier one are left alone.
+
+    The manifest beside the runs has a row for each finished stage with its counts, and one for a finished run.
+    """
+
+    spark: SparkSession
+    folder: str
+    name: str
+    number: int
+    settings: str
+    done: dict[str, dict[str, int]] = field(default_factory=dict)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, settings: dict) -> Run:
+        """The last run if it broke off and had the same settings, else a new one."""
+        text = json.dumps(settings, sort_keys=True)
+        rows = cls._manifest(spark, folder)
+        last = max((r["number"] for r in rows), default=-1)
+        own = [r for r in rows if r["number"] == last]
+        if own and own[0]["settings"] == text and all(r["stage"] != COMPLETE for r in own):
+            return cls(spark, folder, own[0]["run"], last, text, {r["stage"]: json.loads(r["counts"]) for r in own})
+        return cls(spark, folder, uuid.uuid4().hex, last + 1, text)
+
+    @classmethod
+    def latest(cls, spark: SparkSession, folder: str) -> Run:
+        """The last finished run."""
+        rows = cls._manifest(spark, folder)
+        ended = [r for r in rows if r["stage"] == COMPLETE]
+        if not ended:
+            raise FileNotFoundError(f"no finished run in {folder}")
+        last = max(ended, key=lambda r: r["number"])
+        done = {r["stage"]: json.loads(r["counts"]) for r in rows if r["run"] == last["run"] and r["stage"] != COMPLETE}
+        return cls(spark, folder, last["run"], last["number"], last["settings"], done)
+
+    @staticmethod
+    def _manifest(spark: SparkSession, folder: str) -> list:
+        found = existing(spark, f"{folder}/manifest", "json", MANIFEST)
+        return found.collect() if found is not None else []  # a row for each stage and run
+
+    def path(self, stage: str) -> str:
+        return f"{self.folder}/runs/{self.name}/{stage}"
+
+    def read(self, stage: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(stage))
+
+    def stage(self, name: str, make: Callable[[], DataFrame], counts: dict[str, Column] | None = None, none_of: tuple[str, ...] = ()) -> DataFrame:
+        """The stage's table, made and written unless this run has it; see write_stage."""
+        if name not in self.done:
+            self.done[name] = write_stage(make(), self.path(name), counts, none_of)
+            self._note(name, self.done[name])
+        return self.read(name)
+
+    def finish(self) -> None:
+        self._note(COMPLETE, {})
+
+    def _note(self, stage: str, counts: dict[str, int]) -> None:
+        row = (self.name, self.number, self.settings, stage, json.dumps(counts, sort_keys=True))
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.folder}/manifest")

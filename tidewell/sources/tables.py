@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import re
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.schemas import INPUTS, PREDICTIONS, struct
+from tidewell.sources.stages import existing
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -42,15 +41,6 @@ def read_hospital(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_csv(spark, f"{folder}/{where}/{name}.csv*", INPUTS[name])
 
 
-def stream_csv(spark: SparkSession, folder: str, schema: T.StructType, files: int = 1):
-    """A stream over the CSV files of a folder, a bounded number of files at a time."""
-    return spark.readStream.option("header", True).option("maxFilesPerTrigger", files).schema(schema).csv(folder)
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
-
-
 def write_table(df: DataFrame, path: str, *partition: str) -> DataFrame:
     """A stage's table as Parquet, and the table as read again."""
     writer = df.write.mode("overwrite")
@@ -58,10 +48,12 @@ def write_table(df: DataFrame, path: str, *partition: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def write_predictions(df: DataFrame, path: str) -> None:
-    """Prediction rows in their fixed column order, ordered, as one CSV file."""
-    columns = [f.name for f in PREDICTIONS]
-    df.select(*columns).orderBy("sample_id", "signal", "minute").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_predictions(df: DataFrame, path: str, single: bool = False) -> None:
+    """Prediction rows in their fixed column order as CSV, ordered over the files by name; one file on request, for few rows."""
+    columns, order = [f.name for f in PREDICTIONS], ["sample_id", "signal", "minute"]
+    rows = df.select(*columns)
+    rows = rows.orderBy(*order).coalesce(1) if single else rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 def metrics_json(metrics: DataFrame, by_signal: DataFrame) -> DataFrame:
@@ -112,10 +104,9 @@ class Config:
         return cls(**{k: kinds[k](**v) if k in kinds else v for k, v in known.items()})
 
     @classmethod
-    def read(cls, path: str) -> Config:
+    def read(cls, spark: SparkSession, path: str) -> Config:
         """Settings of a JSON file, or of a YAML file with scalars in one level of blocks."""
-        with open(path) as f:
-            text = f.read()
+        text = spark.read.text(path, wholetext=True).first()["value"]
         return cls.from_dict(json.loads(text) if text.lstrip().startswith("{") else read_blocks(text))
 
     def metadata(self, **more) -> dict:
@@ -148,48 +139,52 @@ def read_blocks(text: str) -> dict:
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """feature and itemid, from a CSV file with these columns or from the tables of a Markdown file.
+    """feature and itemid, from a CSV file with these columns."""
+    return read_csv(spark, path, struct("feature string, itemid long"))
 
-    In Markdown, tables with the columns `feature` and `item ids` count; their identifiers are the whole numbers of the cell.
-    """
-    if not path.endswith(".md"):
-        return read_csv(spark, path, struct("feature string, itemid long"))
-    rows, at = [], None
-    with open(path, encoding="utf-8") as f:
-        for line in f:
-            cells = [c.strip() for c in line.strip().strip("|").split("|")]
-            if not line.startswith("|"):
-                at = None
-            elif "feature" in cells and "item ids" in cells:
-                at = cells.index("feature"), cells.index("item ids")
-            elif at and len(cells) > max(at):
-                rows += [(cells[at[0]], int(i)) for i in re.findall(r"\b\d+\b", cells[at[1]])]
-    return spark.createDataFrame(rows, "feature string, itemid long").distinct()
-
-
-def write_metadata(path: str, metadata: dict) -> None:
-    with open(path, "w") as f:
-        json.dump(metadata, f, indent=2, sort_keys=True)
-
-
-def read_metadata(path: str) -> dict | None:
+
+def write_metadata(spark: SparkSession, path: str, metadata: dict) -> None:
+    """Run metadata as a JSON text, at any path that Spark can write."""
+    text = json.dumps(metadata, indent=2, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> dict | None:
     """Stored run metadata; None where there is none."""
-    if not os.path.exists(path):
-        return None
-    with open(path) as f:
-        return json.load(f)
+    found = existing(spark, path, "text")
+    lines = found.coalesce(1).collect() if found is not None else []
+    return json.loads("\n".join(r["value"] for r in lines)) if lines else None
+
 
+def write_artifact(spark: SparkSession, path: str, content: bytes) -> None:
+    """A model's bytes, at any path that Spark can write."""
+    spark.createDataFrame([(bytearray(content),)], "content binary").coalesce(1).write.mode("overwrite").parquet(path)
 
-def find_artifact(given: str, name: str = "model.bin", root: str = "save") -> str:
-    """The first that exists of: the file itself, name in the folder, name in root/given; an error if none does."""
-    tried = [os.path.join(given, name)] if os.path.isdir(given) else [given, os.path.join(given, name), os.path.join(root, given, name)]
+
+def find_artifact(spark: SparkSession, given: str, name: str = "model.bin", root: str = "save") -> tuple[str, bytes]:
+    """Path and bytes of the first that exists of: the artifact itself, name in the folder, name in root/given; an error if none does."""
+    tried = [given, f"{given}/{name}", f"{root}/{given}/{name}"]
     for path in tried:
-        if os.path.isfile(path):
-            return path
+        found = existing(spark, path, "parquet", "content binary")
+        rows = found.filter("content IS NOT NULL").head(1) if found is not None else []
+        if rows:
+            return path, bytes(rows[0]["content"])
     raise FileNotFoundError(f"no model at {', '.join(tried)}")
 
 
 def plot_data(draws: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
-    """What a distribution plot shows of each key's draws: a histogram and quartiles."""
+    """What a distribution plot shows of each key's draws: a histogram of `bins` equal bins from least to greatest, and quartiles.
+
+    The histogram is an array of (from, count); draws that are all equal fill the first bin. Missing draws don't count.
+    """
+    seen = draws.filter(F.col("draw").isNotNull() & ~F.isnan("draw"))
     q = F.percentile(F.col("draw"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("quartiles")
-    return draws.groupBy(*keys).agg(F.histogram_numeric("draw", F.lit(bins)).alias("histogram"), q)
+    around = seen.groupBy(*keys).agg(F.min("draw").alias("_low"), F.max("draw").alias("_high"), q)
+    width = (F.col("_high") - F.col("_low")) / bins
+    place = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(bins - 1), F.floor((F.col("draw") - F.col("_low")) / width))).otherwise(0).cast("int")
+    ends = ["_low", "_high", "quartiles"]
+    counted = seen.join(around, keys).groupBy(*keys, *ends, place.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    found = counted.groupBy(*keys, *ends).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_by_bin"))  # `bins` entries
+    start = lambda i: F.col("_low") + i * (F.col("_high") - F.col("_low")) / bins
+    each = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(start(i).alias("from"), F.coalesce(F.try_element_at("_by_bin", i), F.lit(0)).alias("count")))
+    return found.select(*keys, each.alias("histogram"), "quartiles")
