@@ -62,30 +62,42 @@ def test_no_documents(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_small_memory_gives_the_same_sums(spark, monkeypatch):
+def test_small_memory_gives_the_same_result(spark, monkeypatch):
     rows = texts(9)
-    df = spark.createDataFrame([(t, lang, 0.5, 1) for t, lang in rows], SCHEMA).repartition(3)
-    for name in ("HELD", "WAITING", "REMEMBERED", "MANY_LANGUAGES"):
+    for name in ("HELD", "HELD_PAIRS", "REMEMBERED", "MANY_LANGUAGES", "BLOCK_CHARS"):
         monkeypatch.setattr(collocations, name, 2)
-    of = collocations.pieces(df)
-    batches = of.toArrow().to_batches()
-    known = [np.full(1 << (collocations.FILTER_BITS - 3), 255, np.uint8)]
-    monkeypatch.setattr(collocations, "in_arrow", lambda frame, run, kind: frame.sparkSession.createDataFrame([tuple(x.values()) for b in run(iter(batches)) for x in b.to_pylist()], kind) if "piece" in frame.columns else frame.mapInArrow(run, kind))
-    counted = {(r["lang"], r["gram"]): r["f"] for r in collocations.counted(of, collocations._pairs, known, 1).collect()}
+    of = spark.createDataFrame([(t, lang, 0.5, 1) for t, lang in rows], SCHEMA)
+    batches = collocations.pieces(of).toArrow().to_batches(max_chunksize=7)
+    every = np.full(1 << (collocations.FILTER_BITS - 3), 255, np.uint8)
     want = collections.Counter()
-    for r in of.collect():
-        words = r["piece"].split(" ")
-        for pair in zip(words, words[1:]):
-            want[r["lang"], " ".join(pair)] += r["copies"]
-    assert counted == want
-
-
-def test_filter_holds_every_gram(spark):
-    grams = [("en", f"w{i} v") for i in range(3000)]
-    bits = collocations.filter_of(spark.createDataFrame(grams, "lang string, gram string"))
+    for b in batches:
+        for r in b.to_pylist():
+            words = r["piece"].split(" ")
+            for n in range(1, 6):
+                for i in range(len(words) - n + 1):
+                    want[n > 1, r["lang"], " ".join(words[i : i + n])] += r["copies"]
+    for longer, run in ((False, collocations.count_words), (True, collocations.count_longer(every, every))):
+        got = collections.Counter()
+        for b in run(iter(batches)):
+            for r in b.to_pylist():
+                got[longer, r["lang"], r["gram"]] += r["f"]
+        assert got == {k: n for k, n in want.items() if k[0] == longer}
+    hashes = collections.Counter()
+    for b in collocations.count_pairs(every)(iter(batches)):
+        for r in b.to_pylist():
+            hashes[r["h"]] += r["f"]
+    assert sorted(hashes.values()) == sorted(n for k, n in want.items() if k[2].count(" ") == 1)
+
+
+def test_filter_holds_every_word(spark):
+    words = [("en", f"w{i}é") for i in range(3000)]
+    rows = spark.createDataFrame(words, "lang string, gram string")
+    bits = collocations.filter_of(rows.select(collocations.gram_hash(rows.lang, rows.gram).alias("h")))
     known = collocations.Known(bits, "en")
-    assert all(known[g] for _, g in grams) and sum(known[f"no{i}"] for i in range(3000)) < 5
-    assert int(np.unpackbits(bits).sum()) <= 2 * len(grams)
+    assert all(known[w] for _, w in words) and sum(known[f"no{i}"] > 0 for i in range(3000)) < 5
+    assert int(np.unpackbits(bits).sum()) <= 2 * len(words)
+    hashes = np.array([known[w] for _, w in words], np.uint64)
+    assert collocations.passes(bits, hashes).all() and collocations.passes(bits, hashes + np.uint64(1)).sum() < 5
 
 
 def test_scores_beyond_64_bits(spark):
@@ -94,13 +106,6 @@ def test_scores_beyond_64_bits(spark):
     assert row["s"] == 1000 * a * n // (l * r)
 
 
-def test_runs():
-    flags = [True, True, False, True, True, True, False, False, True]
-    assert list(collocations._runs(flags, 2)) == [(0, 2), (3, 6)]
-    assert list(collocations._runs(flags, 1)) == [(0, 2), (3, 6), (8, 9)]
-    assert list(collocations._runs([], 1)) == []
-
-
 def kneser_ney(docs, labels, folds, without, shared_docs):
     """Difference of a word's log-likelihoods by dictionaries of beginnings."""
 

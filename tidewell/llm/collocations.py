@@ -2,9 +2,9 @@
 
 Identical pieces of text become one row with a multiplicity. N-grams are counted with these weights: tasks add up what they see, the
 sums are dealt by a hash of language and n-gram, and every hash bucket is summed by duckdb, which goes to disk beyond its memory.
-An n-gram reaches the least count only if all its words and word pairs do, so counting goes in three steps, words, pairs, and the longer
-ones; filters of a fixed size carry the frequent words and pairs to the next step. They let some others through, which the exact
-counts end, and never hold back a frequent one.
+An n-gram reaches the least count only if all its words and word pairs do, so counting goes in three steps: words, hashes of pairs, and the
+n-grams themselves. Filters of a fixed size carry the frequent words and pairs to the next step. They let some others through, which the
+exact counts end, and never hold back a frequent one.
 
 A candidate asks for the counts of its parts: requests are shuffled to the parts' counts and the answers back to the candidate.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,9 @@ from tidewell.operators.joins import small
 
 LEAST, LONGEST, TOP, ABSORBED = 100, 5, 2000, 100
 FILTER_BITS = 26  #: a filter has 2 ** FILTER_BITS bits, 8 MiB, whatever the input
-HELD, WAITING = 400_000, 100_000  #: sums that a task holds, and n-grams that wait to be added to them
-REMEMBERED, MANY_LANGUAGES = 200_000, 50  #: looked-up n-grams of a language, and languages, that a task remembers
+HELD, HELD_PAIRS = 400_000, 2_000_000  #: sums, and hashes of pairs, that a task holds before it gives them away
+BLOCK_CHARS = 1_000_000  #: characters of pieces that a task handles at once, besides the last piece
+REMEMBERED, MANY_LANGUAGES = 200_000, 50  #: words of a language, and languages, that a task remembers
 BUCKET_MEMORY = "400MB"
 WORD_SALTS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,12 +45,15 @@ def pieces(df: DataFrame) -> DataFrame:
     return each.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def filter_of(grams: DataFrame) -> np.ndarray:
-    """Bits of a filter that holds every row of grams (lang, gram)."""
-    h = F.xxhash64(F.concat("lang", F.lit("\x00"), "gram"))
+def gram_hash(lang: Column, gram: Column) -> Column:
+    return F.xxhash64(F.concat(lang, F.lit("\x00"), gram))
+
+
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """Bits of a filter that holds every row of hashes (h)."""
     size = F.lit(1 << FILTER_BITS)
-    places = F.array(F.pmod(h, size), F.pmod(F.shiftright(h, 32), size))
-    place = grams.select(F.explode(places).alias("place")).select((F.col("place") + 1).alias("place"))
+    places = F.array(F.pmod("h", size), F.pmod(F.shiftright("h", 32), size))
+    place = hashes.select(F.explode(places).alias("place")).select((F.col("place") + 1).alias("place"))
     parts = place.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for row in parts.collect():  # the whole filter at most
@@ -59,128 +63,207 @@ def filter_of(grams: DataFrame) -> np.ndarray:
     return out
 
 
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (unsigned) a filter lets through."""
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    found = np.ones(len(hashes), bool)
+    for place in (hashes & mask, (hashes >> np.uint64(32)) & mask):
+        found &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
 class Known(dict):
-    """Which n-grams of a language a filter lets through, by lookup; remembers those seen last."""
+    """The hash of each word of a language that a filter lets through, 0 of others; remembers those seen last."""
 
     def __init__(self, bits: np.ndarray, lang: str):
         super().__init__()
-        self.bits, self.prefix = bits, f"{lang}\x00"
+        self.bits, self.prefix = bits.tobytes(), f"{lang}\x00".encode()
 
-    def __missing__(self, gram: str) -> bool:
-        h, mask = xxhash.xxh64_intdigest((self.prefix + gram).encode(), 42), (1 << FILTER_BITS) - 1
-        found = all(self.bits[p >> 3] >> (p & 7) & 1 for p in (h & mask, h >> 32 & mask))
+    def __missing__(self, word: str) -> int:
+        h, mask = xxhash.xxh64_intdigest(self.prefix + word.encode(), 42), (1 << FILTER_BITS) - 1
+        p, q = h & mask, h >> 32 & mask
+        found = h if self.bits[p >> 3] >> (p & 7) & 1 and self.bits[q >> 3] >> (q & 7) & 1 else 0
         if len(self) >= REMEMBERED:
             self.clear()
-        self[gram] = found
+        self[word] = found
         return found
 
 
-def _runs(flags: list[bool], least: int) -> Iterator[tuple[int, int]]:
-    """Start and end of the longest runs of true flags that have `least` or more."""
-    marks = bytes(flags)
-    at = marks.find(b"\x01" * least)
-    while at >= 0:
-        end = marks.find(b"\x00", at)
-        end = len(marks) if end < 0 else end
-        yield at, end
-        at = marks.find(b"\x01" * least, end)
-
-
-def _words(known: list[Known], words: list[str]) -> list[str]:
-    return words
-
-
-def _pairs(known: list[Known], words: list[str]) -> list[str]:
-    """Pairs of neighbours that are both in the first filter."""
-    found = known[0]
-    out: list[str] = []
-    for at, end in _runs([found[w] for w in words], 2):
-        out += map(" ".join, zip(words[at : end - 1], words[at + 1 : end]))
-    return out
+def pair_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each two neighbours, 0 where one of them is 0."""
+    a, b = words[:-1], words[1:]
+    turned = (b << np.uint64(21)) | (b >> np.uint64(43))
+    return np.where((a != 0) & (b != 0), a ^ turned, np.uint64(0))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    """lang, words and the copies of each word, of many pieces of a language at a time; a line feed stands between pieces."""
+    for batch in batches:
+        held: dict[str, tuple[list[str], list[int]]] = {}
+        size = 0
+        for lang, piece, copies in zip(*(c.to_pylist() for c in batch.columns)):
+            own = held.setdefault(lang, ([], []))
+            own[0].append(piece)
+            own[1].append(copies)
+            size += len(piece)
+            if size >= BLOCK_CHARS:
+                yield from _flat(held)
+                held, size = {}, 0
+        yield from _flat(held)
+
+
+def _flat(held: dict[str, tuple[list[str], list[int]]]) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    for lang, (texts, copies) in held.items():
+        sizes = np.fromiter((t.count(" ") + 2 for t in texts), np.int64, len(texts))
+        yield lang, " \n ".join(texts).split(" "), np.repeat(np.array(copies, np.int64), sizes)[:-1]
+
+
+class Sums:
+    """N-grams of languages with their counts, given away as batches when there are many."""
+
+    def __init__(self):
+        self.by_lang: dict[str, Counter] = {}
+
+    def add(self, lang: str, single: list[str], repeated: list[tuple[str, int]]) -> None:
+        """Count single once each, repeated as often as they say."""
+        own = self.by_lang.setdefault(lang, Counter())
+        own.update(single)
+        for gram, n in repeated:
+            own[gram] += n
+
+    def batches(self, least: int) -> Iterator[pa.RecordBatch]:
+        """All sums if there are `least` or more; none is held afterwards."""
+        if sum(map(len, self.by_lang.values())) >= least:
+            langs = [lang for lang, own in self.by_lang.items() for _ in own]
+            grams, counts = [g for own in self.by_lang.values() for g in own], [n for own in self.by_lang.values() for n in own.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "f"])
+            self.by_lang = {}
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of pieces, summed by task."""
+    sums = Sums()
+    for lang, words, copies in _blocks(batches):
+        once = (copies == 1).tolist()
+        single = [w for w, one in zip(words, once) if one and w != "\n"]
+        sums.add(lang, single, [(words[i], int(copies[i])) for i in np.flatnonzero(copies != 1).tolist() if words[i] != "\n"])
+        yield from sums.batches(HELD)
+    yield from sums.batches(1)
+
+
+class Hashes:
+    """Hashes of words of many languages; memory stays bounded whatever the language column holds."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.known = bits, {}
+
+    def of(self, lang: str, words: list[str]) -> np.ndarray:
+        if lang not in self.known:
+            if len(self.known) >= MANY_LANGUAGES:
+                self.known.clear()
+            self.known[lang] = Known(self.bits, lang)
+            self.known[lang]["\n"] = 0
+        known = self.known[lang]
+        out = np.array([known[w] if w != "\n" else 0 for w in words], np.uint64)
+        return out
+
+
+def count_pairs(bits: np.ndarray):
+    """A function that sums the hashes of the pairs of frequent words of pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = Hashes(bits), [], 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            if held:
+                keys, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+                total = np.zeros(len(keys), np.int64)
+                np.add.at(total, at, np.concatenate([n for _, n in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], names=["h", "f"])
+
+        for lang, words, copies in _blocks(batches):
+            pairs = pair_hashes(hashes.of(lang, words))
+            there = np.flatnonzero(pairs)
+            held.append((pairs[there], copies[there]))
+            size += len(there)
+            if size >= HELD_PAIRS:
+                yield from summed()
+                held, size = [], 0
+        yield from summed()
+
+    return run
+
+
+def count_longer(words_bits: np.ndarray, pair_bits: np.ndarray):
+    """A function that sums the n-grams of two words and more whose words and pairs are frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sums = Hashes(words_bits), Sums()
+        for lang, words, copies in _blocks(batches):
+            pairs = pair_hashes(hashes.of(lang, words))
+            there = np.flatnonzero(pairs)
+            good = np.zeros(len(pairs) + 2, np.int8)
+            good[there[passes(pair_bits, pairs[there])] + 1] = 1
+            edge = np.diff(good)
+            single: list[str] = []
+            repeated: list[tuple[str, int]] = []
+            for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):  # pairs i to j - 1 are good, words i to j
+                n = int(copies[i])
+                if n == 1 and j == i + 1:
+                    single.append(f"{words[i]} {words[j]}")
+                    continue
+                grams = words[i : j + 1]
+                found: list[str] = []
+                for size in range(2, min(LONGEST, j - i + 1) + 1):
+                    grams = [f"{g} {w}" for g, w in zip(grams, words[i + size - 1 : j + 1])]
+                    found += grams
+                if n == 1:
+                    single += found
+                else:
+                    repeated += [(g, n) for g in found]
+            sums.add(lang, single, repeated)
+            yield from sums.batches(HELD)
+        yield from sums.batches(1)
+
+    return run
+
+
+def in_buckets(parts: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The keys of parts (keys, f) with their sum, where it reaches `least`.
+
+    Parts are dealt by the keys' hash, and every bucket is summed by duckdb, with bounded memory and a folder of its own for the rest.
+    """
+    schema = parts.schema
+    names = ", ".join(keys)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
 
-def _longer(known: list[Known], words: list[str]) -> list[str]:
-    """N-grams of three words and more whose words are in the first filter and whose pairs are in the second."""
-    single, double = known
-    out: list[str] = []
-    for at, end in _runs([single[w] for w in words], 3):
-        run = words[at:end]
-        pairs = list(map(" ".join, zip(run, run[1:])))
-        for i, j in _runs([double[p] for p in pairs], 2):
-            grams = pairs[i:j]
-            for size in range(3, LONGEST + 1):
-                grams = [f"{g} {w}" for g, w in zip(grams, run[i + size - 1 : j + 1])]
-                out += grams
-    return out
+        own = pa.schema([(f.name, pa.string() if f.dataType.typeName() == "string" else pa.int64()) for f in schema])
+        folder = tempfile.mkdtemp(prefix="grams-")
+        try:
+            with duckdb.connect(config={"memory_limit": BUCKET_MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False}) as duck:
+                duck.register("parts", pa.RecordBatchReader.from_batches(own, (b.cast(own) for b in batches)))
+                found = duck.sql(f"SELECT {names}, sum(f)::BIGINT AS f FROM parts GROUP BY {names} HAVING sum(f) >= $least", params={"least": least})
+                yield from (b.cast(own) for b in found.to_arrow_reader(1 << 16))
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
 
-
-def _batch(sums: dict[str, Counter]) -> pa.RecordBatch:
-    langs = [lang for lang, own in sums.items() for _ in own]
-    grams, counts = [g for own in sums.values() for g in own], [n for own in sums.values() for n in own.values()]
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "f"])
-
-
-def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sums of a hash bucket, in duckdb with bounded memory and a folder of its own for the rest."""
-    import duckdb
-
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
-    folder = tempfile.mkdtemp(prefix="grams-")
-    try:
-        with duckdb.connect(config={"memory_limit": BUCKET_MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False}) as duck:
-            duck.register("rows", pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches)))
-            found = duck.sql("SELECT lang, gram, sum(f)::BIGINT AS f FROM rows GROUP BY lang, gram HAVING sum(f) >= $least", params={"least": least})
-            yield from (b.cast(schema) for b in found.to_arrow_reader(1 << 16))
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
-
-
-def counted(of: DataFrame, grams: Callable, filters: list[np.ndarray], least: int = LEAST) -> DataFrame:
-    """lang, gram and f of the n-grams of pieces (lang, piece, copies) that occur `least` times or more."""
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[Known]] = {}
-        sums: dict[str, Counter] = {}
-        single: dict[str, list[str]] = {}
-        waiting = 0
-        for batch in batches:
-            for lang, piece, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                if lang not in known:
-                    known[lang] = [Known(bits, lang) for bits in filters]
-                    if len(known) > MANY_LANGUAGES:  # memory stays bounded whatever the column holds
-                        known = {lang: known[lang]}
-                found = grams(known[lang], piece.split(" "))
-                waiting += len(found)
-                if copies == 1:
-                    single.setdefault(lang, []).extend(found)
-                elif found:
-                    own = sums.setdefault(lang, Counter())
-                    for gram in found:
-                        own[gram] += copies
-                if waiting >= WAITING:
-                    for name, held in single.items():
-                        sums.setdefault(name, Counter()).update(held)
-                    single, waiting = {}, 0
-                    if sum(map(len, sums.values())) >= HELD:
-                        yield _batch(sums)
-                        sums = {}
-        for name, held in single.items():
-            sums.setdefault(name, Counter()).update(held)
-        yield _batch(sums)
-
-    parts = in_arrow(of.select("lang", "piece", "copies"), seen, KIND).repartition("lang", "gram")
-    return in_arrow(parts, lambda batches: _summed(batches, least), KIND)
+    return in_arrow(parts.repartition(*keys), run, schema)
 
 
 def gram_counts(of: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, gram, f and size of all n-grams of one to LONGEST words with `least` occurrences or more."""
+    """lang, gram, f and size of all n-grams of one to LONGEST words of pieces with `least` occurrences or more.
+
+    Pairs are first counted by a 64-bit hash alone: one that reaches the least count does so by its hash, too.
+    """
+    rows = of.select("lang", "piece", "copies")
     sized = lambda df, name: written(df.withColumn("size", F.size(F.split("gram", " "))), name)
-    words = sized(counted(of, _words, [], least), "collocation-words")
-    frequent = [filter_of(words)]
-    pairs = sized(counted(of, _pairs, frequent, least), "collocation-pairs")
-    frequent.append(filter_of(pairs))
-    longer = sized(counted(of, _longer, frequent, least), "collocation-longer")
-    return words.unionByName(pairs).unionByName(longer)
+    words = sized(in_buckets(in_arrow(rows, count_words, KIND), ["lang", "gram"], least), "collocation-words")
+    single = filter_of(words.select(gram_hash(F.col("lang"), F.col("gram")).alias("h")))
+    pairs = written(in_buckets(in_arrow(rows, count_pairs(single), "h long, f long"), ["h"], least), "collocation-pairs")
+    longer = in_buckets(in_arrow(rows, count_longer(single, filter_of(pairs)), KIND), ["lang", "gram"], least)
+    return words.unionByName(sized(longer, "collocation-longer"))
 
 
 def _part(first: Column, size: Column) -> Column:
