@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -218,3 +219,67 @@ def test_ngram_hashes_tell_runs_of_words_apart(words):
     assert len(hashes) == len(runs) and len(set(zip(runs, hashes))) == len(set(runs)) == len(set(hashes))
     assert len(simhash.ngram_hashes(b" \n", words)) == 0 and len(simhash.ngram_hashes(b"one", words)) == 1
     assert simhash.view_fingerprints(simhash.ngram_hashes(b"", 2), 3).tolist() == [0, 0, 0]
+
+
+def members_of(spark, sets, roots=None):
+    rows = [((roots or {}).get(i, 0), i, sorted(s)) for i, s in sets.items()]
+    return spark.createDataFrame(rows, "root long, node long, hashes array<long>")
+
+
+def grouped(spark, edges, nodes):
+    root = {r["node"]: r["root"] for r in components(edges).collect()}
+    return {n: root.get(n, n) for n in nodes}
+
+
+def by_pairs(sets, roots=None):
+    """Least member of each component of all pairs with a similarity of 0.8."""
+    own = {n: n for n in sets}
+    again = True
+    while again:
+        again = False
+        for a, b in itertools.combinations(sets, 2):
+            if (roots or {}).get(a, 0) == (roots or {}).get(b, 0) and own[a] != own[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((own[a], own[b]))
+                own = {n: low if c == high else c for n, c in own.items()}
+                again = True
+    return own
+
+
+def test_links_between_members_of_two_leaders(spark):
+    # a leader with copies and A beside it, others with B beside them; only A and B tie the two halves together
+    base = list(range(100))
+    sets = {0: set(base), 1: set(base[:90]) | set(range(1000, 1010))}
+    sets |= {2 + i: set(base) - {i} | {2000 + i} for i in range(40)}
+    b = set(base[:90]) | {1000, *range(3000, 3019)} - {3018}
+    sets[50] = set(sorted(sets[1])[:90]) | set(range(3000, 3010))
+    far = set(sorted(sets[50])[:80]) | set(range(3000, 3010)) | set(range(4000, 4010))
+    sets |= {60 + i: (far - {i}) | {5000 + i} for i in range(40)}
+    assert len(sets) == 83 and b
+    want = by_pairs(sets)
+    for whole in (8, 64, 200):
+        assert grouped(spark, simhash.verified_links(members_of(spark, sets), 0.8, whole), sets) == want
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_prefix_links_equal_all_pairs(spark, rounds):
+    rng = random.Random(rounds)
+    sets, roots = {}, {}
+    for g in range(6):  # chains of copies of copies, with unrelated texts between and shingles that all share
+        common = set(range(90000, 90000 + 10 * g))
+        at = set(rng.sample(range(g * 1000, g * 1000 + 900), 60))
+        for i in range(50):
+            n = 100 * g + i
+            roots[n] = g // 3
+            kind = rng.random()
+            if kind < 0.5:
+                at = set(rng.sample(sorted(at), len(at) - rng.randrange(0, 8))) | set(rng.sample(range(g * 1000, g * 1000 + 900), rng.randrange(0, 8)))
+                sets[n] = at | common
+            elif kind < 0.8:
+                sets[n] = set(rng.sample(range(g * 1000, g * 1000 + 900), rng.randrange(1, 70))) | common
+            elif kind < 0.9:
+                sets[n] = set()
+            else:
+                sets[n] = set(sets[rng.choice(sorted(sets))]) | {n + 500000}
+    got = grouped(spark, simhash.prefix_links(members_of(spark, sets, roots), 0.8, rounds), sets)
+    want = by_pairs(sets, roots)
+    assert got == want and 20 < len(set(want.values())) < len(sets)

@@ -42,7 +42,7 @@ HALF = SEGMENT // 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.multiply.accumulate(np.full(256, _BASE, np.uint64))
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
-PART_ROWS = 1024  #: members of a large candidate group that meet its leaders in one part
+PIVOT_ROUNDS = 4
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -335,41 +335,85 @@ def candidate_links(rows: DataFrame) -> DataFrame:
     return smaller.select("a", "b").unionByName(others).distinct()
 
 
-def _alike(left: DataFrame, right: DataFrame, which, similarity: float) -> DataFrame:
-    """Edges (a, b) of the rows of left and right of one root whose shingles have the Jaccard similarity; two empty sets are alike."""
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.root") == F.col("r.root")) & which)
-    x, y = F.size("l.hashes"), F.size("r.hashes")
-    pairs = pairs.filter(F.least(x, y) >= similarity * F.greatest(x, y))
-    both = F.size(F.array_intersect("l.hashes", "r.hashes"))
-    return pairs.filter(both >= similarity * (x + y - both)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+def _similar(x, y, similarity: float):
+    """Two arrays of distinct shingles have the Jaccard similarity; two empty ones are alike."""
+    n, m = F.size(x), F.size(y)
+    both = F.size(F.array_intersect(x, y))
+    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (both >= similarity * (n + m - both))
+
+
+def _compared(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingles in members (node, hashes) have the similarity."""
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(members.select(F.col("node").alias(end), F.col("hashes").alias(name)), end)
+    return pairs.filter(_similar(F.col("x"), F.col("y"), similarity)).select("a", "b")
+
+
+def prefix_keys(members: DataFrame, similarity: float) -> DataFrame:
+    """(root, key, node): the shingles by which the members (root, node, hashes) of a root can meet.
+
+    In one order of a root's shingles, here from the rarest in it, two sets of that similarity share one of the first
+    n - ceil(similarity * n) + 1 of each. Shingles that no other member has are of no use and left out. Empty sets meet under a key of their own.
+    """
+    each = members.select("root", "node", F.explode("hashes").alias("key"))
+    often = each.groupBy("root", "key").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(often, ["root", "key"]).groupBy("root", "node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
+    length = F.size("s") - F.ceil(F.size("s") * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
+    keys = ordered.select("root", "node", F.explode(F.slice("s", F.lit(1), length)).alias("k")).filter("k.n > 1").select("root", F.col("k.key").alias("key"), "node")
+    return keys.unionByName(members.filter(F.size("hashes") == 0).select("root", F.lit(0).cast("long").alias("key"), "node"))
+
+
+def _components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, comp) of all nodes; a node without an edge is its own component."""
+    return nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
+
+
+def prefix_links(members: DataFrame, similarity: float, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+    """Edges (a, b) whose components are those of all links within the roots of members (root, node, hashes).
+
+    Members that share a prefix key may link, others can't. At first every member is compared with one such pivot of another
+    component, drawn anew each round, which joins dense groups in a few rounds of linear work. Then all pairs that share a key and are still in
+    different components are compared, whatever the rounds have left, so no link between two components is missed.
+    """
+    keys = written(prefix_keys(members, similarity), "near-keys")
+    nodes = keys.select("node").distinct()
+    comps, edges = nodes.withColumn("comp", F.col("node")), None
+    for turn in range(rounds):
+        placed = written(keys.join(comps, "node"), "near-placed")
+        mine = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node").alias("pivot"), F.col("comp").alias("of"))
+        mixed = placed.groupBy("root", "key").agg(F.min(mine).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("root", "key", "p")
+        wanted = placed.join(mixed, ["root", "key"]).filter("comp <> p.of").groupBy("node").agg(F.min("p").alias("p"))
+        found = written(_compared(wanted.select(F.col("node").alias("a"), F.col("p.pivot").alias("b")), members, similarity), "near-edges")
+        if found.isEmpty():
+            break
+        edges = found if edges is None else edges.unionByName(found)
+        comps = written(_components_of(nodes, edges), "near-comps")
+    placed = written(keys.join(comps, "node"), "near-placed")
+    parts = placed.groupBy("root", "key").agg(F.collect_set("comp").alias("comps")).filter(F.size("comps") > 1)
+    each = written(parts.select("root", "key", F.explode("comps").alias("comp")), "near-parts")
+    two = each.alias("l").join(each.alias("r"), (F.col("l.root") == F.col("r.root")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") < F.col("r.comp")))
+    two = two.select("l.root", "l.key", F.col("l.comp").alias("comp"), F.col("r.comp").alias("other"))
+    left = two.join(placed, ["root", "key", "comp"]).select("root", "key", F.col("other").alias("comp"), F.col("node").alias("a"))
+    pairs = left.join(placed, ["root", "key", "comp"]).select("a", F.col("node").alias("b")).distinct()
+    last = written(_compared(pairs, members, similarity), "near-edges")
+    return last if edges is None else edges.unionByName(last)
 
 
 def verified_links(members: DataFrame, similarity: float = 0.8, whole: int = 64) -> DataFrame:
     """Edges (a, b) within each root of members (root, node, hashes) whose exact Jaccard similarity is the given one or more.
 
-    Roots of up to whole members have all their pairs compared. In larger ones leaders are compared with every member:
-    at first the least node, then four times as many in each round, taken from those that have no link yet, until all are
-    linked or were leaders. So no node stays alone without having been compared with all of its root; what isn't sought in large
-    roots is a further link between two nodes that have links already. A large root's members are dealt to parts of about
-    PART_ROWS, and its leaders to all of them, so no task holds a whole root.
+    Their components are those of all such pairs. Roots of up to `whole` members have all their pairs compared, larger ones are joined by
+    prefix keys, which gives the same components with less work.
     """
     sizes = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
     small = members.join(sizes.filter(F.col("n") <= whole).select("root"), "root", "left_semi")
-    edges = written(_alike(small, small, F.col("l.node") < F.col("r.node"), similarity), "near-edges")
-    parts = sizes.filter(F.col("n") > whole).select("root", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
-    large = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    large = written(large, "near-large")
-    alone, leaders = large.select("root", "node"), 1
-    while not alone.isEmpty():
-        order = Window.partitionBy("root").orderBy("node")
-        lead = written(alone.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders).select("node"), "near-leaders")
-        chosen = large.join(lead, "node", "left_semi")
-        chosen = chosen.select("root", "node", "hashes", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        found = written(_alike(chosen, large, (F.col("l.part") == F.col("r.part")) & (F.col("l.node") != F.col("r.node")), similarity), "near-edges")
-        edges = edges.unionByName(found)
-        done = lead.unionByName(found.select(F.col("b").alias("node"))).distinct()
-        alone, leaders = written(alone.join(done, "node", "left_anti"), "near-alone"), 4 * leaders
-    return edges
+    same = (F.col("l.root") == F.col("r.root")) & (F.col("l.node") < F.col("r.node"))
+    pairs = small.alias("l").join(small.alias("r"), same).filter(_similar(F.col("l.hashes"), F.col("r.hashes"), similarity))
+    edges = written(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")), "near-edges")
+    if sizes.filter(F.col("n") > whole).isEmpty():
+        return edges
+    large = written(members.join(sizes.filter(F.col("n") > whole).select("root"), "root", "left_semi"), "near-large")
+    return edges.unionByName(prefix_links(large, similarity))
 
 
 def without_near_copies(df: DataFrame, similarity: float = 0.8, views: int = VIEWS, whole: int = 64) -> DataFrame:
