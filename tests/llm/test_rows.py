@@ -272,6 +272,26 @@ def test_placement_against_a_brute_force_fill():
     assert got == brute_fill(docs, 32, idf, sizes.mean())
 
 
+@pytest.mark.parametrize("shard_tokens", [700, 1 << 21])
+def test_packing_again_gives_the_same_rows(spark, shard_tokens):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 7))) for _ in range(90)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([3, 30, 90])))) for i in range(150)] + [(200 + i, "same text") for i in range(90)] + [(7, "same text")] * 80
+    found = [sorted(map(tuple, packing.pack(frame(spark, rows), PATH, 2, 128, shard_tokens).collect()), key=str) for _ in range(2)]
+    assert found[0] == found[1]
+
+
+def test_shards_are_cut_by_tokens():
+    rng = random.Random(2)
+    buckets = [(b, rng.choice([1, 5, 40, 250])) for b in range(200)]
+    cut, shards = packing.cut_shards(buckets, 100)
+    held = {}
+    for (_, n), (_, first, parts) in zip(buckets, cut):
+        for k in range(parts):
+            held[first + k] = held.get(first + k, 0) + n / parts
+    assert sorted(held) == list(range(shards)) and max(held.values()) <= 100 and packing.cut_shards([], 100) == ([], 0)
+
+
 def test_rows_that_repeat_spread_over_shards(spark):
     rows = [(1, "the same text again and again")] * 3000 + [(2, "other words")] * 10
     found = packing.pack(frame(spark, rows), PATH, 2, 64, 1000).collect()

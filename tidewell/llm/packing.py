@@ -1,8 +1,7 @@
 """Packing documents into windows by lexical retrieval.
 
-Documents are tokenised and sorted over tasks by the least hash of their token pairs, then by their row, so that documents
-that share it come together and any number of equal documents still spreads. A task cuts its range into shards of about SHARD_TOKENS
-tokens, one in memory at a time. Each shard holds an inverted index over its documents' tokens with BM25 weights,
+Documents are tokenised and dealt to shards of about SHARD_TOKENS tokens by ranges of the least hash of their token pairs, so that documents
+that share it come together; many with one hash are dealt to several shards by a digest. A task holds one shard in memory at a time. Each shard holds an inverted index over its documents' tokens with BM25 weights,
 whose document frequencies and mean length are those of the whole corpus. A seed document opens a window; all its
 terms query the index, and the unused neighbours fill the window in order of their scores. A neighbour that no longer
 fits is cut at the window's end, and its rest opens the next window. A document longer than a window first fills whole
@@ -20,7 +19,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +28,7 @@ from tidewell.llm.shared import in_arrow, text_or_empty, written
 WINDOW = 4096
 SHARD_TOKENS = 1 << 21
 MOST_TASKS = 1 << 14
+BUCKETS = 1 << 16  #: of sig, 2048 for each power of two
 K1, B = 1.2, 0.75
 STREAM_BYTES = 1 << 22  #: texts are tokenised together up to this size
 
@@ -362,14 +361,51 @@ def plan_shard(sizes: np.ndarray, index: Bm25, window: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 5)
 
 
+def cut_shards(buckets: list[tuple[int, int]], shard_tokens: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(bucket, first shard, shards) for each of (bucket, tokens), and the number of shards.
+
+    Neighbouring buckets share a shard as long as it holds them; one with more tokens than a shard is dealt to several of its own.
+    """
+    out, shard, filled = [], 0, 0
+    for bucket, tokens in sorted(buckets):
+        if filled and filled + tokens > shard_tokens:
+            shard, filled = shard + 1, 0
+        if tokens > shard_tokens:
+            parts = -(-tokens // shard_tokens)
+            out.append((bucket, shard, parts))
+            shard += parts
+        else:
+            out.append((bucket, shard, 1))
+            filled += tokens
+    return out, shard + (filled > 0)
+
+
+def with_shards(docs: DataFrame, shard_tokens: int) -> tuple[DataFrame, int]:
+    """docs with shard, digest and place, and the number of shards.
+
+    Shards are ranges of sig in BUCKETS fixed buckets, cut by the buckets' tokens alone; documents of a bucket that needs several go by their
+    digest and place, the number of their part and row in the table of tokens. So a document's shard, and its order in it, depend on the
+    documents and their order in the input only.
+    """
+    bucket = F.floor(F.log2(F.col("sig") + 1) * (BUCKETS // 32)).cast("int").alias("bucket")
+    place = F.xxhash64(F.regexp_extract("_metadata.file_name", "^part-[0-9]+", 0), "_metadata.row_index").alias("place")
+    known = docs.select(bucket, "sig", F.xxhash64("doc_id", "ids").alias("digest"), place, "doc_id", "ids", "tokens")
+    sizes = docs.groupBy(bucket).agg(F.sum("tokens").alias("n")).collect()  # BUCKETS rows at most
+    cut, shards = cut_shards([(r["bucket"], r["n"]) for r in sizes], shard_tokens)
+    where = F.broadcast(docs.sparkSession.createDataFrame(cut, "bucket int, first long, parts long"))  # BUCKETS rows at most
+    shard = (F.col("first") + F.pmod(F.xxhash64("digest", "place"), F.col("parts"))).alias("shard")
+    return known.join(where, "bucket").select(shard, "sig", "digest", "place", "doc_id", "ids", "tokens"), shards
+
+
 def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of every row of df (doc_id, text): doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text and end_id; ids holds a piece's as little-endian unsigned 32-bit
     integers. A null text counts as empty, so its document is end_id alone. Every id lies in exactly one piece, offsets
     in a sequence are gapless from 0, and no sequence is longer than the window. Repeated rows and rows with a null
-    doc_id are packed like any other. Neighbours with equal scores come in the order of their place in the shard. Texts are read whole,
-    and one longer than a shard is a shard of its own. An empty df gives an empty result. Other columns are ignored.
+    doc_id are packed like any other. Neighbours with equal scores come in the order of their place in the shard. Packing the same df again
+    gives the same rows. Texts are read whole; one longer than a shard takes one alone or with few others. An empty df gives an empty
+    result. Other columns are ignored.
     """
     tokenised = written(tokenise(df, tokenizer_path, end_id), "tokens")
     dtype = encoder(tokenizer_path).dtype.str
@@ -378,11 +414,11 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIND
     total, count = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
     idf = np.log(1 + (count - frequency + 0.5) / (frequency + 0.5))
     mean_tokens = total / max(1, count)
-    row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")
-    tasks = min(max(1, -(-total // shard_tokens)), MOST_TASKS)
-    ordered = docs.select("sig", row, "doc_id", "ids", "tokens").repartitionByRange(tasks, "sig", "row").sortWithinPartitions("sig", "row")
+    placed, shards = with_shards(docs, shard_tokens)
+    tasks = min(max(1, shards), MOST_TASKS)
+    ordered = placed.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "sig", "digest", "place")
 
-    def fill_windows(doc_ids: pa.Array, packed: list[bytes], sizes: np.ndarray, base: int) -> tuple[pa.RecordBatch, int]:
+    def fill_windows(doc_ids: pa.Array, packed: list[bytes], sizes: np.ndarray, base: int) -> pa.RecordBatch:
         ids = np.frombuffer(b"".join(packed), dtype)
         starts = np.cumsum(sizes) - sizes
         index = Bm25.build(ids, np.repeat(np.arange(len(sizes)), sizes), len(sizes), idf, mean_tokens)
@@ -398,25 +434,24 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIND
             "sequence_id": pa.array(base + sequence),
             "offset": pa.array(offset),
         }
-        return pa.RecordBatch.from_pydict(columns), base + int(sequence.max(initial=-1)) + 1
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, held, doc_ids, packed, sizes = TaskContext.get().partitionId() << 32, 0, [], [], []
+        now, doc_ids, packed, sizes = -1, [], [], []
         for batch in batches:
-            for doc_id, value, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, doc_id, value, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != now and sizes:
+                    yield fill_windows(pa.array(doc_ids, pa.int64()), packed, np.array(sizes, np.int64), now << 32)
+                    doc_ids, packed, sizes = [], [], []
+                now = shard
                 doc_ids.append(doc_id)
                 packed.append(value)
                 sizes.append(tokens)
-                held += tokens
-                if held >= shard_tokens:
-                    out, base = fill_windows(pa.array(doc_ids, pa.int64()), packed, np.array(sizes, np.int64), base)
-                    yield out
-                    held, doc_ids, packed, sizes = 0, [], [], []
         if sizes:
-            yield fill_windows(pa.array(doc_ids, pa.int64()), packed, np.array(sizes, np.int64), base)[0]
+            yield fill_windows(pa.array(doc_ids, pa.int64()), packed, np.array(sizes, np.int64), now << 32)
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return in_arrow(ordered.select("doc_id", "ids", "tokens"), run, schema)
+    return in_arrow(ordered.select("shard", "doc_id", "ids", "tokens"), run, schema)
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:
