@@ -192,3 +192,37 @@ def test_the_best_of_a_place():
     hits = index.scan([text])[0]
     best = [h[0] for h, b in zip(hits, index.best_of_place(hits)) if b]
     assert sorted(best) == ["AGPL-3.0/header", "GPL-2.0/header"] and len(hits) > 2
+
+
+A, B = "The first long part tells what happened in the town that day. " * 6, "The second one says how it went on in the weeks after it. " * 6
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<p title="The hidden truth">{}</p>', '<p data-note="display:none is bad">{}</p>', '<section class="side-effects"><p>{}</p></section>',
+        '<section id="notice-period"><p>{}</p></section>', '<div class="post-header"><h1>Title</h1><p>{}</p></div>', '<div class="has-sidebar"><p>{}</p></div>',
+        '<p>{}</p><h2 id="search-algorithms">Title</h2>', '<p>{}</p><h2 id=navigation>Title</h2>', "<p class=content-text>{}</p>", '<div id="comment-on-the-law"><p>{}</p></div>',
+        '<p data-x=\'a "hidden" b\'>{}</p>', '<p hidden=until-found>{}</p>', '<p style="color: red; display: block">{}</p>',
+    ],
+)
+def test_names_that_only_hold_a_word_of_noise(part):
+    page = f"<html><body><article>{part.format(A)}<p>{B} Ends with <a title='a hidden gem' href='x'>a link</a> inside.</p></article></body></html>"
+    found = html_main.Page(page)
+    text = "\n\n".join(t for _, t, _ in found.blocks)
+    assert A.strip() in text and B.strip() in text and "a link inside." in text and ("Title" in page) == ("Title" in text)
+
+
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<div class="ad">', '<div class="ad-slot-1 x">', '<div id=cookie-banner>', '<div class="site-header">', '<div class=siteFooter>', '<section class="post-comments">', '<ul class="menu-item-12">',
+        '<div class="search-box">', '<div role=navigation>', '<div class="related-posts">', '<p class=notice>', '<p hidden>', '<div aria-hidden = "true">', '<div style="Display : None">', '<div class="article-share-buttons">',
+        '<div class=header>', '<div class="main-menu">', "<nav>", "<aside>",
+    ],
+)
+def test_names_of_noise(opening):
+    tag = re.match("<([a-z]+)", opening)[1]
+    page = f"<html><body><article><p>{A}</p>{opening}Buy this now</{tag}><p>{B}</p></article></body></html>"
+    text = "\n\n".join(t for _, t, _ in html_main.Page(page).blocks)
+    assert A.strip() in text and B.strip() in text and "Buy" not in text

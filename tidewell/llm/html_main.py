@@ -30,22 +30,60 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp templat
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 WHOLE = ("article", "main")  #: what a best container doesn't grow beyond
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|adsense|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|notice\w*|gdpr|popup\w*|modal\w*|overlay|"
-    r"newsletter\w*|subscri\w*|signup|login|share\w*|sharing|social\w*|sidebar\w*|side|rail|related\w*|recommend\w*|breadcrumb\w*|nav\w*|"
-    r"menu\w*|header|masthead|footer\w*|foot|comment\w*|disqus\w*|discussion|repl(?:y|ies)|respond|responses?|search\w*|widget\w*|toolbar|"
-    r"pagination|pager|skip|copyright|forms?|complementary|contentinfo|alert\w*|toc|outbrain|taboola)(?=$|[\s_-])"
+    r"ads?|adv|adsense|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|share\w*|"
+    r"sharing|social\w*|sidebar\w*|related\w*|recommend\w*|breadcrumb\w*|nav\w*|menu\w*|masthead|footer\w*|comment\w*|disqus\w*|replies|respond|widget\w*|"
+    r"toolbar|pagination|pager|complementary|contentinfo|outbrain|taboola"
 )
-NOT_NOISE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no|hide|show)[_-][\w-]+")
+WEAK_NOISE = re.compile(r"header|head|foot|side|rail|search\w*|notice\w*|alert\w*|toc|skip|copyright|forms?|discussion|reply|responses?")
+NEUTRAL = frozenset(
+    "site page global top bottom left right box block bar area container wrapper wrap section inner outer slot unit list links link item items group panel region "
+    "col column row zone primary secondary desktop mobile sticky fixed the js posts articles stories buttons button icons icon media tabs toggle id".split()
+)
+PLAIN = frozenset("article articles content contents entry main post story text body prose".split())
+NEGATIONS = frozenset("has with without no hide show".split())
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content\w*|entry|main\w*|post|story\w*|text|body|prose)(?=$|[\s_-])")
 
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z))", re.S)
-NAME = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 PASSED_ON = 0.5
 MIN_SHARE = 0.1  #: of a host's votes that a winning path needs
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag by lower-cased name, the first of a name; one without a value has an empty one."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
+def hidden(given: dict[str, str]) -> bool:
+    return "hidden" in given and given["hidden"].lower() != "until-found" or given.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(given.get("style", "")))
+
+
+def is_noise(name: str) -> bool:
+    """A class or identifier as a whole names something beside the article.
+
+    Its parts, between hyphens and at capitals, are all words of noise, of layout or numbers, with one of noise among them. Words of an
+    article may stand beside the clear ones (post-comments), not beside those that articles have, too (post-header).
+    """
+    parts = [p for p in re.split(r"[-_:]+", CAMEL.sub("-", name).lower()) if p and not p.isdigit()]
+    parts = [p.rstrip("0123456789") or p for p in parts]
+    if not parts or parts[0] in NEGATIONS:
+        return False
+    clear = [bool(NOISE.fullmatch(p)) for p in parts]
+    weak = [bool(WEAK_NOISE.fullmatch(p)) for p in parts]
+    other = [p for p, x, y in zip(parts, clear, weak) if not x and not y and p not in NEUTRAL]
+    if any(clear):
+        return all(p in PLAIN for p in other)
+    return any(weak) and not other
+
+
 class Page:
     """Blocks of text with the container that each lies in, in page order."""
 
@@ -122,11 +160,13 @@ class Page:
                 continue
             if tag in VOID:
                 continue
-            names = ""
-            if "=" in rest:
-                names = " ".join((a or b or c) for _, a, b, c in NAME.findall(rest)).lower()
-            noise = tag in LEFT_OUT or bool(names and tag not in ("html", "body") and NOISE.search(NOT_NOISE.sub("", names))) or bool(rest and HIDDEN.search(rest))
-            if tag in CONTAINERS or tag in LEFT_OUT or (tag in BLOCKS and tag not in ("p", "li", "dt", "dd", "option", "h1", "h2", "h3", "h4", "h5", "h6")):
+            given = attributes(rest) if rest.strip("/ \t\n\r\f") else {}
+            named = " ".join(given[k] for k in ("class", "id", "role") if k in given)
+            names = named.lower()
+            noise = tag in LEFT_OUT or bool(given) and hidden(given)
+            if named and not noise and tag not in ("html", "body") and tag not in HEADINGS:
+                noise = given.get("role", "").strip().lower() in ROLES or any(map(is_noise, f"{given.get('class', '')} {given.get('id', '')}".split()))
+            if tag in CONTAINERS or tag in LEFT_OUT or (tag in BLOCKS and tag not in ("p", "li", "dt", "dd", "option") and tag not in HEADINGS):
                 if tag in CONTAINERS and not out and not noise:
                     here = self._open(here, tag, names)
                 out = out or noise
