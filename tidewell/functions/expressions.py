@@ -65,3 +65,11 @@ def zscore(value: Column, mean: Column, std: Column) -> Column:
 def unscale(value: Column, mean: Column, std: Column) -> Column:
     """The inverse of zscore for a variable that has a mean."""
     return value * F.when(std == 0, F.lit(1.0)).otherwise(std) + mean
+
+
+def parsed(text: Column, kind: str) -> Column:
+    """A text as a value of a type, null where it doesn't parse or says that it is missing; whole numbers may have decimals of zero."""
+    present = F.when(~F.trim(text).isin("", "NA", "NaN", "nan", "NULL", "null", "N/A", "n/a"), text)
+    if kind == "string":
+        return present
+    return present.try_cast("double").try_cast(kind) if kind in ("bigint", "int") else present.try_cast(kind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +26,45 @@ def hash_rank(df: DataFrame, digest: Column, tie: str) -> DataFrame:
 def ordered_rank(df: DataFrame, key: str, *ties: str, buckets: int = 4096) -> DataFrame:
     """df with place, its rank from 0 by a whole-number key, then by ties; a null key comes first.
 
-    The key's range is cut into equal buckets that tasks rank separately; only the buckets' sizes are summed in one place.
+    The keys' quantiles cut their range into buckets of about as many rows, whatever their distances, which tasks rank
+    separately; only the buckets' sizes are summed in one place. Rows of one key and equal ties are numbered in any order.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = (high - low) // buckets + 1 if low is not None else 1
-    keyed = df.withColumn("_bucket", F.coalesce(F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1)))
-    counts = sorted((r["_bucket"], r["n"]) for r in keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect())
+    levels = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    found = df.agg(F.percentile_approx(key, levels, 4 * buckets).alias("q")).first()["q"] or []
+    bounds = [float("-inf"), *sorted({float(x) for x in found}), float("inf")]
+    number = F.col(key).cast("double").alias("_number")
+    keyed = Bucketizer(splits=bounds, inputCol="_number", outputCol="_bucket", handleInvalid="keep").transform(df.select("*", number)) if len(bounds) > 2 else df.select("*", number, F.lit(0.0).alias("_bucket"))
+    keyed = keyed.withColumn("_bucket", F.when(F.col("_number").isNull(), F.lit(-1)).otherwise(F.col("_bucket").cast("int"))).drop("_number")
+    return _ranked(keyed, "_bucket", [key, *ties], "place").drop("_bucket")
+
+
+def _ranked(df: DataFrame, bucket: str, order: list, place: str) -> DataFrame:
+    """df with its rank from 0 by bucket, then by order, from the buckets' sizes."""
+    counts = sorted((r[bucket], r["n"]) for r in df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
-    for bucket, n in counts:
-        offsets.append((bucket, total))
+    for value, n in counts:
+        offsets.append((value, total))
         total += n
-    before = F.broadcast(df.sparkSession.createDataFrame(offsets, "_bucket long, _before long"))  # buckets + 1 rows at most
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties))
-    return keyed.withColumn("_own", own).join(before, "_bucket").withColumn("place", F.col("_before") + F.col("_own") - 1).drop("_bucket", "_own", "_before")
+    kind = df.schema[bucket].dataType.simpleString()
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{bucket} {kind}, _before long"))  # a row for each bucket
+    own = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
+    return df.withColumn("_own", own).join(before, bucket).withColumn(place, F.col("_before") + F.col("_own") - 1).drop("_own", "_before")
+
+
+def file_places(df: DataFrame, name: str = "place") -> DataFrame:
+    """df, as read from files, with each row's place from 0 in the order of the files' names and of the rows in them.
+
+    A file's blocks are read by one task each, so a row's place in its block is the order in which the task met it; the blocks' sizes
+    give the rest. Take it straight from a reader: _metadata must be there, and no row filtered before if places shall be those in the files.
+    """
+    read = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_met"))
+    marked = read.withColumn("_block", F.struct("_file", "_start"))
+    sizes = marked.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block of a file
+    offsets = sizes.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_block").orderBy("_met"))
+    placed = marked.withColumn("_own", own).join(offsets, "_block")
+    return placed.withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_file", "_start", "_met", "_block", "_own", "_before")
 
 
 def row_chunks(df: DataFrame, key: str, *ties: str, chunks: int = 20) -> DataFrame:

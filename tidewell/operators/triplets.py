@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,18 +98,6 @@ def balanced(rows: DataFrame, sample: str, targets: list[int], interventions: li
     return chosen.withColumn("slot", slot.cast("int")).select(*rows.columns, "slot")
 
 
-def batches(df: DataFrame, size: int = 32) -> Iterator[list]:
-    """Rows in lists of `size`, streamed to the driver a partition at a time."""
-    held: list = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def fixed_arrays(rows: DataFrame, sample: str, size: int, prefix: str, last_variable: int, order: tuple[str, ...] = ("minute", "vind")) -> DataFrame:
     """One row for each sample: prefix_vind, _minute, _value and _mask, each `size` long, of its rows (vind, minute, value).
 

@@ -11,7 +11,6 @@ from tidewell.functions import catalog, expressions as X
 from tidewell.operators import align, extract, normalise, split, triplets, windows
 from tidewell.operators.forecast import Forecaster
 from tidewell.operators.joins import small
-from tidewell.operators.numbering import ordered_rank
 from tidewell.operators import metrics as M
 from tidewell.sources.stages import Run
 from tidewell.sources.tables import metrics_json, plot_data, read_hospital, write_json, write_predictions, write_table
@@ -19,7 +18,7 @@ from tidewell.sources.tables import metrics_json, plot_data, read_hospital, writ
 
 @dataclass
 class Hospital:
-    """The raw tables; stays carry stay_ord, the order in which an admission's stays are tried."""
+    """The raw tables; stays carry stay_ord, their place in the file, the order in which an admission's stays are tried."""
 
     stays: DataFrame
     patients: DataFrame
@@ -31,14 +30,13 @@ class Hospital:
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Hospital:
-        names = ["icustays", "patients", "chartevents", "labevents", "outputevents", "d_items", "inputevents"]
-        return cls(*(read_hospital(spark, folder, n) for n in names))
+        names = ["patients", "chartevents", "labevents", "outputevents", "d_items", "inputevents"]
+        return cls(read_hospital(spark, folder, "icustays", "stay_ord"), *(read_hospital(spark, folder, n) for n in names))
 
 
 def adult_stays(h: Hospital) -> DataFrame:
     stays = extract.with_values(h.stays, "intime", "outtime", "stay_id")
-    stays = extract.adults(stays, h.patients)
-    return ordered_rank(stays, "hadm_id", "intime", "stay_id").withColumnRenamed("place", "stay_ord")
+    return extract.adults(stays, h.patients)
 
 
 def clean_events(h: Hospital, stays: DataFrame, item_map: DataFrame) -> DataFrame:

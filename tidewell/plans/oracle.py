@@ -51,6 +51,33 @@ _HISTORY = f"""{_ROWS}, x AS (
   SELECT stay_id, row_number() OVER (PARTITION BY stay_id ORDER BY minute, variable) - 1 AS pos, i.vind, minute, value
   FROM s JOIN (SELECT variable, row_number() OVER (ORDER BY variable) - 1 AS vind FROM (SELECT DISTINCT variable FROM e)) i USING (variable) WHERE is_target = 0
 )"""
+_CHOSEN = f"""WITH RECURSIVE {_HISTORY}, b AS (
+  SELECT *, count(*) OVER (PARTITION BY stay_id) AS n, row_number() OVER (PARTITION BY stay_id, vind ORDER BY pos DESC) AS back FROM x
+), r AS (
+  SELECT *, CASE vind WHEN 0 THEN back <= 3 WHEN 1 THEN back <= 3 WHEN 4 THEN back <= 3 WHEN 2 THEN back <= 1 ELSE false END AS recent FROM b
+), k AS (
+  SELECT *, recent AND row_number() OVER (PARTITION BY stay_id, recent ORDER BY pos DESC) <= 12 AS kept FROM r
+), u AS (
+  SELECT *, row_number() OVER (PARTITION BY stay_id, vind, kept ORDER BY pos) AS place FROM k
+), f AS (
+  SELECT stay_id, [count(*) FILTER (kept AND vind = 0), count(*) FILTER (kept AND vind = 1), count(*) FILTER (kept AND vind = 4)] AS counts,
+    [count(*) FILTER (NOT kept AND vind = 0), count(*) FILTER (NOT kept AND vind = 1), count(*) FILTER (NOT kept AND vind = 4)] AS unused,
+    [1, 2, 3] AS still, [0, 0, 0] AS taken, 12 - count(*) FILTER (kept) AS room FROM u GROUP BY stay_id
+), turns AS (
+  SELECT stay_id, counts, unused, still, taken, room FROM f
+  UNION ALL
+  SELECT stay_id, list_transform(counts, lambda c, i: c + CASE WHEN has AND i = who THEN 1 ELSE 0 END), list_transform(unused, lambda c, i: c - CASE WHEN has AND i = who THEN 1 ELSE 0 END),
+    CASE WHEN has THEN still ELSE list_filter(still, lambda c: c <> who) END, list_transform(taken, lambda c, i: c + CASE WHEN has AND i = who THEN 1 ELSE 0 END),
+    room - CASE WHEN has THEN 1 ELSE 0 END
+  FROM (SELECT *, still[place] AS who, unused[still[place]] > 0 AS has FROM (
+    SELECT *, list_filter(range(1, len(still) + 1), lambda p: p = len(still) OR counts[still[p]] <= counts[still[p + 1]])[1] AS place FROM turns WHERE room > 0 AND len(still) > 0))
+), g AS (
+  SELECT stay_id, taken FROM turns WHERE room <= 0 OR len(still) = 0
+), picked AS (
+  SELECT u.*, kept OR coalesce(place <= taken[list_position([0, 1, 4], vind)], false) AS chosen FROM u JOIN g USING (stay_id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stay_id, chosen ORDER BY md5('{SEED}:' || stay_id || ':' || pos), pos) AS drawn, 12 - count(*) FILTER (chosen) OVER (PARTITION BY stay_id) AS free FROM picked
+), final AS (SELECT * FROM ranked WHERE chosen OR drawn <= free)"""
 _DRAWS = """r AS (
   SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding[1] AS DOUBLE) AS actual, CAST(unnest(embedding) AS DOUBLE) AS draw FROM embeddings
 )"""
@@ -126,35 +153,14 @@ FROM s GROUP BY stay_id""",
   SELECT *, row_number() OVER (PARTITION BY stay_id, vind ORDER BY minute DESC, pos DESC) AS place FROM x WHERE vind IN (0, 1, 2, 4)
 ), j AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY pos DESC) AS back FROM k WHERE place <= CASE vind WHEN 2 THEN 1 ELSE 3 END)
 SELECT stay_id, pos, vind, minute, round(value, 6) AS value FROM j WHERE back <= 8""",
-    "balanced_triplets": f"""WITH RECURSIVE {_HISTORY}, b AS (
-  SELECT *, count(*) OVER (PARTITION BY stay_id) AS n, row_number() OVER (PARTITION BY stay_id, vind ORDER BY pos DESC) AS back FROM x
-), r AS (
-  SELECT *, CASE vind WHEN 0 THEN back <= 3 WHEN 1 THEN back <= 3 WHEN 4 THEN back <= 3 WHEN 2 THEN back <= 1 ELSE false END AS recent FROM b
-), k AS (
-  SELECT *, recent AND row_number() OVER (PARTITION BY stay_id, recent ORDER BY pos DESC) <= 12 AS kept FROM r
-), u AS (
-  SELECT *, row_number() OVER (PARTITION BY stay_id, vind, kept ORDER BY pos) AS place FROM k
-), f AS (
-  SELECT stay_id, [count(*) FILTER (kept AND vind = 0), count(*) FILTER (kept AND vind = 1), count(*) FILTER (kept AND vind = 4)] AS counts,
-    [count(*) FILTER (NOT kept AND vind = 0), count(*) FILTER (NOT kept AND vind = 1), count(*) FILTER (NOT kept AND vind = 4)] AS unused,
-    [1, 2, 3] AS still, [0, 0, 0] AS taken, 12 - count(*) FILTER (kept) AS room FROM u GROUP BY stay_id
-), turns AS (
-  SELECT stay_id, counts, unused, still, taken, room FROM f
-  UNION ALL
-  SELECT stay_id, list_transform(counts, lambda c, i: c + CASE WHEN has AND i = who THEN 1 ELSE 0 END), list_transform(unused, lambda c, i: c - CASE WHEN has AND i = who THEN 1 ELSE 0 END),
-    CASE WHEN has THEN still ELSE list_filter(still, lambda c: c <> who) END, list_transform(taken, lambda c, i: c + CASE WHEN has AND i = who THEN 1 ELSE 0 END),
-    room - CASE WHEN has THEN 1 ELSE 0 END
-  FROM (SELECT *, still[place] AS who, unused[still[place]] > 0 AS has FROM (
-    SELECT *, list_filter(range(1, len(still) + 1), lambda p: p = len(still) OR counts[still[p]] <= counts[still[p + 1]])[1] AS place FROM turns WHERE room > 0 AND len(still) > 0))
-), g AS (
-  SELECT stay_id, taken FROM turns WHERE room <= 0 OR len(still) = 0
-), picked AS (
-  SELECT u.*, kept OR coalesce(place <= taken[list_position([0, 1, 4], vind)], false) AS chosen FROM u JOIN g USING (stay_id)
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY stay_id, chosen ORDER BY md5('{SEED}:' || stay_id || ':' || pos), pos) AS drawn, 12 - count(*) FILTER (chosen) OVER (PARTITION BY stay_id) AS free FROM picked
-), final AS (SELECT * FROM ranked WHERE chosen OR drawn <= free)
+    "balanced_triplets": f"""{_CHOSEN}
 SELECT stay_id, pos, vind, minute, round(value, 6) AS value,
   row_number() OVER (PARTITION BY stay_id ORDER BY CASE WHEN n > 12 THEN minute END, CASE WHEN n > 12 THEN vind END, pos) - 1 AS slot FROM final""",
+    "history_arrays": f"""{_CHOSEN}, y AS (
+  SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY minute, vind) - 1 AS slot FROM final
+) SELECT i.stay_id, i.slot AS pos, coalesce(CAST(vind AS DOUBLE), 5) AS vind, coalesce(CAST(minute AS DOUBLE), -1) AS minute, round(coalesce(value, 0), 6) AS value,
+  CASE WHEN y.slot IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS mask
+FROM (SELECT stay_id, unnest(range(12)) AS slot FROM (SELECT DISTINCT stay_id FROM y)) i LEFT JOIN y USING (stay_id, slot)""",
     "pad_triplets": f"""WITH {_HISTORY} SELECT i.stay_id, i.pos, round(coalesce(value, 0), 6) AS value, coalesce(CAST(minute AS DOUBLE), -1) AS minute,
   CASE WHEN x.pos IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS mask
 FROM (SELECT stay_id, unnest(range(60)) AS pos FROM (SELECT DISTINCT stay_id FROM x)) i LEFT JOIN x USING (stay_id, pos)""",
@@ -167,7 +173,8 @@ FROM (SELECT stay_id, unnest(range(60)) AS pos FROM (SELECT DISTINCT stay_id FRO
 ), l AS (
   SELECT label, level, 2 * sum(abs((forecast - actual) * (CASE WHEN actual <= forecast THEN 1 ELSE 0 END - level))) / sum(abs(actual)) AS loss FROM g GROUP BY label, level
 ) SELECT label, round(avg(loss), 6) AS crps FROM l GROUP BY label""",
-    "cumprod_schedule": f"WITH {_ALPHA} SELECT step, round(beta, 9) AS beta, round(alpha, 9) AS alpha FROM l",
+    "cumprod_schedule": f"""WITH {_ALPHA} SELECT step, round(any_value(beta), 9) AS beta, round(any_value(alpha), 9) AS alpha, count(*) AS n
+FROM embeddings JOIN l ON vec_id % 50 = step GROUP BY step""",
     "forward_noise": f"""WITH {_ALPHA} SELECT vec_id, step, round(sqrt(alpha) * CAST(embedding[1] AS DOUBLE) + sqrt(1 - alpha) * CAST(embedding[2] AS DOUBLE), 6) AS noised
 FROM embeddings JOIN l ON vec_id % 50 = step""",
     "topk_examples": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",

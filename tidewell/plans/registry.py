@@ -14,6 +14,7 @@ from tidewell.functions import catalog, expressions as X
 from tidewell.operators import align, extract, forecast, metrics, normalise, split, triplets, windows
 from tidewell.operators.joins import small
 from tidewell.operators.numbering import hash_rank, row_chunks as row_blocks, shuffled_batches as batches_of
+from tidewell.sources.tables import plot_data
 
 TARGETS = ["click", "view", "error"]
 SEED = 2026
@@ -242,6 +243,15 @@ def balanced_triplets(spark, d):
     return rounded(made.withColumns({c: F.col(c).cast("long") for c in ("pos", "vind", "slot")}), "value")
 
 
+def history_arrays(spark, d):
+    """Histories as fixed arrays: the chosen events, padded."""
+    chosen = triplets.balanced(history_rows(spark, d), "stay_id", [0, 1, 4], [2], size=12, seed=SEED)
+    names = ["vind", "minute", "value", "mask"]
+    arrays = triplets.fixed_arrays(chosen, "stay_id", 12, "x", 5)
+    zipped = arrays.select("stay_id", F.posexplode(F.arrays_zip(*(F.col(f"x_{n}").alias(n) for n in names))))
+    return rounded(zipped.select("stay_id", F.col("pos").cast("long").alias("pos"), *(F.col("col")[n].alias(n) for n in names)), "value")
+
+
 def draw_rows(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").alias("draws"))
     return e.withColumn("actual", F.col("draws")[0].cast("double"))
@@ -273,7 +283,8 @@ def quantile_crps(spark, d):
 
 def cumprod_schedule(spark, d):
     table = forecast.schedule_table(spark).withColumn("step", F.col("step").cast("long"))
-    return rounded(table, "beta", "alpha", places=9)
+    at = load(spark, d, "embeddings").groupBy((F.col("vec_id") % 50).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(at.join(F.broadcast(table), "step").select("step", "beta", "alpha", "n"), "beta", "alpha", places=9)  # 50 rows
 
 
 def forward_noise(spark, d):
@@ -315,8 +326,8 @@ def rename_columns(spark, d):
 
 def cast_columns(spark, d):
     raw = load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("text"), F.col("ts").cast("string").alias("at"))
-    number = F.col("k").try_cast("double")
-    return raw.select("event_id", F.col("k").try_cast("long").alias("itemid"), (number / 2).alias("half"), F.col("text").try_cast("double").alias("none"), F.col("at").try_cast("timestamp_ntz").alias("at"))
+    as_kind = lambda c, kind: X.parsed(F.col(c), kind)
+    return raw.select("event_id", as_kind("k", "bigint").alias("itemid"), (as_kind("k", "double") / 2).alias("half"), as_kind("text", "double").alias("none"), as_kind("at", "timestamp_ntz").alias("at"))
 
 
 #: Rules of the query drug_rules; item keys modulo 5 stand for the items.
@@ -392,8 +403,9 @@ def prediction_rows(spark, d):
 
 
 def plot_quartiles(spark, d):
-    q = metrics.array_quantiles(draw_rows(spark, d), ["vec_id", "label"], [0.25, 0.5, 0.75])
-    return rounded(q.groupBy("label", "level").agg(F.avg("forecast").alias("forecast")), "forecast")
+    plotted = plot_data(metrics.long_draws(draw_rows(spark, d), ["vec_id", "label"]), ["vec_id", "label"])
+    each = plotted.select("label", F.posexplode("quartiles").alias("i", "forecast")).withColumn("level", (F.col("i") + 1) / 4)
+    return rounded(each.groupBy("label", "level").agg(F.avg("forecast").alias("forecast")), "forecast")
 
 
 def row_chunks(spark, d):
@@ -419,7 +431,7 @@ QUERIES = {
         scan_project, filter_not_both_null, adult_filter_age, semi_join_stays, rule_join_drop, unit_convert, recode_text, label_keyword_match,
         binarize, conditional_median_impute, hourly_interval_split, interval_assign_first, relative_minute, dedupe_events, minute_aggregate,
         list_intervals, dense_index, union_sources, static_side_rows, stay_max_minute, window_candidates, first_window, window_samples, sample_lengths,
-        patient_split, norm_stats, zscore, unscale_roundtrip, last_n_per_target, pad_triplets, balanced_triplets, forecast_summary, masked_mse,
+        patient_split, norm_stats, zscore, unscale_roundtrip, last_n_per_target, pad_triplets, balanced_triplets, history_arrays, forecast_summary, masked_mse,
         signal_mse, quantile_crps, cumprod_schedule, forward_noise, topk_examples, seeded_shuffle, metrics_json_struct, empirical_forecast,
         rename_columns, cast_columns, drug_rules, item_labels, number_for_text, stay_minutes, null_counts, required_rows, running_mean, noise_loss,
         display_labels, prediction_rows, plot_quartiles, row_chunks, shuffled_batches, target_arrays,

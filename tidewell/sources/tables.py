@@ -9,36 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.functions import expressions as X
 from tidewell.functions.schemas import INPUTS, PREDICTIONS, struct
+from tidewell.operators.numbering import file_places
 from tidewell.sources.stages import existing
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, place: str | None = None) -> DataFrame:
     """The schema's columns of a CSV file with a header, whatever others it has and in what order.
 
     Columns are matched by name, values that don't parse become null, and the texts NA and NaN count as missing. Large
-    files are split over tasks.
+    files are split over tasks. With place, a column of that name tells each row's place in the file.
     """
     names = spark.read.option("header", True).csv(path).columns
     raw = spark.read.option("header", True).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
     by_name = {n.lower(): n for n in names}
+    if place:
+        raw = file_places(raw, place)
+    typed = [X.parsed(F.col(f"`{by_name[f.name]}`"), f.dataType.simpleString()).alias(f.name) for f in schema]
+    return raw.select(*typed, *([place] if place else []))
 
-    def typed(field: T.StructField):
-        text = F.col(f"`{by_name[field.name]}`")
-        present = F.when(~F.trim(text).isin("", "NA", "NaN", "nan", "NULL", "null", "N/A", "n/a"), text)
-        if isinstance(field.dataType, T.StringType):
-            return present.alias(field.name)
-        if isinstance(field.dataType, T.LongType | T.IntegerType):
-            return present.try_cast("double").try_cast(field.dataType).alias(field.name)
-        return present.try_cast(field.dataType).alias(field.name)
 
-    return raw.select([typed(f) for f in schema])
-
-
-def read_hospital(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the hospital's raw tables, from its CSV file below the folder."""
+def read_hospital(spark: SparkSession, folder: str, name: str, place: str | None = None) -> DataFrame:
+    """One of the hospital's raw tables, from its CSV file below the folder; see read_csv."""
     where = {"icustays": "icu", "chartevents": "icu", "outputevents": "icu", "d_items": "icu", "inputevents": "icu"}.get(name, "hosp")
-    return read_csv(spark, f"{folder}/{where}/{name}.csv*", INPUTS[name])
+    return read_csv(spark, f"{folder}/{where}/{name}.csv*", INPUTS[name], place)
 
 
 def write_table(df: DataFrame, path: str, *partition: str) -> DataFrame:
