@@ -155,3 +155,22 @@ def test_plain_hinge_reaches_its_optimum():
     for step in range(1, 20_000):  # subgradient descent ends near the same loss
         v -= (v - x.T @ (cost * y * (y * (x @ v) < 1))) / (step + 10)
     assert abs(best - loss(v)) < 0.02 * best
+
+
+def test_quality_sample_is_bounded_and_ordered(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i % 60, "".join(rng.choice("ab c") for _ in range(rng.randrange(30)))) for i in range(180)] + [(None, "x"), (61, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)] + [(None, 1), (3, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 250)
+    taken = []
+    monkeypatch.setattr(quality, "train", lambda rows, labels: taken.append(([r.tolist() for r in rows], labels.tolist())))
+    quality.fit(df, labels)
+    quality.fit(df.repartition(6), labels.repartition(3))
+    assert taken[0] == taken[1] and 0 < len(taken[0][1]) <= 20
+    sizes = {}
+    for i, t in rows:
+        if i is not None:
+            sizes[i] = max(sizes.get(i, 0), len(t or ""))
+    assert len(taken[0][1]) < sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in sizes)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidewell.llm.shared import in_arrow, text_or_empty
 
-SAMPLE_DOCS = 6000  #: bound of the training sample, in labelled documents
+SAMPLE_DOCS, SAMPLE_BYTES = 6000, 32 << 20  #: bounds of the training sample, in labelled documents and in bytes of their texts
 BYTE_SLOTS, CLASS_SLOTS, RUN_SLOTS = 1 << 16, 1 << 14, 32
 SLOTS = BYTE_SLOTS + CLASS_SLOTS + RUN_SLOTS
 THRESHOLD = 0.3
@@ -184,14 +184,23 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(df: DataFrame, labels: DataFrame) -> NBSVM:
-    """A model of labels (doc_id, quality) from at most SAMPLE_DOCS labelled rows of df (doc_id, text).
+    """A model of labels (doc_id, quality) from a bounded sample of labelled documents of df (doc_id, text).
 
-    Rows of one document with different labels count as label 0; other values than 0 and 1 are left out.
+    The sample is the first SAMPLE_DOCS labelled documents by a hash of the doc_id, of which those are taken that fit into SAMPLE_BYTES, whole.
+    Of rows that repeat a doc_id the least text is used. Rows of one document with different labels count as label 0; other values than
+    0 and 1 are left out.
     """
-    marked = labels.filter(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    marked = marked.join(df.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = df.select("doc_id", text_or_empty().cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    marked = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    sizes = df.groupBy("doc_id").agg(F.max(F.octet_length(text_or_empty())).alias("size")).join(marked, "doc_id")
+    first = sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("doc_id", "quality", "size").collect()
+    chosen, room = [], SAMPLE_BYTES
+    for doc_id, quality, size in first:
+        if size <= room:
+            room -= size
+            chosen.append((doc_id, quality))
+    ids = F.broadcast(df.sparkSession.createDataFrame(chosen, "doc_id long, quality int"))  # SAMPLE_DOCS rows at most
+    rows = df.join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min(text_or_empty()).alias("text"))
+    sample = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -199,7 +208,7 @@ def fit(df: DataFrame, labels: DataFrame) -> NBSVM:
             ids = [features.of(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary())], names=["doc_id", "quality", "ids"])
 
-    rows = in_arrow(sample, run, "doc_id long, quality int, ids binary").limit(2 * SAMPLE_DOCS).collect()
+    rows = in_arrow(sample, run, "doc_id long, quality int, ids binary").collect()
     rows = sorted((r["doc_id"], r["quality"], bytes(r["ids"])) for r in rows)
     return train([np.frombuffer(i, np.int32) for _, _, i in rows], np.array([q for _, q, _ in rows], int))
 
