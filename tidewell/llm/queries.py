@@ -10,43 +10,53 @@ from tidewell.llm.shared import table
 
 
 def op1_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and components of links at two bits, of all documents."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
 def op2_rotated_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all embeddings for every hundredth one."""
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law `rows`."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16, seed=2026)
 
 
 def op4_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op5_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts found in all documents."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labels.quality."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_merge_dropout_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, merges skipped at a rate of 0.1."""
     return pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=2026)
 
 
 def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 4096 tokens, with a checksum in place of their ids."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), path, end_id=2))
 
 
 def op9_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents and the row of each that stays."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
 
