@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import exact_dedup, simhash
+from tidewell.llm import components as comps, exact_dedup, simhash
 from tidewell.llm.components import components
 
 SCHEMA = "doc_id long, text string, digest string, fp string, file string"
@@ -283,3 +283,20 @@ def test_prefix_links_equal_all_pairs(spark, rounds):
     got = grouped(spark, simhash.prefix_links(members_of(spark, sets, roots), 0.8, rounds), sets)
     want = by_pairs(sets, roots)
     assert got == want and 20 < len(set(want.values())) < len(sets)
+
+
+def test_a_star_is_dealt_to_several_tasks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20k")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "10k")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        star = spark.range(1, 30001).select(F.lit(0).cast("long").alias("b"), F.col("id").alias("a"), F.rand(1).alias("r")).repartition(8, "r").drop("r").unionByName(spark.createDataFrame([(50000, 50001)], "a long, b long"))
+        joined = comps._small_star(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        assert len(joined.collect()) > 30000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "skew" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["root"] for r in components(star.limit(30000)).collect()} == {0}

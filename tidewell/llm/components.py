@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating star operations."""
+"""Connected components of an edge table by alternating star operations.
+
+Least neighbours are summed by task first and written, so that their join with the edges is one of two tables: a node with very many
+edges, as the least of a large component is, can then be dealt to several tasks.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,13 @@ from tidewell.llm.shared import written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the least of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "edges-least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them; edges come as (larger, smaller)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "edges-least")
     own = least.select("a", F.col("m").alias("b"))
     return edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(own)
 
