@@ -350,7 +350,7 @@ def _compared(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFr
 
 
 def prefix_keys(members: DataFrame, similarity: float) -> DataFrame:
-    """(root, key, node): the shingles by which the members (root, node, hashes) of a root can meet.
+    """(root, key, node, n, pos): the shingles by which the members (root, node, hashes) of a root can meet, the set's size and their place in it.
 
     In one order of a root's shingles, here from the rarest in it, two sets of that similarity share one of the first
     n - ceil(similarity * n) + 1 of each. Shingles that no other member has are of no use and left out. Empty sets meet under a key of their own.
@@ -359,8 +359,15 @@ def prefix_keys(members: DataFrame, similarity: float) -> DataFrame:
     often = each.groupBy("root", "key").agg(F.count(F.lit(1)).alias("n"))
     ordered = each.join(often, ["root", "key"]).groupBy("root", "node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
     length = F.size("s") - F.ceil(F.size("s") * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
-    keys = ordered.select("root", "node", F.explode(F.slice("s", F.lit(1), length)).alias("k")).filter("k.n > 1").select("root", F.col("k.key").alias("key"), "node")
-    return keys.unionByName(members.filter(F.size("hashes") == 0).select("root", F.lit(0).cast("long").alias("key"), "node"))
+    keys = ordered.select("root", "node", F.size("s").alias("n"), F.posexplode(F.slice("s", F.lit(1), length)).alias("pos", "k"))
+    keys = keys.filter("k.n > 1").select("root", F.col("k.key").alias("key"), "node", "n", "pos")
+    empty = members.filter(F.size("hashes") == 0)
+    return keys.unionByName(empty.select("root", F.lit(0).cast("long").alias("key"), "node", F.lit(0).alias("n"), F.lit(0).alias("pos")))
+
+
+def _can_reach(room, other_room, low, other_low, similarity: float):
+    """Two sets whose first common shingle leaves them `room` shingles from it on can have the overlap that their sizes ask for."""
+    return F.least(room, other_room) >= F.lit(similarity / (1 + similarity)) * (low + other_low) - F.lit(1e-6)
 
 
 def _components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -373,7 +380,8 @@ def prefix_links(members: DataFrame, similarity: float, rounds: int = PIVOT_ROUN
 
     Members that share a prefix key may link, others can't. At first every member is compared with one such pivot of another
     component, drawn anew each round, which joins dense groups in a few rounds of linear work. Then all pairs that share a key and are still in
-    different components are compared, whatever the rounds have left, so no link between two components is missed.
+    different components are compared if their sizes and the shingles from the key on let them have the similarity, whatever the rounds
+    have left, so no link between two components is missed.
     """
     keys = written(prefix_keys(members, similarity), "near-keys")
     nodes = keys.select("node").distinct()
@@ -389,12 +397,19 @@ def prefix_links(members: DataFrame, similarity: float, rounds: int = PIVOT_ROUN
         edges = found if edges is None else edges.unionByName(found)
         comps = written(_components_of(nodes, edges), "near-comps")
     placed = written(keys.join(comps, "node"), "near-placed")
-    parts = placed.groupBy("root", "key").agg(F.collect_set("comp").alias("comps")).filter(F.size("comps") > 1)
-    each = written(parts.select("root", "key", F.explode("comps").alias("comp")), "near-parts")
-    two = each.alias("l").join(each.alias("r"), (F.col("l.root") == F.col("r.root")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") < F.col("r.comp")))
+    # of a component at a key, what its best member can reach; then the same for the members themselves
+    room = (F.col("n") - F.col("pos")).alias("room")
+    each = placed.groupBy("root", "key", "comp").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("low"), F.max("n").alias("high"))
+    each = written(each, "near-parts")
+    sizes = (F.col("l.high") >= similarity * F.col("r.low")) & (F.col("r.high") >= similarity * F.col("l.low"))
+    able = _can_reach(F.col("l.room"), F.col("r.room"), F.col("l.low"), F.col("r.low"), similarity)
+    same = (F.col("l.root") == F.col("r.root")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") < F.col("r.comp"))
+    two = each.alias("l").join(each.alias("r"), same & sizes & able)
     two = two.select("l.root", "l.key", F.col("l.comp").alias("comp"), F.col("r.comp").alias("other"))
-    left = two.join(placed, ["root", "key", "comp"]).select("root", "key", F.col("other").alias("comp"), F.col("node").alias("a"))
-    pairs = left.join(placed, ["root", "key", "comp"]).select("a", F.col("node").alias("b")).distinct()
+    left = two.join(placed, ["root", "key", "comp"]).select("root", "key", F.col("other").alias("comp"), F.col("node").alias("a"), F.col("n").alias("n_a"), room.alias("room_a"))
+    met = left.join(placed, ["root", "key", "comp"])
+    sizes = F.least("n_a", "n") >= similarity * F.greatest("n_a", "n")
+    pairs = met.filter(sizes & _can_reach(F.col("room_a"), F.col("n") - F.col("pos"), F.col("n_a"), F.col("n"), similarity)).select("a", F.col("node").alias("b")).distinct()
     last = written(_compared(pairs, members, similarity), "near-edges")
     return last if edges is None else edges.unionByName(last)
 
