@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import expressions as X
+from tidewell.operators.joins import dealt
 from tidewell.operators.numbering import ordered_rank
 
 
@@ -34,6 +35,12 @@ def minutes_since_first(events: DataFrame, stay: str, at: str) -> DataFrame:
     return events.join(first, stay).withColumn("minute", X.relative_minute(F.col("_first"), F.col(at))).drop("_first")
 
 
+def dealt_minutes(events: DataFrame, stay: str, at: str) -> DataFrame:
+    """minutes_since_first of events that are dealt by stay once; what follows by stay needs no other shuffle."""
+    first = F.min(at).over(Window.partitionBy(stay))
+    return dealt(events.filter(F.col(stay).isNotNull()), stay).withColumn("minute", X.relative_minute(first, F.col(at)))
+
+
 def distinct_events(events: DataFrame, *columns: str) -> DataFrame:
     """One row for each combination of the columns; nulls are equal to each other."""
     return events.select(*columns).dropDuplicates()

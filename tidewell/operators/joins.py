@@ -1,4 +1,4 @@
-"""Join sides of a checked size."""
+"""Join sides of a checked size, rows dealt once for the steps that follow."""
 
 from __future__ import annotations
 
@@ -15,3 +15,12 @@ def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """
     rows = df.limit(most + 1).collect()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over spark.sql.shuffle.partitions tasks.
+
+    Adaptive execution merges small shuffles into tasks of its advised compressed size, which steps with many sorts and sums in one
+    stage hold several times. It leaves a named number of partitions alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

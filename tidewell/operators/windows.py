@@ -52,7 +52,26 @@ def window_rows(minutes: DataFrame, targets: list[str], windows: DataFrame, stay
 
     The history has all variables, the target part the target variables.
     """
-    joined = minutes.join(windows, stay).withColumn("minute", F.col("minute") - F.col("k") * STEP)
+    return _inside(minutes.join(windows, stay), targets, stay, variable, value, carry)
+
+
+def first_window_rows(minutes: DataFrame, targets: list[str], stay: str = "stay_id", variable: str = "variable", value: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+    """window_rows of the first_windows of minutes (one row for each stay, minute and variable), in one pass over them.
+
+    Every window below is served by one order of a stay's rows, so minutes are made, shuffled and sorted once.
+    """
+    reach, whole = HISTORY // STEP, Window.partitionBy(stay)
+    held = minutes.filter(F.col(stay).isNotNull()).withColumn("_bucket", F.floor(F.col("minute") / STEP).cast("long"))
+    often = F.col(variable).isin(list(targets)) & (F.count(F.lit(1)).over(Window.partitionBy(stay, "_bucket", variable)) >= 2)
+    history = F.count_if(F.col("_bucket") >= 0).over(whole.orderBy("_bucket").rangeBetween(-reach, -1)) > 0
+    held = held.withColumns({"_often": often, "_history": history, "_last": F.max("minute").over(whole), "_k": F.col("_bucket") - reach})
+    candidate = F.col("_often") & F.col("_history") & (F.col("_k") >= 0) & (F.col("_k") * STEP + (HISTORY + TARGET) < F.col("_last"))
+    return _inside(held.withColumn("k", F.min(F.when(candidate, F.col("_k"))).over(whole)), targets, stay, variable, value, carry)
+
+
+def _inside(rows: DataFrame, targets: list[str], stay: str, variable: str, value: str, carry: tuple[str, ...]) -> DataFrame:
+    """The rows (with k) that lie in their stay's window; those without a window go."""
+    joined = rows.withColumn("minute", F.col("minute") - F.col("k") * STEP)
     is_target = F.col("minute") >= HISTORY
     kept = joined.filter((F.col("minute") >= 0) & (F.col("minute") < HISTORY + TARGET) & (~is_target | F.col(variable).isin(list(targets))))
     return kept.select(stay, *carry, "k", "minute", variable, value, is_target.cast("int").alias("is_target"))

@@ -37,7 +37,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of each stay, hour since its first event and variable; the hour stands in for the minute."""
-    at = align.minutes_since_first(events(spark, sf_dir), "stay_id", "charttime")
+    at = align.dealt_minutes(events(spark, sf_dir).select("stay_id", "charttime", "variable", "value"), "stay_id", "charttime")
     at = at.withColumn("minute", F.floor(F.col("minute") / 60).cast("long"))
     return align.minute_means(align.distinct_events(at, "stay_id", "minute", "variable", "value"))
 
@@ -173,17 +173,21 @@ def first_window(spark, d):
 
 
 def sample_table(spark, d):
-    minutes = hourly_table(spark, d)
-    return windows.window_rows(minutes, TARGETS, windows.first_windows(minutes, TARGETS))
+    return windows.first_window_rows(hourly_table(spark, d), TARGETS)
 
 
 def window_samples(spark, d):
     return rounded(sample_table(spark, d), "value").select("stay_id", "k", "minute", "variable", "value", F.col("is_target").cast("long").alias("is_target"))
 
 
+def variables(spark, d):
+    """vind of each variable; a few rows, so that samples stay where they are when they get it."""
+    index = align.variable_index(events(spark, d).select(F.col("variable").alias("name")), TARGETS)
+    return small(index.select("vind", F.col("name").alias("variable")))
+
+
 def sample_lengths(spark, d):
-    index = align.variable_index(events(spark, d).select(F.col("variable").alias("name")), TARGETS).select("vind", F.col("name").alias("variable"))
-    made = windows.samples(sample_table(spark, d).join(index, "variable"))
+    made = windows.samples(sample_table(spark, d).join(variables(spark, d), "variable"))
     return made.select("stay_id", F.col("t0").cast("long").alias("t0"), F.col("x_len").cast("long").alias("x_len"), F.col("y_len").cast("long").alias("y_len"), F.size("events").cast("long").alias("n"))
 
 
@@ -215,8 +219,7 @@ def unscale_roundtrip(spark, d):
 
 
 def history_rows(spark, d):
-    index = align.variable_index(events(spark, d).select(F.col("variable").alias("name")), TARGETS).select("vind", F.col("name").alias("variable"))
-    rows = sample_table(spark, d).filter("is_target = 0").join(index, "variable")
+    rows = sample_table(spark, d).filter("is_target = 0").join(variables(spark, d), "variable")
     pos = F.row_number().over(Window.partitionBy("stay_id").orderBy("minute", "vind")) - 1
     return rows.select("stay_id", pos.alias("pos"), "vind", "minute", "value")
 
@@ -311,9 +314,8 @@ def metrics_json_struct(spark, d):
 
 def empirical_forecast(spark, d):
     rows = sample_table(spark, d)
-    index = align.variable_index(events(spark, d).select(F.col("variable").alias("name")), TARGETS).select("vind", F.col("name").alias("variable"))
     order = Window.partitionBy("stay_id").orderBy("is_target", "minute", "variable")
-    rows = rows.join(index, "variable").withColumn("pos", F.row_number().over(order) - 1)
+    rows = rows.join(variables(spark, d), "variable").withColumn("pos", F.row_number().over(order) - 1)
     made = forecast.EmpiricalForecaster(SEED).forecast(rows, 20)
     text = F.array_join(F.transform("draws", lambda x: F.round(x, 6).cast("decimal(18,6)").cast("string")), ",")
     return rounded(made.select("stay_id", F.col("pos").cast("long").alias("pos"), F.col("vind").cast("long").alias("vind"), "minute", "actual", text.alias("draws")), "actual")
@@ -417,8 +419,7 @@ def shuffled_batches(spark, d):
 
 
 def target_arrays(spark, d):
-    index = align.variable_index(events(spark, d).select(F.col("variable").alias("name")), TARGETS).select("vind", F.col("name").alias("variable"))
-    rows = sample_table(spark, d).filter("is_target = 1").join(F.broadcast(index), "variable")  # five variables
+    rows = sample_table(spark, d).filter("is_target = 1").join(variables(spark, d), "variable")
     arrays = triplets.target_arrays(rows, "stay_id", len(TARGETS), 5)
     names = ["vind", "minute", "value", "mask"]
     zipped = arrays.select("stay_id", F.posexplode(F.arrays_zip(*(F.col(f"y_{n}").alias(n) for n in names))))
