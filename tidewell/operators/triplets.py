@@ -16,10 +16,11 @@ def last_rows(rows: DataFrame, keys: list[str], order: list, keep: int) -> DataF
 
 def recent_rows(rows: DataFrame, sample: str, targets: list, interventions: list, size: int = X_SIZE, variable: str = "vind") -> DataFrame:
     """The last three rows of each target and the last of each intervention, of these the last `size` of a sample."""
-    order = ["minute", variable, "pos"]
-    kept = last_rows(rows.filter(F.col(variable).isin(targets)), [sample, variable], order, 3)
-    given = last_rows(rows.filter(F.col(variable).isin(interventions) & ~F.col(variable).isin(targets)), [sample, variable], order, 1)
-    return last_rows(kept.unionByName(given), [sample], ["pos"], size)
+    known = rows.filter(F.col(variable).isin([*targets, *interventions]))
+    back = F.row_number().over(Window.partitionBy(sample, variable).orderBy(*(F.col(c).desc() for c in ("minute", variable, "pos"))))
+    most = F.when(F.col(variable).isin(targets), 3).otherwise(1)
+    kept = known.withColumn("_back", back).filter(F.col("_back") <= most).drop("_back")
+    return last_rows(kept, [sample], ["pos"], size)
 
 
 def padded(values, size: int, fill: float):
