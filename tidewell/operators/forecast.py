@@ -10,7 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.shipping import ship
@@ -32,9 +32,10 @@ class EmpiricalForecaster:
         if draws < 1:
             raise ValueError("at least one draw is needed")
         s = self.sample
-        history = rows.filter("is_target = 0").groupBy(s, "vind").agg(F.sort_array(F.collect_list("value")).alias("_seen"))
-        wanted = rows.filter("is_target = 1").select(s, "pos", "vind", "minute", F.col("value").alias("actual"))
-        joined = wanted.join(history, [s, "vind"], "left")
+        past = F.when((F.col("is_target") == 0) & F.col(s).isNotNull() & F.col("vind").isNotNull(), F.col("value"))
+        seen = F.collect_list(past).over(Window.partitionBy(s, "vind"))  # rows are made once, and a sample's history is short
+        wanted = rows.withColumn("_seen", seen).filter("is_target = 1").withColumn("_seen", F.sort_array("_seen"))
+        joined = wanted.withColumnRenamed("value", "actual")
         digest = lambda i: F.md5(F.concat_ws(":", F.lit(self.seed), F.col(s).cast("string"), F.col("pos").cast("string"), i.cast("string")))
         number = lambda i: F.conv(F.substring(digest(i), 1, 8), 16, 10).cast("long")
         pick = lambda i: F.get("_seen", (number(i) % F.size("_seen")).cast("int"))
