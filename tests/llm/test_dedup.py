@@ -300,3 +300,37 @@ def test_a_star_is_dealt_to_several_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert {r["root"] for r in components(star.limit(30000)).collect()} == {0}
+
+
+def test_parity_marks_never_exceed_the_shingles_that_differ(spark):
+    rng = random.Random(6)
+    pool = [rng.randrange(-(2**63), 2**63) for _ in range(3000)]
+    sets = {i: set(rng.sample(pool, rng.randrange(1, 900))) for i in range(30)} | {30: set()}
+    got = {r["node"]: [r[f"m{i}"] for i in range(simhash.MARKS)] for r in simhash.parity_marks(members_of(spark, sets)).collect()}
+    want = {}
+    for n, held in sets.items():
+        bits = [0] * simhash.MARKS
+        for h in held:
+            bits[(h >> 6) % simhash.MARKS] ^= 1 << (h & 63)
+        want[n] = [b - (1 << 64) if b >> 63 else b for b in bits]
+    assert got == want
+    assert all(sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(got[a], got[b])) <= len(sets[a] ^ sets[b]) for a in sets for b in sets)
+
+
+def test_texts_of_a_group_that_are_not_alike_enough_are_not_compared(spark, monkeypatch):
+    # a group of texts with a similarity of two thirds that share their rare shingles; and near copies of some
+    rng = random.Random(7)
+    base, rare = [rng.randrange(2**62) for _ in range(150)], [rng.randrange(2**62) for _ in range(800)]
+    sets = {i: set(rng.sample(base, 134)) | set(rng.sample(rare, 16)) for i in range(150)}
+    sets |= {1000 + i: (sets[i] - {min(sets[i])}) | {i} for i in range(0, 150, 3)}
+    compared = []
+    kept = simhash._compared
+
+    def counting(pairs, members, similarity):
+        compared.append(pairs.count())
+        return kept(pairs, members, similarity)
+
+    monkeypatch.setattr(simhash, "_compared", counting)
+    want = by_pairs(sets)
+    assert grouped(spark, simhash.prefix_links(members_of(spark, sets), 0.8), sets) == want and len(set(want.values())) < len(sets)
+    assert compared[-1] < 200, compared

@@ -43,6 +43,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.multiply.accumulate(np.full(256, _BASE, np.uint64))
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 PIVOT_ROUNDS = 4
+MARKS = 8  #: longs of the parity marks of a set of shingles
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -370,6 +371,29 @@ def _can_reach(room, other_room, low, other_low, similarity: float):
     return F.least(room, other_room) >= F.lit(similarity / (1 + similarity)) * (low + other_low) - F.lit(1e-6)
 
 
+def parity_marks(members: DataFrame) -> DataFrame:
+    """node and marks m0 .. of the members (node, hashes): each bit tells whether the set has an odd number of the shingles that fall on it.
+
+    Every bit that two sets differ in stands for a shingle that only one of them has, so the differing bits never outnumber these.
+    """
+    each = members.select("node", F.explode("hashes").alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARKS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    marks = each.groupBy("node").agg(*(F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(MARKS)))
+    return members.select("node").join(marks, "node", "left").na.fill(0, [f"m{i}" for i in range(MARKS)])
+
+
+def _few_differ(l: str, r: str, most, similarity: float):
+    """Groups of sets with `most` shingles in a pair can hold a pair of that similarity by their marks.
+
+    all_ has the bits that every set of a group has, any_ those that some have. Bits that all of one and none of the other have differ in
+    each pair; two sets of n + m shingles and that similarity differ in (1 - similarity) / (1 + similarity) * (n + m) shingles at most.
+    """
+    own = lambda side, kind, i: F.col(f"{side}{kind}_{i}")
+    sure = lambda a, b, i: F.bit_count(own(a, "all", i).bitwiseAND(F.bitwise_not(own(b, "any", i))))
+    differ = sum((sure(l, r, i) + sure(r, l, i) for i in range(1, MARKS)), sure(l, r, 0) + sure(r, l, 0))
+    return differ <= F.lit((1 - similarity) / (1 + similarity)) * most + F.lit(1e-6)
+
+
 def _components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes; a node without an edge is its own component."""
     return nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
@@ -380,8 +404,8 @@ def prefix_links(members: DataFrame, similarity: float, rounds: int = PIVOT_ROUN
 
     Members that share a prefix key may link, others can't. At first every member is compared with one such pivot of another
     component, drawn anew each round, which joins dense groups in a few rounds of linear work. Then all pairs that share a key and are still in
-    different components are compared if their sizes and the shingles from the key on let them have the similarity, whatever the rounds
-    have left, so no link between two components is missed.
+    different components are compared if their sizes, the shingles from the key on and their parity marks let them have the similarity,
+    whatever the rounds have left, so no link between two components is missed.
     """
     keys = written(prefix_keys(members, similarity), "near-keys")
     nodes = keys.select("node").distinct()
@@ -397,19 +421,27 @@ def prefix_links(members: DataFrame, similarity: float, rounds: int = PIVOT_ROUN
         edges = found if edges is None else edges.unionByName(found)
         comps = written(_components_of(nodes, edges), "near-comps")
     placed = written(keys.join(comps, "node"), "near-placed")
-    # of a component at a key, what its best member can reach; then the same for the members themselves
-    room = (F.col("n") - F.col("pos")).alias("room")
-    each = placed.groupBy("root", "key", "comp").agg(F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("low"), F.max("n").alias("high"))
+    apart = placed.groupBy("root", "key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("root", "key")
+    marks = written(parity_marks(members.select("node", "hashes")), "near-marks")
+    placed = written(placed.join(apart, ["root", "key"], "left_semi").join(marks, "node"), "near-apart")
+    # of a component at a key, what its best member can reach and what marks its members share; then the same for the members themselves
+    room = F.col("n") - F.col("pos")
+    shared = [f(f"m{i}").alias(f"{kind}_{i}") for i in range(MARKS) for kind, f in (("all", F.bit_and), ("any", F.bit_or))]
+    each = placed.groupBy("root", "key", "comp").agg(F.max(room).alias("room"), F.min("n").alias("low"), F.max("n").alias("high"), *shared)
     each = written(each, "near-parts")
     sizes = (F.col("l.high") >= similarity * F.col("r.low")) & (F.col("r.high") >= similarity * F.col("l.low"))
     able = _can_reach(F.col("l.room"), F.col("r.room"), F.col("l.low"), F.col("r.low"), similarity)
+    alike = _few_differ("l.", "r.", F.col("l.high") + F.col("r.high"), similarity)
     same = (F.col("l.root") == F.col("r.root")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") < F.col("r.comp"))
-    two = each.alias("l").join(each.alias("r"), same & sizes & able)
+    two = each.alias("l").join(each.alias("r"), same & sizes & able & alike)
     two = two.select("l.root", "l.key", F.col("l.comp").alias("comp"), F.col("r.comp").alias("other"))
-    left = two.join(placed, ["root", "key", "comp"]).select("root", "key", F.col("other").alias("comp"), F.col("node").alias("a"), F.col("n").alias("n_a"), room.alias("room_a"))
-    met = left.join(placed, ["root", "key", "comp"])
-    sizes = F.least("n_a", "n") >= similarity * F.greatest("n_a", "n")
-    pairs = met.filter(sizes & _can_reach(F.col("room_a"), F.col("n") - F.col("pos"), F.col("n_a"), F.col("n"), similarity)).select("a", F.col("node").alias("b")).distinct()
+    own = lambda side: [F.col(f"m{i}").alias(f"{side}{kind}_{i}") for i in range(MARKS) for kind in ("all", "any")]
+    left = two.join(placed, ["root", "key", "comp"])
+    left = left.select("root", "key", F.col("other").alias("comp"), F.col("node").alias("a"), F.col("n").alias("n_a"), room.alias("room_a"), *own("a_"))
+    right = placed.select("root", "key", "comp", F.col("node").alias("b"), F.col("n").alias("n_b"), room.alias("room_b"), *own("b_"))
+    fit = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & _can_reach(F.col("room_a"), F.col("room_b"), F.col("n_a"), F.col("n_b"), similarity)
+    met = left.join(right, ["root", "key", "comp"])
+    pairs = met.filter(fit & _few_differ("a_", "b_", F.col("n_a") + F.col("n_b"), similarity)).select("a", "b").distinct()
     last = written(_compared(pairs, members, similarity), "near-edges")
     return last if edges is None else edges.unionByName(last)
 
