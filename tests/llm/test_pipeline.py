@@ -4,6 +4,8 @@ import random
 import pytest
 
 import corpus_pipeline
+from tidewell.llm import language_id, quality
+from tidewell.llm.shared import in_arrow
 
 LETTERS = {"aa": "abcdefg", "bb": "uvwxyzé"}
 
@@ -83,3 +85,17 @@ def test_stages_with_odd_tables(spark, folder, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, odd, folder).collect()} <= {2, 3, None}
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.good_quality(spark, odd, str(tmp_path)).count() == 6  # without labels all stay
+
+
+@pytest.mark.parametrize("module", [language_id, quality])
+def test_carried_texts_are_sent_to_python_once(spark, monkeypatch, module):
+    rows = [(1, "der Hund und die Katze", "de", 1), (2, "the dog and the cat", "en", 0), (3, None, "en", 0), (4, "", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    model = language_id.ByteGRU.start(["de", "en"]) if module is language_id else quality.fit(df.drop("quality"), df)
+    sent = []
+    monkeypatch.setattr(module, "in_arrow", lambda frame, run, schema: sent.append(frame.columns) or in_arrow(frame, run, schema))
+    scored = module.predict if module is language_id else module.with_scores
+    name = "lang_score" if module is language_id else "quality_score"
+    plain, carried = scored(df, model).collect(), scored(df, model, ("doc_id", "text", "lang")).collect()
+    assert sum("text" in c for c in sent[1]) == 1 and sum("text" in c for c in sent[0]) == 1
+    assert {r["doc_id"]: r[name] for r in plain} == {r["doc_id"]: r[name] for r in carried} and {r["text"] for r in carried} == {r[1] for r in rows}

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidewell.llm import neighbours, packing, pieces, sharding
+from tidewell.llm.shared import few_rows
 
 SCHEMA = "doc_id long, text string, slot int, ids string, sig int"
 
@@ -300,3 +302,38 @@ def test_rows_that_repeat_spread_over_shards(spark):
         held[r["sequence_id"] >> 32] = held.get(r["sequence_id"] >> 32, 0) + r["length"]
     assert len(held) > 5 and max(held.values()) < 0.4 * sum(held.values()) and len(found) >= 3010
 
+
+
+def test_encoding_holds_few_times_its_stream():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(3000)] + ["it's", "naïve", "σοφός", "42", "(x)"]
+    texts = [" ".join(rng.choice(words) for _ in range(4000)).encode() for _ in range(100)]
+    coder = packing.WordEncoder(PATH)
+    coder.encode(texts[:1])
+    tracemalloc.start()
+    try:
+        ids, sizes = coder.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes.sum() == len(ids) and peak < 40 * sum(map(len, texts))
+
+
+def test_run_hashes_do_not_depend_on_the_blocks(monkeypatch):
+    sizes = np.array([1, 3, 200, 2, 2, 7, 90, 1])
+    letters = np.random.default_rng(1).integers(0, 256, sizes.sum()).astype(np.uint8)
+    found = []
+    for block in (1, 5, 64, 1 << 17):
+        monkeypatch.setattr(packing, "HASHED_BYTES", block)
+        found.append(np.stack(packing._run_hashes(letters, sizes)))
+    assert all(np.array_equal(f, found[0]) for f in found)
+    end = int(sizes[:2].sum())
+    assert found[0][1, 1] == sum((int(x) + 1) * int(packing._POWERS[1, i]) for i, x in enumerate(letters[1:end])) + 3 * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+    assert packing._run_hashes(letters[:0], sizes[:0])[0].shape == (0,)
+
+
+def test_few_rows_need_no_python_workers(spark):
+    df = few_rows(spark, [(1, 2), (1 << 40, 3)], "doc_id long, part int")
+    assert df.schema.simpleString() == "struct<doc_id:bigint,part:int>" and sorted(map(tuple, df.collect())) == [(1, 2), (1 << 40, 3)]
+    assert "LocalRelation" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert few_rows(spark, [], "doc_id long").collect() == []

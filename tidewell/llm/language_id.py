@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.shared import in_arrow
+from tidewell.llm.shared import few_rows, in_arrow
 
 WINDOW, MARGIN = 512, 64
 TRAINED = 128
@@ -233,7 +233,7 @@ def fit(df: DataFrame) -> ByteGRU | None:
         if r["size"] <= room and r["doc_id"] is not None:
             chosen.append((r["doc_id"],))
             room -= r["size"]
-    ids = df.sparkSession.createDataFrame(chosen, "doc_id long")
+    ids = few_rows(df.sparkSession, chosen, "doc_id long")
     rows = usable.join(F.broadcast(ids), "doc_id", "left_semi")  # SAMPLE_DOCS rows at most
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("s")).select("s.*").collect()
     rows = sorted((r["lang"], r["text"].encode()) for r in rows)
@@ -251,14 +251,15 @@ def predict(df: DataFrame, model: ByteGRU | None, carry: tuple[str, ...] = ()) -
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return df.select(*out, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
-    narrow = df.select(*out, F.col("text").alias("_text"), has.alias("_has"))
+    narrow = df.select(*out, has.alias("_has"), *([] if "text" in out else [F.col("text").alias("_text")]))  # a carried text is sent once
+    at_text = out.index("text") if "text" in out else len(out) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                has = np.array(batch.column(len(out) + 1).to_pylist(), bool)
-                texts = [t if ok else b"" for t, ok in zip(batch.column(len(out)).cast(pa.binary()).to_pylist(), has)]
+                has = np.array(batch.column(len(out)).to_pylist(), bool)
+                texts = [t if ok else b"" for t, ok in zip(batch.column(at_text).cast(pa.binary()).to_pylist(), has)]
                 share = model.documents(texts)
                 best = share.argmax(axis=1)
                 names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, has)]

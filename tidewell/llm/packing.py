@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.merging import PAD, PairTable, merge_rows
-from tidewell.llm.shared import in_arrow, text_or_empty, written
+from tidewell.llm.shared import few_rows, in_arrow, text_or_empty, written
 
 WINDOW = 4096
 SHARD_TOKENS = 1 << 21
@@ -31,6 +31,8 @@ MOST_TASKS = 1 << 14
 BUCKETS = 1 << 16  #: of sig, 2048 for each power of two
 K1, B = 1.2, 0.75
 STREAM_BYTES = 1 << 22  #: texts are tokenised together up to this size
+LIBRARY_WORDS = 1 << 11  #: words whose results of the library are held at once
+HASHED_BYTES = 1 << 17  #: bytes of runs whose places and hashes are held at once
 
 _encoders: dict = {}
 
@@ -49,8 +51,7 @@ def _kinds() -> np.ndarray:
     return out
 
 
-_KIND, _LOWER = _kinds(), np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_KIND, _LOWER = _kinds().tobytes(), bytes(range(256)).lower()
 LONGEST = 60  #: bytes of a run that is merged here
 _POWERS = np.array([[pow(base, i, 1 << 64) for i in range(LONGEST)] for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)], np.uint64)
 
@@ -125,7 +126,10 @@ class WordEncoder:
         self.table = MergeTable.of(path)
 
     def _library(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        out: list[list[int]] = []
+        for at in range(0, len(words), LIBRARY_WORDS):  # the library's own results are far larger than the ids
+            out += [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[at : at + LIBRARY_WORDS]], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and their number in each text."""
@@ -134,7 +138,7 @@ class WordEncoder:
             return np.array([i for ids in found for i in ids], self.dtype), np.fromiter(map(len, found), np.int64, len(found))
         stream = b"\n".join([*texts, b""])
         raw = np.frombuffer(stream, np.uint8)
-        kind, low = _KIND[raw], _LOWER[raw]
+        kind, low = (np.frombuffer(bytearray(stream.translate(table)), np.uint8) for table in (_KIND, _LOWER))
         lead = np.flatnonzero(raw == 0xC3)
         follow = raw[lead + 1]
         fine = (follow >= 0x80) & (follow != 0x97) & (follow != 0xB7)
@@ -162,10 +166,7 @@ class WordEncoder:
         sizes = ends - runs
         library = np.zeros(len(runs), bool)
         library[np.searchsorted(runs, odd_at)] = True
-        offsets = np.cumsum(sizes) - sizes
-        place = np.minimum(np.arange(int(sizes.sum())) - np.repeat(offsets, sizes), LONGEST - 1)
-        bytes_ = low[solid].astype(np.uint64) + np.uint64(1)
-        hashes, check = (np.add.reduceat(bytes_ * powers[place], offsets) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) for powers in _POWERS)
+        hashes, check = _run_hashes(low[solid], sizes)
         hashes[library] = np.arange(int(library.sum()), dtype=np.uint64)  # never merged; each gets a code of its own below
         codes, distinct = pd.factorize(hashes)
         first = np.empty(len(distinct), np.int64)
@@ -182,12 +183,28 @@ class WordEncoder:
             at[rows] = len(ids) + np.cumsum(counts[rows]) - counts[rows]
             ids = np.concatenate((ids, np.array([i for f in found for i in f], np.int32)))
         done = np.cumsum(counts)
-        flat = ids.astype(self.dtype)[np.repeat(at - (done - counts), counts) + np.arange(int(done[-1]))]
+        places = np.repeat(at - (done - counts), counts)
+        places += np.arange(len(places))
+        flat = ids.astype(self.dtype)[places]
         text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         upto = np.concatenate(([0], done))[np.searchsorted(runs, text_ends)]
         return flat, np.diff(np.concatenate(([0], upto)))
 
 
+def _run_hashes(letters: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each of the runs that letters holds one after the other, made for about HASHED_BYTES at a time."""
+    offsets = np.cumsum(sizes) - sizes
+    out = [np.empty(len(sizes), np.uint64) for _ in _POWERS]
+    cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, len(letters), HASHED_BYTES)), len(sizes)))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own, n = offsets[a:b] - offsets[a], sizes[a:b]
+        part = letters[offsets[a] : offsets[a] + n.sum()].astype(np.uint64) + np.uint64(1)
+        place = np.minimum(np.arange(len(part)) - np.repeat(own, n), LONGEST - 1)
+        for hashes, powers in zip(out, _POWERS):
+            hashes[a:b] = np.add.reduceat(part * powers[place], own) + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
@@ -282,7 +299,10 @@ class Bm25:
 
     @classmethod
     def build(cls, ids: np.ndarray, owner: np.ndarray, documents: int, idf: np.ndarray, mean_tokens: float) -> Bm25:
-        keys = np.sort(owner.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
+        keys = owner.astype(np.uint64)  # changed in place: it is the largest array of a shard
+        keys <<= np.uint64(32)
+        keys |= ids.astype(np.uint64)
+        keys.sort()
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
         tf = np.diff(np.append(first, len(keys)))
         docs, terms = (keys[first] >> np.uint64(32)).astype(np.int64), (keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -392,7 +412,7 @@ def with_shards(docs: DataFrame, shard_tokens: int) -> tuple[DataFrame, int]:
     known = docs.select(bucket, "sig", F.xxhash64("doc_id", "ids").alias("digest"), place, "doc_id", "ids", "tokens")
     sizes = docs.groupBy(bucket).agg(F.sum("tokens").alias("n")).collect()  # BUCKETS rows at most
     cut, shards = cut_shards([(r["bucket"], r["n"]) for r in sizes], shard_tokens)
-    where = F.broadcast(docs.sparkSession.createDataFrame(cut, "bucket int, first long, parts long"))  # BUCKETS rows at most
+    where = F.broadcast(few_rows(docs.sparkSession, cut, "bucket int, first long, parts long"))  # BUCKETS rows at most
     shard = (F.col("first") + F.pmod(F.xxhash64("digest", "place"), F.col("parts"))).alias("shard")
     return known.join(where, "bucket").select(shard, "sig", "digest", "place", "doc_id", "ids", "tokens"), shards
 

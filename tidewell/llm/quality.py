@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.shared import in_arrow, text_or_empty
+from tidewell.llm.shared import few_rows, in_arrow, text_or_empty
 
 SAMPLE_DOCS, SAMPLE_BYTES = 6000, 32 << 20  #: bounds of the training sample, in labelled documents and in bytes of their texts
 BYTE_SLOTS, CLASS_SLOTS, RUN_SLOTS = 1 << 16, 1 << 14, 32
@@ -198,7 +198,7 @@ def fit(df: DataFrame, labels: DataFrame) -> NBSVM:
         if size <= room:
             room -= size
             chosen.append((doc_id, quality))
-    ids = F.broadcast(df.sparkSession.createDataFrame(chosen, "doc_id long, quality int"))  # SAMPLE_DOCS rows at most
+    ids = F.broadcast(few_rows(df.sparkSession, chosen, "doc_id long, quality int"))  # SAMPLE_DOCS rows at most
     rows = df.join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min(text_or_empty()).alias("text"))
     sample = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "quality")
 
@@ -216,12 +216,13 @@ def fit(df: DataFrame, labels: DataFrame) -> NBSVM:
 def with_scores(df: DataFrame, model: NBSVM, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in carry and quality_score of every row of df (doc_id, text)."""
     out = [*dict.fromkeys(["doc_id", *carry])]
-    narrow = df.select(*out, text_or_empty().alias("_text"))
+    narrow = df.select(*out) if "text" in out else df.select(*out, F.col("text").alias("_text"))  # a carried text is sent once
+    at_text = out.index("text") if "text" in out else len(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            margins = np.array([model.margin(features.of(t.as_py())) for t in batch.column(len(out)).cast(pa.binary())], float)
+            margins = np.array([model.margin(features.of(t.as_py() or b"")) for t in batch.column(at_text).cast(pa.binary())], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(model.score(margins), pa.float64())], names=[*out, "quality_score"])
 
     return in_arrow(narrow, run, T.StructType([*narrow.schema.fields[: len(out)], T.StructField("quality_score", T.DoubleType())]))

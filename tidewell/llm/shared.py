@@ -7,8 +7,10 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.functions.shipping import ship
 
@@ -48,6 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of integers as a table; given as Arrow, since a list of tuples goes through Python workers that then stay beside the queries' own."""
+    kinds = T.StructType.fromDDL(schema)
+    columns = {name: pa.array([row[i] for row in rows], pa.int64()) for i, name in enumerate(kinds.names)}
+    return spark.createDataFrame(pa.table(columns)).select(*[F.col(f.name).cast(f.dataType) for f in kinds])
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
