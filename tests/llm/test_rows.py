@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidewell.llm import neighbours, packing, pieces, sharding
+from tidewell.llm import neighbours, packing, pieces, sharding, shared
 from tidewell.llm.shared import few_rows
 
 SCHEMA = "doc_id long, text string, slot int, ids string, sig int"
@@ -337,3 +337,22 @@ def test_few_rows_need_no_python_workers(spark):
     assert df.schema.simpleString() == "struct<doc_id:bigint,part:int>" and sorted(map(tuple, df.collect())) == [(1, 2), (1 << 40, 3)]
     assert "LocalRelation" in df._jdf.queryExecution().optimizedPlan().toString()
     assert few_rows(spark, [], "doc_id long").collect() == []
+
+
+def test_tasks_give_freed_memory_back(monkeypatch):
+    class Frame:
+        sparkSession = None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Pool:
+        def release_unused(self):
+            done.append("released")
+
+    done: list = []
+    monkeypatch.setattr(shared, "ship", lambda session: None)
+    for name in ("default_memory_pool", "system_memory_pool"):
+        monkeypatch.setattr(shared.pa, name, Pool)
+    assert [done.append(x) or x for x in shared.in_arrow(Frame(), lambda batches: (2 * b for b in batches), "")(iter([1, 2]))] == [2, 4]
+    assert done == [2, 4, "released", "released"]

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,15 @@ def text_or_empty(column: str = "text"):
 
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow on workers that can import this package."""
+    """df.mapInArrow on workers that can import this package.
+
+    A worker stays for later tasks, so at a task's end what it has freed goes back to the system.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # the latter trims the heap that numpy uses, too
+            pool.release_unused()
+
+    return df.mapInArrow(tidy, schema)
